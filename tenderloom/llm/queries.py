@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, editprint
+from . import bpe, decontaminate, editprint, interpolate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def remainder(by: int) -> Column:
+    """crc32 of doc_id as text, modulo ``by``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return interpolate.model_scores(docs, held_out=remainder(10) == 0, deleted=remainder(10) == 1)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_edit_fingerprints": op2_edit_fingerprints,
+    "op7_interpolated_lm": op7_interpolated_lm,
     "op10_bpe": op10_bpe,
 }
 
