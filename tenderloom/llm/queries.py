@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, editprint, interpolate
+from . import bpe, decontaminate, editprint, interpolate, quality, toxicity
+from .store import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,27 @@ def remainder(by: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    x = written(quality.features(table(spark, sf_dir, "documents")), "features")
+    model = quality.fit(*quality.training_rows(x, labels, label="quality", train=remainder(4) != 2))
+    scored = quality.scores(x, model)
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return interpolate.model_scores(docs, held_out=remainder(10) == 0, deleted=remainder(10) == 1)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(toxicity.sample(docs, labels, label="toxic", train=remainder(5) != 0))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +65,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_edit_fingerprints": op2_edit_fingerprints,
+    "op4_quality": op4_quality,
     "op7_interpolated_lm": op7_interpolated_lm,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
