@@ -50,7 +50,8 @@ def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(toxicity.sample(docs, labels, label="toxic", train=remainder(5) != 0))
+    rows, share = toxicity.sample(docs, labels, label="toxic", train=remainder(5) != 0)
+    model = toxicity.fit(rows, share=share)
     scored = toxicity.scores(docs, model)
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 

@@ -66,24 +66,30 @@ def profile(text: str | None, toxic, ordinary, size: int) -> np.ndarray:
     return np.concatenate([np.log1p(beyond), np.sqrt(beyond / max(1, len(cut))), [np.log1p(len(cut))]])
 
 
-def _sketch(data: bytes) -> int:
-    """Smallest hash of four successive words: near copies mostly agree in it."""
+def _sketches(data: bytes) -> set[tuple[int, int]]:
+    """Smallest of several hashes of four successive words: near copies agree in one at least."""
     words = _WORD.findall(data)
-    return min((zlib.crc32(b" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))), default=0)
+    hashes = np.array([zlib.crc32(b" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))], dtype=np.uint32)
+    return {(n, int((hashes * np.uint32(a)).min())) for n, a in enumerate((1, 2654435761, 2246822519, 3266489917, 668265263, 374761393))}
 
 
 def _document_counts(texts: list[bytes]) -> tuple[Counter, int]:
-    """Documents with each word, one of each group of copies."""
-    seen, counts = set(), Counter()
+    """Documents with each word and each beginning of 5 to 7 bytes of one (stems), one of each group of copies."""
+    seen, counts, n = set(), Counter(), 0
     for t in texts:
-        if (key := _sketch(t)) not in seen:
-            seen.add(key)
-            counts.update({_LETTERS.sub(b"", w) for w in _WORD.findall(t)})
-    return counts, len(seen)
+        if not (sketches := _sketches(t)) & seen:
+            n += 1
+            words = {_LETTERS.sub(b"", w) for w in _WORD.findall(t)}
+            counts.update(words.union(w[:k] for w in words for k in (5, 6, 7) if len(w) > k))
+        seen |= sketches
+    return counts, n
 
 
-def fit(rows: list[tuple[str, int]], *, window: int = 32, level: int = 3, base_bytes: int = 16384) -> Model:
-    """rows: (text, 0 or 1).  With one class only, or none, every score is that class's share (or 0.5)."""
+def fit(rows: list[tuple[str, int]], *, share: float | None = None, window: int = 32, level: int = 3, base_bytes: int = 16384) -> Model:
+    """rows: (text, 0 or 1); ``share``: of label 1 among all labelled rows, if the sample has another.
+
+    With one class only, or none, every score is near that class's label (or 0.5).
+    """
     texts = [[(t or "").encode().lower() for t, y in rows if y == c] for c in (0, 1)]
     first = [x[: len(x) * 3 // 5 + 1] for x in texts]
     later = [x[len(x) * 3 // 5 + 1 :] or x for x in texts]
@@ -102,13 +108,16 @@ def fit(rows: list[tuple[str, int]], *, window: int = 32, level: int = 3, base_b
     pair = _compressor(model.toxic, level), _compressor(model.ordinary, level)
     x = np.array([profile(t.decode(), *pair, window) for part in later for t in part]).reshape(-1, 2 * len(THRESHOLDS) + 1)
     y = np.concatenate([np.full(len(part), c, dtype="f8") for c, part in enumerate(later)])
-    share = y.mean() if len(y) else 0.5
+    mine = y.mean() if len(y) else 0.5
     model.center, model.scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     model.weights = np.zeros(x.shape[1] + 1)
-    if 0 < share < 1:
+    if 0 < mine < 1:
         model.weights = _logistic((x - model.center) / model.scale, y)
+        if share and share < 1:
+            # half of the way to the natural odds: about where precision and recall balance
+            model.weights[-1] += 0.5 * (np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
     elif len(y):
-        model.weights[-1] = 6.0 if share else -6.0
+        model.weights[-1] = 6.0 if mine else -6.0
     return model
 
 
@@ -124,17 +133,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, label: str, train: Column, id: str = "doc_id", text: str = "text", each: int = 2500, longest: int = 65536) -> list[tuple[str, int]]:
-    """At most ``each`` training rows of either label, of texts up to ``longest`` bytes, chosen by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, *, label: str, train: Column, id: str = "doc_id", text: str = "text", each: int = 2500, longest: int = 65536) -> tuple[list[tuple[str, int]], float]:
+    """At most ``each`` training rows of either label, of texts up to ``longest`` bytes, chosen by a hash of the id, and the share of label 1 among all.
 
     Null ids, labels and texts are left out; of several labels of one id the
     largest counts.
     """
     known = labels.where(train & F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("d")).agg(F.max(label).cast("int").alias("y"))
+    share = known.agg(F.avg("y")).first()[0] or 0.0
     best = known.where("y = 0").orderBy(F.xxhash64("d"), "d").limit(2 * each).unionByName(known.where("y = 1").orderBy(F.xxhash64("d"), "d").limit(2 * each))
     short = docs.select(F.col(id).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") <= longest)
     found = [(r["t"], r["y"], r["d"]) for r in short.join(F.broadcast(best), "d").orderBy(F.xxhash64("d", "t")).select("t", "y", "d").limit(4 * each).collect()]
-    return [(t, y) for c in (0, 1) for t, y, _ in [r for r in found if r[1] == c][:each]]
+    return [(t, y) for c in (0, 1) for t, y, _ in [r for r in found if r[1] == c][:each]], float(share)
 
 
 def scores(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
