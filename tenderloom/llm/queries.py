@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, editprint, interpolate, quality, toxicity
+from . import bpe, decontaminate, editprint, interpolate, language, licenses, quality, toxicity
 from .store import written
 
 
@@ -29,6 +29,16 @@ def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", language.markup_language(html).alias("declared"), language.visible_text(html).alias("text"))
+    return language.identify(pages, text="text", host=language.address_host(F.col("url")), declared=F.col("declared"), key=F.col("page_id"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def remainder(by: int) -> Column:
     """crc32 of doc_id as text, modulo ``by``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
@@ -67,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_edit_fingerprints": op2_edit_fingerprints,
     "op4_quality": op4_quality,
+    "op5_language_id": op5_language_id,
+    "op8_license_scan": op8_license_scan,
     "op7_interpolated_lm": op7_interpolated_lm,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_license_scan": licenses.oracle()}
