@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, editprint, interpolate, language, licenses, quality, toxicity
+from . import bpe, decontaminate, editprint, interpolate, language, licenses, minhash, quality, toxicity
 from .store import written
 
 
@@ -35,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(pages, text="text", host=language.address_host(F.col("url")), declared=F.col("declared"), key=F.col("page_id"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_edit_fingerprints": op2_edit_fingerprints,
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
+    "op6_minhash": op6_minhash,
     "op8_license_scan": op8_license_scan,
     "op7_interpolated_lm": op7_interpolated_lm,
     "op9_toxicity": op9_toxicity,
