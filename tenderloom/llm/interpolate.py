@@ -91,15 +91,15 @@ def _counts_of(frame: pa.Table, buckets: int) -> pa.Table:
     number, rows = frame.column("block")[0].as_py(), []
     for kind in (0, 1):
         key, bucket = block.keys[kind]
-        rest = np.bincount(block.index[kind][by_token > 1], minlength=len(key)).astype("<u4")
-        held = np.bincount(block.index[kind][by_token == 1], minlength=len(key)).astype("<u4")
+        rest = np.bincount(block.index[kind][by_token > 1], minlength=len(key))
+        held = np.bincount(block.index[kind][by_token == 1], minlength=len(key))
         ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1 if len(bucket) else []
         start = 0
         for end in ends:
-            rows.append((kind, int(bucket[start]), number, key[start:end].astype("<u8").tobytes(), rest[start:end].tobytes(), held[start:end].tobytes()))
+            rows.append((kind, int(bucket[start]), number, tk.pack_sorted(key[start:end]), tk.pack(rest[start:end]), tk.pack(held[start:end])))
             start = end
     mine = by_token == 1
-    places = np.concatenate([block.index[1][mine], block.index[0][mine], block.context()[mine]]).astype("<i4").tobytes()
+    places = tk.pack(np.concatenate([block.index[1][mine], block.index[0][mine], block.context()[mine] + 1]))
     rows.append((2, number % buckets, number, places, b"", b""))
     # a document's first token has the start as context, whose count is the number of documents
     rows.append((3, number % buckets, number, np.array([np.count_nonzero(fold > 1), np.count_nonzero(fold > 0)], dtype="<u8").tobytes(), b"", b""))
@@ -116,14 +116,14 @@ def _add_up(asked: pa.Table) -> pa.Table:
     if kind >= 2:
         rows = [(kind, b, bucket, k.as_py(), b"", np.frombuffer(k.as_py(), "<i8").tolist() if kind == 3 else None) for b, k in zip(blocks, asked.column("keys"), strict=True)]
     else:
-        keys, rest, held = ([np.frombuffer(x.as_buffer(), t) for x in asked.column(n)] for n, t in (("keys", "<u8"), ("rest", "<u4"), ("held", "<u4")))
-        keys, rest, held = list(keys), list(rest), list(held)
+        keys = [tk.unpack_sorted(x.as_py()) for x in asked.column("keys")]
+        rest, held = ([tk.unpack(x.as_py()) for x in asked.column(n)] for n in ("rest", "held"))
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(place, weights=np.concatenate(rest)), np.bincount(place, weights=np.concatenate(rest) + np.concatenate(held).astype("f8"))
+        totals = np.bincount(place, weights=np.concatenate(rest)), np.bincount(place, weights=np.concatenate(rest) + np.concatenate(held))
         rows, start = [], 0
         for b, k in zip(blocks, keys, strict=True):
             mine = place[start : start + len(k)]
-            rows.append((kind, b, bucket, *(t[mine].astype("<u8").tobytes() for t in totals), None))
+            rows.append((kind, b, bucket, *(tk.pack(t[mine].astype("<u8")) for t in totals), None))
             start += len(k)
         if kind == 0:
             rows.append((4, -1, bucket, b"", b"", [int(x) for t in totals for x in (t.sum(), np.count_nonzero(t))]))
@@ -135,7 +135,7 @@ def _answers(rows: list[dict], column: str) -> list[np.ndarray]:
     out = []
     for kind in (0, 1):
         mine = sorted((r["bucket"], r[column]) for r in rows if r["kind"] == kind)
-        out.append(np.frombuffer(b"".join(x for _, x in mine), "<u8").astype("f8"))
+        out.append(np.concatenate([tk.unpack(x) for _, x in mine] or [np.zeros(0)]).astype("f8"))
     return out
 
 
@@ -195,7 +195,8 @@ def model_scores(docs: DataFrame, *, held_out: Column, id: str = "doc_id", text:
 
     def cells(frame: pa.Table) -> pa.Table:
         rows = frame.to_pylist()
-        pairs, words, contexts = np.frombuffer(next(r["rest"] for r in rows if r["kind"] == 2), "<i4").reshape(3, -1)
+        pairs, words, contexts = tk.unpack(next(r["rest"] for r in rows if r["kind"] == 2)).astype(np.int64).reshape(3, -1)
+        contexts = contexts - 1
         bucket, by_pair, by_word, _ = estimates(*_answers(rows, "rest"), starts[0], *tokens[0], words, pairs, contexts)
         step = [np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1)) * STEPS), 1).astype(np.int64) for p in (by_pair, by_word)]
         key, n = np.unique(np.stack([bucket, *step]), axis=1, return_counts=True)

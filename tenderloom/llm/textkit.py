@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -172,3 +173,24 @@ def _whole(hashes: np.ndarray) -> int:
 
 def keep_columns(batch: pa.RecordBatch, names: list[str]) -> dict[str, pa.Array]:
     return {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as bytes: planes of equal significance together, then zstandard; small numbers cost little."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """``pack`` of the steps between rising values."""
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=U64)
