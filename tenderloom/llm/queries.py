@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, editprint, interpolate, language, licenses, minhash, quality, toxicity
+from . import bpe, decontaminate, editprint, interpolate, language, licenses, minhash, quality, repeats, toxicity
 from .store import written
 
 
@@ -48,6 +48,12 @@ def remainder(by: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     x = written(quality.features(table(spark, sf_dir, "documents")), "features")
@@ -80,6 +86,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_edit_fingerprints": op2_edit_fingerprints,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
