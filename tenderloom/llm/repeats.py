@@ -131,7 +131,11 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at ``at`` by their first ``depth`` characters: eight at a time, only among those still tied."""
+    """Order of the suffixes at ``at`` by their first ``depth`` characters.
+
+    Groups of still equal suffixes are split by their next few characters at a
+    time; a hash of the next hundred tells which groups can pass over them.
+    """
     n, count = len(text), len(at)
     padded = np.concatenate([text + 1, np.zeros(8, dtype=np.int64)]).astype(U64)
     packed = np.zeros(n + 1, dtype=U64)
@@ -139,20 +143,36 @@ def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     shift = U64(9 if width == 7 else 20)
     for t in range(width):
         packed[:n] = (packed[:n] << shift) | padded[t : t + n]
-    order, group = np.arange(count), np.zeros(count, dtype=np.int64)
-    tied, reach = np.arange(count), 0
-    while len(tied) and reach < depth:
-        mine = order[tied]
-        key = packed[np.minimum(at[mine] + reach, n)]
-        by = np.lexsort((key, group[tied]))
-        order[tied] = mine[by]
-        key, g = key[by], group[tied]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1]))
-        number = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
-        group[tied] = number
-        alone = fresh & np.append(fresh[1:], True)
-        tied = tied[~alone]
-        reach += width
+    up, down = tk.powers(n + 1)
+    sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(tk.mix(padded[:n]) * up[:n], dtype=U64)])
+    order, group, reach = np.arange(count), np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+    tied = np.arange(count)
+    while len(tied):
+        mine, g = order[tied], group[tied]
+        heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        sizes = np.diff(np.append(heads, len(g)))
+        passed = np.zeros(len(tied), dtype=bool)
+        for skip in (112, 28):
+            a = np.minimum(at[mine] + reach[mine], n)
+            z = np.minimum(a + skip, n)
+            h = (sums[z] - sums[a]) * down[a] + (z - a).astype(U64)
+            even = np.repeat(np.minimum.reduceat(h, heads) == np.maximum.reduceat(h, heads), sizes) & ~passed
+            reach[mine[even]] += skip
+            passed |= even
+        rest = tied[~passed]
+        if len(rest):
+            mine = order[rest]
+            key = packed[np.minimum(at[mine] + reach[mine], n)]
+            by = np.lexsort((key, group[rest]))
+            mine = mine[by]
+            order[rest] = mine
+            reach[mine] += width
+            key, g = key[by], group[rest]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1]))
+            group[rest] = rest[np.maximum.accumulate(np.where(fresh, np.arange(len(rest)), 0))]
+        g = group[tied]
+        alone = np.append(True, g[1:] != g[:-1]) & np.append(g[1:] != g[:-1], True)
+        tied = tied[~alone & (reach[order[tied]] < depth)]
     return order
 
 
