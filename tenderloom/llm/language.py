@@ -37,13 +37,6 @@ class TextModel:
     weights: np.ndarray  # language x bucket, centred log-likelihoods
 
 
-def _letters(data: np.ndarray) -> np.ndarray:
-    table = np.zeros(256, dtype=bool)
-    table[0x61:0x7B] = True
-    table[0x80:] = True
-    return table[data]
-
-
 def text_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and letter triples, and how many of them come before each document's end."""
     low = tk.LOWER[data]
@@ -89,10 +82,10 @@ def training_rows(docs: DataFrame, *, lang: Column, text: str, key: Column, most
     return [(r["t"], r["l"]) for r in fit.where(F.col("h") <= chosen[-1]).orderBy("h", "t").limit(most).collect()]
 
 
-def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str = "text_evidence") -> DataFrame:
+def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str = "text_evidence", keep_text: bool = False) -> DataFrame:
     """Adds an array with a log-likelihood for each language (zeros for an empty text) and ``letters``, the number of words and triples."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if keep_text or c != text]
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = held.value.weights
@@ -139,9 +132,9 @@ def host_priors(rows: DataFrame, languages: list[str], *, declared: str, host: s
 
 def identify(
     docs: DataFrame, *, text: str, host: Column, declared: Column, key: Column, known: Column | None = None,
-    trust: float = 3.0, suffixes: dict[str, str] | None = None, sure: float = 0.5, sample: int = 2000,
+    trust: float = 3.0, suffixes: dict[str, str] | None = None, sure: float = 0.5, sample: int = 2000, keep_text: bool = False,
 ) -> DataFrame:
-    """All columns of ``docs`` but the text, and ``language``, ``confidence``, ``reliable``.
+    """All columns of ``docs`` but the text (unless ``keep_text``), and ``language``, ``confidence``, ``reliable``.
 
     ``host`` is the address's host (null or empty: no host, only the
     collection's prior), ``declared`` the declared language (null: no evidence), ``known``
@@ -154,15 +147,16 @@ def identify(
     """
     suffixes = suffixes if suffixes is not None else {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en"}
     named = ["language", "confidence", "reliable"]
+    columns = [c for c in docs.columns if c not in named and (keep_text or c != text)]
     work = docs.drop(*named).withColumns({
         "_host": F.lower(F.coalesce(host, F.lit(""))), "_declared": F.substring(F.lower(declared), 1, 2), "_known": F.lower(known if known is not None else declared), "_key": key,
     })
     work = work.withColumn("_domain", F.regexp_extract("_host", r"([^.]+\.[^.]+)$", 1)).withColumn("_suffix", F.regexp_extract("_host", r"\.([^.]+)$", 1))
     model = fit_text(training_rows(work, lang=F.substring("_known", 1, 2), text=text, key=F.col("_key"), most=sample))
     if not model.languages:
-        return work.select(*[c for c in docs.columns if c != text and c not in named], F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reliable"))
+        return work.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reliable"))
     priors = host_priors(work, model.languages, declared="_declared", host="_host", domain="_domain", suffix="_suffix").withColumnRenamed("_host", "_of")
-    scored = text_evidence(work.drop("_known", "_key", "_domain"), model, text=text)
+    scored = text_evidence(work.drop("_known", "_key", "_domain"), model, text=text, keep_text=keep_text)
     joined = scored.join(priors, scored["_host"] == priors["_of"], "left")
     names = F.array(*map(F.lit, model.languages))
     bonus = F.array(*(F.when(F.col("_declared") == lang, trust).otherwise(0.0) + F.when(F.col("_suffix").isin([s for s, x in suffixes.items() if x == lang] or [""]) & (F.col("_suffix") != ""), trust).otherwise(0.0) for lang in model.languages))
@@ -172,7 +166,7 @@ def identify(
     done = done.withColumn("confidence", 1 / F.aggregate("_total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))))
     done = done.withColumn("language", F.get(names, (F.array_position("_total", F.col("_top")) - 1).cast("int")))
     done = done.withColumn("reliable", (F.col("letters") > 0) & (F.col("confidence") >= sure))
-    return done.select(*[c for c in docs.columns if c != text and c not in named], *named)
+    return done.select(*columns, *named)
 
 
 def markup_language(html: Column) -> Column:

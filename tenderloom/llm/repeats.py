@@ -341,8 +341,8 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     return out.withColumnRenamed("d", id)
 
 
-def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 400, most: int = 64) -> DataFrame:
-    """All columns of ``docs`` but the text, and ``kept`` (the bytes left), ``removed`` (spans of bytes) and ``n_bytes``.
+def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 400, most: int = 64, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text, and ``kept`` (the bytes left; with ``as_text`` the whole characters left), ``removed`` (spans of bytes) and ``n_bytes``.
 
     Ids are to be unique and not null; a null text is empty; texts shorter than
     ``length`` bytes stay whole; equal texts of that length all go.
@@ -372,10 +372,11 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
                     for c in cut:
                         left.append(raw[at : c["start"]])
                         at = c["end"]
-                    kept.append(b"".join([*left, raw[at:]]))
+                    left.append(raw[at:])
+                    kept.append("".join(x.decode(errors="ignore") for x in left) if as_text else b"".join(left))
                     removed.append(cut)
                     sizes.append(len(raw))
-                yield pa.RecordBatch.from_arrays([*(few.column(few.schema.get_field_index(c)) for c in others), pa.array(kept, pa.binary()), pa.array(removed, out_type), pa.array(sizes, pa.int64())], names=[*others, *named])
+                yield pa.RecordBatch.from_arrays([*(few.column(few.schema.get_field_index(c)) for c in others), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, out_type), pa.array(sizes, pa.int64())], names=[*others, *named])
 
     joined = docs.join(starts, docs[id] == starts["_d"], "left").select(*others, F.col(text).cast("string").alias(text), "_runs")
-    return joined.mapInArrow(run, f"{fields}{', ' if fields else ''}kept binary, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")
+    return joined.mapInArrow(run, f"{fields}{', ' if fields else ''}kept {'string' if as_text else 'binary'}, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")
