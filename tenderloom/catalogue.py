@@ -1,4 +1,496 @@
 """All registered queries of the library and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as fn
+from .functions.matching import sql_condition
+from .functions.profile import Agency, Capability, Profile
+from .operators import cdc, ordering, reminders, retrieval, scoring
+from .plans import metrics, serving
+from .plans.serving import Filters, default_view
+from .plans.views import AS_OF, Views, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: A profile whose words occur in the test data.
+PROFILE = Profile(
+    capabilities=(
+        Capability("metal", "Metal", 10, ("bolt", "steel", "ring")), Capability("promo", "Promo", 40, ("PROMO", "blue")), Capability("large", "Large", 30, ("LARGE", "small ring", "gear")),
+        Capability("economy", "Economy", 6, ("ECONOMY",)),
+    ),
+    labor=(("red", "metal"),), technologies=(("nut", "large"),), functional=("Supply of", "green"), schedule_terms=("GSA MAS",), vehicle_terms=("BPA", "Task Order"),
+    solicitations=(("RFQ", 2), ("RFP", 2)), set_asides=(("Small Business Set-Aside", 8, ("Total Small Business",)), ("Small Business (general)", 2, ("Small Business",))),
+    federal=(Agency("Customer#000000001"), Agency("MACHINERY", it_only=True)), states=(("AMERICA", "AMERICA"), ("ASIA", "ASIA")),
+    exclusions=(("Furniture", ("FURNITURE",)), ("Household", ("HOUSEHOLD", "washer"))), naics=("541511", "541512"),
+    value_bands=((25_000, -2, "< $25k"), (100_000, 0, "$25k-$100k"), (300_000, 2, "$100k-$300k"), (None, 3, "> $300k")),
+)
+
+
+def query(name: str, sql: str | None = None, *views: str):
+    def register(build: Callable[[Views], DataFrame]):
+        QUERIES[name] = lambda spark, folder: build(Views(spark, folder))
+        if sql is not None:
+            ORACLES[name] = with_views(sql, *views) if views else sql
+        return build
+
+    return register
+
+
+O, S = "opportunities", "sources"
+T = f"TIMESTAMP '{AS_OF}'"
+OPEN_SQL = "('NEW','OPEN','AMENDED','CLOSING_SOON')"
+SOURCE_SQL = "s.name AS source_name, s.slug AS source_slug, s.state AS state"
+
+
+def list_sql(where: str, order: str, limit: int) -> str:
+    return f"""SELECT o.id, source_name, source_slug, state, rank FROM (
+        SELECT o.*, {SOURCE_SQL}, CAST(row_number() OVER (ORDER BY {order}, o.id) AS INTEGER) AS rank FROM opportunities o LEFT JOIN sources s ON s.id = o.source_id WHERE {where}) o WHERE rank <= {limit}"""
+
+
+def lists(name: str, f: Filters, where: str, order: str) -> None:
+    QUERIES[name] = lambda spark, folder: (lambda v: serving.listing(v.opportunities, v.sources, f, v.as_of).select("id", "source_name", "source_slug", "state", "rank"))(Views(spark, folder))
+    ORACLES[name] = with_views(list_sql(where, order, f.limit), O, S)
+
+
+DUE, SCORE, NEWEST, RELEVANCE = "due_date ASC NULLS LAST", "pursuit_score DESC NULLS LAST", "first_seen_at DESC NULLS FIRST", "relevance_score DESC NULLS LAST"
+lists("list_actionable", default_view(), f"pursuit_bucket IN ('PURSUE','CAPTURE_REVIEW') AND due_date >= {T} + INTERVAL 10 DAY", SCORE)
+lists("list_search", Filters(search="blue, 100%", sort="relevance"), "(title ILIKE '%blue  100 %' OR agency ILIKE '%blue  100 %' OR external_id ILIKE '%blue  100 %')".replace("100 %", "100%"), RELEVANCE)
+lists("list_search_agency", Filters(search="0000001", sort="relevance"), "(contains(lower(title), '0000001') OR contains(lower(agency), '0000001') OR contains(lower(external_id), '0000001'))", RELEVANCE)
+lists("list_state_setaside", Filters(state="ASIA", set_aside="WOSB", sort="due"), "s.state = 'ASIA' AND set_aside_list LIKE 'WOSB%'", DUE)
+lists("list_any_setaside_vehicle", Filters(set_aside="ANY", vehicle="ANY", relevance_min=40), "set_aside_list <> '' AND contract_vehicle IS NOT NULL AND relevance_score >= 40", NEWEST)
+lists("list_due_window", Filters(open_only=True, due_from=datetime(1998, 8, 2), due_before=datetime(1998, 8, 9), sort="due", limit=8), f"status IN {OPEN_SQL} AND due_date >= {T} AND due_date <= {T} + INTERVAL 7 DAY", DUE)
+lists("list_new", Filters(status="NEW", limit=8), "status = 'NEW'", NEWEST)
+lists("list_no_time", Filters(bucket="INSUFFICIENT_TIME", stage="BACKLOG", sort="score"), "urgency = 'INSUFFICIENT_TIME' AND pipeline_stage = 'BACKLOG'", SCORE)
+lists("list_assigned", Filters(assigned_to=7, source_id=3, urgency="URGENT", vehicle="GSA MAS"), "assigned_to = 7 AND source_id = 3 AND urgency = 'URGENT' AND contract_vehicle = 'GSA MAS'", NEWEST)
+
+
+@query("list_unscored", """SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY first_seen_at DESC NULLS FIRST, id) AS rank FROM opportunities WHERE pursuit_bucket IS NULL) WHERE rank <= 200""", O)
+def _(v):
+    return ordering.latest_of_each(v.opportunities.where("pursuit_bucket is null").select("id", "first_seen_at").withColumn("_all", F.lit(1)).orderBy(F.desc_nulls_first("first_seen_at"), "id").limit(200), "id", F.col("id")).withColumn("rank", F.expr("row_number() over (order by first_seen_at desc nulls first, id)")).select("id", "rank")
+
+
+@query("embedded_counts", """SELECT o.id, o.assigned_to, coalesce(responses, 0) AS responses, coalesce(attachments, 0) AS attachments, coalesce(versions, 0) AS versions FROM opportunities o LEFT JOIN (
+    SELECT opportunity_id, count(*) FILTER (kind = 'response') AS responses, count(*) FILTER (kind = 'attachment') AS attachments, count(*) FILTER (kind = 'version') AS versions FROM children GROUP BY 1) c ON o.id = c.opportunity_id""", O, "children")
+def _(v):
+    return serving.embedded_counts(v.opportunities, v.children)
+
+
+STAGE_CASE = "CASE pipeline_stage " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(serving.STAGES)) + " END"
+
+
+@query("board", f"""SELECT pipeline_stage AS stage, CAST({STAGE_CASE} AS INTEGER) AS stage_rank, CAST(row_number() OVER (PARTITION BY pipeline_stage ORDER BY due_date ASC NULLS LAST, id) AS INTEGER) AS position, id
+    FROM (SELECT * FROM opportunities ORDER BY due_date ASC NULLS LAST, id LIMIT 500)""", O)
+def _(v):
+    return serving.board(v.opportunities)
+
+
+@query("stalest_first", "SELECT id, name, last_success_at, CAST(row_number() OVER (ORDER BY last_success_at ASC NULLS FIRST, name) AS INTEGER) AS turn FROM sources WHERE is_active", S)
+def _(v):
+    return serving.stalest_first(v.sources)
+
+
+@query("connector_status", "SELECT id, connector_key, CASE WHEN connector_key IN ('sam','tx','mo') THEN 'active' ELSE 'needs_connector' END AS status FROM sources", S)
+def _(v):
+    return serving.connector_status(v.sources, ("sam", "tx", "mo"))
+
+
+@query("dashboard_stats", f"""SELECT count(*) AS total, count_if(o) AS total_open, count_if(status = 'NEW') AS new_count, count_if(status = 'AMENDED') AS amended, count_if(status = 'NEW' AND coalesce(relevance_score, 0) >= 70) AS relevant_new,
+    count_if(pipeline_stage = 'SUBMITTED') AS submitted, count_if(pipeline_stage = 'WON') AS won, count_if(a AND pursuit_bucket = 'PURSUE') AS pursue_now, count_if(a AND pursuit_bucket = 'CAPTURE_REVIEW') AS capture_review,
+    count_if(a AND pursuit_bucket = 'PURSUE' AND first_seen_at >= {T} - INTERVAL 1 DAY) AS new_pursue, count_if(o AND due_date BETWEEN {T} AND {T} + INTERVAL 7 DAY) AS closing_soon,
+    CAST(coalesce(sum(CAST(estimated_value AS DECIMAL(18,2))) FILTER (o AND estimated_value <> 0), 0) AS DOUBLE) AS pipeline_value
+    FROM (SELECT *, status IN {OPEN_SQL} AS o, status IN {OPEN_SQL} AND urgency IS DISTINCT FROM 'INSUFFICIENT_TIME' AS a FROM opportunities)""", O)
+def _(v):
+    return metrics.dashboard(v.opportunities, v.as_of)
+
+
+def spine_sql(name: str, values: tuple[str, ...], rows: str) -> str:
+    return f"""SELECT {name}, CAST(rank AS INTEGER) AS rank, coalesce(n, 0) AS n FROM (VALUES {', '.join(f"('{v}', {i})" for i, v in enumerate(values))}) x({name}, rank) LEFT JOIN (SELECT {name}, count(*) AS n FROM ({rows}) GROUP BY 1) USING ({name})"""
+
+
+@query("urgency_distribution", spine_sql("urgency", metrics.BANDS, f"SELECT urgency FROM opportunities WHERE status IN {OPEN_SQL}"), O)
+def _(v):
+    return metrics.urgency_distribution(v.opportunities)
+
+
+@query("stage_counts", spine_sql("pipeline_stage", serving.STAGES, "SELECT pipeline_stage FROM opportunities"), O)
+def _(v):
+    return metrics.stage_counts(v.opportunities)
+
+
+@query("score_histogram", spine_sql("band", metrics.HISTOGRAM, """SELECT CASE WHEN relevance_score < 10 THEN '0-9' WHEN relevance_score < 20 THEN '10-19' WHEN relevance_score < 40 THEN '20-39'
+    WHEN relevance_score < 60 THEN '40-59' WHEN relevance_score < 80 THEN '60-79' ELSE '80+' END AS band FROM opportunities WHERE relevance_score IS NOT NULL"""), O)
+def _(v):
+    return metrics.score_histogram(v.opportunities)
+
+
+@query("by_state", f"SELECT s.state, count(*) AS total, count_if(status IN {OPEN_SQL}) AS open FROM opportunities o JOIN sources s ON s.id = o.source_id WHERE s.state <> '' GROUP BY 1", O, S)
+def _(v):
+    return metrics.by_state(v.opportunities, v.sources)
+
+
+HALF = "CAST(floor({} + 0.5) AS BIGINT)"
+
+
+@query("win_rate", f"""SELECT {HALF.format("count_if(pipeline_stage = 'WON') * 100.0 / nullif(count_if(pipeline_stage IN ('WON', 'LOST')), 0)")} AS win_rate, {HALF.format('avg(relevance_score)')} AS avg_relevance FROM opportunities""", O)
+def _(v):
+    return metrics.win_rate(v.opportunities)
+
+
+@query("win_by_bucket", f"""SELECT pursuit_bucket, won, lost, submitted, {HALF.format('won * 100.0 / nullif(won + lost, 0)')} AS rate FROM (SELECT pursuit_bucket, count_if(pipeline_stage = 'WON') AS won, count_if(pipeline_stage = 'LOST') AS lost,
+    count_if(pipeline_stage = 'SUBMITTED') AS submitted FROM opportunities WHERE pipeline_stage IN ('WON','LOST','SUBMITTED') AND pursuit_bucket IS NOT NULL GROUP BY 1)""", O)
+def _(v):
+    return metrics.win_by_bucket(v.opportunities)
+
+
+def bucket_counts_sql(bucket: str) -> str:
+    return f"""SELECT coalesce(nullif(s.state, ''), s.name, 'Other') AS place, {', '.join(f"count_if({bucket} = '{b}') AS {b.lower()}" for b in metrics.BUCKETS)} FROM opportunities o LEFT JOIN sources s ON s.id = o.source_id GROUP BY 1"""
+
+
+@query("stored_bucket_by_source", bucket_counts_sql("pursuit_bucket"), O, S)
+def _(v):
+    return metrics.bucket_by_source(v.opportunities, v.sources)
+
+
+@query("exclusions_by_group", r"SELECT coalesce(nullif(regexp_extract(excluded_reason, '\(([^)]+)\)\s*$', 1), ''), 'Other') AS exclusion, count(*) AS n FROM opportunities WHERE excluded_reason IS NOT NULL GROUP BY 1", O)
+def _(v):
+    return metrics.exclusions_by_group(v.opportunities)
+
+
+@query("source_health", f"""SELECT s.id, s.name, coalesce(total, 0) AS total, coalesce(open, 0) AS open, coalesce(new, 0) AS new FROM sources s LEFT JOIN (
+    SELECT source_id, count(*) AS total, count_if(status IN {OPEN_SQL}) AS open, count_if(status = 'NEW') AS new FROM opportunities GROUP BY 1) o ON o.source_id = s.id""", O, S)
+def _(v):
+    return metrics.source_health(v.opportunities, v.sources)
+
+
+@query("latest_run", "SELECT source_id, id AS run_id, started_at, status, new_count FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) AS n FROM runs) WHERE n = 1", "runs")
+def _(v):
+    return metrics.latest_runs(v.runs)
+
+
+@query("crawl_success", f"SELECT count(*) AS crawls, {HALF.format('''count_if(status IN ('success','partial')) * 100.0 / count(*)''')} AS success_rate FROM (SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 200)", "runs")
+def _(v):
+    return metrics.crawl_success(v.runs)
+
+
+@query("run_totals", "SELECT CAST(sum(new_count) AS BIGINT) AS new_total, CAST(sum(changed_count) AS BIGINT) AS changed_total, count_if(status = 'failed') AS failed FROM runs", "runs")
+def _(v):
+    return metrics.run_totals(v.runs)
+
+
+@query("mode_usage", "SELECT mode, count(*) AS n FROM responses GROUP BY 1", "responses")
+def _(v):
+    return metrics.mode_usage(v.responses)
+
+
+@query("latest_response_per_mode", "SELECT opportunity_id, mode, max(turn) AS turn FROM responses GROUP BY 1, 2", "responses")
+def _(v):
+    return metrics.latest_responses(v.responses)
+
+
+@query("response_revisions", "SELECT opportunity_id, count(*) AS revisions, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn DESC) AS newest_first FROM responses GROUP BY 1", "responses")
+def _(v):
+    return v.responses.groupBy("opportunity_id").agg(F.count("*").alias("revisions"), F.array_join(F.sort_array(F.collect_list("turn"), asc=False).cast("array<string>"), ",").alias("newest_first"))
+
+
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def scored(v: Views, *columns: str) -> DataFrame:
+    rows = v.opportunities.drop("urgency")
+    rows = rows.join(F.broadcast(v.sources.select(F.col("id").alias("source_id"), F.col("state").alias("source_state"))), "source_id", "left")  # a row for each source
+    return scoring.score(rows, PROFILE, v.as_of).select(*columns) if columns else scoring.score(rows, PROFILE, v.as_of)
+
+
+def _hit(phrases, text: str) -> str:
+    return "(" + " OR ".join(sql_condition(p, text) for p in phrases) + ")"
+
+
+def _first(phrases, text: str) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_condition(p, text)} THEN '{p}'" for p in phrases) + " END"
+
+
+def score_sql(select: str) -> str:
+    p = PROFILE
+    groups = {c.key: [*c.phrases, *(t for t, g in (*p.labor, *p.technologies) if g == c.key)] for c in p.capabilities}
+    caps = " + ".join(f"CASE WHEN {_hit(groups[c.key], 't')} THEN {c.points} ELSE 0 END" for c in p.capabilities)
+    total, general = p.set_asides
+    state = " ".join(f"WHEN coalesce(source_state = '{code}', false) OR {sql_condition(n, 'a')} THEN '{n}'" for n, code in p.states)
+    aligned = " OR ".join(f"naics_code LIKE '{c}%'" for c in p.naics)
+    return f"""WITH base AS (SELECT o.*, s.state AS source_state, concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(category, '')) AS t, concat_ws(chr(10), nullif(agency, ''), nullif(title, '')) AS a,
+            concat_ws(chr(10), title, coalesce(category, ''), substr(coalesce(description, ''), 1, 400)) AS k FROM opportunities o LEFT JOIN sources s ON s.id = o.source_id),
+        f AS (SELECT *, {caps} AS capability, {_hit(p.functional, 't')} AS functional, {_first(p.schedule_terms, 't')} AS schedule, {_first(p.vehicle_terms, 't')} AS vehicle, {_first([x for x, _ in p.solicitations], 'k')} AS solicitation,
+            {_hit(total[2], 't')} AS tier_a, {_hit(general[2], 't')} AS tier_b, {sql_condition(p.federal[0].name, 'a')} AS fed_a, {sql_condition(p.federal[1].name, 'a')} AS fed_b, CASE {state} END AS state_hit,
+            {_first(p.exclusions[0][1], 't')} AS excl_a, {_first(p.exclusions[1][1], 't')} AS excl_b, coalesce({aligned}, false) AS aligned FROM base),
+        g AS (SELECT *, fed_a OR (fed_b AND capability > 0) AS federal, CASE WHEN estimated_value > 0 THEN CASE WHEN estimated_value < 25000 THEN -2 WHEN estimated_value < 100000 THEN 0 WHEN estimated_value < 300000 THEN 2 ELSE 3 END ELSE 0 END AS band,
+            CASE WHEN capability >= 7 THEN NULL WHEN excl_a IS NOT NULL THEN excl_a || ' (Furniture)' WHEN excl_b IS NOT NULL THEN excl_b || ' (Household)' END AS excluded, datediff('day', DATE '{AS_OF[:10]}', CAST(due_date AS DATE)) AS days FROM f),
+        z AS (SELECT *, CAST(capability + CASE WHEN functional THEN 4 ELSE 0 END + CASE WHEN schedule IS NOT NULL THEN 6 WHEN vehicle IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN solicitation IS NOT NULL THEN 2 ELSE 0 END
+            + CASE WHEN tier_a THEN 8 WHEN tier_b THEN 2 ELSE 0 END + CASE WHEN federal THEN 6 WHEN state_hit IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN aligned THEN 6 ELSE 0 END + band AS INTEGER) AS score,
+            CASE WHEN due_date IS NULL THEN 'NO_DATE' WHEN days < 10 THEN 'INSUFFICIENT_TIME' WHEN days <= 20 THEN 'URGENT' WHEN days <= 45 THEN 'STANDARD' ELSE 'EARLY_CAPTURE' END AS band_now FROM g),
+        y AS (SELECT *, CASE WHEN excluded IS NOT NULL THEN 'IGNORE' WHEN score >= 80 THEN 'PURSUE' WHEN score >= 60 THEN 'CAPTURE_REVIEW' WHEN score >= 40 THEN 'MANUAL_REVIEW' ELSE 'IGNORE' END AS bucket_now FROM z) {select}"""
+
+
+@query("score_total_bucket", score_sql("SELECT id, score AS pursuit_score, bucket_now AS bucket, band_now AS urgency FROM y"), O, S)
+def _(v):
+    return scored(v, "id", "pursuit_score", "bucket", "urgency")
+
+
+@query("score_vehicle_solicitation", score_sql("SELECT id, CASE WHEN schedule IS NOT NULL THEN 'GSA MAS' ELSE vehicle END AS contract_vehicle, solicitation AS solicitation_type FROM y"), O, S)
+def _(v):
+    return scored(v, "id", "contract_vehicle", "solicitation_type")
+
+
+@query("score_setasides", score_sql("SELECT id, CASE WHEN tier_a THEN 'Small Business Set-Aside' WHEN tier_b THEN 'Small Business (general)' ELSE '' END AS tiers FROM y"), O, S)
+def _(v):
+    return scored(v).select("id", F.array_join("set_asides", "|").alias("tiers"))
+
+
+@query("score_agency", score_sql("SELECT id, federal OR state_hit IS NOT NULL AS agency_priority FROM y"), O, S)
+def _(v):
+    return scored(v, "id", "agency_priority")
+
+
+@query("score_exclusion", score_sql("SELECT id, excluded AS excluded_reason FROM y"), O, S)
+def _(v):
+    return scored(v, "id", "excluded_reason")
+
+
+@query("score_capabilities", score_sql("SELECT id, CAST(capability AS INTEGER) AS capability FROM y"), O, S)
+def _(v):
+    labels = [c.label for c in PROFILE.capabilities]
+    return scored(v).select("id", F.aggregate(F.filter("breakdown", lambda e: e["criterion"].isin(labels)), F.lit(0), lambda n, e: n + e["points"]).alias("capability"))
+
+
+@query("score_naics_value", score_sql("SELECT id, CAST(CASE WHEN aligned THEN 6 ELSE 0 END + band AS INTEGER) AS points FROM y"), O, S)
+def _(v):
+    return scored(v).select("id", F.aggregate(F.filter("breakdown", lambda e: (e["criterion"] == "NAICS alignment") | F.startswith(e["criterion"], F.lit("Estimated"))), F.lit(0), lambda n, e: n + e["points"]).alias("points"))
+
+
+@query("score_breakdown")
+def _(v):
+    return scored(v).select("id", F.posexplode("breakdown").alias("position", "e")).select("id", "position", "e.criterion", "e.points", F.array_join("e.matched", "|").alias("matched"), "e.note")
+
+
+@query("bucket_by_source", score_sql(bucket_counts_sql("bucket_now").replace("FROM opportunities o", "FROM y o")), O, S)
+def _(v):
+    return metrics.bucket_by_source(scored(v, "id", "source_id", "bucket"), v.sources, "bucket")
+
+
+@query("promotion_disagreement", score_sql("""SELECT id, p AS promoted, coalesce(bucket_now = 'PURSUE' AND bid_recommendation = 'NO_BID', false) AS disagreement, CASE WHEN p THEN CASE WHEN relevance_score >= 90 THEN 'PURSUE' ELSE 'CAPTURE_REVIEW' END ELSE bucket_now END AS bucket
+    FROM (SELECT *, coalesce(bid_recommendation = 'BID' AND excluded IS NULL AND bucket_now IN ('MANUAL_REVIEW', 'IGNORE'), false) AS p FROM y)"""), O, S)
+def _(v):
+    return scoring.promote(scored(v, "id", "bucket", "excluded_reason", "bid_recommendation", "relevance_score")).select("id", "promoted", "disagreement", "bucket")
+
+
+@query("legacy_relevance", """SELECT id, CASE WHEN relevance_score IS NULL THEN 'Unscored' WHEN relevance_score >= 70 THEN 'Strong fit' WHEN relevance_score >= 40 THEN 'Possible' ELSE 'Low fit' END AS label,
+    CASE WHEN relevance_score IS NULL THEN 'REVIEW' WHEN relevance_score >= 70 THEN 'BID' WHEN relevance_score >= 40 THEN 'REVIEW' ELSE 'NO_BID' END AS recommendation,
+    CAST(CASE WHEN id % 3 = 0 THEN greatest(85, CASE WHEN id % 6 > 0 THEN greatest(35, least(100, 22 * (id % 6))) ELSE 8 END) ELSE CASE WHEN id % 6 > 0 THEN greatest(35, least(100, 22 * (id % 6))) ELSE 8 END END AS BIGINT) AS keyword FROM opportunities""", O)
+def _(v):
+    return v.opportunities.select("id", scoring.relevance_label(F.col("relevance_score")).alias("label"), scoring.fallback_recommendation(F.col("relevance_score")).alias("recommendation"), scoring.keyword_relevance(F.col("id") % 6, F.col("id") % 3 == 0).cast("bigint").alias("keyword"))
+
+
+# --- change capture ----------------------------------------------------------------------------
+
+
+def stored_and_seen(v: Views) -> tuple[DataFrame, DataFrame]:
+    o = v.opportunities
+    value = lambda n: F.sha2(F.concat_ws("|", "title", (F.coalesce(F.floor("estimated_value"), F.lit(0)) + n).cast("bigint").cast("string")), 256)
+    stored = o.where("id % 11 <> 0").select("source_id", "external_id", "id", "title", "status", "due_date", value(F.lit(0)).alias("content_hash"), F.col("first_seen_at"), F.col("first_seen_at").alias("last_seen_at"), F.lit(None).cast("timestamp").alias("closed_at"))
+    seen = o.where("id % 10 <> 0").select("source_id", "external_id", "id", "title", "due_date", value(F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("content_hash"), F.col("pursuit_bucket").alias("bucket"), "urgency")
+    return stored, seen
+
+
+CHANGES = f"""WITH c AS (SELECT *, CASE WHEN id % 11 = 0 THEN 'NEW' WHEN id % 10 = 0 THEN CASE WHEN status IN ('CLOSED','REMOVED','AWARDED','CANCELLED') THEN 'TERMINAL' WHEN due_date < {T} THEN 'CLOSED' ELSE 'REMOVED' END
+    WHEN id % 7 = 0 THEN 'AMENDED' ELSE 'UNCHANGED' END AS change, CASE WHEN id % 11 <> 0 THEN status END AS old_status FROM opportunities WHERE id % 11 <> 0 OR id % 10 <> 0),
+    d AS (SELECT *, CASE WHEN change = 'NEW' THEN 'NEW' WHEN change = 'AMENDED' AND status NOT IN ('CLOSED','REMOVED','AWARDED','CANCELLED') THEN 'AMENDED' WHEN change = 'UNCHANGED' AND status = 'NEW' THEN 'OPEN' WHEN change IN ('CLOSED','REMOVED') THEN change ELSE status END AS new_status FROM c) """
+
+
+def classified(v: Views) -> DataFrame:
+    return cdc.classify(*stored_and_seen(v), v.as_of)
+
+
+@query("cdc_classify", CHANGES + "SELECT source_id, external_id, change, old_status, new_status FROM d", O)
+def _(v):
+    return classified(v).select(*cdc.KEY, "change", "old_status", "new_status")
+
+
+@query("cdc_counts", CHANGES + "SELECT count_if(change IN ('NEW','AMENDED','UNCHANGED')) AS items_found, count_if(change = 'NEW') AS new_count, count_if(change = 'AMENDED') AS changed_count, count_if(change IN ('CLOSED','REMOVED')) AS closed_count FROM d", O)
+def _(v):
+    return cdc.counters(classified(v))
+
+
+@query("version_numbers", CHANGES + "SELECT d.source_id, d.external_id, CAST(CASE WHEN change = 'NEW' THEN 1 ELSE 1 + id % 3 + 1 END AS INTEGER) AS version_no FROM d WHERE change IN ('NEW','AMENDED')", O)
+def _(v):
+    history = v.opportunities.where("id % 11 <> 0").select(*cdc.KEY, F.explode(F.sequence(F.lit(1), (F.col("id") % 3 + 1).cast("int"))).alias("version_no"))
+    return cdc.versions(classified(v), history, v.as_of).select(*cdc.KEY, "version_no")
+
+
+@query("status_log", CHANGES + "SELECT source_id, external_id, old_status AS old_value, new_status AS new_value FROM d WHERE change IN ('NEW','AMENDED','CLOSED','REMOVED') AND old_status IS DISTINCT FROM new_status", O)
+def _(v):
+    return cdc.status_log(classified(v), v.as_of).select(*cdc.KEY, "old_value", "new_value")
+
+
+@query("crawl_notifications", CHANGES + """SELECT source_id, external_id, CASE WHEN change = 'AMENDED' THEN 'AMENDMENT' ELSE 'NEW_OPPORTUNITY' END AS type, CASE WHEN p THEN 'Pursue: ' || title WHEN r THEN 'Review: ' || title ELSE 'Amended: ' || title END AS title, CASE WHEN p THEN 'warning' ELSE 'info' END AS severity
+    FROM (SELECT *, coalesce(change = 'NEW' AND pursuit_bucket = 'PURSUE' AND urgency <> 'INSUFFICIENT_TIME', false) AS p, coalesce(change = 'NEW' AND pursuit_bucket = 'CAPTURE_REVIEW', false) AS r FROM d) WHERE p OR r OR change = 'AMENDED'""", O)
+def _(v):
+    return cdc.notifications(classified(v))
+
+
+@query("next_state", CHANGES + f"SELECT source_id, external_id, new_status AS status, CASE WHEN change = 'NEW' THEN {T} ELSE first_seen_at END AS first_seen_at, CASE WHEN id % 10 <> 0 THEN {T} ELSE first_seen_at END AS last_seen_at, CASE WHEN change IN ('CLOSED','REMOVED') THEN {T} END AS closed_at FROM d", O)
+def _(v):
+    return cdc.next_state(classified(v), v.as_of).select(*cdc.KEY, "status", "first_seen_at", "last_seen_at", "closed_at")
+
+
+@query("content_hash", """SELECT id, sha256('[' || to_json(lower(trim(title))) || ',' || to_json(lower(trim(agency))) || ',"","",' || to_json(lower(trim(coalesce(description, '')))) || ',' || coalesce(CAST(CAST(floor(estimated_value) AS BIGINT) AS VARCHAR), '""') || ',' || to_json(lower(status)) || ',"a|b"]') AS hash FROM opportunities""", O)
+def _(v):
+    none = F.lit(None).cast("string")
+    return v.opportunities.select("id", cdc.content_hash(F.col("title"), F.col("agency"), none, none, F.col("description"), F.floor("estimated_value").cast("double"), F.col("status"), F.array(F.lit("b"), F.lit("a"))).alias("hash"))
+
+
+@query("fallback_id", "SELECT id, substr(sha256(lower(title || '|' || agency || '|' || '')), 1, 24) AS fallback FROM opportunities", O)
+def _(v):
+    return v.opportunities.select("id", cdc.fallback_id(F.col("title"), F.col("agency"), F.lit(None).cast("string")).alias("fallback"))
+
+
+SENT_SQL = "SELECT 1 FROM (SELECT id, d FROM opportunities) "
+
+
+@query("deadline_reminders", f"""SELECT id, d AS days_out, 'DEADLINE' AS type, CASE WHEN d <= 1 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT *, CAST(ceil(epoch_us(due_date - {T}) / 86400000000.0) AS INTEGER) AS d FROM (SELECT id, status, due_date FROM opportunities) WHERE status IN {OPEN_SQL})
+    WHERE d IN (7, 3, 1) AND NOT (d = 3 AND id % 2 = 0)""".replace(f"epoch_us(due_date - {T})", f"(epoch_us(due_date) - epoch_us({T}))"), O)
+def _(v):
+    sent = v.opportunities.where("id % 2 = 0").select("id", F.lit("DEADLINE").alias("type"), F.lit(3).alias("days_out"))
+    return reminders.deadline_reminders(v.opportunities, sent, v.as_of)
+
+
+@query("urgency_refresh", score_sql("SELECT id, urgency AS old, band_now AS new FROM y WHERE pursuit_bucket IS NOT NULL AND status NOT IN ('CLOSED','REMOVED','AWARDED','CANCELLED') AND urgency IS DISTINCT FROM band_now"), O, S)
+def _(v):
+    return reminders.urgency_refresh(v.opportunities, v.as_of, PROFILE)
+
+
+# --- order-dependent operators, text ------------------------------------------------------------
+
+
+@query("dedupe_first_wins", "SELECT part, opportunity_id FROM (SELECT part, opportunity_id, row_number() OVER (PARTITION BY part ORDER BY opportunity_id, line, kind) AS n FROM (SELECT DISTINCT part, opportunity_id, line, kind FROM children)) WHERE n = 1", "children")
+def _(v):
+    rows = v.children.distinct().withColumn("position", F.struct("opportunity_id", "line", "kind"))
+    return cdc.first_of_each(rows, ["part"], "position").select("part", "opportunity_id")
+
+
+@query("dedupe_merge", """SELECT opportunity_id, arg_min(part, p) FILTER (kind = 'response') AS response_part, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT *, line * 1000000 + part AS p FROM (SELECT DISTINCT opportunity_id, line, part, kind FROM children)) GROUP BY 1""", "children")
+def _(v):
+    rows = v.children.distinct().select("opportunity_id", (F.col("line") * 1000000 + F.col("part")).alias("p"), F.when(F.col("kind") == "response", F.col("part")).alias("response_part"), F.array("kind").alias("kinds"))
+    merged = ordering.merge_duplicates(rows, "opportunity_id", "p", ["response_part"], ["kinds"])
+    return merged.select("opportunity_id", "response_part", F.array_join(F.array_sort("kinds"), ",").alias("kinds"))
+
+
+@query("continuation_rows", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS header FROM conversations")
+def _(v):
+    rows = v.table("conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("header"))
+    return ordering.attach_continuations(rows, ["conv_id"], "turn", "header")
+
+
+@query("pivot_rows", "SELECT conv_id, CAST(turn AS INTEGER) AS \"row\", any_value(role) AS ROLE_, CAST(any_value(length(text)) AS VARCHAR) AS SIZE_ FROM conversations GROUP BY conv_id, turn")
+def _(v):
+    rows = v.table("conversations").select("conv_id", F.explode(F.array(F.struct(F.concat(F.lit("ROLE_$"), "turn").alias("f"), F.col("role").alias("x")), F.struct(F.concat(F.lit("SIZE_$"), "turn").alias("f"), F.length("text").cast("string").alias("x")))).alias("c")).select("conv_id", "c.f", "c.x")
+    return ordering.pivot_rows(rows, ["conv_id"], "f", "x", ["ROLE_", "SIZE_"])
+
+
+@query("chunk_text", r"""SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, substr(t, CAST(i * 1050 + 1 AS BIGINT), 1200) AS content FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= 1200 THEN [0] ELSE range(0, CAST(ceil(length(t) / 1050.0) AS BIGINT)) END) AS i
+    FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents))""")
+def _(v):
+    return v.table("documents").select("doc_id", F.posexplode(ordering.chunks(F.col("text"))).alias("chunk_no", "content"))
+
+
+@query("doc_text_concat", """SELECT CAST(doc_id % 97 AS BIGINT) AS opportunity_id, sha256(substr(string_agg(substr('--- DOCUMENT: ' || CAST(doc_id AS VARCHAR) || ' ---' || chr(10) || text, 1, 28000), chr(10) || chr(10) ORDER BY doc_id), 1, 28000)) AS joined FROM documents WHERE length(trim(text)) > 0 GROUP BY 1""")
+def _(v):
+    rows = v.table("documents").select((F.col("doc_id") % 97).alias("opportunity_id"), "doc_id", "text")
+    header = F.concat(F.lit("--- DOCUMENT: "), F.col("doc_id").cast("string"), F.lit(" ---\n"))
+    return ordering.joined_texts(rows, "opportunity_id", "text", ["doc_id"], 28_000, "\n\n", header).select("opportunity_id", F.sha2("joined", 256).alias("joined"))
+
+
+FNV_SQL = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query("local_embed", f"""WITH w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), 1, 4000) AS t FROM documents)),
+    p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) || '_' || w AS b FROM w), h AS (SELECT w, {FNV_SQL.format('w')} AS h FROM (SELECT w FROM p UNION SELECT b FROM p WHERE b IS NOT NULL)),
+    x AS (SELECT doc_id, h % 1536 AS b, 1.0::DOUBLE AS x FROM p JOIN h USING (w) UNION ALL SELECT doc_id, (h >> 7) % 1536, 0.5::DOUBLE FROM p JOIN h USING (w) UNION ALL SELECT doc_id, h % 1536, 0.75::DOUBLE FROM p JOIN h ON h.w = p.b)
+    SELECT doc_id, CAST(b AS INTEGER) AS bucket, sum(x) AS weight FROM x GROUP BY 1, 2""")
+def _(v):
+    return retrieval.embed(v.table("documents"), "doc_id", "text")
+
+
+@query("topk_similar", """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS similarity FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0) q)
+    SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS rank FROM s) WHERE rank <= 6""")
+def _(v):
+    e = v.table("embeddings")
+    return retrieval.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), key="vec_id", vector="embedding", query_key="query_id", query_vector="q")
+
+
+@query("verdict_parse", """SELECT id, CAST(0 AS INTEGER) AS i, CAST(least(100, greatest(0, floor(id % 150 - 20 + 0.5))) AS INTEGER) AS score, CASE id % 3 WHEN 0 THEN 'BID' WHEN 1 THEN 'NO_BID' ELSE 'REVIEW' END AS recommendation, CASE WHEN id % 5 = 0 THEN 'No reason given' ELSE 'reason ' || CAST(id AS VARCHAR) END AS reason FROM opportunities""", O)
+def _(v):
+    rec = F.when(F.col("id") % 3 == 0, "bid").when(F.col("id") % 3 == 1, "NoBid").otherwise("maybe")
+    reason = F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.lit("reason "), F.col("id").cast("string")))
+    reply = F.format_string('Sure: [{"i":0,"score":%d,"rec":"%s","reason":"%s"},{"i":7,"score":1,"rec":"BID","reason":"out of range"}] done', F.col("id") % 150 - 20, rec, reason)
+    return retrieval.parse_verdicts(v.opportunities.select("id", reply.alias("reply"), F.lit(1).alias("size")), "reply", "size").select("id", "i", "score", "recommendation", "reason")
+
+
+# --- scalars -----------------------------------------------------------------------------------
+
+
+@query("us_date_parse", "SELECT id, CAST(posted_date AS TIMESTAMP) + INTERVAL 14 HOUR + INTERVAL 5 MINUTE + INTERVAL 5 HOUR AS parsed FROM opportunities", O)
+def _(v):
+    return v.opportunities.select("id", fn.us_date(F.concat(F.date_format("posted_date", "M/d/yyyy"), F.lit(" 2:05 PM"))).alias("parsed"))
+
+
+@query("ms_date", "SELECT id, posted_date::TIMESTAMP AS parsed FROM opportunities", O)
+def _(v):
+    return v.opportunities.select("id", fn.ms_date(F.concat(F.lit("/Date("), (F.unix_date("posted_date") * F.lit(86_400_000).cast("bigint")).cast("string"), F.lit(")/"))).alias("parsed"))
+
+
+@query("month_name_date", "SELECT id, posted_date::TIMESTAMP + INTERVAL 9 HOUR + INTERVAL 6 HOUR AS parsed FROM opportunities", O)
+def _(v):
+    return v.opportunities.select("id", fn.month_name_date(F.concat(F.date_format("posted_date", "MMMM d, yyyy"), F.lit(" 9:00 a.m.")), fn.MOUNTAIN_DAYLIGHT).alias("parsed"))
+
+
+@query("clean_text", r"SELECT doc_id, sha256(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 4000)) AS cleaned FROM documents")
+def _(v):
+    return v.table("documents").select("doc_id", F.sha2(fn.trim_description(F.col("text")), 256).alias("cleaned"))
+
+
+@query("html_to_text", r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'))) AS text FROM pages""")
+def _(v):
+    return v.table("pages").select("page_id", F.sha2(fn.html_to_text(F.col("html")), 256).alias("text"))
+
+
+@query("deadline_labels", f"""SELECT id, CASE WHEN due_date IS NULL THEN 'No deadline' WHEN d < 0 THEN 'Closed' WHEN d = 0 THEN 'Due today' WHEN d = 1 THEN 'Due tomorrow' ELSE 'Due in ' || CAST(d AS VARCHAR) || ' days' END AS label FROM (SELECT *, CAST(ceil((epoch_us(due_date) - epoch_us({T})) / 86400000000.0) AS INTEGER) AS d FROM opportunities)""", O)
+def _(v):
+    return v.opportunities.select("id", fn.deadline_label(F.col("due_date"), v.as_of).alias("label"))
+
+
+@query("discover_links", r"""SELECT page_id, CAST(count(*) AS BIGINT) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"#][^"]*)"', 1)) AS href FROM pages) WHERE NOT regexp_matches(href, '(?i)^(mailto|javascript):') GROUP BY 1""")
+def _(v):
+    from .sources.discovery import anchors
+
+    return anchors(v.table("pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+@query("fnv_hash", f"SELECT id, {FNV_SQL.format('external_id')} AS h FROM opportunities", O)
+def _(v):
+    return v.opportunities.select("id", fn.fnv1a(F.col("external_id")).alias("h"))
+
+
+@query("doc_eligibility", """SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY (part > 0) DESC NULLS LAST, relevance_score DESC NULLS LAST, id) AS rank FROM (SELECT o.id, relevance_score, c.part FROM opportunities o LEFT JOIN (SELECT opportunity_id, max(part) + 1 AS part FROM children WHERE kind = 'attachment' GROUP BY 1) c ON c.opportunity_id = o.id
+    WHERE bid_recommendation = 'BID' AND NOT EXISTS (SELECT 1 FROM children d WHERE d.opportunity_id = o.id AND d.kind = 'version') AND (c.part IS NOT NULL OR o.source_id IN (3, 5)))) WHERE rank <= 800""", O, "children")
+def _(v):
+    c = v.children
+    has = c.where("kind = 'attachment'").select(F.col("opportunity_id").alias("id")).distinct().withColumn("has", F.lit(True))
+    done = c.where("kind = 'version'").select(F.col("opportunity_id").alias("id"))
+    rows = v.opportunities.where("bid_recommendation = 'BID'").join(done, "id", "left_anti").join(has, "id", "left").where(F.col("has") | F.col("source_id").isin(3, 5))
+    top = rows.select("id", "relevance_score", F.coalesce("has", F.lit(False)).alias("has")).orderBy(F.desc("has"), F.desc_nulls_last("relevance_score"), "id").limit(800)
+    return top.select("id", F.expr("cast(row_number() over (order by has desc, relevance_score desc nulls last, id) as bigint)").alias("rank"))
