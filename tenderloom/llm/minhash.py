@@ -90,11 +90,13 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values) if values else np.zeros(0, dtype=U64), np.concatenate(bounds)
 
 
-FEATURES = "n bigint, s1 bigint, s2 bigint, bands array<bigint>, signature binary"
+FEATURES = "n bigint, s1 bigint, s2 bigint, signature binary"
+#: Up to so many ids are sent to all tasks, to move only the texts that are needed; beyond, the join itself selects them.
+MOST_IDS = 1_000_000
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """docs: (d, t).  Set size, a digest of the set, band keys and signature; the last two are null for an empty set."""
+    """docs: (d, t).  Set size, a digest of the set, and the signature, which is null for an empty set."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
@@ -106,15 +108,33 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 total = np.concatenate([np.zeros((1, 2), dtype=U64), np.cumsum(np.stack([tk.mix(values), tk.mix(values ^ U64(0x5851F42D4C957F2D))], axis=1), axis=0, dtype=U64)])
                 digest = (total[bounds[1:]] - total[bounds[:-1]]).astype(np.int64)
                 signature = signatures(values, np.append(bounds[:-1][full], bounds[-1]))
-                keys = band_keys(signature)
-                bands, packed = [None] * len(size), [None] * len(size)
+                packed = [None] * len(size)
                 for i, n in enumerate(full):
-                    bands[n], packed[n] = keys[i], signature[i].tobytes()
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["d", "n", "s1", "s2", "bands", "signature"])
+                    packed[n] = signature[i].tobytes()
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(packed, pa.binary())], names=["d", "n", "s1", "s2", "signature"])
 
     return docs.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, {FEATURES}")
 
 
+def banded(signed: DataFrame) -> DataFrame:
+    """(d, band, k): each document in the bucket of each of its bands."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column(1)))
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["d", "band", "k"])
+
+    return signed.select("d", "signature").mapInArrow(run, f"d {signed.schema['d'].dataType.simpleString()}, band int, k bigint")
+
+
+def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose d is in ``ids`` (d): selected before any shuffle where the ids are few enough to be sent."""
+    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    return docs.join(F.broadcast(ids), "d", "left_semi") if few else docs
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
@@ -144,6 +164,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, part: int =
     heads = parts.select(F.col("l").alias("d"), "l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("head"))
     tails = pairs.join(parts, "l").select("d", "l", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), F.lit(False).alias("head"))
     asked = heads.unionByName(tails)
+    docs = wanted(docs, written(asked.select("d").distinct(), "ids"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -152,42 +173,63 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, part: int =
         sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         first, linked = sets[head], []
         for i, s in enumerate(sets):
-            if i != head:
-                at = np.searchsorted(first, s)
-                shared = np.count_nonzero(first[np.minimum(at, len(first) - 1)] == s) if len(first) else 0
-                if shared and 100 * shared >= percent * (len(first) + len(s) - shared):
-                    linked.append(i)
+            if i != head and similar(first, s, percent):
+                linked.append(i)
         return group.select(["d", "l"]).take(pa.array(linked, pa.int64()))
 
     return asked.join(docs, "d").select("d", "l", "part", "head", "t").groupBy("l", "part").applyInArrow(run, f"d {kind}, l {kind}")
 
 
-def remaining_pairs(banded: DataFrame, parts: DataFrame, signed: DataFrame, least: np.ndarray, bands: int, block: int = 256) -> DataFrame:
-    """(d, l): pairs in buckets whose members are of several components, that the signatures don't rule out."""
-    kind = banded.schema["d"].dataType.simpleString()
-    members = banded.where(F.col("band") < bands).join(parts, banded["d"] == parts["node"], "left").select("k", "d", F.coalesce("component", "d").alias("c"))
+def remaining_links(shared: DataFrame, parts: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int, least: np.ndarray, bands: int, block: int = 256) -> DataFrame:
+    """(d, l): links that join components among buckets whose members are of several.  shared: (d, band, k) of buckets of three and more."""
+    kind = shared.schema["d"].dataType.simpleString()
+    members = shared.where(F.col("band") < bands).join(parts, shared["d"] == parts["node"], "left").select("band", "k", "d", F.coalesce("component", "d").alias("c"))
     counts = members.groupBy("k", "c").agg(F.count("*").alias("n"))
-    buckets = counts.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    # two members have been compared already
-    buckets = buckets.where("kinds > 1 and all > 2").select("k", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("sb"), F.ceil(F.col("all") / block).cast("int").alias("mb"))
-    open_ = written(members.join(buckets, "k").select("k", "d", "c", "main", "sb", "mb"), "members")
+    buckets = counts.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    buckets = buckets.select("k", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("sb"), F.ceil(F.col("all") / block).cast("int").alias("mb"))
+    open_ = written(members.join(buckets, "k").select("band", "k", "d", "c", "main", "sb", "mb"), "members")
     block_of = lambda n: F.pmod(F.xxhash64("d"), n).cast("int")
-    seekers = open_.where("c <> main").select("k", "d", "c", F.lit(True).alias("seeks"), block_of(F.col("sb")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
-    others = open_.select("k", "d", "c", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), block_of(F.col("mb")).alias("m"))
+    seekers = open_.where("c <> main").select("band", "k", "d", "c", F.lit(True).alias("seeks"), block_of(F.col("sb")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
+    others = open_.select("band", "k", "d", "c", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), block_of(F.col("mb")).alias("m"))
+    texts = wanted(docs, written(open_.select("d").distinct(), "ids")).join(signed.select("d", "signature"), "d")
 
     def compare(group: pa.Table) -> pa.Table:
-        signature = _matrix(group.column("signature").combine_chunks())
+        group = group.combine_chunks()
+        band = group.column("band")[0].as_py()
+        signature = _matrix(group.column("signature"))
         seeks = group.column("seeks").to_numpy(zero_copy_only=False)
-        c, d = group.column("c").combine_chunks().dictionary_encode().indices.to_numpy(), group.column("d").to_pylist()
-        left, right = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-        found = []
-        for i in left:
-            with_ = right[c[right] != c[i]]
-            keep = survivors(np.broadcast_to(signature[i], (len(with_), HASHES)), signature[with_], least)
-            found += [(d[i], d[j]) if d[j] < d[i] else (d[j], d[i]) for j in with_[keep]]
+        c, d = group.column("c").combine_chunks().dictionary_encode().indices.to_numpy().copy(), group.column("d").to_pylist()
+        right, sets, found = np.flatnonzero(~seeks), None, []
+        for i in np.flatnonzero(seeks):
+            others = right[c[right] != c[i]]
+            others = others[survivors(np.broadcast_to(signature[i], (len(others), HASHES)), signature[others], least)]
+            if not len(others):
+                continue
+            # a pair belongs to the first band that it shares
+            equal = signature[others] == signature[i]
+            shares = equal[:, : (band + 1) * ROWS].reshape(len(others), band + 1, ROWS).all(axis=2)
+            mine = shares.argmax(axis=1) == band
+            others, equal = others[mine], equal[mine]
+            for j in others[np.argsort(-equal.sum(axis=1), kind="stable")]:
+                if c[j] == c[i]:
+                    continue
+                if sets is None:
+                    values, bounds = shingle_sets(group.column("t").combine_chunks(), k)
+                    sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                if similar(sets[i], sets[j], percent):
+                    found.append((d[i], d[j]))
+                    c[c == c[j]] = c[i]
         return pa.table([pa.array([x for x, _ in found], group.schema.field("d").type), pa.array([y for _, y in found], group.schema.field("d").type)], names=["d", "l"])
 
-    return seekers.unionByName(others).join(signed.select("d", "signature"), "d").groupBy("k", "s", "m").applyInArrow(compare, f"d {kind}, l {kind}").distinct()
+    return seekers.unionByName(others).join(texts, "d").groupBy("k", "s", "m").applyInArrow(compare, f"d {kind}, l {kind}").distinct()
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` per cent of their union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or not len(a):
+        return False
+    shared = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -202,17 +244,18 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     least = least_matches(percent / 100, miss)
     made = written(features(slim, shingle), "features")
     full = made.where("n > 0 and d is not null")
-    classes = full.groupBy("s1", "s2", "n").agg(F.min("d").alias("r"))
-    member = written(full.join(classes, ["s1", "s2", "n"]).select("d", "r"), "classes")
-    signed = written(full.join(classes.select(F.col("r").alias("d")), "d", "left_semi").select("d", "bands", "signature"), "signed")
-    banded = signed.select("d", F.posexplode("bands").alias("band", "k"))
-    leaders = banded.groupBy("k").agg(F.min("d").alias("l"), F.count("*").alias("n")).where("n > 1").select("k", "l")
-    first = banded.join(leaders, "k").where("d <> l").select("d", "l").distinct()
+    # one document for each set, with its signature
+    classes = written(full.groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "signature")).alias("r")).select("s1", "s2", "n", F.col("r.d").alias("d"), F.col("r.signature").alias("signature")), "classes")
+    member = written(full.select("d", "s1", "s2", "n").join(classes.select("s1", "s2", "n", F.col("d").alias("r")), ["s1", "s2", "n"]).select("d", "r"), "member")
+    signed = classes.select("d", "signature")
+    placed = banded(signed)
+    leaders = placed.groupBy("k").agg(F.min("d").alias("l"), F.count("*").alias("n")).where("n > 1")
+    shared = written(placed.join(leaders, "k"), "shared")
     texts = slim.where("d is not null")
-    links = written(verify(written(prune(first, signed, least), "candidates"), texts, shingle, percent), "verified")
-    rest = written(remaining_pairs(banded, components(links, "d", "l"), signed, least, BANDS * 2 // 3), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verify(rest, texts, shingle, percent))
+    candidates = written(prune(shared.where("d <> l").select("d", "l").distinct(), signed, least), "candidates")
+    links = written(verify(candidates, texts, shingle, percent), "verified")
+    rest = remaining_links(shared.where("n > 2").select("d", "band", "k"), components(links, "d", "l"), signed, texts, shingle, percent, least, BANDS * 2 // 3)
+    links = links.unionByName(written(rest, "rest"))
     parts = components(links, "d", "l")
     found = member.join(parts, member["r"] == parts["node"], "left").groupBy("d").agg(F.min(F.coalesce("component", "r")).alias("c"))
     out = made.select("d", "n").join(found, "d", "left").select(F.col("d").alias(id), F.col("n").alias("n_shingles"), F.coalesce("c", "d").alias("component_id"))
