@@ -57,7 +57,7 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates:
     schema = "line bigint, license string, dice double"
     if not sets:
         return docs.select(F.col(id), F.explode(F.array().cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).alias("x")).select(id, "x.*")
-    ratio = threshold / (2 - threshold)
+    ratio = threshold / (2 - threshold) - 1e-9  # rounding must not cut what just fits
     least, most = min(len(g) for g in sets.values()) * ratio, max(len(g) for g in sets.values()) / ratio
     lines = docs.select(F.col(id), F.posexplode(F.split(F.col(text), "\n")).alias("n", "raw"))
     # a line of w words has at most w - 1 pairs and at least 2 w - 1 characters
