@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -37,7 +38,9 @@ def query(name: str, sql: str | None = None, *views: str):
     def register(build: Callable[[Views], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Views(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(sql, *views) if views else sql
+            # count_if gives 128-bit integers there
+            text = re.sub(r"count_if\(", "count(*) FILTER (", sql)
+            ORACLES[name] = with_views(text, *views) if views else text
         return build
 
     return register
@@ -62,7 +65,7 @@ def lists(name: str, f: Filters, where: str, order: str) -> None:
 DUE, SCORE, NEWEST, RELEVANCE = "due_date ASC NULLS LAST", "pursuit_score DESC NULLS LAST", "first_seen_at DESC NULLS FIRST", "relevance_score DESC NULLS LAST"
 lists("list_actionable", default_view(), f"pursuit_bucket IN ('PURSUE','CAPTURE_REVIEW') AND due_date >= {T} + INTERVAL 10 DAY", SCORE)
 lists("list_search", Filters(search="blue, 100%", sort="relevance"), "(title ILIKE '%blue  100 %' OR agency ILIKE '%blue  100 %' OR external_id ILIKE '%blue  100 %')".replace("100 %", "100%"), RELEVANCE)
-lists("list_search_agency", Filters(search="0000001", sort="relevance"), "(contains(lower(title), '0000001') OR contains(lower(agency), '0000001') OR contains(lower(external_id), '0000001'))", RELEVANCE)
+lists("list_search_title", Filters(search="gear", sort="relevance"), "concat_ws('|', title, agency, external_id) ILIKE '%gear%'", RELEVANCE)
 lists("list_state_setaside", Filters(state="ASIA", set_aside="WOSB", sort="due"), "s.state = 'ASIA' AND set_aside_list LIKE 'WOSB%'", DUE)
 lists("list_any_setaside_vehicle", Filters(set_aside="ANY", vehicle="ANY", relevance_min=40), "set_aside_list <> '' AND contract_vehicle IS NOT NULL AND relevance_score >= 40", NEWEST)
 lists("list_due_window", Filters(open_only=True, due_from=datetime(1998, 8, 2), due_before=datetime(1998, 8, 9), sort="due", limit=8), f"status IN {OPEN_SQL} AND due_date >= {T} AND due_date <= {T} + INTERVAL 7 DAY", DUE)
@@ -71,9 +74,10 @@ lists("list_no_time", Filters(bucket="INSUFFICIENT_TIME", stage="BACKLOG", sort=
 lists("list_assigned", Filters(assigned_to=7, source_id=3, urgency="URGENT", vehicle="GSA MAS"), "assigned_to = 7 AND source_id = 3 AND urgency = 'URGENT' AND contract_vehicle = 'GSA MAS'", NEWEST)
 
 
-@query("list_unscored", """SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY first_seen_at DESC NULLS FIRST, id) AS rank FROM opportunities WHERE pursuit_bucket IS NULL) WHERE rank <= 200""", O)
+@query("list_unscored", """SELECT id, rank FROM (SELECT id, CAST(row_number() OVER (ORDER BY first_seen_at DESC NULLS FIRST, id) AS INTEGER) AS rank FROM opportunities WHERE pursuit_bucket IS NULL) WHERE rank <= 200""", O)
 def _(v):
-    return ordering.latest_of_each(v.opportunities.where("pursuit_bucket is null").select("id", "first_seen_at").withColumn("_all", F.lit(1)).orderBy(F.desc_nulls_first("first_seen_at"), "id").limit(200), "id", F.col("id")).withColumn("rank", F.expr("row_number() over (order by first_seen_at desc nulls first, id)")).select("id", "rank")
+    top = v.opportunities.where("pursuit_bucket is null").select("id", "first_seen_at").orderBy(F.desc_nulls_first("first_seen_at"), "id").limit(200)
+    return top.select("id", F.expr("row_number() over (order by first_seen_at desc nulls first, id)").alias("rank"))
 
 
 @query("embedded_counts", """SELECT o.id, o.assigned_to, coalesce(responses, 0) AS responses, coalesce(attachments, 0) AS attachments, coalesce(versions, 0) AS versions FROM opportunities o LEFT JOIN (
@@ -358,9 +362,6 @@ def _(v):
     return v.opportunities.select("id", cdc.fallback_id(F.col("title"), F.col("agency"), F.lit(None).cast("string")).alias("fallback"))
 
 
-SENT_SQL = "SELECT 1 FROM (SELECT id, d FROM opportunities) "
-
-
 @query("deadline_reminders", f"""SELECT id, d AS days_out, 'DEADLINE' AS type, CASE WHEN d <= 1 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT *, CAST(ceil(epoch_us(due_date - {T}) / 86400000000.0) AS INTEGER) AS d FROM (SELECT id, status, due_date FROM opportunities) WHERE status IN {OPEN_SQL})
     WHERE d IN (7, 3, 1) AND NOT (d = 3 AND id % 2 = 0)""".replace(f"epoch_us(due_date - {T})", f"(epoch_us(due_date) - epoch_us({T}))"), O)
 def _(v):
