@@ -6,9 +6,9 @@ place too, in any document.
 Finding candidates without moving texts.  Of each ``length`` bytes the
 smallest hash of its ``GRAM``-byte strings is its anchor (the rightmost of
 equals), so equal strings have the anchor at the same distance, and every
-start of a string belongs to exactly one anchor.  The starts of an anchor are
-cut into cells by that distance; all strings of a cell share a core, and only
-cells whose core hash occurs again are looked at.
+start of a string belongs to exactly one anchor.  The starts of an anchor make
+a cell; all strings of a cell share a core, and only cells whose core hash
+occurs again are looked at.
 
 *  If all occurrences of a core have the same fragment (all bytes that the
    strings of the cell cover), all its strings are repeated.
@@ -16,8 +16,8 @@ cells whose core hash occurs again are looked at.
    sorted in two stages: directly sorted are only suffixes smaller than their
    successors, the others are induced by a scan over the buckets.  Neighbours
    in that order with a common prefix of ``length`` bytes start repeated strings.
-*  A core with very many distinct fragments is cut into finer cells first, until
-   a cell is one string, so no group is unbounded; where a passage that very
+*  A core with very many distinct fragments is cut into finer cells by the
+   distance to the anchor first, until a cell is one string, so no group is unbounded; where a passage that very
    many documents share begins and ends, few strings are left to each cell.
 
 Counts are added up before they are shuffled, by hash, and a text is moved
@@ -38,13 +38,22 @@ from . import textkit as tk
 from .store import written
 
 U64 = np.uint64
-#: Widths of the cells, coarse to fine: the last is one string.
-WIDTHS = (32, 8, 1)
+
+
+def window_of(length: int) -> int:
+    """How many successive grams have an anchor: the largest power of two up to two thirds of the length."""
+    return 1 << (max(2, length * 2 // 3).bit_length() - 1)
+
+
+def widths_of(length: int) -> list[int]:
+    """Widths of the cells, coarse to fine: the first is all starts of an anchor, the last one string."""
+    window = window_of(length)
+    return [window, *(w for w in (window // 8, window // 32) if w > 1), 1]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, anchor, first start, last start), in the buffer's positions, of all runs of starts with one anchor, and the anchors' hashes."""
-    window = 1 << (max(2, length * 5 // 8).bit_length() - 1)
+    window = window_of(length)
     gram = length - window + 1
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
@@ -325,7 +334,7 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     runs = written(_anchor_rows(slim, length, kind), "anchors")
     again = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found, todo = [], written(runs.join(again, "h"), "runs")
-    for width in WIDTHS:
+    for width in widths_of(length):
         done, ranges, hot = _cut(_with_texts(slim, todo), length, width, most if width > 1 else 1 << 62, kind)
         found.append(done)
         if width == 1:
