@@ -82,8 +82,8 @@ def training_rows(docs: DataFrame, *, lang: Column, text: str, key: Column, most
     return [(r["t"], r["l"]) for r in fit.where(F.col("h") <= chosen[-1]).orderBy("h", "t").limit(most).collect()]
 
 
-def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str = "text_evidence", keep_text: bool = False) -> DataFrame:
-    """Adds an array with a log-likelihood for each language (zeros for an empty text) and ``letters``, the number of words and triples."""
+def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str = "text_evidence", count: str = "letters", keep_text: bool = False) -> DataFrame:
+    """Adds an array with a log-likelihood for each language (zeros for an empty text) and ``count``, the number of words and triples."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if keep_text or c != text]
 
@@ -99,10 +99,10 @@ def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str =
                 x = np.clip(np.stack(sums, axis=1) * TEMPER, -LIMIT, LIMIT) if sums else np.zeros((j - i, 0))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 kept = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in others]
-                yield pa.RecordBatch.from_arrays([*kept, flat, pa.array(np.diff(bounds))], names=[*others, output, "letters"])
+                yield pa.RecordBatch.from_arrays([*kept, flat, pa.array(np.diff(bounds))], names=[*others, output, count])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.mapInArrow(run, f"{fields}, {output} array<double>, letters bigint")
+    return docs.mapInArrow(run, f"{fields}, `{output}` array<double>, `{count}` bigint")
 
 
 def host_priors(rows: DataFrame, languages: list[str], *, declared: str, host: str, domain: str, suffix: str, strength: float = 20.0) -> DataFrame:
@@ -148,27 +148,37 @@ def identify(
     suffixes = suffixes if suffixes is not None else {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en"}
     named = ["language", "confidence", "reliable"]
     columns = [c for c in docs.columns if c not in named and (keep_text or c != text)]
+    p = free_prefix(docs)
     work = docs.drop(*named).withColumns({
-        "_host": F.lower(F.coalesce(host, F.lit(""))), "_declared": F.substring(F.lower(declared), 1, 2), "_known": F.lower(known if known is not None else declared), "_key": key,
+        f"{p}host": F.lower(F.coalesce(host, F.lit(""))), f"{p}declared": F.substring(F.lower(declared), 1, 2), f"{p}known": F.lower(known if known is not None else declared), f"{p}key": key,
     })
-    work = work.withColumn("_domain", F.regexp_extract("_host", r"([^.]+\.[^.]+)$", 1)).withColumn("_suffix", F.regexp_extract("_host", r"\.([^.]+)$", 1))
-    model = fit_text(training_rows(work, lang=F.substring("_known", 1, 2), text=text, key=F.col("_key"), most=sample))
+    work = work.withColumn(f"{p}domain", F.regexp_extract(f"{p}host", r"([^.]+\.[^.]+)$", 1)).withColumn(f"{p}suffix", F.regexp_extract(f"{p}host", r"\.([^.]+)$", 1))
+    model = fit_text(training_rows(work, lang=F.substring(f"{p}known", 1, 2), text=text, key=F.col(f"{p}key"), most=sample))
     if not model.languages:
         return work.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reliable"))
-    priors = host_priors(work, model.languages, declared="_declared", host="_host", domain="_domain", suffix="_suffix").withColumnRenamed("_host", "_of")
-    scored = text_evidence(work.drop("_known", "_key", "_domain"), model, text=text, keep_text=keep_text)
-    joined = scored.join(priors, scored["_host"] == priors["_of"], "left")
+    priors = host_priors(work, model.languages, declared=f"{p}declared", host=f"{p}host", domain=f"{p}domain", suffix=f"{p}suffix").select(F.col(f"{p}host").alias(f"{p}of"), F.col("prior").alias(f"{p}prior"))
+    scored = text_evidence(work.drop(f"{p}known", f"{p}key", f"{p}domain"), model, text=text, output=f"{p}text", count=f"{p}letters", keep_text=keep_text)
+    joined = scored.join(priors, scored[f"{p}host"] == priors[f"{p}of"], "left")
     names = F.array(*map(F.lit, model.languages))
-    bonus = F.array(*(F.when(F.col("_declared") == lang, trust).otherwise(0.0) + F.when(F.col("_suffix").isin([s for s, x in suffixes.items() if x == lang] or [""]) & (F.col("_suffix") != ""), trust).otherwise(0.0) for lang in model.languages))
+    of = lambda lang: [s for s, x in suffixes.items() if x == lang]
+    bonus = F.array(*(F.when(F.col(f"{p}declared") == lang, trust).otherwise(0.0) + (F.when(F.col(f"{p}suffix").isin(of(lang)), trust).otherwise(0.0) if of(lang) else F.lit(0.0)) for lang in model.languages))
     flat = F.array(*([F.lit(0.0)] * len(model.languages)))
-    total = F.zip_with(F.zip_with("text_evidence", F.coalesce("prior", flat), lambda a, b: a + b), bonus, lambda a, b: a + b)
-    done = joined.withColumn("_total", total).withColumn("_top", F.array_max("_total"))
-    done = done.withColumn("confidence", 1 / F.aggregate("_total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))))
-    done = done.withColumn("language", F.get(names, (F.array_position("_total", F.col("_top")) - 1).cast("int")))
-    done = done.withColumn("reliable", (F.col("letters") > 0) & (F.col("confidence") >= sure))
+    total = F.zip_with(F.zip_with(f"{p}text", F.coalesce(f"{p}prior", flat), lambda a, b: a + b), bonus, lambda a, b: a + b)
+    done = joined.withColumn(f"{p}total", total).withColumn(f"{p}top", F.array_max(f"{p}total"))
+    done = done.withColumn("confidence", 1 / F.aggregate(f"{p}total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col(f"{p}top"))))
+    done = done.withColumn("language", F.get(names, (F.array_position(f"{p}total", F.col(f"{p}top")) - 1).cast("int")))
+    done = done.withColumn("reliable", (F.col(f"{p}letters") > 0) & (F.col("confidence") >= sure))
     return done.select(*columns, *named)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that begin no column's name, for columns of our own."""
+    p = "_"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def markup_language(html: Column) -> Column:
     """The lang attribute of the html element, or of a content-language meta element; null if there is none."""
     attribute = F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)

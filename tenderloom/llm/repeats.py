@@ -360,7 +360,10 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     docs = docs.drop(*named)
     others = [c for c in docs.columns if c != text]
     spans = repeated_spans(docs, id=id, text=text, length=length, most=most)
-    starts = spans.distinct().groupBy(F.col(id).alias("_d")).agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    starts = spans.distinct().groupBy(F.col(id).alias(f"{own}d")).agg(F.collect_list(F.struct("low", "high")).alias(f"{own}runs"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -369,7 +372,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
             for i in range(0, batch.num_rows, 256):
                 few = batch.slice(i, 256)
                 kept, removed, sizes = [], [], []
-                for t, runs in zip(few.column(few.schema.get_field_index(text)), few.column(few.schema.get_field_index("_runs")).to_pylist(), strict=True):
+                for t, runs in zip(few.column(few.schema.get_field_index(text)), few.column(few.schema.get_field_index(f"{own}runs")).to_pylist(), strict=True):
                     raw = (t.as_py() or "").encode()
                     cut: list[dict] = []
                     for r in sorted((r["low"], r["high"] + length) for r in runs or ()):
@@ -387,5 +390,5 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
                     sizes.append(len(raw))
                 yield pa.RecordBatch.from_arrays([*(few.column(few.schema.get_field_index(c)) for c in others), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, out_type), pa.array(sizes, pa.int64())], names=[*others, *named])
 
-    joined = docs.join(starts, docs[id] == starts["_d"], "left").select(*others, F.col(text).cast("string").alias(text), "_runs")
+    joined = docs.join(starts, docs[id] == starts[f"{own}d"], "left").select(*others, F.col(text).cast("string").alias(text), f"{own}runs")
     return joined.mapInArrow(run, f"{fields}{', ' if fields else ''}kept {'string' if as_text else 'binary'}, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")

@@ -330,3 +330,11 @@ def test_bpe_matches_the_library_and_decodes(spark, texts):
             assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(text) and bytes(r["decoded"]).decode() == text
     digest = {r["doc_id"]: r for r in bpe.digests(bpe.decode(bpe.encode(documents(spark, rows), path=path, pattern=pattern), path=path, pattern=pattern)).collect()}
     assert all(digest[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows)
+
+
+def test_clashing_column_names(spark):
+    clash = spark.createDataFrame([(1, "le chat et la souris " * 30, "x", 0.5, 3, "y", 1, 2), (2, "the cat and the mouse " * 30, None, None, None, None, None, None)], "doc_id long, text string, prior string, letters double, language int, _host string, _runs int, kept int")
+    found = language.identify(clash, text="text", host=F.lit("h"), declared=F.when(F.col("doc_id") == 1, "fr").otherwise("en"), key=F.col("doc_id"))
+    assert {(r["doc_id"], r["language"], r["prior"], r["_host"]) for r in found.collect()} == {(1, "fr", "x", "y"), (2, "en", None, None)}
+    cut = repeats.remove_repeats(clash).orderBy("doc_id").collect()
+    assert [(r["_runs"], r["prior"], len(r["kept"])) for r in cut] == [(1, "x", 0), (None, None, 0)]
