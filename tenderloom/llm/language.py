@@ -90,7 +90,7 @@ def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str =
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = held.value.weights
         for batch in arrow:
-            for i, j, data, offsets in tk.batches(batch, text):
+            for i, j, data, offsets in tk.batches(batch, text, 1 << 19):
                 buckets, bounds = text_buckets(data, offsets)
                 sums = []
                 for row in weights:

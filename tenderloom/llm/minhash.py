@@ -81,7 +81,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and their bounds."""
     data, offsets = tk.buffers(texts)
     values, bounds = [], [np.zeros(1, dtype=np.int64)]
-    for i, j in tk.pieces(offsets, 1 << 21):
+    for i, j in tk.pieces(offsets, 1 << 19):
         low = tk.LOWER[data[offsets[i] : offsets[j]]]
         starts, ends, counts = tk.word_bounds(low, offsets[i : j + 1] - offsets[i], tk.NOT_SPACE)
         v, b = tk.shingles(tk.word_hashes(low, starts, ends), counts, k)
@@ -100,8 +100,8 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            for start in range(0, batch.num_rows, 1000):
-                few = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                few = batch.slice(start, 250)
                 values, bounds = shingle_sets(few.column(1), k)
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
