@@ -146,7 +146,7 @@ def training_rows(x: DataFrame, labels: DataFrame, *, label: str, train: Column,
     """At most ``most`` labelled training rows, chosen by a hash of the id.  Null ids and labels are left out; of several labels of one id the largest counts."""
     known = labels.where(train & F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("d")).agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("d"), "d").limit(most)
-    rows = x.select(F.col(id).alias("d"), "x").join(F.broadcast(known), "d").orderBy("d", "x").limit(2 * most).toPandas()
+    rows = x.select(F.col(id).alias("d"), "x").join(F.broadcast(known), "d").groupBy("d").agg(F.min("x").alias("x"), F.max("y").alias("y")).toPandas().sort_values("d")
     return np.array(rows["x"].tolist()).reshape(-1, len(NAMES)), rows["y"].to_numpy(dtype="f8")
 
 

@@ -137,14 +137,17 @@ def sample(docs: DataFrame, labels: DataFrame, *, label: str, train: Column, id:
     """At most ``each`` training rows of either label, of texts up to ``longest`` bytes, chosen by a hash of the id, and the share of label 1 among all.
 
     Null ids, labels and texts are left out; of several labels of one id the
-    largest counts.
+    largest counts, of several texts the first in order.
     """
     known = labels.where(train & F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("d")).agg(F.max(label).cast("int").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
-    best = known.where("y = 0").orderBy(F.xxhash64("d"), "d").limit(2 * each).unionByName(known.where("y = 1").orderBy(F.xxhash64("d"), "d").limit(2 * each))
+    best = known.where("y = 0").orderBy(F.xxhash64("d"), "d").limit(each).unionByName(known.where("y = 1").orderBy(F.xxhash64("d"), "d").limit(each))
     short = docs.select(F.col(id).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") <= longest)
-    found = [(r["t"], r["y"], r["d"]) for r in short.join(F.broadcast(best), "d").orderBy(F.xxhash64("d", "t")).select("t", "y", "d").limit(4 * each).collect()]
-    return [(t, y) for c in (0, 1) for t, y, _ in [r for r in found if r[1] == c][:each]], float(share)
+    # one text for each chosen id: no more than 2 * each texts of ``longest`` bytes reach the driver
+    found = short.join(F.broadcast(best), "d").groupBy("d").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    rows = sorted((r["d"], r["t"], r["y"]) for r in found.collect())
+    rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
+    return [(t, y) for _, t, y in rows], float(share)
 
 
 def scores(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
