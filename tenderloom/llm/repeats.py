@@ -332,7 +332,8 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
     kind = docs.schema[id].dataType.simpleString()
     slim = docs.select(F.col(id).alias("d"), F.col(text).cast("string").alias("t")).where(F.octet_length("t") >= length)
     runs = written(_anchor_rows(slim, length, kind), "anchors")
-    again = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join below deals both sides anew and can split a hash that very many runs have
+    again = written(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     found, todo = [], written(runs.join(again, "h"), "runs")
     for width in widths_of(length):
         done, ranges, hot = _cut(_with_texts(slim, todo), length, width, most if width > 1 else 1 << 62, kind)
