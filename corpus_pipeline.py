@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom.llm import bpe, decontaminate, language, minhash, repeats
-from tenderloom.llm.store import written
+from tenderloom.llm.store import small_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those of no clear language; the source serves as host."""
+    small_batches(spark)
     found = language.identify(docs, text="text", host=F.col("source"), declared=F.lit(None).cast("string"), key=F.col("doc_id"), known=F.col("lang"), keep_text=True)
     return found.where("reliable").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    small_batches(spark)
     gone = written(minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages of 400 bytes out of the texts; documents of which nothing is left go."""
+    small_batches(spark)
     cut = repeats.remove_repeats(docs, as_text=True)
     left = cut.where("n_bytes = 0 or kept <> ''")
     return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
@@ -35,6 +38,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share ten successive words (or a whole shorter item) with the benchmark."""
+    small_batches(spark)
     hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("size(spans) > 0")
     return docs.join(written(hits.select("doc_id"), "leaks"), "doc_id", "left_anti").select(docs.columns)
 
@@ -43,6 +47,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids (little-endian unsigned 32-bit), and whether they decode to the text's bytes."""
     import public_tokenizers
 
+    small_batches(spark)
     slim = docs.select("doc_id", "lang", "source", "text", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     coded = bpe.round_trip(slim, path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", (F.col("decoded") == F.col("raw")).alias("exact"))

@@ -29,3 +29,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of a few MB for the Python stages, where the session still has Spark's 64 MB.
+
+    Whole texts make large batches, which the executor holds outside of its heap, twice for each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, f"{most}b")
