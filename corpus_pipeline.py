@@ -15,9 +15,9 @@ from tenderloom.llm.store import small_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of no clear language; the source serves as host."""
+    """Drops documents without letters and those of no clear language; the source serves as host and ``lang`` as declaration."""
     small_batches(spark)
-    found = language.identify(docs, text="text", host=F.col("source"), declared=F.lit(None).cast("string"), key=F.col("doc_id"), known=F.col("lang"), keep_text=True)
+    found = language.identify(docs, text="text", host=F.col("source"), declared=F.col("lang"), key=F.col("doc_id"), keep_text=True)
     return found.where("reliable").select(docs.columns)
 
 

@@ -138,7 +138,8 @@ def identify(
 
     ``host`` is the address's host (null or empty: no host, only the
     collection's prior), ``declared`` the declared language (null: no evidence), ``known``
-    the language of the training rows (by default the declared one).  A text
+    the language of the training rows (by default the declared one); priors
+    count the declared language, or the known one where none is declared.  A text
     without letters has no evidence of its own and is never reliable; other
     texts are if their best language has a probability of ``sure`` at least.
     Equal probabilities go to the first language by name.  With no known
@@ -152,12 +153,13 @@ def identify(
     work = docs.drop(*named).withColumns({
         f"{p}host": F.lower(F.coalesce(host, F.lit(""))), f"{p}declared": F.substring(F.lower(declared), 1, 2), f"{p}known": F.lower(known if known is not None else declared), f"{p}key": key,
     })
+    work = work.withColumn(f"{p}counted", F.coalesce(F.nullif(f"{p}declared", F.lit("")), F.substring(f"{p}known", 1, 2)))
     work = work.withColumn(f"{p}domain", F.regexp_extract(f"{p}host", r"([^.]+\.[^.]+)$", 1)).withColumn(f"{p}suffix", F.regexp_extract(f"{p}host", r"\.([^.]+)$", 1))
     model = fit_text(training_rows(work, lang=F.substring(f"{p}known", 1, 2), text=text, key=F.col(f"{p}key"), most=sample))
     if not model.languages:
         return work.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reliable"))
-    priors = host_priors(work, model.languages, declared=f"{p}declared", host=f"{p}host", domain=f"{p}domain", suffix=f"{p}suffix").select(F.col(f"{p}host").alias(f"{p}of"), F.col("prior").alias(f"{p}prior"))
-    scored = text_evidence(work.drop(f"{p}known", f"{p}key", f"{p}domain"), model, text=text, output=f"{p}text", count=f"{p}letters", keep_text=keep_text)
+    priors = host_priors(work, model.languages, declared=f"{p}counted", host=f"{p}host", domain=f"{p}domain", suffix=f"{p}suffix").select(F.col(f"{p}host").alias(f"{p}of"), F.col("prior").alias(f"{p}prior"))
+    scored = text_evidence(work.drop(f"{p}known", f"{p}key", f"{p}domain", f"{p}counted"), model, text=text, output=f"{p}text", count=f"{p}letters", keep_text=keep_text)
     joined = scored.join(priors, scored[f"{p}host"] == priors[f"{p}of"], "left")
     names = F.array(*map(F.lit, model.languages))
     of = lambda lang: [s for s, x in suffixes.items() if x == lang]

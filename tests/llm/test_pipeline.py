@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tenderloom.llm import queries
+from tenderloom.llm import language, queries
 from tests.llm.test_operators import brute_components, brute_hits
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -95,3 +95,33 @@ def test_contract_columns(spark):
         got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert got.columns == columns.split()
         assert got.agg(F.count("*")).first()[0] == 200
+
+
+def test_language_stage_keeps_what_a_brute_force_keeps(spark):
+    """Text, host and declaration added up one document at a time, in plain Python."""
+    words = {"en": "the quick brown fox and the lazy dog of this house", "fr": "avec le chat et la souris dans une maison", "de": "der Hund und die Katze sind nicht im Haus"}
+    rows = [(10 * i + n, f"{w} " * (4 + i), lang, f"src{n}") for i in range(20) for n, (lang, w) in enumerate(words.items())]
+    rows += [(900, "This.", "en", "src1"), (901, "Avec.", "fr", "src9"), (902, "A.\nAll rights", "en", "src0"), (903, "Die tz.", "de", None), (904, "12 34", "en", "src0"), (905, "", "fr", "src1"), (906, None, "fr", "src1"), (907, "zzz", None, "src9")]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.fit_text([(t, lang) for _, t, lang, _ in rows if t and lang and len(t) >= 200])
+    declared = Counter((s or "", lang) for _, _, lang, s in rows)
+    totals = Counter(lang for _, _, lang, _ in rows)
+    whole = {lang: (totals[lang] + 1) / sum(totals[x] + 1 for x in model.languages) for lang in model.languages}
+    want = set()
+    for i, t, lang, s in rows:
+        data = (t or "").encode()
+        buckets, _ = language.text_buckets(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        seen = [declared[(s or "", x)] for x in model.languages]
+        # neither domain nor suffix: all hosts share theirs
+        share = {x: (totals[x] + 20 * whole[x]) / (20 + sum(totals[y] for y in model.languages)) for x in model.languages}
+        share = {x: (totals[x] + 20 * share[x]) / (20 + sum(totals[y] for y in model.languages)) for x in model.languages}
+        score = np.array([
+            np.clip(language.TEMPER * model.weights[n][buckets].sum(), -language.LIMIT, language.LIMIT) + np.log((seen[n] + 20 * share[x]) / (20 + sum(seen))) + (3.0 if lang == x else 0.0)
+            for n, x in enumerate(model.languages)
+        ])
+        chance = np.exp(score - score.max())
+        if len(buckets) and 1 / chance.sum() >= 0.5:
+            want.add(i)
+    assert {900, 901, 902, 903} <= want and not {904, 905, 906} & want
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == want
