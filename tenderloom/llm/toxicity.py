@@ -1,13 +1,15 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries are made: both begin with the same base, trained on
-ordinary text, so that plain wording costs the same under either; the toxic
-one goes on with the wording that marks toxic documents, the ordinary one with
-as much ordinary text.  A window that gets shorter under the toxic dictionary
-than under the ordinary one is closer to toxic text.  The number of windows
-beyond each of several thresholds on that difference is calibrated to a
-probability by a ridge logistic regression on documents the dictionaries have
-not seen.
+Two pairs of zstandard dictionaries are made.  The trained pair holds one
+dictionary trained on windows of toxic documents and one trained on windows of
+ordinary documents.  The marked pair has a common base, trained on ordinary
+text, so that plain wording costs the same under either; its toxic one goes on
+with the wording that marks toxic documents, its ordinary one with as much
+ordinary text.  A window that gets shorter under a toxic dictionary than under
+the ordinary one of its pair is closer to toxic text.  For each pair the
+numbers of windows beyond each of several thresholds on that difference are
+taken, and all of them are calibrated to a probability by a ridge logistic
+regression on documents the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -31,8 +33,7 @@ THRESHOLDS = np.arange(2, 10)
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    pairs: list[tuple[bytes, bytes]]  # (toxic, ordinary): marked and trained
     window: int
     level: int
     center: np.ndarray
@@ -58,12 +59,29 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def profile(text: str | None, toxic, ordinary, size: int) -> np.ndarray:
-    """Windows beyond each threshold (log), the same as a share, and the number of windows (log)."""
+def _compressors(model: Model) -> list[tuple]:
+    return [(_compressor(a, model.level), _compressor(b, model.level)) for a, b in model.pairs]
+
+
+def profile(text: str | None, pairs: list[tuple], size: int) -> np.ndarray:
+    """For each pair the windows beyond each threshold (log) and the same as a share; the number of windows (log)."""
     cut = windows((text or "").encode().lower(), size)
-    gain = np.fromiter((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in cut), np.int64, len(cut))
-    beyond = np.array([np.count_nonzero(gain >= t) for t in THRESHOLDS], dtype="f8")
-    return np.concatenate([np.log1p(beyond), np.sqrt(beyond / max(1, len(cut))), [np.log1p(len(cut))]])
+    out = []
+    for toxic, ordinary in pairs:
+        gain = np.fromiter((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in cut), np.int64, len(cut))
+        beyond = np.array([np.count_nonzero(gain >= t) for t in THRESHOLDS], dtype="f8")
+        out += [np.log1p(beyond), np.sqrt(beyond / max(1, len(cut)))]
+    return np.concatenate([*out, [np.log1p(len(cut))]])
+
+
+def _trained(texts: list[bytes], size: int, most: int) -> tuple[bytes, list[bytes]]:
+    """A dictionary trained on at most ``most`` windows of the texts, chosen by a hash, and these windows."""
+    cut = [w for t in texts for w in windows(t, 64)]
+    cut = [w for _, w in sorted((zlib.crc32(w), w) for w in cut)][:most]
+    try:
+        return zstandard.train_dictionary(size, cut).as_bytes(), cut
+    except zstandard.ZstdError:  # too little text to train on: it is the dictionary
+        return b"".join(cut)[:size], cut
 
 
 def _sketches(data: bytes) -> set[tuple[int, int]]:
@@ -85,9 +103,12 @@ def _document_counts(texts: list[bytes]) -> tuple[Counter, int]:
     return counts, n
 
 
-def fit(rows: list[tuple[str, int]], *, share: float | None = None, window: int = 32, level: int = 3, base_bytes: int = 16384) -> Model:
+def fit(rows: list[tuple[str, int]], *, share: float | None = None, window: int = 32, level: int = 3, base_bytes: int = 16384, own_bytes: int = 65536, most: int = 60000, own_most: int = 200000) -> Model:
     """rows: (text, 0 or 1); ``share``: of label 1 among all labelled rows, if the sample has another.
 
+    The marked pair's base is trained on at most ``most`` windows of 64 bytes
+    and has ``base_bytes``; each dictionary of the trained pair is trained on at
+    most ``own_most`` windows and has ``own_bytes``.
     With one class only, or none, every score is near that class's label (or 0.5).
     """
     texts = [[(t or "").encode().lower() for t, y in rows if y == c] for c in (0, 1)]
@@ -97,16 +118,12 @@ def fit(rows: list[tuple[str, int]], *, share: float | None = None, window: int
     least = max(3, 0.008 * nt)
     marks = [w for w, n in toxic.items() if len(w) >= 4 and n >= least and n / max(1, nt) > 10 * (ordinary[w] + 0.5) / max(1, no)]
     marks.sort(key=lambda w: (toxic[w], w))
-    plain = [w for t in first[0] for w in windows(t, 64)]
-    plain = [w for _, w in sorted((zlib.crc32(w), w) for w in plain)][:60000]
-    try:
-        base = zstandard.train_dictionary(base_bytes, plain).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: it is the dictionary
-        base = b"".join(plain)[:base_bytes]
+    base, plain = _trained(first[0], base_bytes, most)
     own = b" " + b" ".join(marks) + b" "
-    model = Model(base + own, base + b"".join(plain)[: len(own)], window, level, np.zeros(1), np.ones(1), np.zeros(1))
-    pair = _compressor(model.toxic, level), _compressor(model.ordinary, level)
-    x = np.array([profile(t.decode(), *pair, window) for part in later for t in part]).reshape(-1, 2 * len(THRESHOLDS) + 1)
+    pairs = [(base + own, base + b"".join(plain)[: len(own)]), (_trained(first[1], own_bytes, own_most)[0], _trained(first[0], own_bytes, own_most)[0])]
+    model = Model(pairs, window, level, np.zeros(1), np.ones(1), np.zeros(1))
+    made = _compressors(model)
+    x = np.array([profile(t.decode(), made, window) for part in later for t in part]).reshape(-1, 2 * len(pairs) * len(THRESHOLDS) + 1)
     y = np.concatenate([np.full(len(part), c, dtype="f8") for c, part in enumerate(later)])
     mine = y.mean() if len(y) else 0.5
     model.center, model.scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -156,11 +173,11 @@ def scores(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "te
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        pair = _compressor(m.toxic, m.level), _compressor(m.ordinary, m.level)
+        made = _compressors(m)
         for batch in arrow:
             for i in range(0, batch.num_rows, 512):
                 few = batch.slice(i, 512)
-                x = np.array([profile(t, *pair, m.window) for t in few.column(1).to_pylist()])
+                x = np.array([profile(t, made, m.window) for t in few.column(1).to_pylist()])
                 z = ((x - m.center) / m.scale) @ m.weights[:-1] + m.weights[-1]
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["d", "score"])
 

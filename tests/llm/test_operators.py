@@ -307,6 +307,21 @@ def test_toxicity_separates_planted_words(spark):
     assert toxicity.scores(documents(spark, []), toxicity.fit([])).count() == 0
 
 
+def test_toxicity_by_combinations_of_ordinary_words():
+    """No single word marks these toxic documents: only a dictionary trained on toxic text has their phrases."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    phrases = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(12)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    bad = lambda: " ".join(make(30) + [rng.choice(phrases)] + make(20) + [rng.choice(phrases)] + make(20))
+    rows = [(bad(), 1) for _ in range(200)] + [(" ".join(make(82)), 0) for _ in range(400)]
+    model = toxicity.fit(rows)
+    test = [(bad() if n % 2 else " ".join(make(82)), n % 2) for n in range(200)]
+    x = np.array([toxicity.profile(t, toxicity._compressors(model), model.window) for t, _ in test])
+    right = ((x - model.center) / model.scale @ model.weights[:-1] + model.weights[-1] >= 0) == np.array([y for _, y in test], dtype=bool)
+    assert right.mean() > 0.9
+
+
 def test_windows_lose_nothing():
     random.seed(6)
     for n in (0, 1, 31, 32, 33, 500):
