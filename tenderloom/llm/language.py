@@ -7,8 +7,8 @@ domain's, that one towards the suffix's, and that one towards the whole
 collection's, each by grouped counts over all documents.
 
 Text model: counts of hashed words and of letter triples inside words, from a
-bounded sample of rows with a known language; everything else (the priors)
-covers all rows.
+sample of each known language's rows, bounded for each; everything else (the
+list of languages, the priors) covers all rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -60,26 +60,92 @@ def text_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return both[order], np.searchsorted(owners[order], np.arange(len(offsets)))
 
 
-def fit_text(rows: list[tuple[str, str]], *, add: float = 0.5) -> TextModel:
-    """rows: (text, language).  Without rows there are no languages."""
-    languages = sorted({lang for _, lang in rows})
-    counts = np.full((len(languages), BUCKETS), add)
+def fit_text(rows: list[tuple[str, str]], *, add: float = 0.5, languages: list[str] | None = None) -> TextModel:
+    """rows: (text, language).  A language without rows has a flat likelihood; without ``languages`` those of the rows are taken."""
+    languages = sorted({lang for _, lang in rows}) if languages is None else languages
+    counts = np.zeros((len(languages), BUCKETS))
     data, offsets = tk.buffers(pa.array([t for t, _ in rows], pa.string()))
     buckets, bounds = text_buckets(data, offsets)
     for n, (_, lang) in enumerate(rows):
         counts[languages.index(lang)] += np.bincount(buckets[bounds[n] : bounds[n + 1]], minlength=BUCKETS)
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return _model(languages, counts, add)
+
+
+def _model(languages: list[str], counts: np.ndarray, add: float = 0.5) -> TextModel:
+    logs = np.log((counts + add) / (counts + add).sum(axis=1, keepdims=True))
     return TextModel(languages, logs - logs.mean(axis=0, keepdims=True) if len(languages) else logs)
 
 
-def training_rows(docs: DataFrame, *, lang: Column, text: str, key: Column, most: int = 2000, longest: int = 65536) -> list[tuple[str, str]]:
-    """At most ``most`` rows with a language, of texts from 200 to ``longest`` bytes, chosen by a hash of ``key``."""
-    fit = docs.select(F.col(text).cast("string").alias("t"), lang.alias("l"), F.xxhash64(key).alias("h")).where(F.col("l").isNotNull() & (F.col("l") != "") & F.octet_length("t").between(200, longest))
-    # the chosen hashes first, so that the texts are not sorted
-    chosen = [r["h"] for r in fit.select("h").distinct().orderBy("h").limit(most).collect()]
-    if not chosen:
-        return []
-    return [(r["t"], r["l"]) for r in fit.where(F.col("h") <= chosen[-1]).orderBy("h", "t").limit(most).collect()]
+def fit_sample(docs: DataFrame, *, lang: str, text: str, key: str, each: int = 500, longest: int = 65536, also: str | None = None) -> TextModel:
+    """A model of all languages in ``lang`` (and ``also``), fitted on at most ``each`` rows of each, chosen by a hash.
+
+    Texts of 200 to ``longest`` bytes come first; a language with too few of
+    them takes others, cut to ``longest`` characters.  Texts are counted in the
+    tasks: only sums reach the driver.
+    """
+    size = F.octet_length("t")
+    rows = docs.select(F.col(text).cast("string").alias("t"), F.nullif(lang, F.lit("")).alias("l"), F.nullif(also or lang, F.lit("")).alias("a"), F.col(key).alias("k"))
+    good, other = size.between(200, longest), (size > 0) & ~size.between(200, longest)
+    per = {}
+    for r in rows.groupBy("l", "a").agg(F.count(F.when(good, 1)).alias("n"), F.count(F.when(other, 1)).alias("m")).collect():
+        for code in (r["l"], r["a"]):
+            if code is not None:
+                per.setdefault(code, [0, 0])
+        if r["l"] is not None:
+            per[r["l"]][0] += r["n"]
+            per[r["l"]][1] += r["m"]
+    languages = sorted(per)
+    # twice the rows wanted pass a bound on the hash (all of a small language); the smallest of them are taken
+    share = lambda wanted, n: 1.0 if n <= 4 * wanted else 2 * wanted / n
+    bounds = {c: (share(each, n), share(each - n, m) if n < each and m else 0.0) for c, (n, m) in per.items()}
+    if not bounds:
+        return _model([], np.zeros((0, BUCKETS)))
+    of = lambda i: F.create_map(*(F.lit(x) for c, b in bounds.items() for x in (c, b[i])))[F.col("l")]
+    place = F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.where(F.col("l").isNotNull() & (good | other)).withColumn("o", (~good).cast("int")).where(place < F.when(F.col("o") == 0, of(0)).otherwise(of(1)))
+    near = near.select("l", "o", F.xxhash64("k", "t").alias("h"), F.when(F.col("o") == 0, F.col("t")).otherwise(F.substring("t", 1, longest)).alias("t")).dropDuplicates(["l", "o", "h"])
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("o", "h"))).where(F.col("r") <= each).select("l", "t")
+
+    def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            for i, j, data, offsets in tk.batches(batch, "t", 1 << 19):
+                buckets, ends = text_buckets(data, offsets)
+                who = np.repeat(np.arange(j - i), np.diff(ends))
+                for code in sorted(set(langs[i:j])):
+                    n = np.bincount(buckets[(langs[i:j] == code)[who]], minlength=BUCKETS)
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([code] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["l", "b", "n"])
+
+    sums = chosen.mapInArrow(count, "l string, b bigint, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(languages), BUCKETS))
+    at = {c: n for n, c in enumerate(languages)}
+    coded = sums.column("l").combine_chunks().dictionary_encode()
+    row = np.array([at[c] for c in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()] if len(sums) else np.zeros(0, dtype=np.int64)
+    counts[row, sums.column("b").to_numpy()] = sums.column("n").to_numpy()
+    return _model(languages, counts)
+
+
+#: Three-letter codes (ISO 639-2, both forms) of languages that have a two-letter code.
+TWO_LETTERS = dict(
+    pair.split(":")
+    for pair in (
+        "aar:aa abk:ab afr:af aka:ak alb:sq sqi:sq amh:am ara:ar arg:an arm:hy hye:hy asm:as ava:av aym:ay aze:az bak:ba bam:bm baq:eu eus:eu bel:be ben:bn bis:bi bos:bs bre:br bul:bg bur:my mya:my cat:ca "
+        "cha:ch che:ce chi:zh zho:zh chv:cv cor:kw cos:co cre:cr cze:cs ces:cs dan:da deu:de ger:de div:dv dut:nl nld:nl dzo:dz eng:en epo:eo est:et ewe:ee fao:fo fas:fa per:fa fij:fj fin:fi fra:fr fre:fr "
+        "fry:fy ful:ff geo:ka kat:ka gla:gd gle:ga glg:gl glv:gv gre:el ell:el grn:gn guj:gu hat:ht hau:ha heb:he her:hz hin:hi hrv:hr hun:hu ibo:ig ice:is isl:is ido:io iku:iu ile:ie ina:ia ind:id ipk:ik "
+        "ita:it jav:jv jpn:ja kal:kl kan:kn kas:ks kau:kr kaz:kk khm:km kik:ki kin:rw kir:ky kom:kv kon:kg kor:ko kua:kj kur:ku lao:lo lat:la lav:lv lim:li lin:ln lit:lt ltz:lb lub:lu lug:lg mac:mk mkd:mk "
+        "mah:mh mal:ml mao:mi mri:mi mar:mr may:ms msa:ms mlg:mg mlt:mt mon:mn nau:na nav:nv nbl:nr nde:nd ndo:ng nep:ne nno:nn nob:nb nor:no nya:ny oci:oc oji:oj ori:or orm:om oss:os pan:pa pli:pi pol:pl "
+        "por:pt pus:ps que:qu roh:rm ron:ro rum:ro run:rn rus:ru sag:sg san:sa sin:si slk:sk slo:sk slv:sl sme:se smo:sm sna:sn snd:sd som:so sot:st spa:es srd:sc srp:sr ssw:ss sun:su swa:sw swe:sv tah:ty "
+        "tam:ta tat:tt tel:te tgk:tg tgl:tl tha:th tib:bo bod:bo tir:ti ton:to tsn:tn tso:ts tuk:tk tur:tr twi:tw uig:ug ukr:uk urd:ur uzb:uz ven:ve vie:vi vol:vo wel:cy cym:cy wln:wa wol:wo xho:xh yid:yi "
+        "yor:yo zha:za zul:zu"
+    ).split()
+)
+
+
+def language_code(code: Column) -> Column:
+    """The primary part of a language tag in lower case, with two letters where the language has such a code; null for none."""
+    first = F.nullif(F.regexp_extract(F.lower(code), r"^\s*([^-_\s]+)", 1), F.lit(""))
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in TWO_LETTERS.items() for x in pair))[first], first)
 
 
 def text_evidence(docs: DataFrame, model: TextModel, *, text: str, output: str = "text_evidence", count: str = "letters", keep_text: bool = False) -> DataFrame:
@@ -132,7 +198,7 @@ def host_priors(rows: DataFrame, languages: list[str], *, declared: str, host: s
 
 def identify(
     docs: DataFrame, *, text: str, host: Column, declared: Column, key: Column, known: Column | None = None,
-    trust: float = 3.0, suffixes: dict[str, str] | None = None, sure: float = 0.5, sample: int = 2000, keep_text: bool = False,
+    trust: float = 3.0, suffixes: dict[str, str] | None = None, sure: float = 0.5, sample: int = 500, keep_text: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` but the text (unless ``keep_text``), and ``language``, ``confidence``, ``reliable``.
 
@@ -142,7 +208,8 @@ def identify(
     count the declared language, or the known one where none is declared.  A text
     without letters has no evidence of its own and is never reliable; other
     texts are if their best language has a probability of ``sure`` at least.
-    Equal probabilities go to the first language by name.  With no known
+    At most ``sample`` rows of each language train its text model; a language
+    without texts has a flat one.  Equal probabilities go to the first language by name.  With no known
     language at all ``language`` is null.  ``trust`` is the log-odds that a
     declaration, and a suffix in ``suffixes`` (suffix to language), adds.
     """
@@ -151,11 +218,11 @@ def identify(
     columns = [c for c in docs.columns if c not in named and (keep_text or c != text)]
     p = free_prefix(docs)
     work = docs.drop(*named).withColumns({
-        f"{p}host": F.lower(F.coalesce(host, F.lit(""))), f"{p}declared": F.substring(F.lower(declared), 1, 2), f"{p}known": F.lower(known if known is not None else declared), f"{p}key": key,
+        f"{p}host": F.lower(F.coalesce(host, F.lit(""))), f"{p}declared": language_code(declared), f"{p}known": language_code(known if known is not None else declared), f"{p}key": key,
     })
-    work = work.withColumn(f"{p}counted", F.coalesce(F.nullif(f"{p}declared", F.lit("")), F.substring(f"{p}known", 1, 2)))
+    work = work.withColumn(f"{p}counted", F.coalesce(f"{p}declared", f"{p}known"))
     work = work.withColumn(f"{p}domain", F.regexp_extract(f"{p}host", r"([^.]+\.[^.]+)$", 1)).withColumn(f"{p}suffix", F.regexp_extract(f"{p}host", r"\.([^.]+)$", 1))
-    model = fit_text(training_rows(work, lang=F.substring(f"{p}known", 1, 2), text=text, key=F.col(f"{p}key"), most=sample))
+    model = fit_sample(work, lang=f"{p}known", also=f"{p}declared", text=text, key=f"{p}key", each=sample)
     if not model.languages:
         return work.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reliable"))
     priors = host_priors(work, model.languages, declared=f"{p}counted", host=f"{p}host", domain=f"{p}domain", suffix=f"{p}suffix").select(F.col(f"{p}host").alias(f"{p}of"), F.col("prior").alias(f"{p}prior"))

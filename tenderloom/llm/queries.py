@@ -32,6 +32,7 @@ def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", language.markup_language(html).alias("declared"), language.visible_text(html).alias("text"))
+    pages = written(pages, "pages")  # or every pass over the texts takes them out of the pages again
     return language.identify(pages, text="text", host=language.address_host(F.col("url")), declared=F.col("declared"), key=F.col("page_id"))
 
 

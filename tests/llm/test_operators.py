@@ -234,6 +234,23 @@ def test_posterior_bounds_keep_similar_pairs():
     assert all(a <= b for a, b in zip(least, least[1:], strict=False)) and least[-1] < 0.85 * minhash.HASHES
 
 
+def test_rare_languages_are_known(spark):
+    """Three pages of a language among thousands, one with short pages only, and three-letter codes."""
+    plain = "the quick brown fox and the lazy dog of this house were here and there for a long time "
+    rows = [(n, plain * 3, "h.com", "eng" if n % 2 else "en-US") for n in range(3000)]
+    rows += [(5000 + n, "ang mga bata ay naglalaro sa labas ng bahay at kumakain ng mangga " * 5, "x.ph", "fil") for n in range(3)]
+    rows += [(6000 + n, "kot spi na dywanie", "k.pl", "pl") for n in range(3)]
+    rows += [(7000 + n, "", "g.fi", "fi") for n in range(3)]
+    rows += [(8000, "ang mga bata ay naglalaro sa labas ng bahay at kumakain ng mangga " * 5, "x.ph", None), (8001, "kot spi na dywanie", "k.pl", None)]
+    docs = spark.createDataFrame(rows, "page_id long, t string, h string, l string")
+    got = {r["page_id"]: r for r in language.identify(docs, text="t", host=F.col("h"), declared=F.col("l"), key=F.col("page_id")).collect()}
+    assert all(got[n]["language"] == "en" and got[n]["reliable"] for n in range(3000))
+    assert {got[n]["language"] for n in (5000, 5001, 5002, 8000)} == {"fil"} and {got[n]["language"] for n in (6000, 6001, 6002)} == {"pl"}
+    assert got[8001]["language"] == "pl" and not got[7000]["reliable"]
+    codes = spark.createDataFrame([("fil",), ("kok",), ("DEU",), ("pt_BR",), ("",), (None,)], "c string").select(language.language_code(F.col("c"))).collect()
+    assert [r[0] for r in codes] == ["fil", "kok", "de", "pt", None, None]
+
+
 # --- 7: language model
 
 
