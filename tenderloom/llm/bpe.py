@@ -53,18 +53,19 @@ def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text", ids:
 
     A null text counts as empty (no ids).  Special tokens are ordinary text.
     An existing column ``ids`` is replaced.  ``path`` is the rank file's place
-    on every executor.
+    on every executor.  Texts of more than ``part_chars`` characters are encoded
+    in parts; a text without a safe cut is one part, however long.
     """
     return _coded(docs.drop(ids), text, ids, lambda value: _encode(encoding(path, pattern), value or "", part_chars).tobytes())
 
 
 def decode(coded: DataFrame, *, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
-    """All columns but ``ids``, and ``data``: the raw bytes of the ids; null ids give no bytes."""
+    """All columns and ``data``: the raw bytes of the ids; null ids give no bytes."""
 
     def raw(value: bytes | None) -> bytes:
         return encoding(path, pattern).decode_bytes(np.frombuffer(value or b"", dtype="<u4").tolist())
 
-    return _coded(coded.drop(data), ids, data, raw)
+    return _coded(coded.drop(data), ids, data, raw, keep=True)
 
 
 def round_trip(docs: DataFrame, *, path: str, pattern: str, text: str = "text", part_chars: int = 1 << 16) -> DataFrame:
@@ -78,9 +79,9 @@ def round_trip(docs: DataFrame, *, path: str, pattern: str, text: str = "text",
     return _coded(docs.drop("ids", "decoded"), text, ["ids", "decoded"], both)
 
 
-def _coded(df: DataFrame, source: str, target, fn) -> DataFrame:
+def _coded(df: DataFrame, source: str, target, fn, keep: bool = False) -> DataFrame:
     names = [target] if isinstance(target, str) else target
-    others = [c for c in df.columns if c != source]
+    others = [c for c in df.columns if keep or c != source]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [f"`{n}` binary" for n in names])
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,9 @@ occurs again are looked at.
    distance to the anchor first, until a cell is one string, so no group is unbounded; where a passage that very
    many documents share begins and ends, few strings are left to each cell.
 
-Counts are added up before they are shuffled, by hash, and a text is moved
-only to meet its own document's anchors, fragments and removed spans.
+Counts are added up before they are shuffled, by hash.  The rows are dealt once
+to a table bucketed by a number of their own; anchors, fragments and removed
+spans then go to the texts, not the texts to them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import written
+from .store import bucketed, written
 
 U64 = np.uint64
 
@@ -217,60 +218,98 @@ def _common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     return out
 
 
-KEYS = "d {kind}, h bigint, at bigint, low bigint, high bigint"
-CELLS = "d {kind}, h bigint, f bigint, back int, fore int, at bigint"
+KEYS = "d bigint, h bigint, at bigint, low bigint, high bigint"
+CELLS = "d bigint, h bigint, f bigint, back int, fore int, at bigint"
 
 
-def _anchor_rows(slim: DataFrame, length: int, kind: str) -> DataFrame:
+#: Longer documents are hashed in stretches of so many bytes.
+STRETCH = 1 << 21
+
+
+def dealt(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """The rows with a number of their own (d) and the text (t), bucketed by the number, and how many buckets.
+
+    The other columns are c0, c1, ... in their order.  As many buckets as the
+    input has partitions: every later step brings its few numbers to the texts,
+    which are moved this once.
+    """
+    count = max(1, docs.rdd.getNumPartitions())
+    others = [c for c in docs.columns if c != text]
+    numbered = docs.select(F.monotonically_increasing_id().alias("d"), F.col(f"`{text}`").cast("string").alias("t"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(others)))
+    return bucketed(numbered, "d", count, "rows"), count
+
+
+def _anchor_rows(slim: DataFrame, length: int) -> DataFrame:
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for i, j, data, offsets in tk.batches(batch, "t"):
-                doc, at, runs, h = anchors(data, offsets, length)
-                base = offsets[doc]
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(h), pa.array(at - base), pa.array(runs[0] - base), pa.array(runs[1] - base)], names=["d", "h", "at", "low", "high"])
+                long = j - i == 1 and len(data) > 2 * STRETCH
+                for skip in range(0, len(data) - length + 1, STRETCH) if long else (0,):
+                    part = data[skip : skip + STRETCH + length - 1] if long else data
+                    doc, at, runs, h = anchors(part, np.array([0, len(part)]) if long else offsets, length)
+                    base = offsets[doc] - skip
+                    if len(doc):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(h), pa.array(at - base), pa.array(runs[0] - base), pa.array(runs[1] - base)], names=["d", "h", "at", "low", "high"])
+
+    return slim.mapInArrow(run, KEYS)
+
 
-    return slim.mapInArrow(run, KEYS.format(kind=kind))
+def _cells(held: DataFrame, length: int, width: int, most: int = 1 << 18) -> DataFrame:
+    """held: (d, t, runs): a document and the runs to cut.  (d, core hash, fragment hash, farthest and nearest distance to the anchor, anchor).
 
+    At most ``most`` cells of STRETCH bytes of text are made at once.
+    """
+    window = window_of(length)
 
-def _cells(held: DataFrame, length: int, width: int, kind: str) -> DataFrame:
-    """held: (d, t, runs): a document and the runs to cut.  (d, core hash, fragment hash, farthest and nearest distance to the anchor, anchor)."""
+    def cut(ids: pa.Array, doc: np.ndarray, runs: pa.Array, data: np.ndarray, skip: np.ndarray, offsets: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``data`` holds document n from its byte skip[n] on, at offsets[n]; size[n]: its whole length."""
+        hashed = tk.RangeHash(data)
+        step = max(1, most // (window // width))
+        for a in range(0, len(doc), step):
+            of = doc[a : a + step]
+            at, low, high, h = (runs.field(n).to_numpy()[a : a + step] for n in ("at", "low", "high", "h"))
+            first, last = (at - high) // width, (at - low) // width
+            times = last - first + 1
+            of, at, low, high, h = (np.repeat(x, times) for x in (of, at, low, high, h))
+            cell = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+            back, fore = np.minimum(at - low, (cell + 1) * width - 1), np.maximum(at - high, cell * width)
+            base = offsets[of] - skip[of]
+            # the core may reach beyond a run that the text's border cuts: then it is the fragment's own
+            begin, end = at - cell * width, at - (cell + 1) * width + 1 + length
+            core = hashed(base + np.clip(begin, 0, size[of]), base + np.clip(end, 0, size[of]))
+            core = tk.mix(core ^ tk.mix(h.astype(U64) + cell.astype(U64) * U64(0x9FB21C651E98DF25)))
+            fragment = hashed(base + at - back, base + at - fore + length)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(core.astype(np.int64)), pa.array(fragment.astype(np.int64)), pa.array(back.astype(np.int32)), pa.array(fore.astype(np.int32)), pa.array(at)], names=["d", "h", "f", "back", "fore", "at"])
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            runs = batch.column(2)
             for i, j, data, offsets in tk.batches(batch, "t"):
-                mine = runs.slice(i, j - i)
+                ids, mine = batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i)
                 flat = mine.flatten()
-                doc = np.repeat(np.arange(j - i), np.diff(np.asarray(mine.offsets)))
-                at, low, high, h = (flat.field(n).to_numpy() for n in ("at", "low", "high", "h"))
-                first, last = (at - high) // width, (at - low) // width
-                times = last - first + 1
-                doc, at, low, high, h = (np.repeat(x, times) for x in (doc, at, low, high, h))
-                cell = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
-                back, fore = np.minimum(at - low, (cell + 1) * width - 1), np.maximum(at - high, cell * width)
-                base, hashed = offsets[doc], tk.RangeHash(data)
-                # the core may reach beyond a run that the text's border cuts: then it is the fragment's own
-                begin, end = at - cell * width, at - (cell + 1) * width + 1 + length
-                size = np.diff(offsets)[doc]
-                core = hashed(base + np.clip(begin, 0, size), base + np.clip(end, 0, size))
-                core = tk.mix(core ^ tk.mix(h.astype(U64) + cell.astype(U64) * U64(0x9FB21C651E98DF25)))
-                fragment = hashed(base + at - back, base + at - fore + length)
-                ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(core.astype(np.int64)), pa.array(fragment.astype(np.int64)), pa.array(back.astype(np.int32)), pa.array(fore.astype(np.int32)), pa.array(at)], names=["d", "h", "f", "back", "fore", "at"])
-
-    return held.mapInArrow(run, CELLS.format(kind=kind))
-
-
-def _with_texts(slim: DataFrame, runs: DataFrame) -> DataFrame:
-    """(d, t, runs): each document that has runs, with all of them."""
-    listed = runs.groupBy("d").agg(F.collect_list(F.struct("at", "low", "high", "h")).alias("runs"))
+                if j - i > 1 or len(data) <= 2 * STRETCH:
+                    doc = np.repeat(np.arange(j - i), np.diff(np.asarray(mine.offsets)))
+                    yield from cut(ids, doc, flat, data, np.zeros(j - i, dtype=np.int64), offsets, np.diff(offsets))
+                    continue
+                flat = flat.take(pa.compute.array_sort_indices(flat.field("at")))
+                at = flat.field("at").to_numpy()
+                for skip in range(0, len(data), STRETCH):
+                    a, z = np.searchsorted(at, [skip, skip + STRETCH])
+                    if z > a:  # strings of an anchor begin within two windows before it and end within their length behind it
+                        begin, end = max(0, skip - 2 * window), min(len(data), skip + STRETCH + length + window)
+                        yield from cut(ids, np.zeros(z - a, dtype=np.int64), flat.slice(a, z - a), data[begin:end], np.array([begin]), np.zeros(1, dtype=np.int64), np.array([len(data)]))
+
+    return held.mapInArrow(run, CELLS)
+
+
+def _with_texts(slim: DataFrame, runs: DataFrame, count: int) -> DataFrame:
+    """(d, t, runs): each document that has runs, with all of them; the runs go to the buckets of the texts."""
+    listed = runs.repartition(count, "d").groupBy("d").agg(F.collect_list(F.struct("at", "low", "high", "h")).alias("runs"))
     return slim.join(listed, "d").select("d", "t", "runs")
 
 
-def _cut(held: DataFrame, length: int, width: int, most: int, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cut(held: DataFrame, length: int, width: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Starts that are repeated (d, low, high); fragments to sort (d, h, at, low, high); runs to cut finer."""
-    cells = written(_cells(held, length, width, kind), "cells")
+    cells = written(_cells(held, length, width), "cells")
     fragments = cells.groupBy("h", "f", "back", "fore").agg(F.count("*").alias("n"), F.min(F.struct("d", "at")).alias("one"))
     cores = fragments.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     cores = written(cores.where("n > 1"), "cores")
@@ -282,7 +321,7 @@ def _cut(held: DataFrame, length: int, width: int, most: int, kind: str) -> tupl
     return done, ranges.where(F.col("kinds") <= most).drop("kinds"), ranges.where(F.col("kinds") > most).drop("kinds")
 
 
-def _sorted_groups(slim: DataFrame, ranges: DataFrame, length: int, kind: str) -> DataFrame:
+def _sorted_groups(slim: DataFrame, ranges: DataFrame, length: int, count: int) -> DataFrame:
     """(d, low, high): repeated starts among the fragments of each core."""
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,49 +362,51 @@ def _sorted_groups(slim: DataFrame, ranges: DataFrame, length: int, kind: str) -
         if held:
             yield from group(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    fragments = _with_texts(slim, ranges).mapInArrow(cut, f"d {kind}, h bigint, low bigint, fragment binary")
-    return fragments.repartition("h").sortWithinPartitions("h").mapInArrow(sort, f"d {kind}, low bigint, high bigint")
+    fragments = _with_texts(slim, ranges, count).mapInArrow(cut, "d bigint, h bigint, low bigint, fragment binary")
+    return fragments.repartition("h").sortWithinPartitions("h").mapInArrow(sort, "d bigint, low bigint, high bigint")
 
 
-def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 400, most: int = 64) -> DataFrame:
-    """(id, low, high): runs of starts of repeated ``length``-byte strings; runs may repeat and touch."""
-    kind = docs.schema[id].dataType.simpleString()
-    slim = docs.select(F.col(id).alias("d"), F.col(text).cast("string").alias("t")).where(F.octet_length("t") >= length)
-    runs = written(_anchor_rows(slim, length, kind), "anchors")
+def repeated_spans(rows: DataFrame, count: int, *, length: int = 400, most: int = 64) -> DataFrame:
+    """rows: (d, t), ``count`` buckets by d.  (d, low, high): runs of starts of repeated ``length``-byte strings; runs may repeat and touch."""
+    slim = rows.select("d", "t").where(F.octet_length("t") >= length)
+    runs = written(_anchor_rows(slim, length), "anchors")
     # written, so that the join below deals both sides anew and can split a hash that very many runs have
     again = written(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     found, todo = [], written(runs.join(again, "h"), "runs")
     for width in widths_of(length):
-        done, ranges, hot = _cut(_with_texts(slim, todo), length, width, most if width > 1 else 1 << 62, kind)
+        done, ranges, hot = _cut(_with_texts(slim, todo, count), length, width, most if width > 1 else 1 << 62)
         found.append(done)
         if width == 1:
             break
         ranges = written(ranges, "open")
-        found.append(_sorted_groups(slim, ranges, length, kind))
+        found.append(_sorted_groups(slim, ranges, length, count))
         todo = written(hot, "hot").select("d", "h", "at", "low", "high")
         if todo.isEmpty():
             break
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.withColumnRenamed("d", id)
+    return out
 
 
-def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 400, most: int = 64, as_text: bool = False) -> DataFrame:
-    """All columns of ``docs`` but the text, and ``kept`` (the bytes left; with ``as_text`` the whole characters left), ``removed`` (spans of bytes) and ``n_bytes``.
+def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = 400, most: int = 64, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text, and ``kept`` (the bytes left), ``removed`` (spans of bytes) and ``n_bytes``.
 
-    Ids are to be unique and not null; a null text is empty; texts shorter than
-    ``length`` bytes stay whole; equal texts of that length all go.
+    With ``as_text``, ``kept`` is text: of a character that a cut goes through
+    the bytes left are dropped too.  Every row is a document of its own, whatever
+    its other columns hold (repeated or null ids); a null text is empty; texts
+    shorter than ``length`` bytes stay whole; equal texts of that length all go.
+    Columns called ``kept``, ``removed`` or ``n_bytes`` are replaced.  Builds its
+    intermediate tables at once.
     """
     named = ["kept", "removed", "n_bytes"]
     docs = docs.drop(*named)
     others = [c for c in docs.columns if c != text]
-    spans = repeated_spans(docs, id=id, text=text, length=length, most=most)
-    own = "_"
-    while any(c.startswith(own) for c in docs.columns):
-        own += "_"
-    starts = spans.distinct().groupBy(F.col(id).alias(f"{own}d")).agg(F.collect_list(F.struct("low", "high")).alias(f"{own}runs"))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    rows, count = dealt(docs, text)
+    spans = repeated_spans(rows, count, length=length, most=most)
+    starts = spans.repartition(count, "d").distinct().groupBy("d").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    numbers = [f"c{n}" for n in range(len(others))]
+    fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(numbers, others, strict=True))
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +414,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
             for i in range(0, batch.num_rows, 256):
                 few = batch.slice(i, 256)
                 kept, removed, sizes = [], [], []
-                for t, runs in zip(few.column(few.schema.get_field_index(text)), few.column(few.schema.get_field_index(f"{own}runs")).to_pylist(), strict=True):
+                for t, runs in zip(few.column("t"), few.column("runs").to_pylist(), strict=True):
                     raw = (t.as_py() or "").encode()
                     cut: list[dict] = []
                     for r in sorted((r["low"], r["high"] + length) for r in runs or ()):
@@ -389,7 +430,8 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", l
                     kept.append("".join(x.decode(errors="ignore") for x in left) if as_text else b"".join(left))
                     removed.append(cut)
                     sizes.append(len(raw))
-                yield pa.RecordBatch.from_arrays([*(few.column(few.schema.get_field_index(c)) for c in others), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, out_type), pa.array(sizes, pa.int64())], names=[*others, *named])
+                yield pa.RecordBatch.from_arrays([*(few.column(n) for n in numbers), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, out_type), pa.array(sizes, pa.int64())], names=[*numbers, *named])
 
-    joined = docs.join(starts, docs[id] == starts[f"{own}d"], "left").select(*others, F.col(text).cast("string").alias(text), f"{own}runs")
-    return joined.mapInArrow(run, f"{fields}{', ' if fields else ''}kept {'string' if as_text else 'binary'}, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")
+    joined = rows.join(starts, "d", "left").select(*numbers, "t", "runs")
+    made = joined.mapInArrow(run, f"{fields}{', ' if fields else ''}kept {'string' if as_text else 'binary'}, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")
+    return made.select(*(F.col(n).alias(c) for n, c in zip(numbers, others, strict=True)), *named)

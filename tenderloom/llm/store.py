@@ -31,6 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, count: int, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder, in ``count`` buckets by ``key``, one file each."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(count, key).write.bucketBy(count, key).format("parquet").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches of a few MB for the Python stages, where the session still has Spark's 64 MB.
 
