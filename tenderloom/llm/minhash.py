@@ -9,7 +9,8 @@
 4.  Pairs that step 2 does not compare matter only where a bucket's members
     are not yet one component.  In such buckets all members outside of the most
     frequent component are compared with all members, in blocks of bounded size
-    that large buckets are split into, under the same two verifications.
+    that large buckets are split into: first by signatures alone; texts are
+    fetched only for the members of a block that the signatures leave a partner.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 FEATURES = "n bigint, s1 bigint, s2 bigint, signature binary"
-#: Up to so many ids are sent to all tasks, to move only the texts that are needed; beyond, the join itself selects them.
-MOST_IDS = 1_000_000
+#: Up to so many bytes of ids are sent to all tasks, to move only the texts that are needed; beyond, the join itself selects them.
+MOST_BYTES = 8 << 20
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
@@ -130,9 +131,12 @@ def banded(signed: DataFrame) -> DataFrame:
 
 
 def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose d is in ``ids`` (d): selected before any shuffle where the ids are few enough to be sent."""
-    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    return docs.join(F.broadcast(ids), "d", "left_semi") if few else docs
+    """The rows of ``docs`` whose d is in ``ids`` (d): selected before any shuffle where the ids are few enough to be sent.
+
+    The result is the same either way: what follows joins on d.
+    """
+    width = ids.select(F.sum(F.octet_length(F.col("d").cast("string")) + 8)).first()[0] or 0
+    return docs.join(F.broadcast(ids), "d", "left_semi") if width <= MOST_BYTES else docs
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -180,48 +184,60 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, part: int =
     return asked.join(docs, "d").select("d", "l", "part", "head", "t").groupBy("l", "part").applyInArrow(run, f"d {kind}, l {kind}")
 
 
-def remaining_links(shared: DataFrame, parts: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int, least: np.ndarray, bands: int, block: int = 256) -> DataFrame:
+def remaining_links(shared: DataFrame, parts: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int, least: np.ndarray, block: int = 256) -> DataFrame:
     """(d, l): links that join components among buckets whose members are of several.  shared: (d, band, k) of buckets of three and more."""
     kind = shared.schema["d"].dataType.simpleString()
-    members = shared.where(F.col("band") < bands).join(parts, shared["d"] == parts["node"], "left").select("band", "k", "d", F.coalesce("component", "d").alias("c"))
+    members = shared.join(parts, shared["d"] == parts["node"], "left").select("band", "k", "d", F.coalesce("component", "d").alias("c"))
     counts = members.groupBy("k", "c").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
     buckets = buckets.select("k", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("sb"), F.ceil(F.col("all") / block).cast("int").alias("mb"))
-    open_ = written(members.join(buckets, "k").select("band", "k", "d", "c", "main", "sb", "mb"), "members")
+    open_ = written(members.join(buckets, "k").select("band", "k", "d", "c", "main", "sb", "mb"), "members").join(signed, "d")
     block_of = lambda n: F.pmod(F.xxhash64("d"), n).cast("int")
-    seekers = open_.where("c <> main").select("band", "k", "d", "c", F.lit(True).alias("seeks"), block_of(F.col("sb")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
-    others = open_.select("band", "k", "d", "c", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), block_of(F.col("mb")).alias("m"))
-    texts = wanted(docs, written(open_.select("d").distinct(), "ids")).join(signed.select("d", "signature"), "d")
+    own = ["band", "k", "d", "c", "signature"]
+    seekers = open_.where("c <> main").select(*own, F.lit(True).alias("seeks"), block_of(F.col("sb")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
+    others = open_.select(*own, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), block_of(F.col("mb")).alias("m"))
 
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+    def partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """(row that seeks, rows of other components that the signatures leave it, likeliest first); a pair belongs to the first band that it shares."""
         band = group.column("band")[0].as_py()
         signature = _matrix(group.column("signature"))
+        c = group.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
         seeks = group.column("seeks").to_numpy(zero_copy_only=False)
-        c, d = group.column("c").combine_chunks().dictionary_encode().indices.to_numpy().copy(), group.column("d").to_pylist()
-        right, sets, found = np.flatnonzero(~seeks), None, []
+        right = np.flatnonzero(~seeks)
         for i in np.flatnonzero(seeks):
-            others = right[c[right] != c[i]]
-            others = others[survivors(np.broadcast_to(signature[i], (len(others), HASHES)), signature[others], least)]
-            if not len(others):
-                continue
-            # a pair belongs to the first band that it shares
-            equal = signature[others] == signature[i]
-            shares = equal[:, : (band + 1) * ROWS].reshape(len(others), band + 1, ROWS).all(axis=2)
-            mine = shares.argmax(axis=1) == band
-            others, equal = others[mine], equal[mine]
-            for j in others[np.argsort(-equal.sum(axis=1), kind="stable")]:
-                if c[j] == c[i]:
-                    continue
-                if sets is None:
-                    values, bounds = shingle_sets(group.column("t").combine_chunks(), k)
-                    sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                if similar(sets[i], sets[j], percent):
+            mine = right[c[right] != c[i]]
+            mine = mine[survivors(np.broadcast_to(signature[i], (len(mine), HASHES)), signature[mine], least)]
+            equal = signature[mine] == signature[i]
+            first = equal[:, : (band + 1) * ROWS].reshape(len(mine), band + 1, ROWS).all(axis=2).argmax(axis=1) == band
+            mine, equal = mine[first], equal[first]
+            if len(mine):
+                yield i, mine[np.argsort(-equal.sum(axis=1), kind="stable")]
+
+    def prune_block(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keep = np.zeros(group.num_rows, dtype=bool)
+        for i, mine in partners(group):
+            keep[i] = True
+            keep[mine] = True
+        return group.filter(pa.array(keep))
+
+    schema = f"band int, k bigint, d {kind}, c {kind}, signature binary, seeks boolean, s int, m int"
+    left = written(seekers.unionByName(others).groupBy("k", "s", "m").applyInArrow(prune_block, schema), "left")
+    texts = wanted(docs, written(left.select("d").distinct(), "ids"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        c, d = group.column("c").combine_chunks().dictionary_encode().indices.to_numpy().copy(), group.column("d").to_pylist()
+        values, bounds = shingle_sets(group.column("t").combine_chunks(), k)
+        sets, found = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], []
+        for i, mine in partners(group):
+            for j in mine:
+                if c[j] != c[i] and similar(sets[i], sets[j], percent):
                     found.append((d[i], d[j]))
                     c[c == c[j]] = c[i]
         return pa.table([pa.array([x for x, _ in found], group.schema.field("d").type), pa.array([y for _, y in found], group.schema.field("d").type)], names=["d", "l"])
 
-    return seekers.unionByName(others).join(texts, "d").groupBy("k", "s", "m").applyInArrow(compare, f"d {kind}, l {kind}").distinct()
+    return left.join(texts, "d").groupBy("k", "s", "m").applyInArrow(compare, f"d {kind}, l {kind}").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -254,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     texts = slim.where("d is not null")
     candidates = written(prune(shared.where("d <> l").select("d", "l").distinct(), signed, least), "candidates")
     links = written(verify(candidates, texts, shingle, percent), "verified")
-    rest = remaining_links(shared.where("n > 2").select("d", "band", "k"), components(links, "d", "l"), signed, texts, shingle, percent, least, BANDS * 2 // 3)
+    rest = remaining_links(shared.where("n > 2").select("d", "band", "k"), components(links, "d", "l"), signed, texts, shingle, percent, least)
     links = links.unionByName(written(rest, "rest"))
     parts = components(links, "d", "l")
     found = member.join(parts, member["r"] == parts["node"], "left").groupBy("d").agg(F.min(F.coalesce("component", "r")).alias("c"))
