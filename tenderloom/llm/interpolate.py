@@ -12,6 +12,9 @@ their counts.  A bucket adds them up and answers each block with the totals,
 in the order asked.  So what is shuffled is one entry for each distinct word or
 pair of a block, however often it occurs, and no bucket holds more than its
 share of the distinct words and pairs; a very common word is one entry a block.
+There are ``PER_BUCKET`` blocks for each bucket, so a bucket's entries are
+bounded, and blocks and buckets are dealt to as many tasks as hold a few of them.
+The entries grow with the text; the rows that hold them are blocks times buckets.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .store import written
 U64 = np.uint64
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 ADD = 0.1
+#: Blocks for each bucket, and blocks in a task (on average).
+PER_BUCKET, PER_TASK = 8, 2
 #: Steps of a factor of two in the table on which the weights are learned.
 STEPS = 8
 COUNTS = "kind int, bucket int, block bigint, keys binary, rest binary, held binary"
@@ -184,9 +189,11 @@ def model_scores(docs: DataFrame, *, held_out: Column, id: str = "doc_id", text:
     fold = F.when(F.coalesce(held_out, F.lit(False)), 0).when(F.coalesce(deleted, F.lit(False)), 1).otherwise(2)
     slim = docs.select(F.col(id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), fold.cast("int").alias("fold"))
     slim = slim.withColumn("block", F.pmod(F.xxhash64("d", "t"), F.lit(blocks)).cast("long"))
+    buckets, tasks = -(-blocks // PER_BUCKET), -(-blocks // PER_TASK)
+    slim = slim.repartition(tasks, "block")
 
-    asked = slim.groupBy("block").applyInArrow(lambda frame: _counts_of(frame, blocks), COUNTS)
-    answers = written(asked.groupBy("kind", "bucket").applyInArrow(_add_up, ANSWERS), "counts")
+    asked = slim.groupBy("block").applyInArrow(lambda frame: _counts_of(frame, buckets), COUNTS)
+    answers = written(asked.repartition(4 * buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_add_up, ANSWERS), "counts")
 
     # as many small rows as buckets and blocks
     sums = answers.where("kind in (3, 4)").groupBy("kind").agg(*(F.sum(F.get("sums", F.lit(i))).alias(str(i)) for i in range(4)))
@@ -203,13 +210,13 @@ def model_scores(docs: DataFrame, *, held_out: Column, id: str = "doc_id", text:
         return pa.table([*(pa.array(k, pa.int64()) for k in key), pa.array(n, pa.int64())], names=["b", "p", "w", "n"])
 
     # a cell for each step of both probabilities and bucket: bounded by the steps, not by the corpus
-    grid = answers.where("kind <= 2").select("kind", "block", "bucket", "rest").groupBy("block").applyInArrow(cells, "b bigint, p bigint, w bigint, n bigint").groupBy("b", "p", "w").agg(F.sum("n").alias("n"))
+    grid = answers.where("kind <= 2").select("kind", "block", "bucket", "rest").repartition(tasks, "block").groupBy("block").applyInArrow(cells, "b bigint, p bigint, w bigint, n bigint").groupBy("b", "p", "w").agg(F.sum("n").alias("n"))
     value = lambda x: 0.0 if x == 1 else 2.0 ** (x / STEPS)
     uniform = 1 / (tokens[0][1] + 1)
     weights = learn_weights([(r["b"], value(r["p"]), value(r["w"]), r["n"]) for r in grid.collect()], uniform)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left.column("t").combine_chunks(), blocks)
+        block = Block(left.column("t").combine_chunks(), buckets)
         single, double = _answers(right.to_pylist(), "total")
         bucket, by_pair, by_word, flat = estimates(single, double, starts[1], *tokens[1], block.index[0], block.index[1], block.context())
         top = int(bucket.max(initial=0)) + 1
@@ -224,7 +231,7 @@ def model_scores(docs: DataFrame, *, held_out: Column, id: str = "doc_id", text:
         return pa.table([left.column("d"), pa.array(left.column("fold").to_numpy() == 0), pa.array(np.diff(block.bounds)), pa.array(known.astype(np.int64)), pa.array(np.full(len(model), int(tokens[1][0]))), pa.array(base), pa.array(model)], names=OUTPUT)
 
     schema = f"d {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    right = answers.where("kind < 2").select("kind", "block", "bucket", "total")
+    right = answers.where("kind < 2").select("kind", "block", "bucket", "total").repartition(tasks, "block")
     return slim.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, schema).withColumnRenamed("d", id)
 
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,52 @@ def test_removal_of_empty_tables_and_as_text(spark):
     assert cut == {1: "a", 2: "b", 3: ""}
 
 
+def test_removal_by_row_whatever_the_ids(spark):
+    passage = "".join(random.Random(9).choice("abcdefg ") for _ in range(550))
+    rows = [("a", passage, 1), ("a", "short", 2), ("b", passage, 3), (None, "x" + passage, 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_bytes int").withColumn("d", F.col("n_bytes")).withColumn("t", F.lit("own"))
+    got = {r["d"]: (r["doc_id"], r["kept"], r["n_bytes"], r["t"]) for r in repeats.remove_repeats(docs, as_text=True).collect()}
+    assert got == {1: ("a", "", 550, "own"), 2: ("a", "short", 5, "own"), 3: ("b", "", 550, "own"), 4: (None, "x", 551, "own"), 5: (None, "", 0, "own")}
+
+
+def test_long_documents_are_cut_in_stretches(spark, monkeypatch):
+    """Anchors, cells and fragments of a long text, stretch by stretch, against all strings of it."""
+    monkeypatch.setattr(repeats, "STRETCH", 700)
+    rng = random.Random(6)
+    passage = [rng.choice(b"abcdef") for _ in range(900)]
+    long = [rng.choice(b"abcdef") for _ in range(300)]
+    for _ in range(12):
+        a = rng.randrange(500)
+        long += [rng.choice(b"abcdef") for _ in range(rng.randrange(500))] + passage[a : a + rng.randrange(350, 900 - a + 350)]
+    texts = [bytes(long), bytes(passage[200:750])]
+    count = Counter(b[i : i + 400] for b in texts for i in range(len(b) - 400 + 1))
+    whole = pa.record_batch([pa.array([0, 1]), pa.array([t.decode() for t in texts])], names=["d", "t"])
+    made = [None]
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            made[0] = list(run(iter([held])))
+            return self
+
+    held = whole
+    repeats._anchor_rows(Frame(), 400)
+    runs = pa.Table.from_batches(made[0]).to_pylist()
+    starts = sorted((r["d"], i) for r in runs for i in range(r["low"], r["high"] + 1))
+    assert starts == [(d, i) for d, b in enumerate(texts) for i in range(len(b) - 399)]
+    listed = [[{k: r[k] for k in ("at", "low", "high", "h")} for r in runs if r["d"] == d] for d in (0, 1)]
+    held = whole.append_column("runs", pa.array(listed, pa.list_(pa.struct([(k, pa.int64()) for k in ("at", "low", "high", "h")]))))
+    for width in repeats.widths_of(400):
+        repeats._cells(Frame(), 400, width, most=300)
+        cells = pa.Table.from_batches(made[0]).to_pylist()
+        assert sorted((c["d"], i) for c in cells for i in range(c["at"] - c["back"], c["at"] - c["fore"] + 1)) == starts
+        # equal strings lie in cells of one core
+        core = {(c["d"], i): c["h"] for c in cells for i in range(c["at"] - c["back"], c["at"] - c["fore"] + 1)}
+        first = {}
+        for (d, i), h in core.items():
+            assert first.setdefault(texts[d][i : i + 400], h) == h
+    assert max(count.values()) > 1
+
+
 # --- 4: quality
 
 
@@ -267,6 +314,49 @@ def test_model_scores_match_brute_force_counts(spark, texts):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and np.isfinite(r["score"])
 
 
+def test_model_scores_match_brute_force_scores(spark, texts):
+    """The mixture, its weights and its logarithms, token by token in plain Python."""
+    fold = {i: 0 if i % 10 == 0 else 1 if i % 10 == 1 else 2 for i, _ in texts}
+    streams = {i: [*words_of(t), b"\n"] for i, t in texts}
+
+    def counts(folds):
+        mine = [s for i, s in streams.items() if fold[i] in folds]
+        return Counter(w for s in mine for w in s), Counter(p for s in mine for p in zip([None, *s], s, strict=False)), len(mine)
+
+    def parts(before, word, single, double, starts):
+        context = starts if before is None else single[before]
+        pair = double[before, word] / context if context else 0.0
+        return int(np.log2(context)) + 1 if context else 0, pair, (single[word] + 0.1) / (sum(single.values()) + 0.1 * (len(single) + 1)), 1 / (len(single) + 1)
+
+    rest, whole = counts({2}), counts({1, 2})
+    cells = Counter()
+    for i, s in streams.items():
+        if fold[i] == 1:
+            for p in zip([None, *s], s, strict=False):
+                bucket, pair, word, _ = parts(*p, *rest)
+                cells[(bucket, *(2.0 ** (round(np.log2(x) * interpolate.STEPS) / interpolate.STEPS) if x else 0.0 for x in (pair, word)))] += 1
+    flat, weights = 1 / (len(rest[0]) + 1), {}
+    for bucket in [-1, *{b for b, _, _ in cells}]:
+        mine, w = [(pair, word, flat, n) for (b, pair, word), n in cells.items() if bucket in (b, -1)], [1 / 3] * 3
+        for _ in range(40):
+            sums = [0.0] * 3
+            for *x, n in mine:
+                mixed = sum(a * b for a, b in zip(w, x, strict=True))
+                sums = [t + n * a * b / mixed for t, a, b in zip(sums, w, x, strict=True)]
+            w = [t / sum(sums) for t in sums]
+        w = [max(x, 1e-6) for x in w]
+        weights[bucket] = [x / sum(w) for x in w]
+    got = {r["doc_id"]: r["score"] for r in interpolate.model_scores(documents(spark, texts), held_out=F.col("doc_id") % 10 == 0, deleted=F.col("doc_id") % 10 == 1, block_bytes=4000).collect()}
+    for i, s in streams.items():
+        want = 0.0
+        for p in zip([None, *s], s, strict=False):
+            bucket, pair, word, uniform = parts(*p, *whole)
+            w = weights.get(bucket, weights[-1])
+            w = [0.0, w[1] / (w[1] + w[2]), w[2] / (w[1] + w[2])] if not bucket else w
+            want += np.log10(w[0] * pair + w[1] * word + w[2] * uniform)
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), i
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = interpolate.model_scores(docs, held_out=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).where("held_out").collect()
