@@ -1,19 +1,30 @@
-"""Operator 8: licence statements by Dice coefficient over word bigrams (DataFrame functions only).
-
-Every line of a text is normalised (lower case, runs of anything but letters
-and digits to one space) and compared with the licence templates by the Dice
-coefficient of their sets of word bigrams.  A line whose set is too small or
-too large for a template to reach the threshold is never compared with it: for
-sets of a and b bigrams, 2 * min(a, b) / (a + b) bounds the coefficient.  Lines
-outside of all templates' bounds are dropped before their bigrams are made.
+"""Operator 8: licence statements and licence texts by Dice coefficient over word bigrams (DataFrame functions only).
+
+A text is normalised (lower case, runs of anything but letters and digits to
+one space).  Two kinds of passages are compared with the licence templates by
+the Dice coefficient of their sets of word bigrams:
+
+*  every line of the text;
+*  windows of each template's number of words over the whole text, lines or
+   not, a new one every eighth of that number (every word for templates of
+   fewer than 16 words), and the last one.  A text shorter than a template is
+   one window.
+
+For sets of a and b bigrams, 2 * min(a, b) / (a + b) bounds the coefficient, so
+a template is only compared with lines within its size bounds, and with windows
+only in texts that share as many of its bigrams as the threshold asks for.
+Texts that lack the words without which no template can reach the threshold are
+dropped before their bigrams are made.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence statements by SPDX-like name.
+#: Licence statements and texts by SPDX-like name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
@@ -24,8 +35,42 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
+    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "BSD-3-Clause text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+        in the documentation and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission.""",
+    "BSD disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+        HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+        EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "GPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "ISC text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies.""",
+    "MIT text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
 }
 THRESHOLD = 0.8
+#: A window begins every so many of a template's words.
+STEP = 8
 
 
 def normal(text: Column) -> Column:
@@ -39,50 +84,116 @@ def bigrams(words: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def _template(text: str) -> list[str]:
-    import re
+def _words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
 
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+def _template(text: str) -> list[str]:
+    words = _words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def _ratio(threshold: float) -> float:
+    """The smaller set's least share of the larger one at the threshold; rounding must not cut what just fits."""
+    return threshold / (2 - threshold) - 1e-9
+
+
+def _needed(grams: list[str], ratio: float) -> list[str]:
+    """Words, the longest first, of which a text has at least one if it has ``ratio`` of the bigrams."""
+    left, out = set(grams), []
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        out.append(w)
+        left = {g for g in left if w not in g.split()}
+        if len(left) < ratio * len(grams):
+            return out
+    return out
+
+
+def scan_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id, line, license, dice): every line of every text that reaches the threshold with a template.
 
     Lines are numbered from 1 at each line feed.  Null and empty texts have no
     lines; rows with equal ids are scanned each; a line may match several
     templates.  Templates of fewer than two words never match.
     """
-    sets = {name: grams for name, t in (templates or TEMPLATES).items() if (grams := _template(t))}
+    sets = {name: grams for name, t in (TEMPLATES if templates is None else templates).items() if (grams := _template(t))}
     schema = "line bigint, license string, dice double"
     if not sets:
         return docs.select(F.col(id), F.explode(F.array().cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).alias("x")).select(id, "x.*")
-    ratio = threshold / (2 - threshold) - 1e-9  # rounding must not cut what just fits
+    ratio = _ratio(threshold)
     least, most = min(len(g) for g in sets.values()) * ratio, max(len(g) for g in sets.values()) / ratio
     lines = docs.select(F.col(id), F.posexplode(F.split(F.col(text), "\n")).alias("n", "raw"))
     # a line of w words has at most w - 1 pairs and at least 2 w - 1 characters
     lines = lines.where(F.length("raw") >= 2 * least + 1).select(id, (F.col("n") + 1).cast("long").alias("line"), F.array(F.split(normal(F.col("raw")), " ")).alias("w"))
     # the lambda's variable and the explode keep the words and the set from being computed again for every use
-    lines = lines.select(id, "line", F.explode(F.transform("w", bigrams)).alias("g")).where((F.size("g") >= least) & (F.size("g") <= most))
+    lines = lines.select(id, "line", F.explode("w").alias("w")).where(F.arrays_overlap("w", _literal(sorted({w for g in sets.values() for w in _needed(g, ratio)}))))
+    lines = lines.select(id, "line", F.explode(F.array(bigrams(F.col("w")))).alias("g")).where((F.size("g") >= least) & (F.size("g") <= most))
 
     def compared(name: str, grams: list[str]) -> Column:
         size = len(grams)
         fits = (F.size("g") >= size * ratio) & (F.size("g") <= size / ratio)
-        common = F.size(F.array_intersect("g", F.array(*map(F.lit, grams))))
+        common = F.size(F.array_intersect("g", _literal(grams)))
         return F.when(fits, F.struct(F.lit(name).alias("license"), (2.0 * common / (F.size("g") + size)).alias("dice")))
 
     found = F.filter(F.array(*(compared(n, g) for n, g in sets.items())), lambda x: x["dice"] >= threshold)
     return lines.select(id, "line", F.explode(found).alias("x")).select(id, "line", "x.license", "x.dice")
 
 
+def scan_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, word, license, dice): every window of every text that reaches the threshold with its template; ``word`` counts from 1."""
+    own = {name: (len(_words(t)), grams) for name, t in (TEMPLATES if templates is None else templates).items() if (grams := _template(t))}
+    ratio = _ratio(threshold)
+    needed = _literal(sorted({w for _, g in own.values() for w in _needed(g, ratio)}))
+    words = docs.select(F.col(id), F.explode(F.array(F.split(normal(F.col(text)), " "))).alias("w")).where(F.arrays_overlap("w", needed))
+    sets = words.select(id, "w", F.explode(F.array(bigrams(F.col("w")))).alias("g"))
+
+    def shared(name: str, n: int, grams: list[str]) -> Column:
+        enough = F.size(F.array_intersect("g", _literal(grams))) >= len(grams) * ratio
+        return F.when(enough, F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(max(1, n // STEP)).alias("step"), _literal(grams).alias("grams")))
+
+    asked = sets.select(id, "w", F.explode(F.filter(F.array(*(shared(name, n, g) for name, (n, g) in own.items())), lambda x: x.isNotNull())).alias("x")) if own else sets.select(id, "w", F.explode(F.expr("cast(array() as array<struct<license:string,n:int,step:int,grams:array<string>>>)")).alias("x"))
+    last = F.greatest(F.lit(0), F.size("w") - F.col("x.n"))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("x.step")), F.array(last)))
+    window = asked.select(id, "w", "x", F.explode(starts).alias("s"))
+    window = window.select(id, "x", "s", F.explode(F.array(bigrams(F.slice("w", F.col("s") + 1, F.col("x.n"))))).alias("g"))
+    dice = 2.0 * F.size(F.array_intersect("g", "x.grams")) / (F.size("g") + F.size("x.grams"))
+    return window.select(id, (F.col("s") + 1).cast("long").alias("word"), "x.license", dice.alias("dice")).where(F.col("dice") >= threshold)
+
+
+def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, license, n_lines, n_windows, first_line, first_word, dice): for each id and licence what reaches the threshold, and the best coefficient.
+
+    Null and empty texts have none.  Rows with equal ids are one entry.  Extra
+    columns are ignored.
+    """
+    docs = docs.select(F.col(id), F.col(text))
+    none = F.lit(None).cast("long")
+    lines = scan_lines(docs, id=id, text=text, templates=templates, threshold=threshold).select(id, "license", "line", none.alias("word"), "dice")
+    windows = scan_windows(docs, id=id, text=text, templates=templates, threshold=threshold).select(id, "license", none.alias("line"), "word", "dice")
+    return lines.unionByName(windows).groupBy(id, "license").agg(
+        F.count("line").alias("n_lines"), F.count("word").alias("n_windows"), F.min("line").alias("first_line"), F.min("word").alias("first_word"), F.max("dice").alias("dice")
+    )
+
+
+def _literal(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same over ``documents`` in DuckDB's SQL."""
-    sets = {name: _template(t) for name, t in (templates or TEMPLATES).items()}
-    values = ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in sets.items() if grams)
+    """The same over ``documents`` in DuckDB's SQL: every line, and every window of texts with any of its bigrams, against every template."""
+    rows = ", ".join(f"('{name}', {len(_words(t))}, [{', '.join(repr(g) for g in _template(t))}])" for name, t in (TEMPLATES if templates is None else templates).items() if _template(t))
+    clean = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
-        WITH t(license, b) AS (VALUES {values}),
+        WITH t(license, n, b) AS (VALUES {rows}),
         l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-        w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM l),
-        g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2)
-        SELECT doc_id, CAST(line AS BIGINT) AS line, license, CAST(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS DOUBLE) AS dice
-        FROM g, t WHERE 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) >= {threshold}"""
+        w AS (SELECT doc_id, line, string_split({clean.format('raw')}, ' ') AS w FROM l),
+        d AS (SELECT doc_id, string_split({clean.format('text')}, ' ') AS w FROM documents),
+        o AS (SELECT d.*, {pairs.format('w')} AS o FROM d WHERE len(w) >= 2),
+        s AS (SELECT doc_id, license, b, n, w, unnest(list_distinct(list_concat(range(0, greatest(0, len(w) - n) + 1, greatest(1, n // {STEP})), [greatest(0, len(w) - n)]))) AS s FROM o, t WHERE list_has_any(o, b)),
+        v AS (SELECT doc_id, license, b, s + 1 AS word, w[s + 1:s + n] AS w FROM s),
+        g AS (SELECT doc_id, license, line, NULL AS word, b, {pairs.format('w')} AS g FROM w, t WHERE len(w) >= 2
+            UNION ALL SELECT doc_id, license, NULL, word, b, {pairs.format('w')} FROM v WHERE len(w) >= 2),
+        x AS (SELECT doc_id, license, line, word, CAST(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS DOUBLE) AS dice FROM g)
+        SELECT doc_id, license, count(line) AS n_lines, count(word) AS n_windows, CAST(min(line) AS BIGINT) AS first_line, CAST(min(word) AS BIGINT) AS first_word, max(dice) AS dice
+        FROM x WHERE dice >= {threshold} GROUP BY 1, 2"""

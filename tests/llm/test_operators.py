@@ -380,22 +380,38 @@ def test_probabilities_of_a_context_add_up():
 
 
 def test_license_scan_against_python(spark):
-    rows = [(1, "Released under the MIT License.\nfoo bar"), (2, "released UNDER the mit license"), (3, None), (4, ""), (5, "All rights reserved."), (6, "all rights"), (7, "Licensed under the Apache License, Version 2.1."), (7, "x\n\nAll rights reserved, all rights reserved")]
-    got = {(r["doc_id"], r["line"], r["license"], round(r["dice"], 6)) for r in licenses.scan(documents(spark, rows)).collect()}
-
-    def grams(t):
-        w = re.sub("[^a-z0-9]+", " ", t.lower()).split()
+    whole = " ".join(licenses.TEMPLATES["MIT text"].split())
+    changed = whole.replace("Software", "Program").replace("free of charge", "at no cost").replace("AUTHORS", "WRITERS", 1)
+    rows = [
+        (1, "Released under the MIT License.\nfoo bar"), (2, "released UNDER the mit license"), (3, None), (4, ""), (5, "All rights reserved."), (6, "all rights"),
+        (7, "Licensed under the Apache License, Version 2.1."), (7, "x\n\nAll rights reserved, all rights reserved"), (8, "Copyright 2024 X. All rights reserved. More words follow here"),
+        (9, "Licensed under the Apache\nLicense, Version 2.0 for all"), (10, "foo " * 300 + whole.replace(" ", "\n", 40) + " bar" * 5000), (11, changed), (12, "A file. " + licenses.TEMPLATES["GPL-3.0 header"]),
+        (13, "the " * 20000), (14, "of"),
+    ]
+
+    def grams(w):
         return set(zip(w, w[1:], strict=False))
 
-    want = set()
+    def words(t):
+        return re.sub("[^a-z0-9]+", " ", t.lower()).split()
+
+    want = {}
     for i, t in rows:
-        for n, line in enumerate((t or "").split("\n"), 1):
-            for name, template in licenses.TEMPLATES.items():
-                a, b = grams(line), grams(template)
-                if a and 2 * len(a & b) / (len(a) + len(b)) >= licenses.THRESHOLD:
-                    want.add((i, n, name, round(2 * len(a & b) / (len(a) + len(b)), 6)))
-    assert got == want and len(want) >= 4
-    assert licenses.scan(documents(spark, [])).count() == 0
+        for name, template in licenses.TEMPLATES.items():
+            n, b, w = len(words(template)), grams(words(template)), words(t or "")
+            last = max(0, len(w) - n)
+            places = [("line", k, grams(words(line))) for k, line in enumerate((t or "").split("\n"), 1)]
+            places += [("word", s + 1, grams(w[s : s + n])) for s in sorted({*range(0, last + 1, max(1, n // 8)), last})]
+            for kind, k, a in places:
+                dice = 2 * len(a & b) / (len(a) + len(b))
+                if a and dice >= licenses.THRESHOLD:
+                    x = want.setdefault((i, name), {"line": [], "word": [], "dice": 0})
+                    x[kind].append(k)
+                    x["dice"] = max(x["dice"], dice)
+    got = {(r["doc_id"], r["license"]): (r["n_lines"], r["n_windows"], r["first_line"], r["first_word"], round(r["dice"], 6)) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {k: (len(x["line"]), len(x["word"]), min(x["line"], default=None), min(x["word"], default=None), round(x["dice"], 6)) for k, x in want.items()}
+    assert {(8, "Proprietary"), (9, "Apache-2.0"), (10, "MIT text"), (11, "MIT text"), (12, "GPL-3.0 header")} <= set(got)
+    assert licenses.scan(documents(spark, [])).count() == 0 and licenses.scan(documents(spark, rows), templates={}).count() == 0
 
 
 # --- 9: toxicity
