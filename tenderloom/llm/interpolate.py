@@ -32,7 +32,7 @@ U64 = np.uint64
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 ADD = 0.1
 #: Blocks for each bucket, and blocks in a task (on average).
-PER_BUCKET, PER_TASK = 8, 2
+PER_BUCKET, PER_TASK = 4, 2
 #: Steps of a factor of two in the table on which the weights are learned.
 STEPS = 8
 COUNTS = "kind int, bucket int, block bigint, keys binary, rest binary, held binary"
