@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components
+from .store import written
+
 SLOTS = 256
 PERIOD = 1 << 13
 _SEED = 20240229
@@ -145,67 +148,140 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"greatest(0D, ({equal} / {SLOTS}D - 0.0625D) * 16D / 15D)")
 
 
-def band_links(prints: DataFrame, *, id: str = "doc_id", fingerprint: str = "fingerprint", bands: int = 32, least: float = 0.8) -> DataFrame:
-    """(id, leader, likeness): bit-sampled banding, then verification on whole fingerprints.
+def _nibbles(prints: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(prints).encode(), dtype=np.uint8).reshape(-1, SLOTS)
+
 
-    A band is a run of neighbouring slots (slots sample independent steps).
-    Every document is compared with the smallest id of each of its buckets, so
-    a bucket of n documents gives n - 1 candidates, never all pairs; equal
-    fingerprints are grouped first.  Rows without an id or fingerprint have no
-    links; repeated rows count once.
+def band_links(prints: DataFrame, *, id: str = "doc_id", fingerprint: str = "fingerprint", bands: int = 32, least: float = 0.8, block: int = 512) -> DataFrame:
+    """(id, other, likeness): links between distinct fingerprints of at least ``least`` likeness that share a band, enough to connect all of them.
+
+    A band is a run of neighbouring slots (slots sample independent steps);
+    equal fingerprints are grouped first, each group stands as its smallest id.
+    First every member of a bucket is compared with the bucket's smallest id, n
+    - 1 candidates for n members.  Buckets whose members are then of several
+    components are compared whole: all members outside of the largest component
+    with all members, in blocks of at most about ``block`` that large buckets
+    are split into.  Rows without an id or fingerprint have no links; rows with
+    one id and several fingerprints are left to the smallest.
     """
+    kind = prints.schema[id].dataType.simpleString()
     width = SLOTS // bands
-    one = prints.where(F.col(fingerprint).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(fingerprint).alias("f")).agg(F.min(id).alias("i"))
-    banded = one.select("i", "f", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), b -> struct(b as n, substr(f, b * {width} + 1, {width}) as v))")).alias("b")).select("i", "b.n", "b.v")
-    leaders = banded.groupBy("n", "v").agg(F.min("i").alias("l"))
-    pairs = banded.join(leaders, ["n", "v"]).where("i <> l").select("i", "l").distinct()
+    one = written(_classes(prints, id, fingerprint).groupBy("f").agg(F.min("i").alias("i")), "prints")
+    banded = one.select("i", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substr(f, b * {width} + 1, {width})))")).alias("n", "v")).select("i", "n", "v")
+    leaders = banded.groupBy("v").agg(F.min("i").alias("l"), F.count("*").alias("all")).where("`all` > 1")
+    shared = written(banded.join(leaders, "v"), "shared")
+    pairs = shared.where("i <> l").select("i", "l").distinct()
     near = pairs.join(one.select("i", F.col("f").alias("fi")), "i").join(one.select(F.col("i").alias("l"), F.col("f").alias("fl")), "l")
-    near = near.select("i", "l", likeness("fi", "fl").alias("likeness")).where(F.col("likeness") >= least)
-    same = prints.select(F.col(id).alias("d"), F.col(fingerprint).alias("f")).join(one, "f").where("d <> i").select(F.col("d").alias("i"), F.col("i").alias("l"), F.lit(1.0).alias("likeness")).distinct()
-    return near.unionByName(same).select(F.col("i").alias(id), F.col("l").alias("leader"), "likeness")
+    near = written(near.select("i", F.col("l").alias("o"), likeness("fi", "fl").alias("likeness")).where(F.col("likeness") >= least), "near")
+
+    parts = components(near, "i", "o")
+    members = shared.where("`all` > 2").join(parts, shared["i"] == parts["node"], "left").select("n", "v", "i", F.coalesce("component", "i").alias("c"))
+    counts = members.groupBy("v", "c").agg(F.count("*").alias("n"))
+    buckets = counts.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    buckets = buckets.select("v", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("sb"), F.ceil(F.col("all") / block).cast("int").alias("mb"))
+    open_ = written(members.join(buckets, "v"), "members").join(one, "i")
+    block_of = lambda n: F.pmod(F.xxhash64("i"), n).cast("int")
+    seekers = open_.where("c <> main").select("v", "n", "i", "c", "f", F.lit(True).alias("seeks"), block_of(F.col("sb")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
+    others = open_.select("v", "n", "i", "c", "f", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), block_of(F.col("mb")).alias("m"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        prints, band = _nibbles(group.column("f").to_pylist()), group.column("n")[0].as_py()
+        c, ids = group.column("c").combine_chunks().dictionary_encode().indices.to_numpy().copy(), group.column("i")
+        seeks, found = group.column("seeks").to_numpy(zero_copy_only=False), []
+        right = np.flatnonzero(~seeks)
+        for i in np.flatnonzero(seeks):
+            mine = right[c[right] != c[i]]
+            equal = prints[mine] == prints[i]
+            value = np.maximum(0.0, (equal.sum(axis=1) / SLOTS - 1 / 16) * 16 / 15)
+            # a pair belongs to the first band that it shares
+            first = equal[:, : (band + 1) * width].reshape(len(mine), band + 1, width).all(axis=2).argmax(axis=1) == band
+            for at in np.flatnonzero(first & (value >= least)):
+                j = mine[at]
+                if c[j] != c[i]:
+                    found.append((i, j, value[at]))
+                    c[c == c[j]] = c[i]
+        rows = [pa.array([x[n] for x in found], t) for n, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))]
+        return pa.table([ids.take(rows[0]), ids.take(rows[1]), rows[2]], names=["i", "o", "likeness"])
+
+    rest = seekers.unionByName(others).groupBy("v", "s", "m").applyInArrow(compare, f"i {kind}, o {kind}, likeness double").dropDuplicates(["i", "o"])
+    return near.unionByName(written(rest, "rest")).select(F.col("i").alias(id), F.col("o").alias("other"), "likeness")
+
+
+def _classes(prints: DataFrame, id: str, fingerprint: str) -> DataFrame:
+    known = prints.where(F.col(fingerprint).isNotNull() & F.col(id).isNotNull())
+    return known.groupBy(F.col(id).alias("i")).agg(F.min(fingerprint).alias("f"))
+
+
+def near_classes(prints: DataFrame, *, id: str = "doc_id", fingerprint: str = "fingerprint", least: float = 0.8) -> DataFrame:
+    """(id, class_id, n_links): for each id with a fingerprint the smallest id that links reach, itself included, and how many links found name its fingerprint."""
+    rows = written(_classes(prints, id, fingerprint), "classes")
+    links = written(band_links(rows.select(F.col("i").alias(id), F.col("f").alias(fingerprint)), id=id, fingerprint=fingerprint, least=least), "links")
+    parts = components(links, id, "other")
+    degree = links.select(F.explode(F.array(id, "other")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    stands = rows.groupBy("f").agg(F.min("i").alias("r"))
+    found = stands.join(parts, stands["r"] == parts["node"], "left").drop("node").join(degree, F.col("r") == degree["node"], "left")
+    found = found.select("f", F.coalesce("component", "r").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(found, "f").select(F.col("i").alias(id), "class_id", "n_links")
+
+
+def _range_of(bounds: list, kind: str) -> Column:
+    """How many of the sorted bounds are above d: first among every so many of them, then within those."""
+    if not bounds:
+        return F.lit(0)
+    some = max(1, int(len(bounds) ** 0.5))
+    rows = [bounds[i : i + some] for i in range(0, len(bounds), some)]
+    typed = lambda values: F.array(*(F.lit(v).cast(kind) for v in values))
+    below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("d")))
+    row = F.greatest(below(typed([r[0] for r in rows])) - 1, F.lit(0))
+    return len(bounds) - row * some - below(F.element_at(F.array(*map(typed, rows)), row + 1))
 
 
 def edited_probe(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part_bytes: int = 6 << 20) -> DataFrame:
     """Each text against an edited one, whose last third is taken from the next document by descending id.
 
-    Documents are dealt to ranges of ids and sorted there; the first document
-    of every range is also sent to the range before it, so no document needs
-    more than its own range.  Rows with equal ids follow one another by text; rows
-    without an id are left out, as they have no place in the order.  There are
-    4096 ranges at most: a range is a sorted stream, so its size is not bound
-    to memory, and its borders are a few literals in the plan.
+    Ids may be of any type that has an order.  Documents are dealt to ranges of
+    ids and sorted there; the first document of every range is also sent to the
+    range before it, so no document needs more than its own range.  Rows with
+    equal ids follow one another by text; rows without an id are left out, as
+    they have no place in the order.  There are 65,536 ranges at most: a range
+    is a sorted stream, so its size is not bound to memory, and its borders are
+    literals in the plan.  Runs the jobs that find them at once.
     """
     kind = docs.schema[id].dataType.simpleString()
     slim = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    count = min(4096, max(1, -(-total // part_bytes)))
-    bounds = sorted(set(slim.approxQuantile("d", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
-    bucket = F.expr(f"{len(bounds)} - size(filter(array({', '.join(f'{b!r}D' for b in bounds)}), x -> x <= d))") if bounds else F.lit(0)
-    dealt = slim.withColumn("p", bucket.cast("int"))
+    count = min(1 << 16, max(1, -(-total // part_bytes)))
+    firsts = slim.select("d").repartitionByRange(count, "d").groupBy(F.spark_partition_id()).agg(F.min("d").alias("d")).collect() if count > 1 else []
+    dealt = slim.withColumn("p", _range_of(sorted(r["d"] for r in firsts)[1:], kind).cast("int"))
     first = {r["p"]: r["d"] for r in dealt.groupBy("p").agg(F.max("d").alias("d")).collect()}  # a number for each range
     ranges = sorted(first)
     if ranges:
         before = dict(zip(ranges, [ranges[-1], *ranges[:-1]], strict=True))
-        copies = F.create_map(*[x for p in ranges for x in (F.lit(first[p]), F.lit(before[p]))])
-        to = copies[F.col("d")]
+        # only the first document of its own range goes to another one as well
+        is_first = F.element_at(F.array(*(F.lit(first.get(p, first[ranges[0]])).cast(kind) for p in range(ranges[-1] + 1))), F.col("p") + 1) == F.col("d")
+        to = F.when(is_first, F.element_at(F.array(*(F.lit(before.get(p, 0)) for p in range(ranges[-1] + 1))), F.col("p") + 1))
         dealt = dealt.select("d", "t", F.explode(F.filter(F.array(F.struct("p", F.lit(False).alias("copy")), F.struct(to.alias("p"), F.lit(True).alias("copy"))), lambda x: x["p"].isNotNull())).alias("x")).select("x.p", "x.copy", "d", "t")
     else:
         dealt = dealt.select("p", F.lit(False).alias("copy"), "d", "t")
     dealt = dealt.repartitionByRange(max(1, len(ranges)), "p").sortWithinPartitions("p", "copy", F.col("d").desc(), "t")
 
+    id_type = None
+
     def probe(rows: list[tuple], out: list[str]) -> pa.RecordBatch:
         """rows: documents in order, each but the last with its successor behind it."""
         edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for (_, t), (_, u) in zip(rows, rows[1:], strict=False)]
         prints, changed = fingerprints_of([t for _, t in rows]), fingerprints_of(edited)
         near = [[likeness_of(f, g) for f, g in zip(prints, x, strict=False)] for x in (changed, prints[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows[:-1]], pa.int64()), pa.array([len(t) for _, t in rows[:-1]], pa.int64()), pa.array(edited, pa.string()), pa.array(prints[:-1], pa.string()), pa.array(changed, pa.string()), *(pa.array(x, pa.float64()) for x in near)], names=out)
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows[:-1]], id_type), pa.array([len(t) for _, t in rows[:-1]], pa.int64()), pa.array(edited, pa.string()), pa.array(prints[:-1], pa.string()), pa.array(changed, pa.string()), *(pa.array(x, pa.float64()) for x in near)], names=out)
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal id_type
         out = ["d", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         held, size, now, copied = [], 0, None, False
         for batch in arrow:
             for i in range(0, batch.num_rows, 256):
-                few = batch.slice(i, 256).to_pydict()
+                few, id_type = batch.slice(i, 256).to_pydict(), batch.schema.field("d").type
                 for p, copy, d, t in zip(few["p"], few["copy"], few["d"], few["t"], strict=True):
                     if p != now:  # the range before ended with its copy
                         if len(held) > 1:

@@ -29,6 +29,12 @@ def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def edit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2's banding and verification: the class of each document by fingerprints."""
+    prints = editprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return editprint.near_classes(written(prints, "prints"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", language.markup_language(html).alias("declared"), language.visible_text(html).alias("text"))
@@ -87,6 +93,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_edit_fingerprints": op2_edit_fingerprints,
+    "edit_neighbours": edit_neighbours,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,

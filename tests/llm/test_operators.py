@@ -90,13 +90,71 @@ def test_contamination_of_empty_tables(spark):
 def test_fingerprints_follow_edits(spark):
     random.seed(1)
     base = "".join(random.choice("abcdefgh ") for _ in range(3000))
-    near = base[:1000] + "xyz" + base[1004:]
+    near = base[:100] + "xyz" + base[104:1500] + base[1502:2500] + "--" + base[2500:]
     other = "".join(random.choice("abcdefgh ") for _ in range(3000))
     a, b, c, d, e, f = editprint.fingerprints_of([base, near, other, base, "", ""])
     assert a == d and e == f and len(a) == editprint.SLOTS
-    assert editprint.likeness_of(a, b) > 0.9 > 0.2 > editprint.likeness_of(a, c)
+    assert 1 > editprint.likeness_of(a, b) > 0.8 > 0.2 > editprint.likeness_of(a, c)
     links = editprint.band_links(editprint.fingerprints(documents(spark, [(1, base), (2, near), (3, other), (4, base), (5, None)]).select("doc_id", "text")))
-    assert {(r["doc_id"], r["leader"]) for r in links.collect()} == {(2, 1), (4, 1)}
+    assert {(r["doc_id"], r["other"]) for r in links.collect()} == {(2, 1)}
+
+
+def test_likeness_follows_edit_distance():
+    """The more characters are changed, the less alike; one in two hundred keeps most, one in ten leaves little."""
+    rng = random.Random(11)
+    mean = []
+    for share in (0.0, 0.005, 0.01, 0.02, 0.05, 0.1):
+        near = []
+        for _ in range(40):
+            a = [rng.choice("abcdefgh ") for _ in range(1500)]
+            b = list(a)
+            for _ in range(int(share * len(a))):
+                k = rng.randrange(len(b))
+                b[k : k + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+            near.append(editprint.likeness_of(*editprint.fingerprints_of(["".join(a), "".join(b)])))
+        mean.append(float(np.mean(near)))
+    assert mean[0] == 1.0 and all(x > y for x, y in zip(mean, mean[1:], strict=False)) and mean[1] > 0.6 > 0.3 > mean[-1], mean
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_classes_match_all_pairs(spark, block, monkeypatch):
+    """Texts that share a long part with a smaller id that is unlike them, near copies, equal texts, and a bucket of many."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, rows = make(1500), []
+    for _ in range(12):
+        own = common + make(900)
+        rows += [own, own[:2000] + "#" + own[2001:], own + "!"]
+    rows += [rows[4], rows[4], "", "", make(400)]
+    table = [(f"k{i:03d}", t) for i, t in enumerate(rows)]
+    table += [(None, rows[0]), ("k000", rows[0])]
+    docs = spark.createDataFrame(table, "key string, text string")
+    prints = editprint.fingerprints(docs, text="text")
+    whole = editprint.band_links
+    monkeypatch.setattr(editprint, "band_links", lambda *a, **k: whole(*a, **k, block=block))
+    got = {r["key"]: r["class_id"] for r in editprint.near_classes(prints, id="key").collect()}
+    ids, marks = [i for i, _ in table if i][:-1], editprint.fingerprints_of([t for i, t in table if i][:-1])
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in zip(ids, marks, strict=True):
+        for j, b in zip(ids, marks, strict=True):
+            if i < j and editprint.likeness_of(a, b) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert got == {i: top(i) for i in ids} and len(set(got.values())) > 10
+    assert editprint.near_classes(prints.limit(0), id="key").count() == 0
+
+
+def test_edited_probe_with_text_ids_and_repeated_rows(spark):
+    rows = [("b", "bbbbbb"), ("a", "aaaaaa"), ("c", None), ("b", "bbb"), (None, "none"), ("d", "d" * 3000), ("e", "é" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("d", F.lit(1)).withColumn("p", F.lit(2))
+    for part in (3, 1 << 20):
+        got = sorted((r["doc_id"], r["n_chars"], r["edited"]) for r in editprint.edited_probe(docs, part_bytes=part).collect())
+        assert got == sorted([("e", 9, "é" * 6 + "ddd"), ("d", 3000, "d" * 2000), ("c", 0, ""), ("b", 3, "bbb"), ("b", 6, "bbbbaa"), ("a", 6, "aaaaéé")])
 
 
 def test_edited_probe_takes_the_next_document(spark, texts):
