@@ -2,7 +2,7 @@
 
 A written table cuts the lineage, survives a lost executor and is computed
 once.  The folder is the session's ``spark.checkpoint.dir``; only where a
-session has none (tests, a laptop) a temporary one is made.
+session in local mode has none (tests, a laptop) a temporary one is made.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")

@@ -151,17 +151,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, label: str, train: Column, id: str = "doc_id", text: str = "text", each: int = 2500, longest: int = 65536) -> tuple[list[tuple[str, int]], float]:
-    """At most ``each`` training rows of either label, of texts up to ``longest`` bytes, chosen by a hash of the id, and the share of label 1 among all.
+    """At most ``each`` training rows of either label, chosen by a hash of the id, and the share of label 1 among all.
 
-    Null ids, labels and texts are left out; of several labels of one id the
-    largest counts, of several texts the first in order.
+    Rows are bounded, not which texts may teach: of a text of more than
+    ``longest`` characters a stretch of that many, chosen by a hash of the id,
+    is taken.  Null ids, labels and texts are left out; of several labels of one
+    id the largest counts, of several texts the first in order.
     """
     known = labels.where(train & F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("d")).agg(F.max(label).cast("int").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
     best = known.where("y = 0").orderBy(F.xxhash64("d"), "d").limit(each).unionByName(known.where("y = 1").orderBy(F.xxhash64("d"), "d").limit(each))
-    short = docs.select(F.col(id).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") <= longest)
-    # one text for each chosen id: no more than 2 * each texts of ``longest`` bytes reach the driver
-    found = short.join(F.broadcast(best), "d").groupBy("d").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    texts = docs.select(F.col(id).alias("d"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    begin = F.when(F.length("t") > longest, F.pmod(F.xxhash64("d"), F.length("t") - longest + 1).cast("int")).otherwise(0)
+    # one text for each chosen id: no more than 2 * each texts of ``longest`` characters reach the driver
+    found = texts.join(F.broadcast(best), "d").select("d", "y", F.substring("t", begin + 1, F.lit(longest)).alias("t")).groupBy("d").agg(F.min("t").alias("t"), F.max("y").alias("y"))
     rows = sorted((r["d"], r["t"], r["y"]) for r in found.collect())
     rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
     return [(t, y) for _, t, y in rows], float(share)

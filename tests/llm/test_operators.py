@@ -503,6 +503,18 @@ def test_toxicity_by_combinations_of_ordinary_words():
     assert right.mean() > 0.9
 
 
+def test_long_texts_may_teach(spark):
+    """All toxic rows are longer than the stretch that is taken of a row."""
+    rng = random.Random(3)
+    make = lambda n: " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(n, make(400) if n % 2 else make(40)) for n in range(20)] + [(20, None), (21, ""), (None, "x"), (1, "zz")]
+    labels = spark.createDataFrame([(n, n % 2) for n in range(22)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    got, share = toxicity.sample(documents(spark, rows), labels, label="toxic", train=F.lit(True), longest=500)
+    whole = {t for _, t in rows if t}
+    assert len(got) == 21 and sum(y for _, y in got) == 11 and abs(share - 0.5) < 1e-9
+    assert all(len(t) <= 500 and (not t or any(t in w for w in whole)) for t, _ in got) and sum(len(t) == 500 for t, _ in got) >= 9
+
+
 def test_windows_lose_nothing():
     random.seed(6)
     for n in (0, 1, 31, 32, 33, 500):
