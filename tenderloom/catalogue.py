@@ -9,10 +9,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import portal_queries
 from .functions import scalars as fn
 from .functions.matching import sql_condition
 from .functions.profile import Agency, Capability, Profile
-from .operators import cdc, ordering, reminders, retrieval, scoring
+from .operators import cdc, ordering, reminders, retrieval, scoring, workflow
 from .plans import metrics, serving
 from .plans.serving import Filters, default_view
 from .plans.views import AS_OF, Views, with_views
@@ -65,7 +66,10 @@ def lists(name: str, f: Filters, where: str, order: str) -> None:
 DUE, SCORE, NEWEST, RELEVANCE = "due_date ASC NULLS LAST", "pursuit_score DESC NULLS LAST", "first_seen_at DESC NULLS FIRST", "relevance_score DESC NULLS LAST"
 lists("list_actionable", default_view(), f"pursuit_bucket IN ('PURSUE','CAPTURE_REVIEW') AND due_date >= {T} + INTERVAL 10 DAY", SCORE)
 lists("list_search", Filters(search="blue, 100%", sort="relevance"), "(title ILIKE '%blue  100 %' OR agency ILIKE '%blue  100 %' OR external_id ILIKE '%blue  100 %')".replace("100 %", "100%"), RELEVANCE)
-lists("list_search_title", Filters(search="gear", sort="relevance"), "concat_ws('|', title, agency, external_id) ILIKE '%gear%'", RELEVANCE)
+lists("list_search_title", Filters(search="gear", sort="relevance"), "lower(title) LIKE '%gear%' OR lower(agency) LIKE '%gear%' OR lower(external_id) LIKE '%gear%'", RELEVANCE)
+lists("list_search_cleaned", Filters(search="%promo,hot", sort="relevance"), "(title ILIKE '%promo hot%' OR agency ILIKE '%promo hot%' OR external_id ILIKE '%promo hot%')", RELEVANCE)
+lists("list_search_id", Filters(search="OPP-12", sort="newest"), "(title ILIKE '%OPP-12%' OR agency ILIKE '%OPP-12%' OR external_id ILIKE '%OPP-12%')", NEWEST)
+lists("list_assigned_standard", Filters(assigned_to=7, urgency="STANDARD"), "assigned_to = 7 AND urgency = 'STANDARD'", NEWEST)
 lists("list_state_setaside", Filters(state="ASIA", set_aside="WOSB", sort="due"), "s.state = 'ASIA' AND set_aside_list LIKE 'WOSB%'", DUE)
 lists("list_any_setaside_vehicle", Filters(set_aside="ANY", vehicle="ANY", relevance_min=40), "set_aside_list <> '' AND contract_vehicle IS NOT NULL AND relevance_score >= 40", NEWEST)
 lists("list_due_window", Filters(open_only=True, due_from=datetime(1998, 8, 2), due_before=datetime(1998, 8, 9), sort="due", limit=8), f"status IN {OPEN_SQL} AND due_date >= {T} AND due_date <= {T} + INTERVAL 7 DAY", DUE)
@@ -495,3 +499,180 @@ def _(v):
     rows = v.opportunities.where("bid_recommendation = 'BID'").join(done, "id", "left_anti").join(has, "id", "left").where(F.col("has") | F.col("source_id").isin(3, 5))
     top = rows.select("id", "relevance_score", F.coalesce("has", F.lit(False)).alias("has")).orderBy(F.desc("has"), F.desc_nulls_last("relevance_score"), "id").limit(800)
     return top.select("id", F.expr("cast(row_number() over (order by has desc, relevance_score desc nulls last, id) as bigint)").alias("rank"))
+
+
+# --- daily work, lists and lookups ----------------------------------------------------------------
+
+
+@query("source_newest", "SELECT id, rank FROM (SELECT id, CAST(row_number() OVER (ORDER BY first_seen_at DESC NULLS FIRST, id) AS INTEGER) AS rank FROM opportunities WHERE source_id IN (SELECT id FROM sources WHERE slug = 'nation_3')) WHERE rank <= 200", O, S)
+def _(v):
+    return serving.of_source(v.opportunities, v.sources, "nation_3").select("id", "rank")
+
+
+METHOD = "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 'llm' ELSE 'rules' END"
+
+
+@query("list_not_model_scored", f"SELECT id, rank FROM (SELECT id, CAST(row_number() OVER (ORDER BY first_seen_at ASC NULLS LAST, id) AS INTEGER) AS rank FROM opportunities WHERE {METHOD} <> 'llm') WHERE rank <= 50", O)
+def _(v):
+    return serving.not_model_scored(v.opportunities.withColumn("relevance_method", F.expr(METHOD))).select("id", "rank")
+
+
+@query("document_state", """SELECT opportunity_id, count_if(here AND NOT failed) AS downloaded, count_if(address AND NOT here) AS pending FROM (SELECT *, part % 3 = 0 AS here, part % 6 = 0 AS failed, part % 4 <> 1 AS address FROM children) GROUP BY 1""", "children")
+def _(v):
+    rows = v.children.select("opportunity_id", F.expr("case when part % 3 = 0 then 1 end").alias("downloaded_at"), F.expr("case when part % 6 = 0 then 'failed' when part % 3 = 0 then 'parsed' end").alias("parse_status"), F.expr("case when part % 4 <> 1 then 'x' end").alias("source_url"))
+    return serving.document_state(rows).groupBy("opportunity_id").agg(F.count_if("downloaded").alias("downloaded"), F.count_if("pending").alias("pending"))
+
+
+def notices(v: Views) -> DataFrame:
+    return v.table("events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), (F.col("event_id") % 3 == 0).alias("is_read"))
+
+
+@query("notifications_newest", "SELECT id, rank FROM (SELECT event_id AS id, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 50")
+def _(v):
+    return serving.notifications(notices(v)).select("id", "rank")
+
+
+@query("notifications_unread", "SELECT id, rank FROM (SELECT event_id AS id, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events WHERE event_id % 3 <> 0) WHERE rank <= 8")
+def _(v):
+    return serving.notifications(notices(v), unread=True, limit=8).select("id", "rank")
+
+
+@query("recent_runs", "SELECT r.id, s.name AS source_name, r.status, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS rank FROM runs) r LEFT JOIN sources s ON s.id = r.source_id WHERE rank <= 30", "runs", S)
+def _(v):
+    return serving.recent_runs(v.runs, v.sources).select("id", "source_name", "status", "rank")
+
+
+@query("assignees", "SELECT o.id, s_name AS assignee_name FROM opportunities o LEFT JOIN supplier ON s_suppkey = o.assigned_to", O)
+def _(v):
+    users = v.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return serving.with_assignee(v.opportunities, users).select("id", "assignee_name")
+
+
+@query("users_in_order", "SELECT id, CAST(row_number() OVER (ORDER BY CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, name, id) AS INTEGER) AS position FROM (SELECT s_suppkey AS id, s_name AS name FROM supplier)")
+def _(v):
+    role = F.element_at(F.array(*map(F.lit, ("ADMIN", "MANAGER", "VIEWER"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return serving.users_in_order(v.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), role.alias("role")), ("ADMIN", "MANAGER", "VIEWER")).select("id", "position")
+
+
+@query("knowledge_chunks", r"""SELECT doc_id AS id, CASE WHEN n = 0 OR doc_id % 7 = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE CAST(ceil(n / 1050.0) AS BIGINT) END AS chunks FROM (SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents)""")
+def _(v):
+    docs = v.table("documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = docs.where("id % 7 <> 0").select(F.col("id").alias("knowledge_id"), F.explode(ordering.chunks(F.col("text"))).alias("c")).select("knowledge_id")
+    return serving.chunk_counts(docs.select("id"), chunks)
+
+
+@query("response_export", "SELECT r.opportunity_id, r.turn, o.title, o.agency FROM responses r JOIN opportunities o ON o.id = r.opportunity_id", "responses", O)
+def _(v):
+    return serving.export_rows(v.responses, v.opportunities).select("opportunity_id", "turn", "title", "agency")
+
+
+@query("response_total", "SELECT count(*) AS responses FROM responses", "responses")
+def _(v):
+    return v.responses.agg(F.count("*").alias("responses"))
+
+
+@query("by_status", "SELECT status, n, max(n) OVER () AS most FROM (SELECT status, count(*) AS n FROM opportunities GROUP BY 1)", O)
+def _(v):
+    return metrics.with_bar_max(metrics.by_status(v.opportunities))
+
+
+@query("rescore_histogram", score_sql(spine_sql("bucket", metrics.BUCKETS, "SELECT bucket_now AS bucket FROM y")), O, S)
+def _(v):
+    return metrics.bucket_histogram(scored(v, "id", "bucket"))
+
+
+@query("change_bucket_tallies", CHANGES + "SELECT " + ", ".join(f"count_if(change IN ('NEW','AMENDED') AND pursuit_bucket = '{b}') AS {b.lower()}" for b in metrics.BUCKETS) + " FROM d", O)
+def _(v):
+    return workflow.bucket_tallies(classified(v), metrics.BUCKETS)
+
+
+@query("survivors", "SELECT id, position FROM (SELECT id, CAST(row_number() OVER (ORDER BY source_id, id) AS INTEGER) AS position FROM opportunities WHERE coalesce(excluded_reason, '') = '') WHERE position <= 80", O)
+def _(v):
+    return workflow.survivors(v.opportunities, F.col("source_id"), F.col("id")).select("id", "position")
+
+
+@query("verdict_merge", """SELECT id, CASE WHEN id % 4 = 1 THEN CAST(id % 101 AS INTEGER) ELSE relevance_score END AS relevance_score, CASE WHEN id % 4 = 1 THEN CASE WHEN id % 3 = 0 THEN 'BID' ELSE 'NO_BID' END WHEN relevance_score IS NULL THEN 'REVIEW' WHEN relevance_score >= 70 THEN 'BID'
+    WHEN relevance_score >= 40 THEN 'REVIEW' ELSE 'NO_BID' END AS bid_recommendation, CASE WHEN id % 4 = 1 THEN 'llm' ELSE 'rules' END AS relevance_method FROM opportunities""", O)
+def _(v):
+    verdicts = v.opportunities.where("id % 4 = 1").select("id", (F.col("id") % 101).cast("int").alias("score"), F.when(F.col("id") % 3 == 0, "BID").otherwise("NO_BID").alias("recommendation"), F.lit("r").alias("reason"))
+    return workflow.merge_verdicts(v.opportunities.select("id", "relevance_score"), verdicts, fallback=True).select("id", "relevance_score", "bid_recommendation", "relevance_method")
+
+
+@query("status_changes", f"""SELECT id, status AS old_value, v AS new_value, CASE WHEN id % 2 = 0 THEN 'amy' ELSE 'user' END AS changed_by, CASE WHEN v = 'CLOSED' THEN {T} END AS closed_at FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS v FROM opportunities WHERE id % 5 = 0) WHERE v IS DISTINCT FROM status""", O)
+def _(v):
+    changes = v.opportunities.where("id % 5 = 0").select("id", F.when(F.col("id") % 3 == 0, "CLOSED").otherwise("OPEN").alias("value"), F.when(F.col("id") % 2 == 0, "amy").alias("actor"), F.lit(None).cast("string").alias("reason"))
+    return workflow.status_changes(v.opportunities, changes, v.as_of).select("id", "old_value", "new_value", "changed_by", "closed_at")
+
+
+@query("approvals", "SELECT opportunity_id, 'Response approved: ' || coalesce(CASE WHEN turn % 2 = 0 THEN mode END, 'draft') AS title, 'info' AS severity FROM responses WHERE (opportunity_id + turn) % 4 = 0", "responses")
+def _(v):
+    rows = v.responses.select(F.struct("opportunity_id", "turn").alias("id"), "opportunity_id", F.when(F.col("turn") % 2 == 0, F.col("mode")).alias("title"))
+    changes = rows.select("id", F.when((F.col("id.opportunity_id") + F.col("id.turn")) % 4 == 0, "APPROVED").otherwise("DRAFT").alias("status"))
+    return workflow.approvals(rows, changes).select("opportunity_id", "title", "severity")
+
+
+def last_outcomes(v: Views) -> DataFrame:
+    return metrics.latest_runs(v.runs).select("source_id", F.when(F.col("status") == "failed", "failed").otherwise("success").alias("outcome"), F.col("started_at").alias("at"), F.concat(F.lit("run "), F.col("run_id").cast("string")).alias("log"))
+
+
+LATEST = "(SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) AS n FROM runs)"
+
+
+@query("sources_after", f"""SELECT s.id, CASE WHEN r.status = 'failed' THEN 'error' WHEN r.status IS NOT NULL THEN 'active' ELSE 'idle' END AS status, CAST(CASE WHEN r.status = 'failed' THEN s.id % 4 + 1 WHEN r.status IS NOT NULL THEN 0 ELSE s.id % 4 END AS INTEGER) AS consecutive_failures,
+    coalesce(started_at, last_success_at) AS last_run_at, CASE WHEN r.status <> 'failed' THEN started_at ELSE last_success_at END AS last_success_at FROM sources s LEFT JOIN (SELECT * FROM {LATEST} WHERE n = 1 AND source_id % 6 <> 0) r ON r.source_id = s.id""", S, "runs")
+def _(v):
+    sources = v.sources.select("id", F.lit("idle").alias("status"), (F.col("id") % 4).cast("int").alias("consecutive_failures"), F.col("last_success_at").alias("last_run_at"), "last_success_at")
+    return workflow.sources_after(sources, last_outcomes(v).where("source_id % 6 <> 0").drop("log"))
+
+
+@query("failure_alerts", f"SELECT source_id, 'Crawl failed: ' || s.name AS title, 'run ' || r.id AS body, 'critical' AS severity FROM {LATEST} r JOIN sources s ON s.id = r.source_id WHERE n = 1 AND r.status = 'failed'", S, "runs")
+def _(v):
+    return workflow.failure_alerts(v.sources, last_outcomes(v)).select("source_id", "title", "body", "severity")
+
+
+@query("daily_actions", CHANGES + f""", a AS (SELECT 1 AS step, change AS action FROM d WHERE change IN ('NEW','AMENDED','CLOSED','REMOVED') UNION ALL
+    SELECT 2, 'DEADLINE ' || CAST(n AS VARCHAR) FROM (SELECT id, status, CAST(ceil((epoch_us(due_date) - epoch_us({T})) / 86400000000.0) AS INTEGER) AS n FROM opportunities) WHERE status IN {OPEN_SQL} AND n IN (7, 3, 1) UNION ALL
+    SELECT 3, band FROM (SELECT *, CASE WHEN due_date IS NULL THEN 'NO_DATE' WHEN days < 10 THEN 'INSUFFICIENT_TIME' WHEN days <= 20 THEN 'URGENT' WHEN days <= 45 THEN 'STANDARD' ELSE 'EARLY_CAPTURE' END AS band FROM (SELECT *, datediff('day', DATE '{AS_OF[:10]}', CAST(due_date AS DATE)) AS days FROM opportunities))
+    WHERE pursuit_bucket IS NOT NULL AND status NOT IN ('CLOSED','REMOVED','AWARDED','CANCELLED') AND urgency IS DISTINCT FROM band) SELECT CAST(step AS INTEGER) AS step, action, count(*) AS n FROM a GROUP BY 1, 2""", O)
+def _(v):
+    none = v.opportunities.limit(0).select("id", F.lit("DEADLINE").alias("type"), F.lit(0).alias("days_out"))
+    return workflow.daily(classified(v), v.opportunities, none, v.as_of, PROFILE).groupBy("step", "action").agg(F.count("*").alias("n"))
+
+
+@query("topk_labelled", """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS similarity FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3) e, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0) q)
+    SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS rank FROM s) WHERE rank <= 4""")
+def _(v):
+    e = v.table("embeddings")
+    return retrieval.top_k(e.where("label = 3"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), key="vec_id", vector="embedding", query_key="query_id", query_vector="q", k=4)
+
+
+@query("unit_embed", ORACLES["local_embed"].replace("SELECT doc_id, CAST(b AS INTEGER) AS bucket, sum(x) AS weight FROM x GROUP BY 1, 2", ", y AS (SELECT doc_id, CAST(b AS INTEGER) AS bucket, sum(x) AS w FROM x GROUP BY 1, 2) SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM y"))
+def _(v):
+    return retrieval.embed(v.table("documents"), "doc_id", "text", unit=True).withColumn("weight", F.round("weight", 9))
+
+
+@query("vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
+def _(v):
+    return v.table("embeddings").select("vec_id", fn.vector_literal(F.col("embedding")).alias("literal"))
+
+
+@query("absolute_links", r"""SELECT page_id, sha256(string_agg(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || href END, ' ' ORDER BY n)) AS links
+    FROM (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"#][^"]*)"', 1) AS h FROM pages)) WHERE regexp_matches(href, '^(/|[A-Za-z][A-Za-z0-9+.-]*:)') AND NOT regexp_matches(href, '(?i)^(mailto|javascript):') GROUP BY 1""")
+def _(v):
+    from .sources.discovery import anchors
+
+    pages = v.table("pages")
+    links = anchors(pages, "page_id", "html").where(F.rlike("href", F.lit("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"))).join(pages.select("page_id", "url"), "page_id")
+    rows = links.select("page_id", "position", fn.absolute(F.col("url"), F.col("href")).alias("a")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "a"))).alias("l"))
+    return rows.select("page_id", F.sha2(F.array_join(F.transform("l", lambda x: x["a"]), " "), 256).alias("links"))
+
+
+@query("encoded_json", "SELECT id, CAST(CASE WHEN id % 3 < 2 THEN id END AS BIGINT) AS first, CASE WHEN id % 3 < 2 THEN title END AS name FROM opportunities", O)
+def _(v):
+    plain = F.to_json(F.array(F.struct("id", "title")))
+    sent = F.when(F.col("id") % 3 == 0, F.base64(F.encode(plain, "UTF-8"))).when(F.col("id") % 3 == 1, plain).otherwise("neither")
+    read = v.opportunities.select("id", fn.encoded_json(sent, "array<struct<id:bigint,title:string>>").alias("x"))
+    return read.select("id", F.get("x", F.lit(0))["id"].alias("first"), F.get("x", F.lit(0))["title"].alias("name"))
+
+
+portal_queries.register(query)

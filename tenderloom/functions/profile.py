@@ -56,58 +56,67 @@ class Profile:
     general_label: str = field(default="Small Business (general)")
 
 
-def _pipe(text: str) -> tuple[str, ...]:
-    return tuple(text.split("|"))
-
-
 # Phrases, points and bands of the default profile.
 DEFAULT = Profile(
     capabilities=(
-        Capability("program_management", "Program Management", 9, _pipe("Program Management|Project Management|PMO Support|Program Office Support|Project Management Office|Technical Program Management|IT Program Management|Program Support Services|Management Support Services|Enterprise Program Management")),
-        Capability("acquisition_support", "Acquisition Support", 7, _pipe("Acquisition Support|Contract Support|Procurement Support|Contract Administration|Acquisition Management|Federal Acquisition Support|Procurement Operations|Source Selection Support|Contract Closeout|Acquisition Lifecycle")),
-        Capability("it_modernization", "IT Modernization", 10, _pipe("Digital Transformation|Business Process Modernization|IT Modernization|Legacy System Modernization|Modernization Services|Enterprise Modernization")),
-        Capability("application_development", "Application Development", 10, _pipe("Application Development|Software Development|Agile Development|Full Stack Development|DevSecOps|Systems Integration|API Integration|Custom Software Development|Enterprise Application Support|Low Code|Microsoft Power Platform|PowerApps|Power Automate")),
-        Capability("data_analytics", "Data Analytics", 9, _pipe("Data Analytics|Data Management|Business Intelligence|Dashboard Development|Data Warehouse|Data Governance|Data Integration|ETL|SQL|Reporting Services|Power BI|Tableau")),
-        Capability("ai", "AI", 9, _pipe("Artificial Intelligence|AI|Machine Learning|Generative AI|Intelligent Automation|Robotic Process Automation|RPA|AI Enablement|AI Integration|AI Services")),
-        Capability("cloud", "Cloud", 8, _pipe("Cloud Migration|Cloud Engineering|Azure|AWS|Cloud Modernization|Cloud Operations|Cloud Support|Hybrid Cloud")),
-        Capability("cybersecurity", "Cybersecurity", 8, _pipe("Cybersecurity|Information Security|Security Operations|SOC|Vulnerability Management|Zero Trust|Risk Management Framework|Continuous Monitoring|Security Assessment")),
-        Capability("infrastructure", "Infrastructure", 6, _pipe("Infrastructure Support|Enterprise IT|Systems Administration|Network Support|IT Operations|Enterprise Operations")),
-        Capability("service_desk", "Service Desk", 7, _pipe("Service Desk|Help Desk|IT Support|End User Support|Customer Support|Tier 1|Tier 2|Tier 3")),
+        Capability("program_management", "Program Management", 9, ("Program Management", "Project Management", "PMO Support", "Program Office Support", "Project Management Office", "Technical Program Management", "IT Program Management", "Program Support Services", "Management Support Services", "Enterprise Program Management")),
+        Capability("acquisition_support", "Acquisition Support", 7, ("Acquisition Support", "Contract Support", "Procurement Support", "Contract Administration", "Acquisition Management", "Federal Acquisition Support", "Procurement Operations", "Source Selection Support", "Contract Closeout", "Acquisition Lifecycle")),
+        Capability("it_modernization", "IT Modernization", 10, ("Digital Transformation", "Business Process Modernization", "IT Modernization", "Legacy System Modernization", "Modernization Services", "Enterprise Modernization")),
+        Capability("application_development", "Application Development", 10, ("Application Development", "Software Development", "Agile Development", "Full Stack Development", "DevSecOps", "Systems Integration", "API Integration", "Custom Software Development", "Enterprise Application Support", "Low Code", "Microsoft Power Platform", "PowerApps", "Power Automate")),
+        Capability("data_analytics", "Data Analytics", 9, ("Data Analytics", "Data Management", "Business Intelligence", "Dashboard Development", "Data Warehouse", "Data Governance", "Data Integration", "ETL", "SQL", "Reporting Services", "Power BI", "Tableau")),
+        Capability("ai", "AI", 9, ("Artificial Intelligence", "AI", "Machine Learning", "Generative AI", "Intelligent Automation", "Robotic Process Automation", "RPA", "AI Enablement", "AI Integration", "AI Services")),
+        Capability("cloud", "Cloud", 8, ("Cloud Migration", "Cloud Engineering", "Azure", "AWS", "Cloud Modernization", "Cloud Operations", "Cloud Support", "Hybrid Cloud")),
+        Capability("cybersecurity", "Cybersecurity", 8, ("Cybersecurity", "Information Security", "Security Operations", "SOC", "Vulnerability Management", "Zero Trust", "Risk Management Framework", "Continuous Monitoring", "Security Assessment")),
+        Capability("infrastructure", "Infrastructure", 6, ("Infrastructure Support", "Enterprise IT", "Systems Administration", "Network Support", "IT Operations", "Enterprise Operations")),
+        Capability("service_desk", "Service Desk", 7, ("Service Desk", "Help Desk", "IT Support", "End User Support", "Customer Support", "Tier 1", "Tier 2", "Tier 3")),
         Capability("business_analysis", "Business Analysis", 7, ("Business Analysis",)),
     ),
-    labor=tuple(tuple(x.split(" -> ")) for x in _pipe("Program Manager -> program_management|Project Manager -> program_management|Business Analyst -> business_analysis|Functional Analyst -> business_analysis|Technical Writer -> program_management|Solutions Architect -> application_development|Enterprise Architect -> application_development|Database Administrator -> data_analytics|Data Analyst -> data_analytics|Data Engineer -> data_analytics|Software Engineer -> application_development|Software Developer -> application_development|Full Stack Developer -> application_development|Cloud Engineer -> cloud|DevSecOps Engineer -> application_development|Cybersecurity Analyst -> cybersecurity|Help Desk Specialist -> service_desk|Systems Administrator -> infrastructure|Network Engineer -> infrastructure|QA Analyst -> application_development|Test Engineer -> application_development")),
-    technologies=tuple(tuple(x.split(" -> ")) for x in _pipe(".NET -> application_development|C# -> application_development|SQL Server -> data_analytics|SharePoint -> application_development|Microsoft Azure -> cloud|Power BI -> data_analytics|Power Platform -> application_development|Dynamics 365 -> application_development|AWS -> cloud|Azure -> cloud|Kubernetes -> cloud|Docker -> cloud|Terraform -> cloud|Java -> application_development|Python -> application_development|JavaScript -> application_development|React -> application_development|Angular -> application_development|Node.js -> application_development|REST API -> application_development|Oracle -> data_analytics|PostgreSQL -> data_analytics|MySQL -> data_analytics")),
-    functional=_pipe("Administrative Support|Program Support|Business Operations|Technical Assistance|Technical Support|Operational Support|Enterprise Support|Mission Support|Management Consulting|Organizational Change Management"),
-    schedule_terms=_pipe("GSA MAS|Multiple Award Schedule"),
-    vehicle_terms=_pipe("BPA|Blanket Purchase Agreement|Task Order"),
+    labor=(("Program Manager", "program_management"), ("Project Manager", "program_management"), ("Business Analyst", "business_analysis"), ("Functional Analyst", "business_analysis"), ("Technical Writer", "program_management"), ("Solutions Architect", "application_development"), ("Enterprise Architect", "application_development"), ("Database Administrator", "data_analytics"), ("Data Analyst", "data_analytics"), ("Data Engineer", "data_analytics"), ("Software Engineer", "application_development"), ("Software Developer", "application_development"), ("Full Stack Developer", "application_development"), ("Cloud Engineer", "cloud"), ("DevSecOps Engineer", "application_development"), ("Cybersecurity Analyst", "cybersecurity"), ("Help Desk Specialist", "service_desk"), ("Systems Administrator", "infrastructure"), ("Network Engineer", "infrastructure"), ("QA Analyst", "application_development"), ("Test Engineer", "application_development")),
+    technologies=((".NET", "application_development"), ("C#", "application_development"), ("SQL Server", "data_analytics"), ("SharePoint", "application_development"), ("Microsoft Azure", "cloud"), ("Power BI", "data_analytics"), ("Power Platform", "application_development"), ("Dynamics 365", "application_development"), ("AWS", "cloud"), ("Azure", "cloud"), ("Kubernetes", "cloud"), ("Docker", "cloud"), ("Terraform", "cloud"), ("Java", "application_development"), ("Python", "application_development"), ("JavaScript", "application_development"), ("React", "application_development"), ("Angular", "application_development"), ("Node.js", "application_development"), ("REST API", "application_development"), ("Oracle", "data_analytics"), ("PostgreSQL", "data_analytics"), ("MySQL", "data_analytics")),
+    functional=("Administrative Support", "Program Support", "Business Operations", "Technical Assistance", "Technical Support", "Operational Support", "Enterprise Support", "Mission Support", "Management Consulting", "Organizational Change Management"),
+    schedule_terms=("GSA MAS", "Multiple Award Schedule"),
+    vehicle_terms=("BPA", "Blanket Purchase Agreement", "Task Order"),
     solicitations=(("RFP", 2), ("RFQ", 2), ("RFI", 1), ("Sources Sought", 1), ("ITB", 2), ("IFB", 2)),
     set_asides=(
-        ("8(a) Set-Aside", 10, _pipe("8(a)|8a set aside|8(a) set-aside|8(a) sole source")),
-        ("Sole Source / Direct Award", 10, _pipe("Sole Source|Direct Award")),
-        ("WOSB Set-Aside", 10, _pipe("Woman-Owned Small Business|Women-Owned Small Business|WOSB|EDWOSB")),
-        ("Small Business Set-Aside", 8, _pipe("Small Business Set Aside|Small Business Set-Aside|Total Small Business")),
+        ("8(a) Set-Aside", 10, ("8(a)", "8a set aside", "8(a) set-aside", "8(a) sole source")),
+        ("Sole Source / Direct Award", 10, ("Sole Source", "Direct Award")),
+        ("WOSB Set-Aside", 10, ("Woman-Owned Small Business", "Women-Owned Small Business", "WOSB", "EDWOSB")),
+        ("Small Business Set-Aside", 8, ("Small Business Set Aside", "Small Business Set-Aside", "Total Small Business")),
         ("HUBZone", 6, ("HUBZone",)),
-        ("SDVOSB", 6, _pipe("SDVOSB|Service-Disabled Veteran-Owned")),
-        ("MBE", 6, _pipe("MBE|Minority Business Enterprise")),
-        ("Small Business (general)", 2, _pipe("Small Business|Socioeconomic Set Aside|Socioeconomic Set-Aside")),
+        ("SDVOSB", 6, ("SDVOSB", "Service-Disabled Veteran-Owned")),
+        ("MBE", 6, ("MBE", "Minority Business Enterprise")),
+        ("Small Business (general)", 2, ("Small Business", "Socioeconomic Set Aside", "Socioeconomic Set-Aside")),
+    ),
+    federal=(
+        Agency("GSA", ("General Services Administration",)),
+        Agency("Department of Transportation", ("DOT",)),
+        Agency("FAA", ("Federal Aviation Administration",)),
+        Agency("FMCSA", ("Federal Motor Carrier Safety Administration",)),
+        Agency("HUD", ("Housing and Urban Development",)),
+        Agency("HHS", ("Health and Human Services",)),
+        Agency("CMS", ("Centers for Medicare & Medicaid Services", "Centers for Medicare and Medicaid Services")),
+        Agency("NIH", ("National Institutes of Health",)),
+        Agency("CDC", ("Centers for Disease Control",)),
+        Agency("DHS", ("Department of Homeland Security", "Homeland Security")),
+        Agency("CBP", ("Customs and Border Protection",)),
+        Agency("USCIS", ("Citizenship and Immigration Services",)),
+        Agency("DOJ", ("Department of Justice",)),
+        Agency("Treasury", ("Department of the Treasury",)),
+        Agency("IRS", ("Internal Revenue Service",)),
+        Agency("USDA", ("Department of Agriculture",)),
+        Agency("VA", ("Veterans Affairs", "Department of Veterans Affairs")),
+        Agency("DoD", ("Department of Defense", "Defense Department"), it_only=True),
+        Agency("DOE", ("Department of Energy",)),
+        Agency("NHTSA", ("National Highway Traffic Safety Administration",)),
+        Agency("FDIC", ("Federal Deposit Insurance Corporation",)),
     ),
-    federal=tuple(Agency(n, _pipe(a), n == "DoD") for n, a in (
-        ("GSA", "General Services Administration"), ("Department of Transportation", "DOT"), ("FAA", "Federal Aviation Administration"),
-        ("FMCSA", "Federal Motor Carrier Safety Administration"), ("HUD", "Housing and Urban Development"), ("HHS", "Health and Human Services"),
-        ("CMS", "Centers for Medicare & Medicaid Services|Centers for Medicare and Medicaid Services"), ("NIH", "National Institutes of Health"),
-        ("CDC", "Centers for Disease Control"), ("DHS", "Department of Homeland Security|Homeland Security"), ("CBP", "Customs and Border Protection"),
-        ("USCIS", "Citizenship and Immigration Services"), ("DOJ", "Department of Justice"), ("Treasury", "Department of the Treasury"),
-        ("IRS", "Internal Revenue Service"), ("USDA", "Department of Agriculture"), ("VA", "Veterans Affairs|Department of Veterans Affairs"),
-        ("DoD", "Department of Defense|Defense Department"), ("DOE", "Department of Energy"), ("NHTSA", "National Highway Traffic Safety Administration"),
-        ("FDIC", "Federal Deposit Insurance Corporation"),
-    )),
     states=(("Virginia", "VA"), ("Maryland", "MD"), ("Pennsylvania", "PA"), ("New York", "NY"), ("New Jersey", "NJ"), ("North Carolina", "NC"), ("South Carolina", "SC"), ("Georgia", "GA"), ("Florida", "FL"), ("Texas", "TX"), ("Ohio", "OH"), ("Minnesota", "MN"), ("Mississippi", "MS")),
     exclusions=(
-        ("Construction", _pipe("Construction|Roofing|HVAC|Plumbing|Electrical|Janitorial|Landscaping|Snow Removal|Concrete|Paving")),
-        ("Medical", _pipe("Pharmaceuticals|Medical Equipment|Nursing|Physician|Hospital Equipment")),
-        ("Vehicles", _pipe("Vehicle Purchase|Fleet Vehicles|Buses|Heavy Equipment")),
-        ("Supplies", _pipe("Office Supplies|Furniture|Uniforms|Food Service|Fuel")),
-        ("Architecture", _pipe("Architectural Design|Civil Engineering|Surveying")),
+        ("Construction", ("Construction", "Roofing", "HVAC", "Plumbing", "Electrical", "Janitorial", "Landscaping", "Snow Removal", "Concrete", "Paving")),
+        ("Medical", ("Pharmaceuticals", "Medical Equipment", "Nursing", "Physician", "Hospital Equipment")),
+        ("Vehicles", ("Vehicle Purchase", "Fleet Vehicles", "Buses", "Heavy Equipment")),
+        ("Supplies", ("Office Supplies", "Furniture", "Uniforms", "Food Service", "Fuel")),
+        ("Architecture", ("Architectural Design", "Civil Engineering", "Surveying")),
     ),
     naics=("541511", "541512", "541513", "541519", "518210"),
     value_bands=((25_000, -2, "< $25k"), (100_000, 0, "$25k–$100k"), (1_000_000, 2, "$100k–$1M"), (10_000_000, 3, "$1M–$10M"), (None, 1, "> $10M")),

@@ -183,5 +183,47 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
 
 
+def absolute(base: Column, href: Column) -> Column:
+    """The address that a link leads to from a page; links that have a scheme stay, blank ones are null.
+
+    Without a usable base only links that begin with http are left.
+    """
+    none = F.lit("")
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
+    own, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == none, F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    joined = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+    parts = F.split(joined, "/")
+    # a folder named . is left out, .. takes the one before it along; as a last part both leave a slash
+    stack = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(none)
+    found = F.concat(F.lit("/"), F.array_join(stack, "/"))
+    clean = F.concat(found, F.when(F.endswith(found, F.lit("/")), none).otherwise(end), rest)
+    whole = (
+        F.when(F.rlike(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), href).when(F.coalesce(origin, none) == none, F.when(F.startswith(href, F.lit("http")), href))
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href)).when(own != none, F.concat(origin, clean))
+        .when(F.startswith(href, F.lit("?")), F.concat(origin, F.when(path == none, "/").otherwise(path), href)).otherwise(F.concat(origin, F.when(path == none, "/").otherwise(path), query, href))
+    )
+    return F.when(F.coalesce(href, none) != none, whole)
+
+
+def encoded_json(text: Column, schema: str) -> Column:
+    """A JSON array that is written as base64 or plainly; null if it is neither."""
+    plain = lambda c: F.when(F.rlike(c, F.lit(r"^\s*\[")), F.from_json(c, schema))
+    out = F.transform(F.array(text), lambda v: F.coalesce(plain(F.try_validate_utf8(F.try_to_binary(v, F.lit("base64")).cast("string"))), plain(v)))
+    return F.get(out, F.lit(0))
+
+
+def vector_literal(vector: Column) -> Column:
+    """[x,y,...] with six decimals."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+
+
 def base36(number: Column) -> Column:
     return F.concat(F.lit("MANUAL-"), F.conv(number.cast("string"), 10, 36))

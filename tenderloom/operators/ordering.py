@@ -41,13 +41,20 @@ def chunks(text: Column, size: int = 1200, overlap: int = 150) -> Column:
     return F.when(F.length(flat) == 0, F.array().cast("array<string>")).when(F.length(flat) <= size, F.array(flat)).otherwise(many)
 
 
-def joined_texts(df: DataFrame, key: str, text: str, order: list[str], most: int, separator: str = "\n", header: Column | None = None) -> DataFrame:
+def joined_texts(df: DataFrame, key: str, text: str, order: list[str], most: int, separator: str = "\n", header: Column | None = None, salts: int = 64) -> DataFrame:
     """Texts of a key in order, joined and cut to ``most`` characters; blank ones are left out.
 
-    Each text is cut to ``most`` before it is gathered, so what a key gathers is
-    bounded by its number of texts times ``most``.
+    A text is gathered only if those before it leave room: first among the texts
+    of its salt, which are fewer than all before it, then among what is left.  So
+    a key gathers little more than ``most`` characters, and a key with very many
+    texts is many groups first.
     """
     kept = df.where(F.length(F.trim(text)) > 0)
     part = F.substring(F.concat(header, F.col(text)) if header is not None else F.col(text), 1, most)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, part.alias("_t")))), lambda x: x["_t"])
-    return kept.groupBy(key).agg(F.substring(F.array_join(parts, separator), 1, most).alias("joined"))
+    rows = kept.select(F.col(key).alias("_k"), F.struct(*order).alias("_o"), part.alias("_t"))
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64("_o"), F.lit(salts)))
+    for within in (["_k", "_s"], ["_k"]):
+        before = Window.partitionBy(*within).orderBy("_o", "_t").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_n", F.coalesce(F.sum(F.length("_t") + len(separator)).over(before), F.lit(0))).where(F.col("_n") < most)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"])
+    return rows.groupBy(F.col("_k").alias(key)).agg(F.substring(F.array_join(parts, separator), 1, most).alias("joined"))

@@ -123,3 +123,17 @@ def mode_usage(responses: DataFrame) -> DataFrame:
 def latest_responses(responses: DataFrame) -> DataFrame:
     within = Window.partitionBy("opportunity_id", "mode").orderBy(F.desc("turn"))
     return responses.withColumn("_n", F.row_number().over(within)).where("_n = 1").select("opportunity_id", "mode", "turn")
+
+
+def by_status(opportunities: DataFrame) -> DataFrame:
+    return opportunities.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def with_bar_max(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Adds ``most``: the largest count, 1 at least, to scale bars by.  One row is sent to all."""
+    return counts.join(F.broadcast(counts.agg(F.greatest(F.coalesce(F.max(n), F.lit(0)), F.lit(1)).cast("bigint").alias("most"))))
+
+
+def bucket_histogram(scored: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """Rows of each bucket, zero where there are none."""
+    return filled(scored.select(F.col(bucket).alias("bucket")), "bucket", BUCKETS)

@@ -129,3 +129,57 @@ def stalest_first(sources: DataFrame) -> DataFrame:
 def connector_status(sources: DataFrame, registry: tuple[str, ...]) -> DataFrame:
     """Sources whose connector is not registered need one."""
     return sources.select("id", "connector_key", F.when(F.col("connector_key").isin(*registry), "active").otherwise("needs_connector").alias("status"))
+
+
+def of_source(opportunities: DataFrame, sources: DataFrame, slug: str, limit: int = 200) -> DataFrame:
+    """The newest rows of one source, such as bids that were entered by hand."""
+    mine = sources.where(F.col("slug") == slug).select(F.col("id").alias("source_id"))
+    return _newest(opportunities.join(F.broadcast(mine), "source_id", "left_semi"), [F.desc_nulls_first("first_seen_at"), F.col("id")], limit)
+
+
+def _newest(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def not_model_scored(opportunities: DataFrame, limit: int = 50) -> DataFrame:
+    """Rows whose score another method gave, the oldest first; rows without a method are left out."""
+    return _newest(opportunities.where("relevance_method <> 'llm'"), [F.asc_nulls_last("first_seen_at"), F.col("id")], limit)
+
+
+def document_state(attachments: DataFrame) -> DataFrame:
+    """Adds ``downloaded`` (and not failed to parse) and ``pending`` (an address, not downloaded yet)."""
+    here = F.col("downloaded_at").isNotNull()
+    return attachments.withColumn("downloaded", here & (F.coalesce("parse_status", F.lit("")) != "failed")).withColumn("pending", F.col("source_url").isNotNull() & ~here)
+
+
+def notifications(rows: DataFrame, unread: bool = False, limit: int = 50) -> DataFrame:
+    """The newest notifications, or the newest unread ones."""
+    return _newest(rows.where(~F.col("is_read")) if unread else rows, [F.desc("created_at"), F.desc("id")], limit)
+
+
+def recent_runs(runs: DataFrame, sources: DataFrame, limit: int = 30) -> DataFrame:
+    """The newest runs with their source's name."""
+    top = _newest(runs, [F.desc("started_at"), F.desc("id")], limit)
+    return top.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id", "left")
+
+
+def with_assignee(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """Adds assignee_name; rows without one stay."""
+    return rows.join(users.select(F.col("id").alias("assigned_to"), F.col("name").alias("assignee_name")), "assigned_to", "left")
+
+
+def users_in_order(users: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Users by role, in the order of the roles, and name."""
+    rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
+    return users.withColumn("position", F.row_number().over(Window.orderBy(rank, "name", "id")))
+
+
+def chunk_counts(knowledge: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Knowledge entries (id) with their number of chunks; chunks: (knowledge_id), counted before they are joined."""
+    counts = chunks.groupBy(F.col("knowledge_id").alias("id")).agg(F.count("*").alias("n"))
+    return knowledge.join(counts, "id", "left").withColumn("chunks", F.coalesce("n", F.lit(0))).drop("n")
+
+
+def export_rows(responses: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Responses with their opportunity's title and agency; responses without one are left out."""
+    return responses.join(opportunities.select(F.col("id").alias("opportunity_id"), "title", "agency"), "opportunity_id")

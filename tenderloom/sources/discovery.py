@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_name, looks_like_document
@@ -26,3 +26,22 @@ def documents(pages: DataFrame, key: str, html: str, most: int = 30) -> DataFram
     once = rows.groupBy(key, "href").agg(F.min("position").alias("position"))
     ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("position", "href"))).where(F.col("n") <= most)
     return ranked.select(key, F.col("n").alias("position"), F.col("href").alias("url"), file_name(F.col("href")).alias("filename"))
+
+
+def handler_downloads(pages: DataFrame, key: str, html: str, url: Column) -> DataFrame:
+    """(key, position, filename, url): links that call downloadFile('n'), as addresses of the portal's download page.
+
+    The page's own address names the document (docId); pages without one have none.  Of equal addresses the first counts.
+    """
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    doc = F.regexp_extract(url, r"[?&]docId=([^&#]+)", 1)
+    links = F.arrays_zip(
+        F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*"[^"]*downloadFile\(\s*'?(\d+)"""), F.lit(1)).alias("n"),
+        F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*"[^"]*downloadFile\(\s*'?\d+[^>]*>(.*?)</a"""), F.lit(1)).alias("text"),
+    )
+    rows = pages.select(key, origin.alias("o"), doc.alias("doc"), F.posexplode(links).alias("position", "a")).where("o <> '' and doc <> ''")
+    name = F.nullif(F.trim(F.regexp_replace(F.regexp_replace("a.text", "<[^>]*>", ""), r"(?U)\s+", " ")), F.lit(""))
+    address = F.concat("o", F.lit("/bso/external/bidDetail.sda?docId="), "doc", F.lit("&downloadFileNbr="), "a.n", F.lit("&mode=download&parentUrl=close&external=true"))
+    found = rows.select(key, "position", F.substring(F.coalesce(name, F.concat(F.lit("document-"), "a.n")), 1, 200).alias("filename"), address.alias("url"))
+    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(key, "url").orderBy("position"))).where("_n = 1")
+    return first.select(key, "position", "filename", "url")

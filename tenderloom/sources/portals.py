@@ -207,6 +207,42 @@ def wy(payloads: DataFrame) -> DataFrame:
     return normalized(rows, {"external_id": bid, "title": cell(0), "description": cell(1), "posted_date": fn.month_name_date(cell(2), fn.MOUNTAIN_DAYLIGHT), "due_date": fn.month_name_date(cell(3), F.when(F.rlike(cell(3), F.lit("MST")), fn.MOUNTAIN_STANDARD).otherwise(fn.MOUNTAIN_DAYLIGHT)), "q_and_a_deadline": F.when(questions != "", fn.month_name_date(questions, fn.MOUNTAIN_DAYLIGHT)), "status_on_site": F.lit("Open")})
 
 
+# --- detail pages
+
+
+def enriched(records: DataFrame, details: DataFrame) -> DataFrame:
+    """Records with the fields of their detail page where it has them.
+
+    details: (external_id, echoed, some of FIELDS), by the id that was asked
+    for.  A page that names another id is not taken; of several pages of an id
+    the first in order is.
+    """
+    fields = [c for c in details.columns if c in FIELDS and c != "external_id"]
+    sure = details.where(F.col("external_id") == F.col("echoed")).groupBy("external_id").agg(F.min(F.struct(*fields)).alias("_d"))
+    taken = {c: F.coalesce(F.col(f"_d.{c}"), F.col(c)).alias(c) for c in fields}
+    return records.join(sure, "external_id", "left").select(*(taken.get(c, F.col(c)) for c in records.columns))
+
+
+def tx_details(payloads: DataFrame, origin: str) -> DataFrame:
+    """payloads: (external_id, payload), a JSON object each; relative file addresses are below ``origin``."""
+    d = payloads.select("external_id", F.from_json("payload", "description:string,value:string,attachments:array<struct<fileName:string,fileURL:string>>".replace(":", " ")).alias("d"), F.rlike("payload", F.lit(r"^\s*\{")).alias("ok")).where("ok")
+    value = F.regexp_extract(fn.clean(F.col("d.value")), r"^[+-]?(\d+\.?\d*|\.\d+)", 0).try_cast("double")
+    files = F.filter("d.attachments", lambda a: (F.coalesce(a["fileURL"], F.lit("")) != "") & (F.coalesce(a["fileName"], F.lit("")) != ""))
+    files = F.transform(files, lambda a: F.struct(fn.clean(a["fileName"]).alias("filename"), F.when(F.startswith(a["fileURL"], F.lit("http")), a["fileURL"]).otherwise(F.concat(F.lit(origin), a["fileURL"])).alias("url")))
+    text = F.nullif(F.regexp_replace(fn.html_to_text(F.col("d.description")), r"^\s+|\s+$", ""), F.lit(""))
+    return d.select("external_id", F.col("external_id").alias("echoed"), text.alias("description"), F.when(value > 0, value).alias("estimated_value"), F.when(F.size(files) > 0, files).alias("attachments"))
+
+
+def ks_details(payloads: DataFrame) -> DataFrame:
+    """payloads: (external_id, payload), an HTML page each, which names its id."""
+    def field(name: str, tag: str = "span") -> Column:
+        return F.nullif(text_of(F.regexp_extract("payload", rf'(?is)<{tag}\b[^>]*\bid\s*=\s*"{name}[^"]*"[^>]*>(.*?)</{tag}>', 1)), F.lit(""))
+
+    line, long = field("KS_AUC_LN_VW_DESCR254_MIXED"), field("KS_AUCDTL_VW_DESCRLONG", "textarea")
+    text = F.nullif(fn.trim_description(F.concat_ws(" — ", long, line)), F.lit(""))
+    return payloads.select("external_id", field(r"KS_AUCDTL_VW_AUC_ID\$0").alias("echoed"), text.alias("description"), line.alias("category"), field(r"KS_AUCDTL_VW_AUC_STATUS\$0").alias("status_on_site"))
+
+
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sam": sam, "ak": advantage, "ky": advantage, "ks": grid, "la": la, "mo": mo, "mt": mt, "nc": nc, "ok": grid, "phx": phx, "sd": sd, "tx": tx, "wv": wv, "wy": wy,
     **{k: (lambda payloads, layout=LAYOUTS[k]: table(payloads, layout)) for k in ("ar", "ma", "ms", "pa", "tn")},

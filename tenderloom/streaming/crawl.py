@@ -16,14 +16,16 @@ def follow(spark: SparkSession, snapshots: str, schema: StructType, state: str,
     """Reads new snapshot files under ``snapshots`` and writes ``state/v=<batch>``, the last of which is the state.
 
     A batch is not taken as a complete snapshot: keys that it does not have
-    keep their status.  A batch that is run again writes the same folder again.
+    keep their status; of several records of a key the first of the file counts.
+    A batch that is run again writes the same folder again.  Every batch writes
+    the whole state once.
     """
     now = as_of if as_of is not None else F.current_timestamp()
 
     def one(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         stored = session.read.parquet(f"{state}/v={number - 1}")
-        unique = cdc.first_of_each(batch.withColumn("_p", F.struct("title", "content_hash")), cdc.KEY, "_p").drop("_p")
+        unique = cdc.first_of_each(batch.withColumn("_p", F.monotonically_increasing_id()), cdc.KEY, "_p").drop("_p")
         classified = cdc.classify(stored, unique, now, complete=False)
         cdc.next_state(classified, now).write.mode("overwrite").parquet(f"{state}/v={number}")
         if on_batch:
