@@ -77,11 +77,16 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def pairs(words: Column) -> Column:
+    """The pairs of neighbouring words, in order."""
+    n = F.size(words)
+    both = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.when(n >= 2, both).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(words: Column) -> Column:
     """Set of the pairs of neighbouring words."""
-    n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(pairs(words))
 
 
 def _words(text: str) -> list[str]:
@@ -145,19 +150,22 @@ def scan_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", tem
     ratio = _ratio(threshold)
     needed = _literal(sorted({w for _, g in own.values() for w in _needed(g, ratio)}))
     words = docs.select(F.col(id), F.explode(F.array(F.split(normal(F.col(text)), " "))).alias("w")).where(F.arrays_overlap("w", needed))
-    sets = words.select(id, "w", F.explode(F.array(bigrams(F.col("w")))).alias("g"))
+    # each explode of one value keeps it from being computed again for every use
+    told = words.select(id, F.explode(F.array(pairs(F.col("w")))).alias("p"))
 
     def shared(name: str, n: int, grams: list[str]) -> Column:
-        enough = F.size(F.array_intersect("g", _literal(grams))) >= len(grams) * ratio
+        enough = F.size(F.array_intersect("p", _literal(grams))) >= len(grams) * ratio
         return F.when(enough, F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(max(1, n // STEP)).alias("step"), _literal(grams).alias("grams")))
 
-    asked = sets.select(id, "w", F.explode(F.filter(F.array(*(shared(name, n, g) for name, (n, g) in own.items())), lambda x: x.isNotNull())).alias("x")) if own else sets.select(id, "w", F.explode(F.expr("cast(array() as array<struct<license:string,n:int,step:int,grams:array<string>>>)")).alias("x"))
-    last = F.greatest(F.lit(0), F.size("w") - F.col("x.n"))
+    none = F.expr("cast(array() as array<struct<license:string,n:int,step:int,grams:array<string>>>)")
+    asked = told.select(id, "p", F.explode(F.filter(F.array(*(shared(name, n, g) for name, (n, g) in own.items())), lambda x: x.isNotNull()) if own else none).alias("x"))
+    last = F.greatest(F.lit(0), F.size("p") + 1 - F.col("x.n"))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("x.step")), F.array(last)))
-    window = asked.select(id, "w", "x", F.explode(starts).alias("s"))
-    window = window.select(id, "x", "s", F.explode(F.array(bigrams(F.slice("w", F.col("s") + 1, F.col("x.n"))))).alias("g"))
-    dice = 2.0 * F.size(F.array_intersect("g", "x.grams")) / (F.size("g") + F.size("x.grams"))
-    return window.select(id, (F.col("s") + 1).cast("long").alias("word"), "x.license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    dice = lambda g: 2.0 * F.size(F.array_intersect(g, F.col("x.grams"))) / (F.size(g) + F.size("x.grams"))
+    # a window's words never leave their row: only what reaches the threshold becomes rows
+    of = lambda s: F.get(F.transform(F.array(F.array_distinct(F.slice("p", s + 1, F.col("x.n") - 1))), dice), F.lit(0))
+    hits = F.filter(F.transform(starts, lambda s: F.struct((s + 1).cast("long").alias("word"), of(s).alias("dice"))), lambda h: h["dice"] >= threshold)
+    return asked.select(id, F.col("x.license").alias("license"), F.explode(hits).alias("h")).select(id, "h.word", "license", "h.dice")
 
 
 def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
