@@ -280,7 +280,54 @@ def _(v):
     return scored(v).select("id", F.aggregate(F.filter("breakdown", lambda e: (e["criterion"] == "NAICS alignment") | F.startswith(e["criterion"], F.lit("Estimated"))), F.lit(0), lambda n, e: n + e["points"]).alias("points"))
 
 
-@query("score_breakdown")
+def entries_sql() -> str:
+    """The breakdown's entries in order, as a list of structs over the columns of ``y``."""
+    p = PROFILE
+
+    def entry(when: str, criterion: str, points: int, matched: str, note: str | None = None) -> str:
+        told = f"'{note}'" if note else "CAST(NULL AS VARCHAR)"
+        return f"CASE WHEN {when} THEN {{'criterion': {criterion}, 'points': CAST({points} AS INTEGER), 'matched': {matched}, 'note': {told}}} END"
+
+    def all_of(phrases, most: int) -> str:
+        labels = ", ".join(f"CASE WHEN {sql_condition(x, 't')} THEN '{label}' END" for x, label in phrases)
+        return f"array_to_string(list_filter([{labels}], lambda x: x IS NOT NULL)[:{most}], '|')"
+
+    out = []
+    for c in p.capabilities:
+        rows = [(x, x) for x in c.phrases] + [(x, f"{x} (labor category)") for x, g in p.labor if g == c.key] + [(x, f"{x} (technology)") for x, g in p.technologies if g == c.key]
+        out.append(entry(_hit([x for x, _ in rows], "t"), f"'{c.label}'", c.points, all_of(rows, 8)))
+    out.append(entry("functional", "'Functional area'", 4, all_of([(x, x) for x in p.functional], 6)))
+    out.append(entry("schedule IS NOT NULL", "'GSA MAS'", 6, "schedule"))
+    out.append(entry("schedule IS NULL AND vehicle IS NOT NULL", "'Contract vehicle'", 4, "vehicle"))
+    out += [entry(f"solicitation = '{term}'", f"'Solicitation type: {term}'", n, f"'{term}'") for term, n in p.solicitations]
+    (first, n, terms), (general, m, more) = p.set_asides
+    out += [entry("tier_a", f"'{first}'", n, _first(terms, "t")), entry("tier_b AND NOT tier_a", f"'{general}'", m, _first(more, "t"))]
+    plain, it_only = p.federal
+    out.append(entry("fed_a", f"'Federal agency: {plain.name}'", 6, f"'{plain.name}'"))
+    out.append(entry("fed_b AND capability = 0 AND NOT fed_a", f"'Agency: {it_only.name}'", 0, f"'{it_only.name}'", "counts only with an IT capability match; none matched"))
+    out.append(entry("fed_b AND capability > 0 AND NOT fed_a", f"'Federal agency: {it_only.name}'", 6, f"'{it_only.name}'"))
+    out.append(entry("NOT federal AND state_hit IS NOT NULL", "'State government: ' || state_hit", 5, "state_hit"))
+    out.append(entry("aligned", "'NAICS alignment'", 6, "naics_code"))
+    value, low = "'$' || format('{:,}', CAST(round_even(estimated_value, 0) AS BIGINT))", 0
+    for most, n, label in p.value_bands:
+        out += [entry(f"estimated_value > 0 AND estimated_value >= {low}" + (f" AND estimated_value < {most}" if most else ""), f"'Estimated value {label}'", n, value)] if n else []
+        low = most
+    stopped = "false"
+    for (group, _), column in zip(p.exclusions, ("excl_a", "excl_b"), strict=True):
+        out.append(entry(f"{column} IS NOT NULL AND capability >= 7", f"'Exclusion overridden ({group})'", 0, column, "excluded wording, but a technical capability matched too"))
+        out.append(entry(f"{column} IS NOT NULL AND capability < 7 AND NOT {stopped}", f"'Excluded: {group}'", 0, column, "no technical capability matched"))
+        stopped = f"({stopped} OR {column} IS NOT NULL)"
+    return f"list_filter([{', '.join(out)}], lambda e: e IS NOT NULL)"
+
+
+@query("relevance_reasons", score_sql(f"""SELECT id, CASE WHEN excluded IS NOT NULL THEN 'Excluded: ' || excluded WHEN len(top) > 0 THEN array_to_string(list_transform(top, lambda e: e.criterion || ' +' || CAST(e.points AS VARCHAR)), ' · ') ELSE 'No targeting criteria matched' END AS reason
+    FROM (SELECT id, excluded, list_filter({entries_sql()}, lambda e: e.points > 0)[:4] AS top FROM y)"""), O, S)
+def _(v):
+    return scored(v).select("id", scoring.relevance_reason(F.col("breakdown"), F.col("excluded_reason")).alias("reason"))
+
+
+@query("score_breakdown", score_sql(f"""SELECT id, CAST(position AS INTEGER) AS position, e.criterion AS criterion, e.points AS points, e.matched AS matched, e.note AS note
+    FROM (SELECT id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS position FROM (SELECT id, {entries_sql()} AS l FROM y))"""), O, S)
 def _(v):
     return scored(v).select("id", F.posexplode("breakdown").alias("position", "e")).select("id", "position", "e.criterion", "e.points", F.array_join("e.matched", "|").alias("matched"), "e.note")
 
