@@ -135,3 +135,44 @@ def register(query: Callable) -> None:
         details = rows.where("id % 3 < 2").select(F.col(ID), page.alias("payload"))
         found = portals.enriched(portals.grid(_html_pages(rows, line)), portals.ks_details(details))
         return _shown(found, "title", "agency", "category", "posted_date", "description", "status_on_site")
+
+    @query("portal_ma", "SELECT external_id, title, agency, due_date - INTERVAL 1 HOUR AS due_date, 'Sent' AS status_on_site FROM opportunities", o)
+    def _(v):
+        none = text("")
+        row = lambda title: _cells(F.col(ID), none, F.col("agency"), none, none, none, title, F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), none), none, none, text("Sent"))
+        return _shown(portals.REGISTRY["ma"](_html_pages(_rows(v), F.concat(row(text("earlier title")), row(F.col(TITLE))))), "title", "agency", "due_date", "status_on_site")
+
+    @query("portal_tn", "SELECT external_id, title, CAST(posted_date AS VARCHAR) AS posted_date, date_trunc('day', due_date - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS due_date FROM opportunities", o)
+    def _(v):
+        dates = F.concat_ws(" to ", us("posted_date"), F.date_format(LOCAL, "M/d/yyyy"))
+        return _shown(portals.REGISTRY["tn"](_html_pages(_rows(v), _cells(F.col(ID), dates, F.concat(text("<i>"), TITLE, text("</i>"))))), "title", "posted_date", "due_date")
+
+    @query("portal_pa", "SELECT external_id, title, agency, CASE WHEN id % 7 <> 0 THEN due_date - INTERVAL 1 HOUR END AS due_date, CASE WHEN id % 4 = 0 THEN 'Bid Opened' ELSE 'Open' END AS status_on_site FROM opportunities", o)
+    def _(v):
+        none = text("")
+        due = F.when(F.col("id") % 7 == 0, "12/30/9999 12:00 AM").otherwise(F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), none))
+        line = _cells(F.col(ID), none, F.col(TITLE), F.col("agency"), none, none, none, none, due, none, F.when(F.col("id") % 4 == 0, "Bid Opened").otherwise(""))
+        return _shown(portals.REGISTRY["pa"](_html_pages(_rows(v), line)), "title", "agency", "due_date", "status_on_site")
+
+    @query("portal_sd", "SELECT external_id || '-RFQ' AS external_id, title, 'RFQ' AS category, due_date, 'Published' AS status_on_site FROM opportunities", o)
+    def _(v):
+        record = F.struct(F.concat(ID, text("-RFQ")).alias("eventId"), F.col(TITLE).alias("eventName"), F.date_format(LOCAL, "yyyy-MM-dd'T'HH:mm:ss").alias("eventDueDate"), text("CT").alias("timezoneNameAbbreviation"), F.struct(text("Published").alias("description")).alias("status"))
+        return _shown(portals.sd(_json_pages(_rows(v), "data", record)), "title", "category", "due_date", "status_on_site")
+
+    @query("portal_wv", "SELECT 'D_' || external_id AS external_id, title, agency, CAST(posted_date AS VARCHAR) AS posted_date, CAST(posted_date AS TIMESTAMP) + INTERVAL 13 HOUR + INTERVAL 30 MINUTE + INTERVAL 4 HOUR AS due_date FROM opportunities", o)
+    def _(v):
+        day = F.date_format("posted_date", "yyyy-MM-dd")
+        record = F.struct(text("D").alias("DOC_DEPT_CD"), F.col(ID).alias("DOC_ID"), F.col(TITLE).alias("DOC_DSCR"), F.col("agency").alias("DEPT_NM"), day.alias("PUB_DT"), day.alias("CLSNG_DT"), text("01:30").alias("CLSNG_TM"))
+        return _shown(portals.wv(_json_pages(_rows(v), "rows", record)), "title", "agency", "posted_date", "due_date")
+
+    @query("portal_mt", "SELECT external_id, title, 'State of Montana' AS agency, category FROM opportunities", o)
+    def _(v):
+        line = _cells(F.concat(text("<a href='/e'>"), TITLE, text("</a>")), F.concat(text("<b>Number</b> "), ID), F.concat(text("<b>Type</b> "), F.col("category"), text("<b>Type</b> second")))
+        return _shown(portals.mt(_html_pages(_rows(v), line)), "title", "agency", "category")
+
+    @query("portal_wy", "SELECT CAST(id AS VARCHAR) AS external_id, title, CAST(posted_date AS VARCHAR) AS posted_date FROM opportunities", o)
+    def _(v):
+        decoy = F.concat(text("<span id=\"d"), (F.col("id") % 3).cast("string"), text("\">decoy</span>"))
+        line = _cells(F.concat(text("<a href='/x?bidId="), F.col("id").cast("string"), text("'>"), TITLE, decoy, text("</a>")), text("Supply"), F.date_format("posted_date", "MMM d, yyyy"), text(""))
+        pages = _html_pages(_rows(v), line).withColumn("payload", F.concat("payload", text("<script>action(\"d0\",\"d1\");action(\"d2\")</script>")))
+        return _shown(portals.wy(pages), "title", "posted_date")
