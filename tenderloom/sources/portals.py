@@ -146,8 +146,9 @@ LAYOUTS = {
 
 def table(payloads: DataFrame, layout: Layout, agency: Column | None = None) -> DataFrame:
     """A portal of one row a record; a date cell with two dates has the posted and the due one."""
-    rows = table_rows(payloads).where(F.size("cells") >= layout.least)
-    cell = lambda i: text_of(F.try_element_at("cells", F.lit(i + 1 if i >= 0 else i)))
+    # cells become text once, whatever fields are taken from them
+    rows = table_rows(payloads).where(F.size("cells") >= layout.least).withColumn("texts", F.transform("cells", text_of))
+    cell = lambda i: F.try_element_at("texts", F.lit(i + 1 if i >= 0 else i))
     dates = lambda i: fn.find_dates(cell(i))
     due = None if layout.due is None else F.get(dates(layout.due), F.lit(1 if layout.due == layout.posted else 0))
     fields = {"external_id": cell(layout.external_id), "title": cell(layout.title), "attachments": F.filter("links", lambda a: F.coalesce(F.rlike(a["url"], F.lit(fn.DISCOVERABLE)), F.lit(False)))}
