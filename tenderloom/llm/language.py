@@ -79,13 +79,14 @@ def _model(languages: list[str], counts: np.ndarray, add: float = 0.5) -> TextMo
 def fit_sample(docs: DataFrame, *, lang: str, text: str, key: str, each: int = 500, longest: int = 65536, also: str | None = None) -> TextModel:
     """A model of all languages in ``lang`` (and ``also``), fitted on at most ``each`` rows of each, chosen by a hash.
 
-    Texts of 200 to ``longest`` bytes come first; a language with too few of
-    them takes others, cut to ``longest`` characters.  Texts are counted in the
-    tasks: only sums reach the driver.
+    Texts of 200 bytes and more come first; a language with too few of them takes
+    shorter ones.  Of a text of more than ``longest`` characters a stretch of that
+    many, chosen by a hash, teaches.  Texts are counted in the tasks: only sums
+    reach the driver.
     """
     size = F.octet_length("t")
     rows = docs.select(F.col(text).cast("string").alias("t"), F.nullif(lang, F.lit("")).alias("l"), F.nullif(also or lang, F.lit("")).alias("a"), F.col(key).alias("k"))
-    good, other = size.between(200, longest), (size > 0) & ~size.between(200, longest)
+    good, other = size >= 200, (size > 0) & (size < 200)
     per = {}
     for r in rows.groupBy("l", "a").agg(F.count(F.when(good, 1)).alias("n"), F.count(F.when(other, 1)).alias("m")).collect():
         for code in (r["l"], r["a"]):
@@ -103,7 +104,8 @@ def fit_sample(docs: DataFrame, *, lang: str, text: str, key: str, each: int = 5
     of = lambda i: F.create_map(*(F.lit(x) for c, b in bounds.items() for x in (c, b[i])))[F.col("l")]
     place = F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) / float(1 << 30)
     near = rows.where(F.col("l").isNotNull() & (good | other)).withColumn("o", (~good).cast("int")).where(place < F.when(F.col("o") == 0, of(0)).otherwise(of(1)))
-    near = near.select("l", "o", F.xxhash64("k", "t").alias("h"), F.when(F.col("o") == 0, F.col("t")).otherwise(F.substring("t", 1, longest)).alias("t")).dropDuplicates(["l", "o", "h"])
+    begin = F.when(F.length("t") > longest, F.pmod(F.xxhash64("k", "t"), F.length("t") - longest + 1).cast("int")).otherwise(0)
+    near = near.select("l", "o", F.xxhash64("k", "t").alias("h"), F.substring("t", begin + 1, F.lit(longest)).alias("t")).dropDuplicates(["l", "o", "h"])
     chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("o", "h"))).where(F.col("r") <= each).select("l", "t")
 
     def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

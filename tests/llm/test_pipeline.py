@@ -125,3 +125,15 @@ def test_language_stage_keeps_what_a_brute_force_keeps(spark):
     assert {900, 901, 902, 903} <= want and not {904, 905, 906} & want
     got = corpus_pipeline.identify_language(spark, docs, "")
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_empty_documents_pass_through(spark, folder):
+    """No rows in, no rows out, the same columns at every stage."""
+    out = tempfile.mkdtemp(prefix="spark-")
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{out}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{out}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, out)
+    assert got.count() == 0 and got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "exact"]
+    docs = spark.read.parquet(f"{out}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, out).columns == COLUMNS

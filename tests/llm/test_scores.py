@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.llm import bpe, interpolate, language, licenses, minhash, quality, queries, toxicity
+from tenderloom.llm import bpe, decontaminate, editprint, interpolate, language, licenses, minhash, quality, queries, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -165,6 +165,10 @@ def test_awkward_tables_of_every_scoring_operator(spark):
     assert count(found) == ids and {r["language"] for r in found.collect()} == {"en"} and found.first()["d"] == "own"
     assert count(interpolate.model_scores(docs, held_out=F.col("doc_id") == 4)) == ids
     assert count(minhash.near_duplicates(docs)) == ids
+    hits = decontaminate.contamination(docs, spark.createDataFrame([("a", "a bird over there the cat and the mouse saw"), ("a", "zxq"), (None, "the")], "item_id string, text string"))
+    assert sorted((r["doc_id"] or 0, r["n_words"], len(r["items"])) for r in hits.collect()) == [(0, 2, 0), (1, 2, 0), (1, 300000, 1), (2, 0, 0), (3, 0, 0), (4, 200000, 1), (5, 1, 0)]
+    prints = editprint.fingerprints(docs.where("doc_id < 4"))
+    assert count(prints) == Counter({1: 2, 2: 1, 3: 1}) and prints.first()["fold"] == "own" and editprint.near_classes(prints).count() == 3
     assert licenses.scan(docs).count() == 0 and licenses.scan(none).count() == 0
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     assert count(bpe.round_trip(docs.where("doc_id is null or doc_id <> 5"), path=path, pattern=pattern)) == ids - Counter({5: 1})
