@@ -43,7 +43,7 @@ def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, each document's words and then its end; of the pairs with the token before; tokens before each document."""
     parts = []
     data, offsets = tk.buffers(texts)
-    for i, j in tk.pieces(offsets, 1 << 20):
+    for i, j in tk.pieces(offsets, tk.PIECE):
         low = tk.LOWER[data[offsets[i] : offsets[j]]]
         starts, ends, counts = tk.word_bounds(low, offsets[i : j + 1] - offsets[i], tk.NOT_SPACE)
         words = tk.word_hashes(low, starts, ends)

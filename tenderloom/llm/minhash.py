@@ -82,7 +82,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and their bounds."""
     data, offsets = tk.buffers(texts)
     values, bounds = [], [np.zeros(1, dtype=np.int64)]
-    for i, j in tk.pieces(offsets, 1 << 19):
+    for i, j in tk.pieces(offsets, tk.PIECE):
         low = tk.LOWER[data[offsets[i] : offsets[j]]]
         starts, ends, counts = tk.word_bounds(low, offsets[i : j + 1] - offsets[i], tk.NOT_SPACE)
         v, b = tk.shingles(tk.word_hashes(low, starts, ends), counts, k)

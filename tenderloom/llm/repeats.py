@@ -254,7 +254,7 @@ def _anchor_rows(slim: DataFrame, length: int) -> DataFrame:
     return slim.mapInArrow(run, KEYS)
 
 
-def _cells(held: DataFrame, length: int, width: int, most: int = 1 << 18) -> DataFrame:
+def _cells(held: DataFrame, length: int, width: int, most: int = 1 << 17) -> DataFrame:
     """held: (d, t, runs): a document and the runs to cut.  (d, core hash, fragment hash, farthest and nearest distance to the anchor, anchor).
 
     At most ``most`` cells of STRETCH bytes of text are made at once.
@@ -346,14 +346,14 @@ def _sorted_groups(slim: DataFrame, ranges: DataFrame, length: int, count: int)
         return pa.table([ids.take(pa.array(doc, pa.int64())), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["d", "low", "high"])
 
     def sort(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by core; whole cores are put together to about a MB."""
+        """Rows come by core; whole cores are put together to about half a MB."""
         held, size, core = [], 0, None
         for batch in arrow:
             h = batch.column("h").to_numpy()
             weight = np.asarray(pa.compute.binary_length(batch.column("fragment")))
             cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else []
             for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-                if h[a] != core and size > 1 << 20:
+                if h[a] != core and size > 4 * tk.PIECE:
                     yield from group(pa.Table.from_batches(held).combine_chunks()).to_batches()
                     held, size = [], 0
                 core = h[a]

@@ -98,7 +98,11 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def batches(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of text that are looked at together: each takes several arrays of eight times the size.
+PIECE = 1 << 17
+
+
+def batches(batch: pa.RecordBatch, text: str, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for each piece of a batch."""
     data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
     for i, j in pieces(offsets, limit):
