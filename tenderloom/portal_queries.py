@@ -49,8 +49,11 @@ def text(value: str) -> Column:
     return F.lit(value)
 
 
-#: Local day and time of a due date, five hours before UTC.
-LOCAL = F.col("due_date") - F.expr("interval 5 hours")
+def local() -> Column:
+    """Day and time of a due date, five hours before UTC."""
+    return F.col("due_date") - F.expr("interval 5 hours")
+
+
 ID, TITLE = "external_id", "title"
 
 
@@ -70,7 +73,7 @@ def register(query: Callable) -> None:
         CASE WHEN id % 4 < 3 THEN 'a.pdf=https://tx.example/files/' || id || '.pdf;b.pdf=http://other.example/b.pdf' ELSE '' END AS links FROM opportunities""", o)
     def _(v):
         rows = _rows(v)
-        record = F.struct(F.col(ID).alias("solicitationId"), TITLE, F.col("agency").alias("agencyName"), us("posted_date").alias("postingDate"), F.date_format(LOCAL, "M/d/yyyy").alias("responseDue"), F.date_format(LOCAL, "h:mm a").alias("responseTime"))
+        record = F.struct(F.col(ID).alias("solicitationId"), TITLE, F.col("agency").alias("agencyName"), us("posted_date").alias("postingDate"), F.date_format(local(), "M/d/yyyy").alias("responseDue"), F.date_format(local(), "h:mm a").alias("responseTime"))
         files = F.array(F.struct(text("a.pdf").alias("fileName"), F.concat(text("/files/"), F.col("id").cast("string"), text(".pdf")).alias("fileURL")), F.struct(text("b.pdf").alias("fileName"), text("http://other.example/b.pdf").alias("fileURL")), F.struct(F.lit(None).cast("string").alias("fileName"), text("x").alias("fileURL")))
         value = F.when(F.col("id") % 4 < 2, F.concat((F.col("id") % 1000).cast("string"), text(".5 USD"))).otherwise("none")
         detail = F.to_json(F.struct(F.concat(text("<p>Scope "), F.col("id").cast("string"), text("</p><div>and terms</div>")).alias("description"), value.alias("value"), files.alias("attachments")))
@@ -104,20 +107,20 @@ def register(query: Callable) -> None:
     @query("portal_ar", "SELECT external_id, title, agency, due_date, CASE WHEN id % 6 = 0 THEN 'Amended' ELSE 'Open' END AS status_on_site FROM opportunities", o)
     def _(v):
         mark = F.when(F.col("id") % 6 == 0, "<img alt=\"Recently updated\">").otherwise("")
-        line = _cells(mark, F.concat(text("<b>"), TITLE, text("</b>")), F.col("agency"), F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), text("")), F.concat(text("<a href='/bid'>"), ID, text("</a>")))
+        line = _cells(mark, F.concat(text("<b>"), TITLE, text("</b>")), F.col("agency"), F.coalesce(F.date_format(local(), "M/d/yyyy h:mm a"), text("")), F.concat(text("<a href='/bid'>"), ID, text("</a>")))
         return _shown(portals.REGISTRY["ar"](_html_pages(_rows(v), line)), "title", "agency", "due_date", "status_on_site")
 
     @query("portal_ms", "SELECT external_id, title, agency, CAST(posted_date AS VARCHAR) AS posted_date, due_date, CASE WHEN id % 2 = 0 THEN 'notice.pdf=/docs/' || id || '.pdf' ELSE '' END AS links FROM opportunities", o)
     def _(v):
         link = F.when(F.col("id") % 2 == 0, F.concat(text("<a href=\"/docs/"), F.col("id").cast("string"), text(".pdf\">notice.pdf</a>"))).otherwise("<a href=\"/home\">home</a>")
-        line = _cells(F.col(ID), F.col(TITLE), F.col("agency"), us("posted_date"), F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), text("")), link)
+        line = _cells(F.col(ID), F.col(TITLE), F.col("agency"), us("posted_date"), F.coalesce(F.date_format(local(), "M/d/yyyy h:mm a"), text("")), link)
         return _shown(portals.REGISTRY["ms"](_html_pages(_rows(v), line)), "title", "agency", "posted_date", "due_date", "links")
 
     @query("portal_la", """SELECT external_id, title, CAST(posted_date AS VARCHAR) AS posted_date, due_date, external_id || '=/f/' || id || '.pdf' || CASE WHEN id % 3 = 0 THEN ';addendum=/f/' || id || '-2.pdf' ELSE '' END AS links FROM opportunities""", o)
     def _(v):
         number = F.col("id").cast("string")
         link = lambda tail, name: F.concat(text("<a href='/f/"), number, text(tail), text("'>"), name, text("</a>"))
-        head = _cells(F.concat(text("<span>"), ID, text("</span>")), F.col(TITLE), us("posted_date"), F.concat(F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), text("")), link(".pdf", F.col(ID)).substr(F.lit(1), F.lit(0))), link(".pdf", F.col(ID)))
+        head = _cells(F.concat(text("<span>"), ID, text("</span>")), F.col(TITLE), us("posted_date"), F.concat(F.coalesce(F.date_format(local(), "M/d/yyyy h:mm a"), text("")), link(".pdf", F.col(ID)).substr(F.lit(1), F.lit(0))), link(".pdf", F.col(ID)))
         more = F.when(F.col("id") % 3 == 0, _cells(text("Addendum"), link("-2.pdf", text("addendum")))).otherwise("")
         return _shown(portals.la(_html_pages(_rows(v), F.concat(head, more))), "title", "posted_date", "due_date", "links")
 
@@ -139,24 +142,24 @@ def register(query: Callable) -> None:
     @query("portal_ma", "SELECT external_id, title, agency, due_date - INTERVAL 1 HOUR AS due_date, 'Sent' AS status_on_site FROM opportunities", o)
     def _(v):
         none = text("")
-        row = lambda title: _cells(F.col(ID), none, F.col("agency"), none, none, none, title, F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), none), none, none, text("Sent"))
+        row = lambda title: _cells(F.col(ID), none, F.col("agency"), none, none, none, title, F.coalesce(F.date_format(local(), "M/d/yyyy h:mm a"), none), none, none, text("Sent"))
         return _shown(portals.REGISTRY["ma"](_html_pages(_rows(v), F.concat(row(text("earlier title")), row(F.col(TITLE))))), "title", "agency", "due_date", "status_on_site")
 
     @query("portal_tn", "SELECT external_id, title, CAST(posted_date AS VARCHAR) AS posted_date, date_trunc('day', due_date - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS due_date FROM opportunities", o)
     def _(v):
-        dates = F.concat_ws(" to ", us("posted_date"), F.date_format(LOCAL, "M/d/yyyy"))
+        dates = F.concat_ws(" to ", us("posted_date"), F.date_format(local(), "M/d/yyyy"))
         return _shown(portals.REGISTRY["tn"](_html_pages(_rows(v), _cells(F.col(ID), dates, F.concat(text("<i>"), TITLE, text("</i>"))))), "title", "posted_date", "due_date")
 
     @query("portal_pa", "SELECT external_id, title, agency, CASE WHEN id % 7 <> 0 THEN due_date - INTERVAL 1 HOUR END AS due_date, CASE WHEN id % 4 = 0 THEN 'Bid Opened' ELSE 'Open' END AS status_on_site FROM opportunities", o)
     def _(v):
         none = text("")
-        due = F.when(F.col("id") % 7 == 0, "12/30/9999 12:00 AM").otherwise(F.coalesce(F.date_format(LOCAL, "M/d/yyyy h:mm a"), none))
+        due = F.when(F.col("id") % 7 == 0, "12/30/9999 12:00 AM").otherwise(F.coalesce(F.date_format(local(), "M/d/yyyy h:mm a"), none))
         line = _cells(F.col(ID), none, F.col(TITLE), F.col("agency"), none, none, none, none, due, none, F.when(F.col("id") % 4 == 0, "Bid Opened").otherwise(""))
         return _shown(portals.REGISTRY["pa"](_html_pages(_rows(v), line)), "title", "agency", "due_date", "status_on_site")
 
     @query("portal_sd", "SELECT external_id || '-RFQ' AS external_id, title, 'RFQ' AS category, due_date, 'Published' AS status_on_site FROM opportunities", o)
     def _(v):
-        record = F.struct(F.concat(ID, text("-RFQ")).alias("eventId"), F.col(TITLE).alias("eventName"), F.date_format(LOCAL, "yyyy-MM-dd'T'HH:mm:ss").alias("eventDueDate"), text("CT").alias("timezoneNameAbbreviation"), F.struct(text("Published").alias("description")).alias("status"))
+        record = F.struct(F.concat(ID, text("-RFQ")).alias("eventId"), F.col(TITLE).alias("eventName"), F.date_format(local(), "yyyy-MM-dd'T'HH:mm:ss").alias("eventDueDate"), text("CT").alias("timezoneNameAbbreviation"), F.struct(text("Published").alias("description")).alias("status"))
         return _shown(portals.sd(_json_pages(_rows(v), "data", record)), "title", "category", "due_date", "status_on_site")
 
     @query("portal_wv", "SELECT 'D_' || external_id AS external_id, title, agency, CAST(posted_date AS VARCHAR) AS posted_date, CAST(posted_date AS TIMESTAMP) + INTERVAL 13 HOUR + INTERVAL 30 MINUTE + INTERVAL 4 HOUR AS due_date FROM opportunities", o)
