@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, editprint, interpolate, language, licenses, minhash, quality, repeats, resample, toxicity
+from . import ann, bpe, conversations, decontaminate, editprint, interpolate, language, licenses, minhash, quality, repeats, resample, toxicity
 from .store import written
 
 
@@ -100,6 +100,11 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_edit_fingerprints": op2_edit_fingerprints,
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_importance_resample": op12_importance_resample,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
