@@ -230,10 +230,11 @@ def dealt(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
     """The rows with a number of their own (d) and the text (t), bucketed by the number, and how many buckets.
 
     The other columns are c0, c1, ... in their order.  As many buckets as the
-    input has partitions: every later step brings its few numbers to the texts,
-    which are moved this once.
+    input has partitions, and no more than Spark allows: every later step brings
+    its few numbers to the texts, which are moved this once.
     """
-    count = max(1, docs.rdd.getNumPartitions())
+    most = int(docs.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    count = min(max(1, docs.rdd.getNumPartitions()), most)
     others = [c for c in docs.columns if c != text]
     numbered = docs.select(F.monotonically_increasing_id().alias("d"), F.col(f"`{text}`").cast("string").alias("t"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(others)))
     return bucketed(numbered, "d", count, "rows"), count

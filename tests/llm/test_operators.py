@@ -210,6 +210,18 @@ def test_removal_of_empty_tables_and_as_text(spark):
     assert cut == {1: "a", 2: "b", 3: ""}
 
 
+def test_no_more_buckets_than_spark_allows(spark, texts):
+    docs = documents(spark, texts).repartition(7)
+    whole = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(docs).collect()}
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        rows, count = repeats.dealt(docs, "text")
+        assert count == 3 and rows.count() == len(texts)
+        assert {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(docs).collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
 def test_removal_by_row_whatever_the_ids(spark):
     passage = "".join(random.Random(9).choice("abcdefg ") for _ in range(550))
     rows = [("a", passage, 1), ("a", "short", 2), ("b", passage, 3), (None, "x" + passage, 4), (None, None, 5)]
