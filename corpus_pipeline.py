@@ -14,6 +14,10 @@ from tenderloom.llm import bpe, decontaminate, language, minhash, repeats
 from tenderloom.llm.store import small_batches, written
 
 
+#: Bytes of a passage that may not repeat.  Of 51 successive words of the corpora at hand 99 % have 230 bytes or more.
+PASSAGE = 220
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those of no clear language; the source serves as host and ``lang`` as declaration."""
     small_batches(spark)
@@ -29,9 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages of 400 bytes out of the texts; documents of which nothing is left go."""
+    """Takes repeated passages of PASSAGE bytes out of the texts; documents of which nothing is left go."""
     small_batches(spark)
-    cut = repeats.remove_repeats(docs, as_text=True)
+    cut = repeats.remove_repeats(docs, length=PASSAGE, as_text=True)
     left = cut.where("n_bytes = 0 or kept <> ''")
     return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

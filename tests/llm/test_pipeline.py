@@ -32,7 +32,7 @@ def folder(spark):
     return out
 
 
-def cut(texts: dict[int, str], length: int = 400) -> dict[int, str]:
+def cut(texts: dict[int, str], length: int = corpus_pipeline.PASSAGE) -> dict[int, str]:
     raw = {i: t.encode() for i, t in texts.items()}
     count = Counter(b[i : i + length] for b in raw.values() for i in range(len(b) - length + 1))
     out = {}
