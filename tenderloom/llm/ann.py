@@ -145,14 +145,16 @@ def places(x: np.ndarray, lists: Lists) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(row, dtype=np.int64), np.asarray(chosen, dtype=np.int64)
 
 
-def fit(sample: np.ndarray, ids: pa.Array, norm: float, lists: int, k: int, reach: float, trials: int = 256) -> Lists:
+def fit(sample: np.ndarray, ids: pa.Array, norm: float, lists: int, k: int, reach: float, trials: int = 128) -> Lists:
     """Centroids, graph, and the ratio at which trial vectors of the sample find the share ``reach`` of their neighbours in it."""
     x = raised(sample, norm)
     found = Lists(c := fit_centroids(x, lists), neighbour_graph(c), norm, 1.0, sample, ids)
     trial = np.linspace(0, len(x) - 1, min(len(x), trials)).astype(int)
     scores = sample[trial] @ sample.T
     scores[np.arange(len(trial)), trial] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
+    few = max(1, min(k, len(x) - 1))
+    near = np.argpartition(scores, len(x) - few, axis=1)[:, len(x) - few :]
+    del scores
     wanted, back = np.unique(near, return_inverse=True)
     row, chosen = places(x[wanted], found)
     to = distances(aimed(sample[trial]), c)

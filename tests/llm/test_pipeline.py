@@ -82,7 +82,7 @@ def test_stages_keep_the_columns(spark, folder):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 def test_contract_columns(spark):
@@ -90,6 +90,7 @@ def test_contract_columns(spark):
         "op1_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op2_edit_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         "op3_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op4_quality": "doc_id held_out score predicted", "op6_minhash": "doc_id n_shingles component_id kept",
         "op7_interpolated_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op9_toxicity": "doc_id held_out score predicted", "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op11_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", "op12_importance_resample": "doc_id n_features weight score rank", "op13_nearest_neighbours": "query_id rank vec_id score",
     }
     for name, columns in want.items():
         got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
