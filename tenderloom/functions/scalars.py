@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 #: Minutes from UTC, fixed over the year.
 EASTERN, CENTRAL, MOUNTAIN_STANDARD, MOUNTAIN_DAYLIGHT = -240, -300, -420, -360
 MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
+#: What the address or the text of a link to a document holds.
 DISCOVERABLE = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|csv|txt|rtf)(\?|#|$)"
+DOCUMENT_ADDRESSES = (
+    "filedownload", "bidattachment", "getdocument", "download.aspx", "download.do", "/_entity/annotation/", "attachment", "blobstorage", "document.ashx", "servlet/download", "showdocument", "viewdocument",
+)
+DOCUMENT_TEXTS = r"(?i)\b(download|attachment|specification|amendment|addend|exhibit|scope of work|solicitation document|\.pdf|\.docx?|\.xlsx?)\b"
 
 
 def clean(text: Column) -> Column:
@@ -117,13 +122,22 @@ def commodity_codes(text: Column) -> Column:
 
 
 def status_of_attachments(names: Column) -> Column:
-    """cancelled, awarded, amended or open by the names of the attachments, in that order."""
-    text = F.lower(names)
-    return F.when(F.rlike(text, F.lit("cancel")), "cancelled").when(F.rlike(text, F.lit("award")), "awarded").when(F.rlike(text, F.lit("amendment|addend")), "amended").otherwise("open")
+    """The status of a notice by the names of its files: a cancellation first, then an award, then an amendment."""
+    has = lambda rx: F.rlike(F.lower(names), F.lit(rx))
+    return F.when(has("cancellation|cancelled|canceled"), "Cancelled").when(has("intent to award|notice of award"), "Intent to Award Posted").when(has("amendment"), "Amended").otherwise("Open")
+
+
+def prose_date(text: Column, offset: int = CENTRAL) -> Column:
+    """The first ``Month D, 20YY`` of a text, at the first ``h[:mm] a.m.`` of it, which may stand before."""
+    date = lambda i: F.nullif(F.regexp_extract(text, r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(20\d{2})\b", i), F.lit(""))
+    time = lambda i: F.nullif(F.regexp_extract(text, r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*([ap])\.?\s?m\.?", i), F.lit(""))
+    month = F.element_at(F.create_map(*[F.lit(x) for p in MONTHS.items() for x in p]), F.lower(F.substring(date(1), 1, 3)))
+    zero = F.lit("0")
+    return _utc(date(3), month.cast("string"), date(2), F.coalesce(_hour24(time(1), F.coalesce(time(3), F.lit(""))).cast("string"), zero), F.coalesce(time(2), zero), zero, offset)
 
 
 def strip_count(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s*\(\d+\)\s*$", ""))
+    return F.trim(F.regexp_replace(text, r"\s*(-\s*)?\(\d+\)\s*$", ""))
 
 
 def coded(value: Column, labels: dict[str, str]) -> Column:
@@ -161,20 +175,27 @@ def money(text: Column) -> Column:
 
 
 def file_name(url: Column) -> Column:
-    """The name query parameter, else the last part of the path, else "document"."""
-    asked = F.nullif(F.regexp_extract(url, r"(?i)[?&](?:file|filename|name)=([^&#]+)", 1), F.lit(""))
-    path = F.try_element_at(F.filter(F.split(F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z]+://[^/]*", ""), r"[?#].*$", ""), "/"), lambda x: x != ""), F.lit(-1))
-    return F.coalesce(F.try_url_decode(F.coalesce(asked, path)), F.lit("document"))
+    """OriginalFileName or fileName of the query, else the last part of the path if it is longer than two, else "document"; relative addresses have no name."""
+    asked = lambda name: F.nullif(F.try_url_decode(F.regexp_extract(url, rf"^[^#]*?[?&]{name}=([^&#]*)", 1)), F.lit(""))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    last = F.try_url_decode(F.replace(F.try_element_at(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(-1)), F.lit("+"), F.lit("%2B")))
+    named = F.when(F.rlike(url, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]")), F.coalesce(asked("OriginalFileName"), asked("fileName"), F.when(F.length(last) > 2, last)))
+    return F.coalesce(named, F.lit("document"))
 
 
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, "(?i)[^a-z0-9._-]+", "_")
 
 
+def document_address(href: Column) -> Column:
+    """An extension of a document, or a part of a download address."""
+    low = F.lower(href)
+    return F.coalesce(F.rlike(href, F.lit(DISCOVERABLE)) | F.exists(F.array(*(F.lit(x) for x in DOCUMENT_ADDRESSES)), lambda hint: F.contains(low, hint)), F.lit(False))
+
+
 def looks_like_document(href: Column, text: Column) -> Column:
-    """An extension, or a download path, or a text about a document with a path or a query in the link."""
-    hint = F.rlike(F.lower(text), F.lit(r"\b(attachment|document|download|addend|amendment|specification|solicitation|rfp|rfq|bid packet)"))
-    return F.coalesce(F.rlike(href, F.lit(DISCOVERABLE)) | F.rlike(href, F.lit("(?i)(/download|/attachment|getfile|viewdocument)")) | (hint & F.rlike(href, F.lit("[/?]"))), F.lit(False))
+    """The address of a document, or a text about one with a path or a query in the link."""
+    return document_address(href) | F.coalesce(F.rlike(text, F.lit(DOCUMENT_TEXTS)) & F.rlike(href, F.lit("[/?]")), F.lit(False))
 
 
 def fnv1a(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import file_name, looks_like_document
+from ..functions import scalars as fn
+from . import markup as mk
 
 
 def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -18,14 +19,21 @@ def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.where(~F.rlike("href", F.lit("(?i)^(mailto|javascript):")))
 
 
-def documents(pages: DataFrame, key: str, html: str, most: int = 30) -> DataFrame:
-    """(key, position, url, filename): the first ``most`` distinct document links of each page."""
-    embedded = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?is)<(?:iframe|embed|object)\s[^>]*?(?:src|data)\s*=\s*"([^"]+)"'), F.lit(1))).alias("position", "href"))
-    linked = anchors(pages, key, html).where(looks_like_document(F.col("href"), F.col("text"))).select(key, "position", "href")
-    rows = linked.unionByName(embedded.select(key, (F.col("position") + 1_000_000).alias("position"), "href"))
-    once = rows.groupBy(key, "href").agg(F.min("position").alias("position"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("position", "href"))).where(F.col("n") <= most)
-    return ranked.select(key, F.col("n").alias("position"), F.col("href").alias("url"), file_name(F.col("href")).alias("filename"))
+def documents(pages: DataFrame, key: str, html: str, base: Column | None = None, most: int = 30) -> DataFrame:
+    """(key, position, url, filename): the first ``most`` document links of each page, once an address.
+
+    Links by their address or text, embedded files by their address alone.
+    ``base`` is the page's own address; without it only whole addresses count.
+    """
+    rows = mk.parsed(pages.select(key, (F.lit(None).cast("string") if base is None else base).alias("base"), html), column=html)
+    href = lambda e: F.coalesce(e["href"], F.lit(""))
+    linked = F.filter(mk.tagged(F.col("nodes"), "a"), lambda e: (href(e) != "") & ~F.rlike(href(e), F.lit("^(mailto:|javascript:|#)")) & fn.looks_like_document(href(e), mk.text(e)))
+    embedded = F.filter(mk.tagged(F.col("nodes"), "iframe", "embed", "object"), lambda e: fn.document_address(e["src"]))
+    found = F.concat(F.transform(linked, lambda e: F.struct(mk.text(e).alias("text"), e["href"].alias("href"))), F.transform(embedded, lambda e: F.struct(F.lit("").alias("text"), e["src"].alias("href"))))
+    rows = rows.select(key, "base", F.posexplode(found).alias("position", "r")).select(key, "position", fn.absolute(F.col("base"), F.col("r.href")).alias("url"), F.coalesce(F.nullif("r.text", F.lit("")), fn.file_name(F.col("r.href"))).alias("name"))
+    once = rows.where("url is not null").groupBy(key, "url").agg(F.min(F.struct("position", F.substring("name", 1, 200).alias("filename"))).alias("x"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("x.position"))).where(F.col("n") <= most)
+    return ranked.select(key, F.col("n").alias("position"), "url", "x.filename")
 
 
 def handler_downloads(pages: DataFrame, key: str, html: str, url: Column) -> DataFrame:

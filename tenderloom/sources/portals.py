@@ -16,6 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from . import markup as mk
+
+#: Addresses of the portals' pages, and what they call their owners.
+ADVANTAGE = {"ak": "https://iris-vss.alaska.gov/PRDVSS1X1/Advantage4", "ky": "https://vss.ky.gov/vssprod-ext/Advantage4"}
+MO_ORIGIN = "https://ewqg.fa.us8.oraclecloud.com"
+MO_LIST = f"{MO_ORIGIN}/fscmUI/redwood/negotiation-abstracts/view/abstractlisting?prcBuId=300000005255687"
+PHX_PORTAL = "https://procurement.opengov.com/portal/phoenix"
+SD_BOARD = "https://postingboard.esmsolutions.com/3444a404-3818-494f-84c5-2a850acd7779"
+WV_PAGES = (
+    ("Commodities & Services", "https://www.state.wv.us/admin/purchase/Commodities.html"), ("Construction", "https://www.state.wv.us/admin/purchase/ConstructionBids.html"),
+    ("Architecture & Engineering", "https://www.state.wv.us/admin/purchase/ArchitectureandEngineering.html"),
+)
+PA_BASE, TN_BASE, WY_ORIGIN, LA_BASE = "https://www.emarketplace.state.pa.us/", "https://www.tn.gov", "https://www.publicpurchase.com", "https://wwwcfprd.doa.louisiana.gov/osp/lapac/"
+OK_LIST = "https://financials.ok.gov/psc/SOKLFP1DS/SUPPLIER/ERP/c/SCP_PUBLIC_MENU_FL.SCP_PUB_BID_CMP_FL.GBL"
+MS_HUB, MS_PURCHASING, MS_CONSTRUCTION, MS_LEASE = (
+    f"https://www.dfa.ms.gov/{path}" for path in ("bids-and-rfps-notices", "current-bids-and-proposals", "construction-solicitations-bid-tabs", "real-property-management-solicitations")
+)
 
 FIELDS = {
     "external_id": "string", "title": "string", "agency": "string", "category": "string", "naics_code": "string", "description": "string", "posted_date": "date",
@@ -45,26 +62,47 @@ def _text(names: str) -> str:
     return ",".join(f"{n}:string" for n in names.split())
 
 
-def _links(urls: Column) -> Column:
-    return F.transform(urls, lambda u: F.struct(fn.file_name(u).alias("filename"), u.alias("url")))
+def _blank(text: Column | str) -> Column:
+    """Cleaned text; null if nothing is left."""
+    return F.nullif(fn.clean(F.col(text) if isinstance(text, str) else text), F.lit(""))
+
+
+def _joined(separator: str, *parts: Column) -> Column:
+    return F.array_join(F.array_compact(F.array(*parts)), separator)
 
 
 def sam(payloads: DataFrame) -> DataFrame:
     r = _json(payloads, "opportunitiesData", _text("noticeId solicitationNumber title fullParentPathName postedDate responseDeadLine naicsCode type typeOfSetAsideDescription description uiLink") + ",resourceLinks:array<string>")
     agency = F.array_join(F.slice(F.split("r.fullParentPathName", r"\."), 1, 2), " · ")
-    return normalized(r, {"external_id": F.col("r.noticeId"), "title": F.col("r.title"), "agency": agency, "category": F.col("r.type"), "naics_code": F.col("r.naicsCode"), "description": F.col("r.description"), "posted_date": F.try_to_timestamp(F.substring("r.postedDate", 1, 10), F.lit("yyyy-MM-dd")), "due_date": F.try_to_timestamp("r.responseDeadLine"), "detail_url": F.col("r.uiLink"), "status_on_site": F.lit("Active"), "attachments": _links(F.col("r.resourceLinks"))})
+    page = F.coalesce("r.uiLink", F.concat(F.lit("https://sam.gov/opp/"), "r.noticeId", F.lit("/view")))
+    files = F.transform(F.slice(F.coalesce("r.resourceLinks", F.array().cast("array<string>")), 1, 10), lambda u, i: F.struct(F.concat(F.lit("attachment-"), (i + 1).cast("string")).alias("filename"), u.alias("url")))
+    return normalized(r, {"external_id": F.coalesce(_blank("r.solicitationNumber"), "r.noticeId"), "title": F.col("r.title"), "agency": agency, "category": _joined(" · ", _blank("r.type"), _blank("r.typeOfSetAsideDescription")), "naics_code": F.col("r.naicsCode"), "description": fn.trim_description(F.col("r.description")), "posted_date": F.try_to_timestamp("r.postedDate"), "due_date": F.try_to_timestamp("r.responseDeadLine"), "detail_url": page, "status_on_site": F.lit("Open"), "attachments": files})
+
+
+def advantage(payloads: DataFrame, key: str = "ak") -> DataFrame:
+    """The grid of ``ak`` and ``ky``: coded values by the page's own labels, epoch dates, the id in the last of two brackets or more."""
+    grid = "T1SO_SRCH_QRY"
+    labels = [F.from_json(F.get_json_object("payload", f"$.page_metadata.datasources.{grid}.columns.{c}.codedValuesList"), "array<map<string,string>>").alias(c) for c in ("SO_CAT_CD", "SO_STA")]
+    body = F.from_json(F.get_json_object("payload", f"$.data.ds_data.{grid}.row_data"), f"array<struct<{_text('SO_CAT_CD SO_STA DOC_CD DOC_DSCR DEPT_NM BUYR_NM BUYR_EMAIL_AD DOC_REF DOC_CD_CONCAT SO_CLSNG_DT_TM PUB_DT')}>>")
+    r = payloads.select("page", *labels, F.posexplode(body).alias("position", "r"))
 
+    def label(field: str) -> Column:
+        code = F.nullif(F.col(f"r.{field}"), F.lit(""))
+        own = F.try_element_at(F.filter(field, lambda m: F.map_contains_key(m, code)), F.lit(-1))
+        return F.when(code.isNotNull(), F.coalesce(F.try_element_at(own, code), code))
 
-def advantage(payloads: DataFrame, categories: dict[str, str] | None = None, statuses: dict[str, str] | None = None) -> DataFrame:
-    """The grid of ``ak`` and ``ky``: coded values by label, epoch dates, the id in the last brackets."""
-    r = _json(payloads, "rows", _text("SO_CAT_CD SO_STA DOC_CD DOC_DSCR DEPT_NM BUYR_NM DOC_REF DOC_CD_CONCAT SO_CLSNG_DT_TM PUB_DT AMND_DT"))
-    return normalized(r, {"external_id": F.coalesce(fn.bracketed_id(F.col("r.DOC_REF")), "r.DOC_CD_CONCAT"), "title": F.col("r.DOC_DSCR"), "agency": F.col("r.DEPT_NM"), "category": fn.coded(F.col("r.SO_CAT_CD"), categories or {}), "posted_date": fn.epoch_millis(F.col("r.PUB_DT")), "due_date": fn.epoch_millis(F.col("r.SO_CLSNG_DT_TM")), "status_on_site": fn.coded(F.col("r.SO_STA"), statuses or {})})
+    brackets = F.regexp_extract_all("r.DOC_REF", F.lit(r"\[([^\]]*)\]"), F.lit(1))
+    number = F.when(F.size(brackets) >= 2, _blank(F.element_at(brackets, -1))).otherwise(_blank("r.DOC_REF"))
+    about = _joined(" — ", _blank("r.DOC_CD_CONCAT"), F.concat(F.lit("Buyer: "), _blank("r.BUYR_NM")), _blank("r.BUYR_EMAIL_AD"))
+    return normalized(r.where(_blank("r.DOC_DSCR").isNotNull()), {"external_id": number, "title": F.col("r.DOC_DSCR"), "agency": F.col("r.DEPT_NM"), "category": label("SO_CAT_CD"), "description": fn.trim_description(about), "posted_date": fn.epoch_millis(F.col("r.PUB_DT")), "due_date": fn.epoch_millis(F.col("r.SO_CLSNG_DT_TM")), "detail_url": F.lit(ADVANTAGE[key]), "status_on_site": label("SO_STA")})
 
 
 def mo(payloads: DataFrame) -> DataFrame:
-    r = _json(payloads, "items", "AuctionHeaderId:bigint," + _text("Negotiation NegotiationTitle NegotiationType Synopsis AmendmentDescription NegotiationStatusCode CloseDate PostingDate") + ",attachments:struct<items:array<struct<FileName:string,Title:string,FileUrl:string>>>")
-    description = F.concat_ws(" — Amendment: ", F.nullif("r.Synopsis", F.lit("")), F.nullif("r.AmendmentDescription", F.lit("")))
-    return normalized(r, {"external_id": F.coalesce("r.Negotiation", F.col("r.AuctionHeaderId").cast("string")), "title": F.col("r.NegotiationTitle"), "category": F.col("r.NegotiationType"), "description": description, "posted_date": F.try_to_timestamp("r.PostingDate"), "due_date": F.try_to_timestamp("r.CloseDate"), "status_on_site": F.col("r.NegotiationStatusCode"), "attachments": F.transform("r.attachments.items", lambda a: F.struct(F.coalesce(a["Title"], a["FileName"]).alias("filename"), a["FileUrl"].alias("url")))})
+    r = _json(payloads, "items", "AuctionHeaderId:bigint," + _text("Negotiation NegotiationTitle NegotiationType ProcurementBUName Synopsis AmendmentDescription NegotiationStatus CloseDate PostingDate PublishDate") + ",attachments:struct<items:array<struct<FileName:string,Title:string,FileUrl:string>>>")
+    description = _joined(" — ", _blank("r.Synopsis"), F.concat(F.lit("Amendment: "), _blank("r.AmendmentDescription")))
+    files = F.transform("r.attachments.items", lambda a: F.struct(F.coalesce(_blank(a["FileName"]), _blank(a["Title"])).alias("filename"), fn.absolute(F.lit(MO_ORIGIN), a["FileUrl"]).alias("url")))
+    files = F.filter(files, lambda a: a["filename"].isNotNull() & a["url"].isNotNull())
+    return normalized(r, {"external_id": F.coalesce(_blank("r.Negotiation"), F.col("r.AuctionHeaderId").cast("string")), "title": F.col("r.NegotiationTitle"), "agency": F.col("r.ProcurementBUName"), "category": F.col("r.NegotiationType"), "description": fn.trim_description(description), "posted_date": F.coalesce(F.try_to_timestamp("r.PostingDate"), F.try_to_timestamp("r.PublishDate")), "due_date": F.try_to_timestamp("r.CloseDate"), "detail_url": F.lit(MO_LIST), "status_on_site": F.col("r.NegotiationStatus"), "attachments": F.when(F.size(files) > 0, files)})
 
 
 def nc(payloads: DataFrame) -> DataFrame:
@@ -75,15 +113,20 @@ def nc(payloads: DataFrame) -> DataFrame:
 
 
 def phx(payloads: DataFrame) -> DataFrame:
-    r = _json(payloads, "", _text("id title status financialId departmentName postedAt proposalDeadline qaDeadline summary") + ",comingSoon:boolean,isPrivate:boolean,categories:array<struct<code:string,title:string>>,attachments:array<struct<filename:string,url:string>>")
-    r = r.where(~F.coalesce("r.isPrivate", F.lit(False)) & ((F.lower("r.status") == "open") | F.coalesce("r.comingSoon", F.lit(False))))
-    return normalized(r, {"external_id": F.coalesce(F.nullif("r.financialId", F.lit("")), "r.id"), "title": F.col("r.title"), "agency": F.col("r.departmentName"), "category": F.get("r.categories.title", F.lit(0)), "naics_code": F.get("r.categories.code", F.lit(0)), "description": fn.trim_description(fn.html_to_text(F.col("r.summary"))), "posted_date": F.try_to_timestamp("r.postedAt"), "due_date": F.try_to_timestamp("r.proposalDeadline"), "q_and_a_deadline": F.try_to_timestamp("r.qaDeadline"), "status_on_site": F.when(F.col("r.comingSoon"), "Coming soon").otherwise(F.col("r.status")), "attachments": F.col("r.attachments")})
+    """Open and announced projects; descriptions, codes and files are on their detail pages."""
+    r = _json(payloads, "projects", _text("id title status financialId departmentName postedAt postScheduledAt proposalDeadline qaDeadline") + ",comingSoon:boolean,isPrivate:boolean,template:struct<title:string,processAcronym:string>")
+    soon = F.coalesce("r.comingSoon", F.lit(False))
+    r = r.where(~F.coalesce("r.isPrivate", F.lit(False)) & (F.coalesce(_blank("r.status") == "open", F.lit(False)) | soon) & _blank("r.title").isNotNull())
+    kind = F.coalesce("r.template.processAcronym", "r.template.title")
+    return normalized(r, {"external_id": F.coalesce(_blank("r.financialId"), "r.id"), "title": F.col("r.title"), "agency": F.coalesce(_blank("r.departmentName"), F.lit("City of Phoenix")), "category": kind, "posted_date": F.try_to_timestamp(F.coalesce("r.postedAt", "r.postScheduledAt")), "due_date": F.try_to_timestamp("r.proposalDeadline"), "q_and_a_deadline": F.try_to_timestamp("r.qaDeadline"), "detail_url": F.concat(F.lit(f"{PHX_PORTAL}/projects/"), "r.id"), "status_on_site": F.when(soon, "Coming Soon").otherwise(F.col("r.status"))})
 
 
 def sd(payloads: DataFrame) -> DataFrame:
-    r = _json(payloads, "data", _text("eventId id eventName publishedDate eventDueDate timezoneNameAbbreviation") + ",status:struct<description:string>")
-    zone = F.coalesce("r.timezoneNameAbbreviation", F.lit(""))
-    return normalized(r, {"external_id": F.coalesce("r.eventId", "r.id"), "title": F.col("r.eventName"), "category": fn.category_of_id(F.col("r.eventId")), "posted_date": fn.local_time(F.col("r.publishedDate"), zone), "due_date": fn.local_time(F.col("r.eventDueDate"), zone), "status_on_site": F.col("r.status.description")})
+    r = _json(payloads, "data", _text("eventId id eventName publishedDate eventDueDate timezoneName timezoneNameAbbreviation") + ",status:struct<description:string>")
+    number = F.coalesce(_blank("r.id"), _blank("r.eventId"))
+    zone = F.when(F.upper(F.coalesce("r.timezoneNameAbbreviation", "r.timezoneName")) == "ET", "ET").otherwise("CT")
+    page = F.coalesce(F.concat(F.lit(f"{SD_BOARD}/eventDetail?eventId="), "r.eventId"), F.lit(f"{SD_BOARD}/events"))
+    return normalized(r.where(_blank("r.eventName").isNotNull()), {"external_id": number, "title": F.col("r.eventName"), "agency": F.lit("State of South Dakota"), "category": fn.category_of_id(number), "description": fn.trim_description(F.col("r.eventName")), "posted_date": fn.local_time(F.col("r.publishedDate"), zone), "due_date": fn.local_time(F.col("r.eventDueDate"), zone), "detail_url": page, "status_on_site": F.col("r.status.description")})
 
 
 def tx(payloads: DataFrame) -> DataFrame:
@@ -94,8 +137,12 @@ def tx(payloads: DataFrame) -> DataFrame:
 
 
 def wv(payloads: DataFrame) -> DataFrame:
-    r = _json(payloads, "rows", _text("DOC_DSCR DOC_DEPT_CD DEPT_NM DOC_CD DOC_ID DOC_VERS_NO SO_DSCR PUB_DT CLSNG_DT CLSNG_TM"))
-    return normalized(r, {"external_id": F.concat_ws("_", "r.DOC_DEPT_CD", "r.DOC_ID"), "title": F.col("r.DOC_DSCR"), "agency": F.col("r.DEPT_NM"), "category": F.col("r.DOC_CD"), "description": F.col("r.SO_DSCR"), "posted_date": F.try_to_timestamp(F.substring("r.PUB_DT", 1, 10), F.lit("yyyy-MM-dd")), "due_date": fn.half_day_time(F.col("r.CLSNG_DT"), F.col("r.CLSNG_TM"))})
+    """Pages come in threes, one for each category."""
+    r = _json(payloads, "", _text("DOC_DSCR DOC_DEPT_CD DEPT_NM DOC_CD DOC_ID SO_DSCR PUB_DT CLSNG_DT CLSNG_TM"))
+    number, title = _blank("r.DOC_ID"), _blank("r.DOC_DSCR")
+    of_page = lambda part: F.get(F.array(*(F.lit(p[part]) for p in WV_PAGES)), F.col("page") % len(WV_PAGES))
+    about = _joined(" — ", F.concat_ws(" ", _blank("r.DOC_CD"), number), title)
+    return normalized(r.where(number.isNotNull()), {"external_id": F.concat_ws("_", _blank("r.DOC_DEPT_CD"), number), "title": F.coalesce(title, number), "agency": F.col("r.DEPT_NM"), "category": F.coalesce(_blank("r.SO_DSCR"), of_page(0)), "description": fn.trim_description(about), "posted_date": F.try_to_timestamp(F.trim("r.PUB_DT")), "due_date": fn.half_day_time(F.col("r.CLSNG_DT"), F.col("r.CLSNG_TM")), "detail_url": of_page(1), "status_on_site": F.lit("Open")})
 
 
 # --- HTML tables
@@ -136,11 +183,7 @@ class Layout:
 #: Cell numbers of the portals' result tables.
 LAYOUTS = {
     "ma": Layout(0, 6, agency=2, due=7, status=10, least=8, offset=fn.EASTERN, last=True),
-    "la": Layout(0, 1, posted=2, due=3, least=4),
-    "tn": Layout(0, 2, posted=1, due=1, least=3),
     "ar": Layout(-1, -4, agency=-3, due=-2, least=4),
-    "pa": Layout(0, 2, agency=3, due=8, status=10, least=11, offset=fn.EASTERN),
-    "ms": Layout(0, 1, agency=2, posted=3, due=4, least=5),
 }
 
 
@@ -164,27 +207,244 @@ def table(payloads: DataFrame, layout: Layout, agency: Column | None = None) ->
     return normalized(rows, fields, last=layout.last)
 
 
+# --- pages read as trees
+
+
+def _records(pages: DataFrame, records: Column, *more: str) -> DataFrame:
+    return pages.select("page", *more, F.posexplode(records).alias("position", "r"))
+
+
+def _first_with(elements: Column, test: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(elements, test), F.lit(0))
+
+
 def la(payloads: DataFrame) -> DataFrame:
-    """Rows without a number in their first cell go on the record above: their links are added to its own."""
-    rows = table_rows(payloads)
-    number = F.nullif(text_of(F.regexp_extract(F.get("cells", F.lit(0)), r"(?is)<span[^>]*>(.*?)</span>", 1)), F.lit(""))
+    """A page a department, whose name and address are the columns ``department`` and ``url``, if there are any.
+
+    Rows without a number in their first cell go on the record above: the links
+    of their last cell but one are added to its own.
+    """
+    for name in ("department", "url"):
+        payloads = payloads if name in payloads.columns else payloads.withColumn(name, F.lit(None).cast("string"))
+    pages = mk.parsed(payloads)
+    table_of = lambda e: F.exists(mk.tagged(F.col("nodes"), "table"), lambda t: mk.has_class(t, "bid") & (t["at"] < e["at"]) & (e["at"] <= t["last"]))
+
+    def row(tr: Column) -> Column:
+        cells = mk.children(tr, "td")
+        cell = lambda i: F.get(cells, F.lit(i))
+        number = _first_with(mk.below(cell(0)), lambda e: e["tag"] == "span")
+        about = F.when(number.isNotNull(), cell(1)).otherwise(F.get(cells, F.greatest(F.size(cells) - 2, F.lit(0))))
+        # the title ends where the first strong or linked part of the cell begins
+        stop = _first_with(mk.children(about, "strong", "a"), lambda e: F.lit(True))
+        head = fn.clean(F.substr(F.col("words"), about["begin"] + 1, F.coalesce(stop["begin"], about["end"]) - about["begin"]))
+        return F.struct(
+            number.isNotNull().alias("own"), F.nullif(mk.text(number), F.lit("")).alias("id"), F.size(cells).alias("cells"), head.alias("title"), mk.text(about).alias("about"),
+            mk.text(cell(2)).alias("issued"), mk.text(cell(3)).alias("opens"), mk.links(about, LA_BASE).alias("links"),
+        )
+
+    rows = F.transform(F.filter(mk.tagged(F.col("nodes"), "tr"), table_of), row)
+    r = _records(pages, F.filter(rows, lambda x: x["cells"] > 0), "department", "url")
     before = Window.partitionBy("page").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("id", F.last(number, ignorenulls=True).over(before)).withColumn("head", number.isNotNull())
-    extra = rows.where(~F.col("head")).groupBy("page", "id").agg(F.flatten(F.collect_list("links")).alias("more"))
-    heads = rows.where("head").join(extra, ["page", "id"], "left")
-    cell = lambda i: text_of(F.get("cells", F.lit(i)))
-    due = cell(3)
-    links = F.array_distinct(F.concat("links", F.coalesce("more", F.array().cast("array<struct<filename:string,url:string>>"))))
-    return normalized(heads.where(F.size("cells") >= 4), {"external_id": F.col("id"), "title": cell(1), "description": fn.trim_description(cell(1)), "posted_date": fn.us_date(cell(2)), "due_date": F.when(~F.contains(due, F.lit("12/30/9999")), fn.us_date(due)), "status_on_site": F.when(F.rlike(cell(1), F.lit("(?i)bid cancelled")), "Cancelled").otherwise("Open"), "attachments": links})
+    r = r.withColumn("head", F.last(F.when(F.col("r.own") & (F.col("r.cells") >= 4) & F.col("r.id").isNotNull(), F.col("position")), ignorenulls=True).over(before))
+    extra = r.where(~F.col("r.own")).groupBy("page", "head").agg(F.array_sort(F.collect_list(F.struct("position", "r.links"))).alias("more"))
+    extra = extra.select("page", F.col("head").alias("position"), F.flatten("more.links").alias("more"))
+    heads = r.where(F.col("position") == F.col("head")).join(extra, ["page", "position"], "left")
+    links = mk.once(F.concat("r.links", F.coalesce("more", F.array().cast("array<struct<filename:string,url:string>>"))))
+    original = F.coalesce(_first_with(F.col("r.links"), lambda a: a["filename"] == F.col("r.id")), F.get("r.links", F.lit(0)))["url"]
+    return normalized(heads, {
+        "external_id": F.col("r.id"), "title": F.col("r.title"), "agency": F.col("department"), "description": fn.trim_description(F.col("r.about")), "posted_date": fn.us_date(F.col("r.issued")),
+        "due_date": F.when(~F.contains("r.opens", F.lit("12/30/9999")), fn.us_date(F.col("r.opens"))), "detail_url": F.coalesce(original, "url"),
+        "status_on_site": F.when(F.rlike("r.about", F.lit("(?i)Bid Cancelled")), "Cancelled").otherwise("Open"), "attachments": links,
+    })
+
+
+def la_departments(payloads: DataFrame) -> DataFrame:
+    """(page, position, term, department, url) of the index page's links to departments, the first of each term."""
+    pages = mk.parsed(payloads)
+    found = F.filter(mk.tagged(F.col("nodes"), "a"), lambda a: F.contains(a["href"], F.lit("dspBid.cfm")) & F.contains(a["href"], F.lit("search=department")))
+    rows = F.transform(found, lambda a: F.struct(F.nullif(F.url_decode(F.regexp_extract(a["href"], r"[?&]term=([^&#]*)", 1)), F.lit("")).alias("term"), fn.strip_count(mk.text(a)).alias("department"), fn.absolute(F.lit(LA_BASE), a["href"]).alias("url")))
+    r = _records(pages, rows).where("r.term is not null")
+    return r.withColumn("n", F.row_number().over(Window.partitionBy("r.term").orderBy("page", "position"))).where("n = 1").select("page", "position", "r.*")
+
+
+def tn(payloads: DataFrame) -> DataFrame:
+    """The first table of each page; pages are in turn of requests for proposals and invitations to bid."""
+    pages = mk.parsed(payloads)
+    table_ = F.get(mk.tagged(F.col("nodes"), "table"), F.lit(0))
+    rows = mk.tagged(mk.below(table_), "tr")
+
+    def row(tr: Column) -> Column:
+        cells = mk.tagged(mk.below(tr), "td")
+        named = F.filter(mk.tagged(mk.below(F.get(cells, F.lit(0))), "a"), lambda a: (F.coalesce(a["href"], F.lit("")) != "") & (mk.text(a) != ""))
+        files = F.transform(named, lambda a: F.struct(mk.text(a).alias("filename"), F.coalesce(fn.absolute(F.lit(TN_BASE), a["href"]), a["href"]).alias("url")))
+        return F.struct(F.size(cells).alias("cells"), files.alias("links"), mk.text(F.get(cells, F.lit(1))).alias("dates"), mk.text(F.get(cells, F.lit(2))).alias("title"))
+
+    made = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), row)
+    r = _records(pages, F.filter(made, lambda x: (x["cells"] >= 3) & (F.size(x["links"]) > 0)))
+    first = F.col("r.links")[0]
+    number = F.nullif(F.trim(F.regexp_replace(first["filename"], r"(?i)^(RFP|ITB|RFI|Event)[\s\u00a0]*", "")), F.lit(""))
+    number = F.coalesce(number, F.nullif(F.regexp_extract(first["url"], r"(?i)(rfp|itb|rfi)-updates/([^/]+)/", 2), F.lit("")))
+    date = lambda i: fn.us_date(F.get(F.regexp_extract_all("r.dates", F.lit(r"[0-1]?\d/[0-3]?\d/20\d{2}"), F.lit(0)), F.lit(i)))
+    return normalized(r, {"external_id": number, "title": F.coalesce(_blank("r.title"), first["filename"]), "category": F.when(F.col("page") % 2 == 0, "RFP").otherwise("ITB"), "posted_date": date(0), "due_date": date(1), "detail_url": first["url"], "status_on_site": F.lit("Open"), "attachments": F.slice("r.links", 2, F.size("r.links"))})
+
+
+def pa(payloads: DataFrame) -> DataFrame:
+    """Rows of the result grid that link to a solicitation."""
+    pages = mk.parsed(payloads)
+    grid_ = _first_with(F.col("nodes"), lambda e: e["id"] == "ctl00_MainBody_grdResults")
+
+    def row(tr: Column) -> Column:
+        cells = mk.tagged(mk.below(tr), "td")
+        link = _first_with(mk.tagged(mk.below(tr), "a"), lambda a: F.endswith(a["id"], F.lit("_HyperLink1")))
+        return F.struct(F.transform(cells, mk.text).alias("cells"), mk.text(link).alias("named"), F.when(link.isNotNull(), F.coalesce(link["href"], F.lit(""))).alias("href"))
+
+    r = _records(pages, F.filter(F.transform(mk.tagged(mk.below(grid_), "tr"), row), lambda x: x["href"].isNotNull() & (F.size(x["cells"]) >= 11)))
+    cell = lambda i: F.nullif(F.get("r.cells", F.lit(i)), F.lit(""))
+    sid = F.nullif(F.url_decode(F.regexp_extract("r.href", "(?i)SID=([^&]+)", 1)), F.lit(""))
+    page = F.coalesce(F.concat(F.lit("Solicitations.aspx?SID="), F.replace(F.url_encode(sid), F.lit("+"), F.lit("%20"))), F.col("r.href"))
+    return normalized(r, {"external_id": F.coalesce(cell(0), sid), "title": F.coalesce(cell(2), "r.named"), "agency": cell(4), "category": cell(1), "description": fn.trim_description(cell(3)), "posted_date": fn.us_date(cell(7), fn.EASTERN), "due_date": fn.us_date(cell(8), fn.EASTERN), "detail_url": fn.absolute(F.lit(PA_BASE), page), "status_on_site": F.coalesce(cell(10), F.lit("Open"))})
+
+
+def wy(payloads: DataFrame) -> DataFrame:
+    """Rows that a script writes; the description is a block in the title's cell, which the title goes without."""
+    pages = mk.parsed(payloads, mk.scripted)
+    owner = F.nullif(F.regexp_extract(mk.text(F.get(mk.tagged(F.col("nodes"), "title"), F.lit(0))), r"(?i):\s*(.+?)\s+Home Page", 1), F.lit(""))
+
+    def row(tr: Column) -> Column:
+        cells = mk.children(tr, "td")
+        link = _first_with(mk.tagged(mk.below(tr), "a"), lambda a: F.contains(a["href"], F.lit("bidId=")))
+        block = _first_with(mk.tagged(mk.below(tr), "div"), lambda e: mk.has_class(e, "balloonstyle"))
+        first = F.get(cells, F.lit(0))
+        rest = F.concat(F.substr(F.col("words"), first["begin"] + 1, F.coalesce(block["begin"], first["end"]) - first["begin"]), F.coalesce(F.substr(F.col("words"), block["end"] + 1, first["end"] - block["end"]), F.lit("")))
+        return F.struct(link["href"].alias("href"), F.coalesce(F.nullif(mk.text(link), F.lit("")), fn.clean(rest)).alias("title"), mk.text(block).alias("about"), F.transform(cells, mk.text).alias("cells"))
+
+    r = _records(pages.withColumn("owner", F.coalesce(owner, F.lit("State of Wyoming"))), F.transform(mk.tagged(F.col("nodes"), "tr"), row), "owner")
+    zone = lambda text: F.when(F.rlike(text, F.lit(r"\bMST\b")), fn.MOUNTAIN_STANDARD).otherwise(fn.MOUNTAIN_DAYLIGHT)
+    stamp = lambda text: fn.month_name_date(text, zone(text))
+    cell = lambda i: F.get("r.cells", F.lit(i))
+    asked = F.substring(F.regexp_extract("r.about", r"(?is)(\bquestions?\b.*)", 1), 1, 400)
+    day = F.regexp_extract(asked, r"(?s)^(.*?)([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})", 2)
+    ahead = F.regexp_extract(asked, r"(?s)^(.*?)([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})", 1)
+    time = F.regexp_extract(ahead, r"(?i)\d{1,2}:\d{2}\s*[ap]\.?\s*m", 0)
+    return normalized(r.where(_blank("r.title").isNotNull()), {
+        "external_id": F.nullif(F.regexp_extract("r.href", r"bidId=(\d+)", 1), F.lit("")), "title": F.col("r.title"), "agency": F.col("owner"), "category": F.regexp_extract("r.title", r"^(.*?)#\s*(.+?)\s+-\s+", 1),
+        "description": fn.trim_description(F.col("r.about")), "posted_date": fn.month_name_date(cell(1), fn.MOUNTAIN_DAYLIGHT), "due_date": stamp(cell(2)), "q_and_a_deadline": F.when(day != "", fn.month_name_date(F.concat_ws(" ", day, time), fn.MOUNTAIN_DAYLIGHT)),
+        "detail_url": fn.absolute(F.lit(WY_ORIGIN), F.col("r.href")), "status_on_site": F.lit("Open"),
+    })
+
+
+_MS = "struct<external_id:string,title:string,agency:string,category:string,description:string,due_date:timestamp,detail_url:string,status_on_site:string,attachments:array<struct<filename:string,url:string>>>"
+
+
+def _ms(external_id: Column, title: Column, agency: Column, category: Column, description: Column, due: Column, detail: Column, status: Column, files: Column) -> Column:
+    return F.struct(*(c.alias(n) for c, n in zip((external_id, title, agency, category, description, due, detail, status, files), "external_id title agency category description due_date detail_url status_on_site attachments".split(), strict=True))).cast(_MS)
+
+
+def _panels(lists: Column) -> Column:
+    """The headings of the given folding lists that have a body behind them."""
+    heads = F.filter("nodes", lambda e: (e["tag"] == "dt") & F.exists(lists, lambda x: x["at"] == e["parent"]))
+    return F.filter(heads, lambda e: mk.following(e, "dd").isNotNull())
+
+
+def _first_url(files: Column, page: str) -> Column:
+    return F.coalesce(F.get(files, F.lit(0))["url"], F.lit(page))
+
+
+def _ms_hub(folding: Column) -> Column:
+    """Paragraphs "RFx# number - title", each with a list of files behind it, but for the panel of completed ones."""
+    pattern = r"(?i)RFx\s*#?\s*(\d{6,})\s*[-–—]+\s*(.+)"
 
+    def one(panel: Column, p: Column) -> Column:
+        number, title = (F.regexp_extract(mk.text(p), pattern, i) for i in (1, 2))
+        files = mk.links(mk.following(p, "ul", "ol"), MS_HUB)
+        status = fn.status_of_attachments(F.array_join(F.transform(files, lambda a: a["filename"]), " | "))
+        return _ms(F.concat(F.lit("RFx-"), number), F.trim(title), F.lit("Mississippi Department of Finance and Administration"), mk.text(panel), fn.trim_description(title), F.lit(None), _first_url(files, MS_HUB), status, files)
 
-def grid(payloads: DataFrame) -> DataFrame:
+    def panel(dt: Column) -> Column:
+        found = F.filter(mk.tagged(mk.below(mk.following(dt, "dd")), "p"), lambda p: F.rlike(mk.text(p), F.lit(pattern)))
+        return F.transform(found, lambda p: one(dt, p))
+
+    return F.flatten(F.transform(F.filter(_panels(folding), lambda e: ~F.rlike(mk.text(e), F.lit("(?i)completed"))), panel))
+
+
+def _ms_purchasing(folding: Column) -> Column:
+    """The heading is the title; number and deadline are in the prose of the body."""
+    def panel(dt: Column) -> Column:
+        body, title = mk.following(dt, "dd"), mk.text(dt)
+        number = F.nullif(F.regexp_extract(mk.text(body), r"(?i)\bRF[PQXI]\s*#?\s*(\d{6,})", 1), F.lit(""))
+        name = F.coalesce(F.concat(F.lit("RFx-"), number), F.concat(F.lit("MSPURCH-"), fn.slug_id(title)))
+        return _ms(name, title, F.lit("MS DFA Office of Purchasing, Travel and Fleet Management"), F.lit("Purchasing"), fn.trim_description(mk.text(body)), fn.prose_date(mk.text(body)), F.lit(MS_PURCHASING), F.lit("Open"), mk.links(body, MS_PURCHASING))
+
+    return F.transform(F.filter(_panels(folding), lambda e: mk.text(e) != ""), panel)
+
+
+def _ms_construction(folding: Column) -> Column:
+    """Of the first list only: items "label: value" are the fields, the last of a label counts."""
+    def panel(dt: Column) -> Column:
+        body, heading = mk.following(dt, "dd"), mk.text(dt)
+
+        def item(li: Column) -> Column:
+            label = F.regexp_replace(mk.text(_first_with(mk.below(li), lambda e: e["tag"] == "span")), ":$", "")
+            return F.struct(F.lower(label).alias("k"), fn.clean(F.regexp_replace(F.substr(mk.text(li), F.length(label) + 2), r"^[:\s]+", "")).alias("v"))
+
+        fields = F.transform(mk.tagged(mk.below(body), "li"), item)
+        get = lambda name: F.nullif(F.try_element_at(F.filter(fields, lambda x: x["k"] == name), F.lit(-1))["v"], F.lit(""))
+        rfx, number = F.coalesce(get("rfx#"), get("rfx")), F.coalesce(get("gs no"), F.nullif(F.regexp_replace(heading, r"(?i)^GS\s*", ""), F.lit("")))
+        title, files = F.coalesce(get("project title"), heading), mk.links(body, MS_CONSTRUCTION)
+        about = _joined(" — ", F.nullif(title, F.lit("")), get("using agency"), F.concat(F.lit("Professional: "), get("professional")))
+        name = F.coalesce(F.concat(F.lit("RFx-"), rfx), F.concat(F.lit("GS-"), number))
+        agency = F.coalesce(get("using agency"), F.lit("MS DFA Bureau of Building, Grounds and Real Property Management"))
+        return _ms(name, title, agency, F.lit("Construction"), fn.trim_description(about), fn.us_date(get("date")), _first_url(files, MS_CONSTRUCTION), F.lit("Open"), files)
+
+    return F.filter(F.transform(_panels(F.slice(folding, 1, 1)), panel), lambda x: x["external_id"].isNotNull())
+
+
+def _ms_leases(tables: Column) -> Column:
+    """Of the first table only: agency, place, deadline."""
+    body = mk.below(F.get(tables, F.lit(0)))
+    heads = mk.tagged(body, "thead")
+    rows = F.filter(mk.tagged(body, "tr"), lambda tr: ~F.exists(heads, lambda h: (h["at"] < tr["at"]) & (tr["at"] <= h["last"])) & (F.size(mk.tagged(mk.below(tr), "td")) >= 3))
+
+    def row(tr: Column) -> Column:
+        cells = mk.tagged(mk.below(tr), "td")
+        cell = lambda i: mk.text(F.get(cells, F.lit(i)))
+        place = F.regexp_replace(cell(1), r"\s*/\s*", ", ")
+        title = F.concat(F.lit("Request for Lease Proposals — "), cell(0), F.when(place != "", F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(""))
+        files = mk.links(F.get(cells, F.lit(1)), MS_LEASE)
+        return _ms(F.concat(F.lit("MSLEASE-"), fn.slug_id(F.concat_ws("-", cell(0), place, cell(2)))), title, cell(0), F.lit("Real Property / Lease"), fn.trim_description(title), fn.us_date(cell(2)), _first_url(files, MS_LEASE), F.lit("Open"), files)
+
+    return F.filter(F.transform(rows, row), lambda x: x["agency"] != "")
+
+
+def ms(payloads: DataFrame) -> DataFrame:
+    """Pages come in fours, each in a shape of its own: hub, purchasing, construction, leases.
+
+    Of one id the first record stays, with the first due date that any has and
+    the files of all, once an address.
+    """
+    pages = mk.parsed(payloads)
+    folding = F.filter("nodes", lambda e: (e["tag"] == "dl") & mk.has_class(e, "ckeditor-accordion"))
+    tables = F.filter("nodes", lambda e: (e["tag"] == "table") & mk.has_class(e, "tblwdt"))
+    shape = F.col("page") % 4
+    rows = F.when(shape == 0, _ms_hub(folding)).when(shape == 1, _ms_purchasing(folding)).when(shape == 2, _ms_construction(folding)).otherwise(_ms_leases(tables))
+    r = _records(pages, rows).where("r.external_id is not null and r.title <> ''").select("page", "position", "r.*")
+    place = F.struct("page", "position")
+    first = r.groupBy("external_id").agg(F.min_by(F.struct("page", "position", *(c for c in r.columns if c not in ("page", "position", "due_date", "attachments", "external_id"))), place).alias("f"), F.min_by("due_date", F.when(F.col("due_date").isNotNull(), place)).alias("due_date"))
+    files = r.select("external_id", "page", "position", F.posexplode("attachments").alias("n", "a"))
+    files = files.groupBy("external_id", F.col("a.url").alias("url")).agg(F.min(F.struct("page", "position", "n", "a.filename")).alias("x"))
+    files = files.groupBy("external_id").agg(F.array_sort(F.collect_list(F.struct("x", "url"))).alias("xs")).select("external_id", F.transform("xs", lambda y: F.struct(y["x"]["filename"].alias("filename"), y["url"].alias("url"))).alias("attachments"))
+    merged = first.join(files, "external_id", "left").select("external_id", "f.*", "due_date", "attachments")
+    return normalized(merged, {n: F.col(n) for n in merged.columns if n in FIELDS})
+
+
+def grid(payloads: DataFrame, key: str = "ok") -> DataFrame:
     """The grids of ``ks`` and ``ok``: spans named FIELD$N are the fields of row N."""
-    spans = payloads.select("page", F.explode(F.regexp_extract_all("payload", F.lit(r"(?is)(<span\b[^>]*\bid\s*=\s*\"[^\"]+\$\d+\"[^>]*>.*?</span>)"), F.lit(1))).alias("s"))
-    parts = spans.select("page", F.regexp_extract("s", r'id\s*=\s*"([^"]+)\$(\d+)"', 1).alias("f"), F.regexp_extract("s", r'id\s*=\s*"([^"]+)\$(\d+)"', 2).cast("int").alias("position"), text_of(F.col("s")).alias("x"))
+    named = r"""(?i)\bid\s*=\s*["']([^"']+)\$(\d+)["']"""
+    spans = payloads.select("page", F.explode(F.regexp_extract_all("payload", F.lit(r"""(?is)(<span\b[^>]*\bid\s*=\s*["'][^"']+\$\d+["'][^>]*>.*?</span>)"""), F.lit(1))).alias("s"))
+    parts = spans.select("page", F.regexp_extract("s", named, 1).alias("f"), F.regexp_extract("s", named, 2).cast("int").alias("position"), text_of(F.col("s")).alias("x"))
     names = {"id": "SCP_PUB_AUC_VW_AUC_ID", "title": "SCP_PUB_AUC_VW_AUC_NAME", "agency": "BUS_UNIT_AUC_VW_DESCR", "type": "SCP_PUB_AUC_VW_AUC_TYPE", "from": "SCP_COSP_WK_FL_SCP_STRT_DATE_CHAR", "to": "SCP_COSP_WK_FL_SCP_END_DATE_CHAR"}
     rows = parts.groupBy("page", "position").agg(*(F.max(F.when(F.col("f") == field, F.col("x"))).alias(n) for n, field in names.items()))
-    return normalized(rows, {"external_id": F.col("id"), "title": F.col("title"), "agency": F.col("agency"), "category": F.col("type"), "posted_date": fn.us_date(F.col("from")), "due_date": fn.us_date(F.col("to")), "status_on_site": F.lit("Posted")})
+    return normalized(rows, {"external_id": F.col("id"), "title": F.col("title"), "agency": F.col("agency"), "category": F.col("type"), "posted_date": fn.us_date(F.col("from")), "due_date": fn.us_date(F.col("to")), "detail_url": F.lit(OK_LIST) if key == "ok" else F.lit(None), "status_on_site": F.lit("Posted")})
 
 
 def mt(payloads: DataFrame) -> DataFrame:
@@ -196,18 +456,6 @@ def mt(payloads: DataFrame) -> DataFrame:
     return normalized(rows, {"external_id": label("Number"), "title": F.get("links.filename", F.lit(0)), "agency": F.lit("State of Montana"), "category": label("Type"), "posted_date": fn.us_date(label("Open"), zone("Open")), "due_date": fn.us_date(label("Close"), zone("Close")), "status_on_site": F.lit("Open")})
 
 
-def wy(payloads: DataFrame) -> DataFrame:
-    """Rows that a script writes; spans whose ids it hides are decoys and go first."""
-    hidden = F.flatten(F.transform(F.regexp_extract_all("payload", F.lit(r"\baction\(([^)]*)\)"), F.lit(1)), lambda a: F.regexp_extract_all(a, F.lit('"([^"]*)"'), F.lit(1))))
-    spans = F.regexp_extract_all("payload", F.lit(r"(?is)(<span\b[^>]*\bid\s*=\s*'?\"?[\w-]+[^>]*>.*?</span>)"), F.lit(1))
-    bare = F.aggregate(F.filter(spans, lambda s: F.array_contains(F.col("_hidden"), F.regexp_extract(s, r"id\s*=\s*['\"]?([\w-]+)", 1))), F.col("payload"), lambda text, s: F.replace(text, s, F.lit("")))
-    rows = table_rows(payloads.withColumn("_hidden", hidden), bare)
-    cell = lambda i: text_of(F.get("cells", F.lit(i)))
-    bid = F.nullif(F.regexp_extract("row", r"bidId=(\d+)", 1), F.lit(""))
-    questions = F.regexp_extract(cell(1), r"(?is)questions?\b(.{0,400})", 1)
-    return normalized(rows, {"external_id": bid, "title": cell(0), "description": cell(1), "posted_date": fn.month_name_date(cell(2), fn.MOUNTAIN_DAYLIGHT), "due_date": fn.month_name_date(cell(3), F.when(F.rlike(cell(3), F.lit("MST")), fn.MOUNTAIN_STANDARD).otherwise(fn.MOUNTAIN_DAYLIGHT)), "q_and_a_deadline": F.when(questions != "", fn.month_name_date(questions, fn.MOUNTAIN_DAYLIGHT)), "status_on_site": F.lit("Open")})
-
-
 # --- detail pages
 
 
@@ -234,19 +482,40 @@ def tx_details(payloads: DataFrame, origin: str) -> DataFrame:
     return d.select("external_id", F.col("external_id").alias("echoed"), text.alias("description"), F.when(value > 0, value).alias("estimated_value"), F.when(F.size(files) > 0, files).alias("attachments"))
 
 
+def _panel_field(name: str, tag: str = "span") -> Column:
+    """The text of the first element whose id begins with ``name``."""
+    return F.nullif(text_of(F.regexp_extract("payload", rf"""(?is)<{tag}\b[^>]*\bid\s*=\s*["']{name}[^"']*["'][^>]*>(.*?)</{tag}>""", 1)), F.lit(""))
+
+
 def ks_details(payloads: DataFrame) -> DataFrame:
     """payloads: (external_id, payload), an HTML page each, which names its id."""
-    def field(name: str, tag: str = "span") -> Column:
-        return F.nullif(text_of(F.regexp_extract("payload", rf'(?is)<{tag}\b[^>]*\bid\s*=\s*"{name}[^"]*"[^>]*>(.*?)</{tag}>', 1)), F.lit(""))
-
-    line, long = field("KS_AUC_LN_VW_DESCR254_MIXED"), field("KS_AUCDTL_VW_DESCRLONG", "textarea")
+    line, long = _panel_field("KS_AUC_LN_VW_DESCR254_MIXED"), _panel_field("KS_AUCDTL_VW_DESCRLONG", "textarea")
     text = F.nullif(fn.trim_description(F.concat_ws(" — ", long, line)), F.lit(""))
-    return payloads.select("external_id", field(r"KS_AUCDTL_VW_AUC_ID\$0").alias("echoed"), text.alias("description"), line.alias("category"), field(r"KS_AUCDTL_VW_AUC_STATUS\$0").alias("status_on_site"))
+    return payloads.select("external_id", _panel_field(r"KS_AUCDTL_VW_AUC_ID\$0").alias("echoed"), text.alias("description"), line.alias("category"), _panel_field(r"KS_AUCDTL_VW_AUC_STATUS\$0").alias("status_on_site"))
+
+
+def ok_details(payloads: DataFrame) -> DataFrame:
+    """payloads: (external_id, payload), partial pages whose markup is in CDATA sections, which name their id."""
+    bare = F.regexp_replace("payload", r"(?s)<GENSCRIPT.*?</GENSCRIPT>", "")
+    pages = payloads.select("external_id", F.regexp_replace(bare, r"<!\[CDATA\[|\]\]>", "").alias("payload"))
+    text = F.nullif(fn.trim_description(_panel_field("SCP_P_AUCDTL_VW_DESCRLONG", "textarea")), F.lit(""))
+    return pages.select("external_id", _panel_field(r"SCP_P_AUCDTL_VW_AUC_ID\$").alias("echoed"), text.alias("description"), _panel_field(r"SCP_P_AUCDTL_VW_AUC_STATUS\$").alias("status_on_site"))
+
+
+def phx_details(payloads: DataFrame) -> DataFrame:
+    """payloads: (external_id, payload), a JSON object each, by the record that was asked for."""
+    kind = "summary string, background string, categories array<struct<code:string,title:string>>, attachments array<struct<filename:string,title:string,url:string>>"
+    d = payloads.select("external_id", F.from_json("payload", kind).alias("d")).where(F.rlike("payload", F.lit(r"^\s*\{")))
+    about = lambda part: F.nullif(fn.trim_description(fn.html_to_text(F.col(f"d.{part}"))), F.lit(""))
+    titles = _joined("; ", F.array_join(F.filter(F.transform("d.categories", lambda c: fn.clean(c["title"])), lambda t: t != ""), "; "))
+    files = F.transform("d.attachments", lambda a: F.struct(fn.clean(F.coalesce(a["filename"], a["title"])).alias("filename"), fn.clean(a["url"]).alias("url")))
+    files = F.filter(files, lambda a: (a["filename"] != "") & (a["url"] != ""))
+    return d.select("external_id", F.col("external_id").alias("echoed"), F.coalesce(about("summary"), about("background")).alias("description"), _blank(F.get("d.categories", F.lit(0))["code"]).alias("naics_code"), F.nullif(titles, F.lit("")).alias("category"), F.when(F.size(files) > 0, files).alias("attachments"))
 
 
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "sam": sam, "ak": advantage, "ky": advantage, "ks": grid, "la": la, "mo": mo, "mt": mt, "nc": nc, "ok": grid, "phx": phx, "sd": sd, "tx": tx, "wv": wv, "wy": wy,
-    **{k: (lambda payloads, layout=LAYOUTS[k]: table(payloads, layout)) for k in ("ar", "ma", "ms", "pa", "tn")},
+    "sam": sam, "ak": advantage, "ky": lambda payloads: advantage(payloads, "ky"), "ks": lambda payloads: grid(payloads, "ks"), "la": la, "mo": mo, "ms": ms, "mt": mt, "nc": nc, "ok": grid, "pa": pa, "phx": phx, "sd": sd, "tn": tn, "tx": tx, "wv": wv, "wy": wy,
+    **{k: (lambda payloads, layout=LAYOUTS[k]: table(payloads, layout)) for k in ("ar", "ma")},
 }
 
 
