@@ -255,7 +255,7 @@ def _anchor_rows(slim: DataFrame, length: int) -> DataFrame:
     return slim.mapInArrow(run, KEYS)
 
 
-def _cells(held: DataFrame, length: int, width: int, most: int = 1 << 17) -> DataFrame:
+def _cells(held: DataFrame, length: int, width: int, most: int = 1 << 16) -> DataFrame:
     """held: (d, t, runs): a document and the runs to cut.  (d, core hash, fragment hash, farthest and nearest distance to the anchor, anchor).
 
     At most ``most`` cells of STRETCH bytes of text are made at once.

@@ -7,6 +7,7 @@ over the whole batch instead of a Python loop per document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,11 +103,21 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 PIECE = 1 << 17
 
 
+def release() -> None:
+    """Hands freed memory back to the system: a Python worker outlives its tasks, and stages without Python need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def batches(batch: pa.RecordBatch, text: str, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for each piece of a batch."""
     data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
     for i, j in pieces(offsets, limit):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    del data, offsets
+    release()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
