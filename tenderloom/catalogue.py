@@ -17,6 +17,9 @@ from .operators import cdc, ordering, reminders, retrieval, scoring, workflow
 from .plans import metrics, serving
 from .plans.serving import Filters, default_view
 from .plans.views import AS_OF, Views, with_views
+from .sources.tables import new_folder
+from .streaming.store import Store, apply, committed, create, state
+from .streaming.store import table as output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -386,12 +389,12 @@ def _(v):
     return cdc.versions(classified(v), history, v.as_of).select(*cdc.KEY, "version_no")
 
 
-@query("status_log", CHANGES + "SELECT source_id, external_id, old_status AS old_value, new_status AS new_value FROM d WHERE change IN ('NEW','AMENDED','CLOSED','REMOVED') AND old_status IS DISTINCT FROM new_status", O)
+@query("status_log", CHANGES + "SELECT source_id, external_id, old_status AS old_value, new_status AS new_value, CASE change WHEN 'NEW' THEN 'First seen on portal' WHEN 'AMENDED' THEN 'Content changed on portal' WHEN 'CLOSED' THEN 'Past due date and no longer listed' ELSE 'No longer listed on portal' END AS reason FROM d WHERE change IN ('NEW','AMENDED','CLOSED','REMOVED') AND old_status IS DISTINCT FROM new_status", O)
 def _(v):
-    return cdc.status_log(classified(v), v.as_of).select(*cdc.KEY, "old_value", "new_value")
+    return cdc.status_log(classified(v), v.as_of).select(*cdc.KEY, "old_value", "new_value", "reason")
 
 
-@query("crawl_notifications", CHANGES + """SELECT source_id, external_id, CASE WHEN change = 'AMENDED' THEN 'AMENDMENT' ELSE 'NEW_OPPORTUNITY' END AS type, CASE WHEN p THEN 'Pursue: ' || title WHEN r THEN 'Review: ' || title ELSE 'Amended: ' || title END AS title, CASE WHEN p THEN 'warning' ELSE 'info' END AS severity
+@query("crawl_notifications", CHANGES + """SELECT source_id, external_id, CASE WHEN change = 'AMENDED' THEN 'AMENDMENT' ELSE 'NEW_OPPORTUNITY' END AS type, CASE WHEN p THEN 'Pursue: ' || title WHEN r THEN 'Capture review: ' || title ELSE 'Amended: ' || title END AS title, CASE WHEN r THEN 'info' ELSE 'warning' END AS severity
     FROM (SELECT *, coalesce(change = 'NEW' AND pursuit_bucket = 'PURSUE' AND urgency <> 'INSUFFICIENT_TIME', false) AS p, coalesce(change = 'NEW' AND pursuit_bucket = 'CAPTURE_REVIEW', false) AS r FROM d) WHERE p OR r OR change = 'AMENDED'""", O)
 def _(v):
     return cdc.notifications(classified(v))
@@ -402,6 +405,48 @@ def _(v):
     return cdc.next_state(classified(v), v.as_of).select(*cdc.KEY, "status", "first_seen_at", "last_seen_at", "closed_at")
 
 
+def crawled(v: Views) -> Store:
+    """A store that has taken the snapshot in as three batches, in parts by id, the middle one twice."""
+    stored, seen = stored_and_seen(v)
+    kept = Store(new_folder(v.spark, "crawl"), buckets=8, most=2)
+    create(kept, stored.withColumn("version_no", (F.col("id") % 3 + 1).cast("int")))
+    files = F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit("").alias("filename"), F.concat(F.lit("https://x.example/"), F.col("id").cast("string")).alias("url"))))
+    seen = seen.withColumns({"attachments": files, "position": F.lit(0)})
+    for number in (0, 1, 1, 2):
+        apply(v.spark, kept, seen.where(F.col("id") % 3 == number), number, AS_OF)
+    return kept
+
+
+#: As CHANGES, for a snapshot that says nothing of keys that it lacks.
+PARTIAL = """WITH c AS (SELECT *, CASE WHEN id % 10 = 0 THEN 'ABSENT' WHEN id % 11 = 0 THEN 'NEW' WHEN id % 7 = 0 THEN 'AMENDED' ELSE 'UNCHANGED' END AS change, CASE WHEN id % 11 <> 0 THEN status END AS old_status FROM opportunities WHERE id % 11 <> 0 OR id % 10 <> 0),
+    s AS (SELECT *, CASE WHEN change = 'NEW' THEN 'NEW' WHEN change = 'AMENDED' AND status NOT IN ('CLOSED','REMOVED','AWARDED','CANCELLED') THEN 'AMENDED' WHEN change = 'UNCHANGED' AND status = 'NEW' THEN 'OPEN' ELSE status END AS new_status FROM c) """
+
+
+@query("crawl_state", PARTIAL + f"""SELECT source_id, external_id, new_status AS status, CASE WHEN change = 'NEW' THEN {T} ELSE first_seen_at END AS first_seen_at, CASE WHEN id % 10 <> 0 THEN {T} ELSE first_seen_at END AS last_seen_at, CAST(NULL AS TIMESTAMP) AS closed_at,
+    CAST(CASE change WHEN 'NEW' THEN 1 WHEN 'AMENDED' THEN id % 3 + 2 ELSE id % 3 + 1 END AS INTEGER) AS version_no FROM s""", O)
+def _(v):
+    return state(v.spark, crawled(v)).select(*cdc.KEY, "status", "first_seen_at", "last_seen_at", "closed_at", "version_no")
+
+
+@query("crawl_outputs", PARTIAL + """SELECT source_id, external_id, 'versions' AS kind, CAST(CASE change WHEN 'NEW' THEN 1 ELSE id % 3 + 2 END AS VARCHAR) AS value, id % 3 AS batch FROM s WHERE change IN ('NEW', 'AMENDED')
+    UNION ALL SELECT source_id, external_id, 'log', concat_ws('>', old_status, new_status), id % 3 FROM s WHERE change IN ('NEW', 'AMENDED') AND old_status IS DISTINCT FROM new_status
+    UNION ALL SELECT source_id, external_id, 'attachments', 'attachment=https://x.example/' || id, id % 3 FROM s WHERE change = 'NEW' AND id % 2 = 0
+    UNION ALL SELECT source_id, external_id, 'notifications', CASE WHEN change = 'AMENDED' THEN 'Amended: ' WHEN pursuit_bucket = 'PURSUE' THEN 'Pursue: ' ELSE 'Capture review: ' END || title, id % 3 FROM s
+        WHERE change = 'AMENDED' OR change = 'NEW' AND (pursuit_bucket = 'CAPTURE_REVIEW' OR pursuit_bucket = 'PURSUE' AND urgency <> 'INSUFFICIENT_TIME')
+    UNION ALL SELECT NULL, NULL, 'commits', concat_ws(' ', count_if(change IN ('NEW', 'AMENDED', 'UNCHANGED')), count_if(change = 'NEW'), count_if(change = 'AMENDED'), 0), id % 3 FROM s GROUP BY id % 3""", O)
+def _(v):
+    kept = crawled(v)
+    shown = {
+        "versions": F.col("version_no").cast("string"), "log": F.concat_ws(">", "old_value", "new_value"), "attachments": F.concat_ws("=", "filename", "source_url"), "notifications": F.col("title"),
+    }
+    rows = [output(v.spark, kept, name).select(*cdc.KEY, F.lit(name).alias("kind"), value.alias("value"), F.col("batch").cast("bigint")) for name, value in shown.items()]
+    none = (F.lit(None).cast(rows[0].schema[k].dataType).alias(k) for k in cdc.KEY)
+    out = committed(v.spark, kept).select(*none, F.lit("commits").alias("kind"), F.concat_ws(" ", "items_found", "new_count", "changed_count", "closed_count").alias("value"), F.col("batch").cast("bigint"))
+    for more in rows:
+        out = out.unionByName(more)
+    return out
+
+
 @query("content_hash", """SELECT id, sha256('[' || to_json(lower(trim(title))) || ',' || to_json(lower(trim(agency))) || ',"","",' || to_json(lower(trim(coalesce(description, '')))) || ',' || coalesce(CAST(CAST(floor(estimated_value) AS BIGINT) AS VARCHAR), '""') || ',' || to_json(lower(status)) || ',"a|b"]') AS hash FROM opportunities""", O)
 def _(v):
     none = F.lit(None).cast("string")

@@ -73,17 +73,22 @@ def counters(classified: DataFrame) -> DataFrame:
     return classified.agg(n("NEW", "AMENDED", "UNCHANGED").alias("items_found"), n("NEW").alias("new_count"), n("AMENDED").alias("changed_count"), n("CLOSED", "REMOVED").alias("closed_count"))
 
 
+def version_rows(classified: DataFrame, number: Column, as_of: Column) -> DataFrame:
+    """A version of every new and amended key, with this number."""
+    changed = classified.where(F.col("change").isin("NEW", "AMENDED"))
+    return changed.select(*KEY, number.alias("version_no"), F.col("seen.content_hash").alias("content_hash"), F.when(F.col("change") == "NEW", "Initial capture").otherwise("Amended on portal").alias("change_summary"), as_of.alias("captured_at"))
+
+
 def versions(classified: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
     """New versions: one after the key's last, from 1."""
     last = history.groupBy(*KEY).agg(F.max("version_no").alias("_last"))
-    changed = classified.where(F.col("change").isin("NEW", "AMENDED")).join(last, KEY, "left")
-    return changed.select(*KEY, (F.coalesce("_last", F.lit(0)) + 1).alias("version_no"), F.col("seen.content_hash").alias("content_hash"), F.when(F.col("change") == "NEW", "Initial capture").otherwise("Content changed").alias("change_summary"), as_of.alias("captured_at"))
+    return version_rows(classified.join(last, KEY, "left"), F.coalesce("_last", F.lit(0)) + 1, as_of)
 
 
 def status_log(classified: DataFrame, as_of: Column) -> DataFrame:
     """Status changes worth a log row; the quiet turn from NEW to OPEN is not."""
     moved = classified.where(F.col("change").isin("NEW", "AMENDED", "CLOSED", "REMOVED") & ~F.col("old_status").eqNullSafe(F.col("new_status")))
-    reason = F.create_map(*[F.lit(x) for p in {"NEW": "First seen on portal", "AMENDED": "Content changed on portal", "CLOSED": "Past due and no longer listed", "REMOVED": "No longer listed"}.items() for x in p])
+    reason = F.create_map(*[F.lit(x) for p in {"NEW": "First seen on portal", "AMENDED": "Content changed on portal", "CLOSED": "Past due date and no longer listed", "REMOVED": "No longer listed on portal"}.items() for x in p])
     return moved.select(*KEY, F.lit("status").alias("field"), F.col("old_status").alias("old_value"), F.col("new_status").alias("new_value"), F.element_at(reason, F.col("change")).alias("reason"), as_of.alias("changed_at"))
 
 
@@ -93,12 +98,12 @@ def notifications(classified: DataFrame) -> DataFrame:
     pursue = (F.col("change") == "NEW") & (bucket == "PURSUE") & (F.col("seen.urgency") != "INSUFFICIENT_TIME")
     review = (F.col("change") == "NEW") & (bucket == "CAPTURE_REVIEW")
     kind = F.when(pursue | review, "NEW_OPPORTUNITY").when(F.col("change") == "AMENDED", "AMENDMENT")
-    text = F.when(pursue, F.concat(F.lit("Pursue: "), title)).when(review, F.concat(F.lit("Review: "), title)).otherwise(F.concat(F.lit("Amended: "), title))
-    return classified.select(*KEY, kind.alias("type"), text.alias("title"), F.when(pursue, "warning").otherwise("info").alias("severity")).where("type is not null")
+    text = F.when(pursue, F.concat(F.lit("Pursue: "), title)).when(review, F.concat(F.lit("Capture review: "), title)).otherwise(F.concat(F.lit("Amended: "), title))
+    return classified.select(*KEY, kind.alias("type"), text.alias("title"), F.when(review, "info").otherwise("warning").alias("severity")).where("type is not null")
 
 
-def next_state(classified: DataFrame, as_of: Column) -> DataFrame:
-    """The stored table after the crawl; the seen row's fields replace those of new and amended keys."""
+def next_state(classified: DataFrame, as_of: Column, version: Column | None = None) -> DataFrame:
+    """The stored table after the crawl; the seen row's fields replace those of new and amended keys, ``version`` the column version_no."""
     seen = {f.name for f in classified.schema["seen"].dataType}
     fresh = F.col("change").isin("NEW", "AMENDED")
     columns = []
@@ -106,6 +111,8 @@ def next_state(classified: DataFrame, as_of: Column) -> DataFrame:
         old = F.col(f"stored.{f.name}")
         if f.name == "status":
             columns.append(F.col("new_status").alias("status"))
+        elif f.name == "version_no" and version is not None:
+            columns.append(version.cast(f.dataType).alias(f.name))
         elif f.name == "last_seen_at":
             columns.append(F.when(F.col("seen").isNotNull(), as_of).otherwise(old).alias(f.name))
         elif f.name == "first_seen_at":
@@ -122,7 +129,7 @@ def next_state(classified: DataFrame, as_of: Column) -> DataFrame:
 def attachments(classified: DataFrame, most: int = 30) -> DataFrame:
     """Pending attachments of new keys, the first ``most`` of each.  ``seen.attachments``: array of (filename, url)."""
     rows = classified.where("change = 'NEW'").select(*KEY, F.posexplode(F.slice("seen.attachments", 1, most)).alias("position", "a"))
-    return rows.select(*KEY, "position", F.col("a.filename").alias("filename"), F.col("a.url").alias("source_url"), F.lit("pending").alias("parse_status"))
+    return rows.select(*KEY, "position", F.coalesce(F.nullif("a.filename", F.lit("")), F.lit("attachment")).alias("filename"), F.col("a.url").alias("source_url"), F.lit("pending").alias("parse_status"))
 
 
 def run_outcome(warnings: Column, failed: Column) -> Column:

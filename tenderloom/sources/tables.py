@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +54,13 @@ def manual_record(df: DataFrame) -> DataFrame:
     from ..functions.scalars import money
 
     return df.select(*(money(F.col(c)).alias(c) if c == "estimated_value" else F.nullif(F.trim(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path not yet used in the folder that all executors share: ``spark.checkpoint.dir``, or in local mode without it a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

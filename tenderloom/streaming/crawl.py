@@ -1,35 +1,30 @@
-"""The crawl as a stream: each batch of snapshot files is classified against the state so far and becomes the next state."""
+"""The crawl as a stream: each batch of snapshot files is classified against the state so far and goes into the store."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import cdc
+from .store import Store, apply
 
 
-def follow(spark: SparkSession, snapshots: str, schema: StructType, state: str, checkpoint: str, as_of: Column | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Reads new snapshot files under ``snapshots`` and writes ``state/v=<batch>``, the last of which is the state.
+def follow(spark: SparkSession, snapshots: str, schema: StructType, store: Store, checkpoint: str, as_of: datetime | None = None, complete: bool = False, on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Reads new snapshot files under ``snapshots`` into the store, a file a batch.
 
-    A batch is not taken as a complete snapshot: keys that it does not have
-    keep their status; of several records of a key the first of the file counts.
-    A batch that is run again writes the same folder again.  Every batch writes
-    the whole state once.
+    Without ``complete`` keys that a batch does not have keep their status.  Of
+    several records of a key the first by the column ``position`` counts.  A
+    batch that the stream runs again, after it broke off anywhere, ends as if
+    it had run once.
     """
-    now = as_of if as_of is not None else F.current_timestamp()
 
     def one(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        stored = session.read.parquet(f"{state}/v={number - 1}")
-        unique = cdc.first_of_each(batch.withColumn("_p", F.monotonically_increasing_id()), cdc.KEY, "_p").drop("_p")
-        classified = cdc.classify(stored, unique, now, complete=False)
-        cdc.next_state(classified, now).write.mode("overwrite").parquet(f"{state}/v={number}")
+        apply(batch.sparkSession, store, batch, number, as_of, complete)
         if on_batch:
-            on_batch(classified, number)
+            on_batch(number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(snapshots)
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one).trigger(availableNow=True).start()

@@ -14,7 +14,6 @@ from tenderloom.functions import profile as prof
 from tenderloom.operators import cdc, drafting, ordering, reminders, retrieval, scoring
 from tenderloom.plans import serving
 from tenderloom.sources import portals, tables
-from tenderloom.streaming import crawl
 
 NOW = datetime(2026, 7, 1)
 
@@ -116,7 +115,7 @@ def test_change_capture(spark):
     assert got == {"fresh": ("NEW", "NEW"), "same": ("UNCHANGED", "OPEN"), "same2": ("UNCHANGED", "AMENDED"), "diff": ("AMENDED", "AMENDED"), "diffclosed": ("AMENDED", "CLOSED"), "late": ("CLOSED", "CLOSED"), "gone": ("REMOVED", "REMOVED"), "undated": ("REMOVED", "REMOVED"), "done": ("TERMINAL", "AWARDED")}
     assert tuple(cdc.counters(c).first()) == (5, 1, 2, 3)
     assert {r["external_id"] for r in cdc.status_log(c, as_of()).collect()} == {"fresh", "diff", "late", "gone", "undated"}
-    assert {(r["external_id"], r["type"], r["severity"]) for r in cdc.notifications(c).collect()} == {("fresh", "NEW_OPPORTUNITY", "warning"), ("diff", "AMENDMENT", "info"), ("diffclosed", "AMENDMENT", "info")}
+    assert {(r["external_id"], r["type"], r["severity"]) for r in cdc.notifications(c).collect()} == {("fresh", "NEW_OPPORTUNITY", "warning"), ("diff", "AMENDMENT", "warning"), ("diffclosed", "AMENDMENT", "warning")}
     history = spark.createDataFrame([(1, "diff", 4)], "source_id int, external_id string, version_no int")
     assert {(r["external_id"], r["version_no"]) for r in cdc.versions(c, history, as_of()).collect()} == {("fresh", 1), ("diff", 5), ("diffclosed", 1)}
     state = cdc.next_state(c, as_of())
@@ -126,18 +125,6 @@ def test_change_capture(spark):
     assert set(partial.values()) == {"ABSENT", "TERMINAL"}
 
 
-def test_streamed_crawl(spark):
-    stored, seen = crawl_tables(spark)
-    folder = tempfile.mkdtemp(prefix="spark-")
-    stored.write.parquet(f"{folder}/state/v=-1")
-    snapshot = seen.select("source_id", "external_id", "title", "due_date", "content_hash")
-    snapshot.coalesce(1).write.parquet(f"{folder}/in")
-    kinds = []
-    crawl.follow(spark, f"{folder}/in", snapshot.schema, f"{folder}/state", f"{folder}/check", as_of(), lambda c, n: kinds.append({r["change"] for r in c.collect()})).awaitTermination(120)
-    assert kinds == [{"NEW", "AMENDED", "UNCHANGED", "ABSENT", "TERMINAL"}]
-    assert spark.read.parquet(f"{folder}/state/v=0").where("external_id = 'fresh'").first()["status"] == "NEW"
-
-
 def test_reminders(spark):
     rows = [(1, "OPEN", NOW + timedelta(hours=20)), (2, "OPEN", NOW + timedelta(days=3)), (3, "OPEN", NOW + timedelta(days=7)), (4, "CLOSED", NOW + timedelta(days=1)), (5, "NEW", None), (6, "OPEN", NOW - timedelta(hours=1))]
     sent = spark.createDataFrame([(3, "DEADLINE", 7)], "id int, type string, days_out int")
