@@ -570,11 +570,14 @@ def _(v):
     return v.opportunities.select("id", fn.deadline_label(F.col("due_date"), v.as_of).alias("label"))
 
 
-@query("discover_links", r"""SELECT page_id, CAST(count(*) AS BIGINT) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"#][^"]*)"', 1)) AS href FROM pages) WHERE NOT regexp_matches(href, '(?i)^(mailto|javascript):') GROUP BY 1""")
+@query("discover_links", r"""SELECT page_id, sha256(string_agg(href || '=' || name, ' ' ORDER BY n)) AS links FROM (SELECT page_id, n, href, trim(regexp_replace(regexp_extract(a, '(?is)>(.*)</a', 1), '<[^>]*>', '', 'g')) AS name FROM
+    (SELECT page_id, a, n, regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(h) AS a, generate_subscripts(h, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"[^"#][^"]*"[^>]*>.*?</a') AS h FROM pages)))
+    WHERE NOT regexp_matches(href, '(?i)^(mailto|javascript):')) GROUP BY 1""")
 def _(v):
     from .sources.discovery import anchors
 
-    return anchors(v.table("pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("links"))
+    rows = anchors(v.table("pages"), "page_id", "html").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", F.concat("href", F.lit("="), "text").alias("x")))).alias("l"))
+    return rows.select("page_id", F.sha2(F.array_join(F.transform("l", lambda x: x["x"]), " "), 256).alias("links"))
 
 
 @query("fnv_hash", f"SELECT id, {FNV_SQL.format('external_id')} AS h FROM opportunities", O)

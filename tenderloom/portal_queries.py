@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .plans.views import Views
-from .sources import portals
+from .sources import portals, saved
+from .sources.tables import new_folder
 
 #: Records of a saved page.
 PAGE = 200
@@ -253,6 +254,20 @@ def register(query: Callable) -> None:
         record = F.struct(F.col("id").alias("eventId"), F.when(F.col("id") % 3 > 0, F.concat(ID, text("-RFQ"))).alias("id"), F.col(TITLE).alias("eventName"), F.date_format("posted_date", naive).alias("publishedDate"), F.date_format(local(), naive).alias("eventDueDate"), F.when(F.col("id") % 2 == 0, "ET").otherwise("CT").alias("timezoneNameAbbreviation"), F.struct(text("Published").alias("description")).alias("status"))
         return _whole(portals.sd(_json_pages(_rows(v), "data", record)))
 
+    @query("saved_pages", "SELECT CASE WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) ELSE external_id || '-RFQ' END AS external_id, title, 'https://sd.example/' || id AS about FROM opportunities", o)
+    def _(v):
+        """Pages of two portals and an older crawl's, read by the data source: one portal, up to its first short page."""
+        record = F.struct(F.col("id").alias("eventId"), F.when(F.col("id") % 3 > 0, F.concat(ID, text("-RFQ"))).alias("id"), F.col(TITLE).alias("eventName"), F.struct(F.concat(text("https://sd.example/"), F.col("id").cast("string")).alias("description")).alias("status"))
+        pages = _json_pages(_rows(v), "data", record)
+        # behind an empty page an earlier crawl has left some
+        end = (pages.agg(F.max("page")).first()[0] or 0) + 1
+        old = pages.select((F.col("page") + end + 1).alias("page"), F.replace("payload", text('"eventName":"'), text('"eventName":"old ')).alias("payload")).unionByName(v.spark.createDataFrame([(end, '{"data":[]}')], pages.schema))
+        folder = new_folder(v.spark, "pages")
+        saved.save(pages.unionByName(old).select(text("sd").alias("key"), "page", "payload").unionByName(pages.select(text("wv").alias("key"), "page", "payload")), folder)
+        count = F.size(F.from_json(F.get_json_object("payload", "$.data"), "array<struct<eventId:string>>"))
+        found = portals.sd(saved.whole(saved.load(v.spark, folder).where("key = 'sd'"), count, 1))
+        return found.select("external_id", "title", F.col("status_on_site").alias("about"))
+
     wv_pages = "CASE (id // 200) % 3 WHEN 0 THEN '{}' WHEN 1 THEN '{}' ELSE '{}' END"
 
     @query("portal_wv", stated(external_id="CASE WHEN id % 3 = 0 THEN external_id ELSE 'D_' || external_id END", title="title", agency="agency", category="CASE WHEN id % 2 = 0 THEN 'Equipment' ELSE " + wv_pages.format("Commodities & Services", "Construction", "Architecture & Engineering") + " END", description="'CRFQ ' || external_id || ' — ' || title", posted_date=day, due_date="CAST(posted_date AS TIMESTAMP) + INTERVAL 13 HOUR + INTERVAL 30 MINUTE + INTERVAL 4 HOUR", detail_url=wv_pages.format(*(f"https://www.state.wv.us/admin/purchase/{p}.html" for p in ("Commodities", "ConstructionBids", "ArchitectureandEngineering"))), status_on_site="'Open'"), o)
