@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import portal_queries
+from .functions import phrases
 from .functions import scalars as fn
 from .functions.matching import sql_condition
-from .functions.profile import Agency, Capability, Profile
+from .functions.profile import DEFAULT, Agency, Capability, Profile
 from .operators import cdc, ordering, reminders, retrieval, scoring, workflow
 from .plans import metrics, serving
 from .plans.serving import Filters, default_view
@@ -219,6 +220,26 @@ def scored(v: Views, *columns: str) -> DataFrame:
     return scoring.score(rows, PROFILE, v.as_of).select(*columns) if columns else scoring.score(rows, PROFILE, v.as_of)
 
 
+#: Every phrase of the default profile that is searched for in the text.
+DEFAULT_PHRASES = [(t.family, t.label, t.phrase) for t in scoring.profile_terms(DEFAULT) if t.field == 0 and not t.support]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("phrases_default", f"""SELECT id, array_to_string(hits, '|') AS hits, CAST(len(hits) AS BIGINT) AS n FROM (SELECT id, list_sort(list_filter([{', '.join(f"CASE WHEN {sql_condition(p, 't')} THEN {_quoted(f'{family}:{label}')} END" for family, label, p in DEFAULT_PHRASES)}], lambda x: x IS NOT NULL)) AS hits
+    FROM (SELECT id, title || ' ' || p[id % len(p) + 1] || CASE WHEN id % 3 = 0 THEN 'x for ' ELSE ', ' END || lower(p[id * 7 % len(p) + 1]) AS t FROM (SELECT id, title, [{', '.join(_quoted(p) for _, _, p in DEFAULT_PHRASES)}] AS p FROM opportunities)))""", O)
+def _(v):
+    """Phrases of the default profile in titles, whole, in lower case and with a letter behind them."""
+    known = F.array(*(F.lit(p) for _, _, p in DEFAULT_PHRASES))
+    size = len(DEFAULT_PHRASES)
+    text = F.concat("title", F.lit(" "), F.get(known, (F.col("id") % size).cast("int")), F.when(F.col("id") % 3 == 0, "x for ").otherwise(", "), F.lower(F.get(known, (F.col("id") * 7 % size).cast("int"))))
+    found = phrases.find([t for t in scoring.profile_terms(DEFAULT) if t.field == 0 and not t.support], text, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    entries = F.flatten(F.transform(F.map_entries("m"), lambda e: F.transform(e["value"], lambda x: F.concat(e["key"], F.lit(":"), x))))
+    return v.opportunities.select("id", found.alias("m")).select("id", F.array_sort(entries).alias("l")).select("id", F.array_join("l", "|").alias("hits"), F.size("l").cast("bigint").alias("n"))
+
+
 def _hit(phrases, text: str) -> str:
     return "(" + " OR ".join(sql_condition(p, text) for p in phrases) + ")"
 

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SUPPORT = "(help ?desk|service desk|support|call center|ticket)"
+#: Words about support.
+SUPPORT = "(help ?desk|service desk|support|call center|ticket)"
 
 
 def is_case_sensitive(phrase: str) -> bool:
@@ -34,7 +35,11 @@ def found(phrase: str, text: Column, lower: Column) -> Column:
 def found_capability(phrase: str, text: Column, lower: Column) -> Column:
     """As ``found``; a support tier also needs a word about support somewhere in the text."""
     hit = found(phrase, text, lower)
-    return hit & F.rlike(lower, F.lit(_SUPPORT)) if re.fullmatch("(?i)Tier [123]", phrase) else hit
+    return hit & F.rlike(lower, F.lit(SUPPORT)) if needs_support(phrase) else hit
+
+
+def needs_support(phrase: str) -> bool:
+    return re.fullmatch("(?i)Tier [123]", phrase) is not None
 
 
 def hits(phrases: list[tuple[str, Column]]) -> Column:

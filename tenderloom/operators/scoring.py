@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import found, found_capability, hits
+from ..functions.matching import found, found_capability, hits, needs_support
+from ..functions.phrases import Term, find
 from ..functions.profile import Profile
 
 ENTRY = "struct<criterion:string,points:int,matched:array<string>,note:string>"
@@ -51,9 +52,28 @@ def _some(condition: Column, value: Column) -> Column:
     return F.when(condition, F.array(value)).otherwise(F.array().cast(f"array<{ENTRY}>"))
 
 
-def score(df: DataFrame, profile: Profile, as_of: Column) -> DataFrame:
+def profile_terms(profile: Profile) -> list[Term]:
+    """Every phrase of a profile, with its family; the text is field 0, agency and title 1, the kind of solicitation 2."""
+    terms = []
+    for c in profile.capabilities:
+        family = f"cap_{c.key}"
+        terms += [Term(family, p, p, 0, needs_support(p)) for p in c.phrases]
+        terms += [Term(family, f"{p} (labor category)", p) for p, g in profile.labor if g == c.key]
+        terms += [Term(family, f"{p} (technology)", p) for p, g in profile.technologies if g == c.key]
+    for family, phrases in (("functional", profile.functional), ("schedule", profile.schedule_terms), ("vehicle", profile.vehicle_terms)):
+        terms += [Term(family, p, p) for p in phrases]
+    terms += [Term("solicitation", p, p, 2) for p, _ in profile.solicitations]
+    terms += [Term(f"tier_{i}", p, p) for i, (_, _, phrases) in enumerate(profile.set_asides) for p in phrases]
+    terms += [Term(f"fed_{i}", p, p, 1) for i, g in enumerate(profile.federal) for p in (g.name, *g.aliases)]
+    terms += [Term("state", name, name, 1) for name, _ in profile.states]
+    return terms + [Term(f"excl_{i}", p, p) for i, (_, phrases) in enumerate(profile.exclusions) for p in phrases]
+
+
+def score(df: DataFrame, profile: Profile, as_of: Column, by_index: bool = False) -> DataFrame:
     """Adds pursuit_score, bucket, urgency, breakdown, set_asides, contract_vehicle, solicitation_type, agency_priority, excluded_reason.
 
+    Phrases are found by literal predicates, which suits a few; ``by_index``
+    finds all of a large profile in one pass, with the same result.
     Missing input columns count as null; existing output columns are replaced.
     """
     outputs = ["pursuit_score", "bucket", "urgency", "breakdown", "set_asides", "contract_vehicle", "solicitation_type", "agency_priority", "excluded_reason"]
@@ -65,26 +85,24 @@ def score(df: DataFrame, profile: Profile, as_of: Column) -> DataFrame:
     df = df.withColumn("_t", F.explode(F.array(F.struct(text.alias("t"), joined(get["agency"], get["title"]).alias("a"), kind_text.alias("k")))))
     df = df.withColumn("_x", F.explode(F.array(F.struct("_t.t", "_t.a", "_t.k", F.lower("_t.t").alias("tl"), F.lower("_t.a").alias("al"), F.lower("_t.k").alias("kl"))))).drop("_t")
     t, tl, a, al, k, kl = (F.col(f"_x.{n}") for n in ("t", "tl", "a", "al", "k", "kl"))
-    in_text = lambda p: found(p, t, tl)
-
+    terms = profile_terms(profile)
     families = {}
-    for c in profile.capabilities:
-        rows = [(p, found_capability(p, t, tl)) for p in c.phrases]
-        rows += [(f"{p} (labor category)", in_text(p)) for p, g in profile.labor if g == c.key]
-        rows += [(f"{p} (technology)", in_text(p)) for p, g in profile.technologies if g == c.key]
-        families[f"cap_{c.key}"] = F.array_distinct(hits(rows))
-    families["functional"] = hits([(p, in_text(p)) for p in profile.functional])
-    families["schedule"] = hits([(p, in_text(p)) for p in profile.schedule_terms])
-    families["vehicle"] = hits([(p, in_text(p)) for p in profile.vehicle_terms])
-    families["solicitation"] = hits([(p, found(p, k, kl)) for p, _ in profile.solicitations])
-    for i, (_, _, terms) in enumerate(profile.set_asides):
-        families[f"tier_{i}"] = hits([(p, in_text(p)) for p in terms])
-    for i, g in enumerate(profile.federal):
-        families[f"fed_{i}"] = hits([(p, found(p, a, al)) for p in (g.name, *g.aliases)])
-    families["state"] = hits([(name, (F.coalesce(get["source_state"] == code, F.lit(False))) | found(name, a, al)) for name, code in profile.states])
-    for i, (_, terms) in enumerate(profile.exclusions):
-        families[f"excl_{i}"] = hits([(p, in_text(p)) for p in terms])
-    df = df.withColumn("_f", F.explode(F.array(F.struct(*(v.alias(n) for n, v in families.items()))))).drop("_x")
+    if by_index:
+        df = df.withColumn("_m", find(terms, t, a, k))
+        for name in dict.fromkeys(x.family for x in terms):
+            families[name] = F.coalesce(F.try_element_at("_m", F.lit(name)), F.array().cast("array<string>"))
+        here = lambda name: F.array_contains(families["state"], name)
+    else:
+        fields = ((t, tl), (a, al), (k, kl))
+        for x in terms:
+            families.setdefault(x.family, []).append((x.label, (found_capability if x.support else found)(x.phrase, *fields[x.field])))
+        here = dict(families.get("state", ())).get
+        families = {name: hits(rows) for name, rows in families.items()}
+    families |= {n: F.array_distinct(c) for n, c in families.items() if n.startswith("cap_")}
+    families["state"] = hits([(name, F.coalesce(get["source_state"] == code, F.lit(False)) | here(name)) for name, code in profile.states])
+    for name in (*(f"cap_{c.key}" for c in profile.capabilities), "functional", "schedule", "vehicle", "solicitation", *(f"tier_{i}" for i in range(len(profile.set_asides))), *(f"fed_{i}" for i in range(len(profile.federal))), *(f"excl_{i}" for i in range(len(profile.exclusions)))):
+        families.setdefault(name, F.array().cast("array<string>"))
+    df = df.withColumn("_f", F.explode(F.array(F.struct(*(v.alias(n) for n, v in families.items()))))).drop("_x", "_m")
 
     has = lambda n: F.size(F.col(f"_f.{n}")) > 0
     first = lambda n: F.get(F.col(f"_f.{n}"), F.lit(0))
