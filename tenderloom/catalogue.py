@@ -14,7 +14,8 @@ from .functions import phrases
 from .functions import scalars as fn
 from .functions.matching import sql_condition
 from .functions.profile import DEFAULT, Agency, Capability, Profile
-from .operators import cdc, ordering, reminders, retrieval, scoring, workflow
+from .operators import cdc, ordering, relevance, reminders, retrieval, scoring, workflow
+from .operators.numbering import batches
 from .plans import metrics, serving
 from .plans.serving import Filters, default_view
 from .plans.views import AS_OF, Views, with_views
@@ -667,7 +668,7 @@ def _(v):
 @query("users_in_order", "SELECT id, CAST(row_number() OVER (ORDER BY CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, name, id) AS INTEGER) AS position FROM (SELECT s_suppkey AS id, s_name AS name FROM supplier)")
 def _(v):
     role = F.element_at(F.array(*map(F.lit, ("ADMIN", "MANAGER", "VIEWER"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    return serving.users_in_order(v.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), role.alias("role")), ("ADMIN", "MANAGER", "VIEWER")).select("id", "position")
+    return serving.users_in_order(v.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), role.alias("role")), ("ADMIN", "MANAGER", "VIEWER")).select("id", F.col("position").cast("int"))
 
 
 @query("knowledge_chunks", r"""SELECT doc_id AS id, CASE WHEN n = 0 OR doc_id % 7 = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE CAST(ceil(n / 1050.0) AS BIGINT) END AS chunks FROM (SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents)""")
@@ -707,6 +708,24 @@ def _(v):
     return workflow.survivors(v.opportunities, F.col("source_id"), F.col("id")).select("id", "position")
 
 
+@query("classify_batches", """SELECT id, n // 10 AS batch, CAST(n % 10 AS INTEGER) AS i, '{"i":' || n % 10 || ',"title":' || to_json(title) || ',"agency":' || to_json(agency) || ',"category":' || to_json(coalesce(category, '')) || ',"naics":"' || coalesce(naics_code, '') || '","desc":' || to_json(coalesce(description, '')) || '}' AS item
+    FROM (SELECT *, row_number() OVER (ORDER BY pursuit_score DESC NULLS LAST, id) - 1 AS n FROM opportunities WHERE excluded_reason IS NULL)""", O)
+def _(v):
+    batched = batches(v.opportunities.where("excluded_reason is null"), F.desc_nulls_last("pursuit_score"), "id")
+    return batched.select("id", "batch", "i", relevance.item(F.col("i")).alias("item"))
+
+
+@query("classify_verdicts", """SELECT id, CAST(n % 10 * 10 AS INTEGER) AS score, CASE WHEN n % 20 < 10 THEN 'BID' ELSE 'NO_BID' END AS recommendation, 'batch ' || n // 10 AS reason FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM opportunities) WHERE n % 10 IN (2, 5) AND n % 30 < 20""", O)
+def _(v):
+    """Replies name the second and the fifth of a batch; every third reply is no JSON."""
+    def ask(asked):
+        b, name = F.col("batch"), F.col("batch").cast("string")
+        one = lambda i: F.concat(F.lit(f'{{"i":{i},"score":{i * 10},"rec":"'), F.when(b % 2 == 0, "BID").otherwise("no-bid"), F.lit('","reason":"batch '), name, F.lit('"}'))
+        return asked.withColumn("reply", F.when(b % 3 == 2, "sorry").otherwise(F.concat(F.lit("Here: ["), one(2), F.lit(","), one(5), F.lit("]"))))
+
+    return relevance.classify(v.opportunities, relevance.profile_text("Acme", "Software", DEFAULT), "id", ask=ask)
+
+
 @query("verdict_merge", """SELECT id, CASE WHEN id % 4 = 1 THEN CAST(id % 101 AS INTEGER) ELSE relevance_score END AS relevance_score, CASE WHEN id % 4 = 1 THEN CASE WHEN id % 3 = 0 THEN 'BID' ELSE 'NO_BID' END WHEN relevance_score IS NULL THEN 'REVIEW' WHEN relevance_score >= 70 THEN 'BID'
     WHEN relevance_score >= 40 THEN 'REVIEW' ELSE 'NO_BID' END AS bid_recommendation, CASE WHEN id % 4 = 1 THEN 'llm' ELSE 'rules' END AS relevance_method FROM opportunities""", O)
 def _(v):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.cdc import OPEN
+from ..operators.numbering import numbered
 
 STAGES = ("BACKLOG", "REVIEWING", "DRAFTING", "APPROVED", "SUBMITTED", "WON", "LOST", "DECLINED")
 SORTS = {
@@ -171,7 +172,7 @@ def with_assignee(rows: DataFrame, users: DataFrame) -> DataFrame:
 def users_in_order(users: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """Users by role, in the order of the roles, and name."""
     rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
-    return users.withColumn("position", F.row_number().over(Window.orderBy(rank, "name", "id")))
+    return numbered(users, rank, "name", "id")
 
 
 def chunk_counts(knowledge: DataFrame, chunks: DataFrame) -> DataFrame:
