@@ -14,11 +14,12 @@ from .functions import phrases
 from .functions import scalars as fn
 from .functions.matching import sql_condition
 from .functions.profile import DEFAULT, Agency, Capability, Profile
-from .operators import cdc, ordering, relevance, reminders, retrieval, scoring, workflow
+from .operators import cdc, drafting, ordering, relevance, reminders, retrieval, scoring, workflow
 from .operators.numbering import batches
 from .plans import metrics, serving
 from .plans.serving import Filters, default_view
 from .plans.views import AS_OF, Views, with_views
+from .sources import markup, tables
 from .sources.tables import new_folder
 from .streaming.store import Store, apply, committed, create, state
 from .streaming.store import table as output
@@ -72,7 +73,7 @@ DUE, SCORE, NEWEST, RELEVANCE = "due_date ASC NULLS LAST", "pursuit_score DESC N
 lists("list_actionable", default_view(), f"pursuit_bucket IN ('PURSUE','CAPTURE_REVIEW') AND due_date >= {T} + INTERVAL 10 DAY", SCORE)
 lists("list_search", Filters(search="blue, 100%", sort="relevance"), "(title ILIKE '%blue  100 %' OR agency ILIKE '%blue  100 %' OR external_id ILIKE '%blue  100 %')".replace("100 %", "100%"), RELEVANCE)
 lists("list_search_title", Filters(search="gear", sort="relevance"), "lower(title) LIKE '%gear%' OR lower(agency) LIKE '%gear%' OR lower(external_id) LIKE '%gear%'", RELEVANCE)
-lists("list_search_cleaned", Filters(search="%promo,hot", sort="relevance"), "(title ILIKE '%promo hot%' OR agency ILIKE '%promo hot%' OR external_id ILIKE '%promo hot%')", RELEVANCE)
+lists("list_search_cleaned", Filters(search="%promo,hot", sort="relevance"), "lower(title) LIKE '%promo hot%' OR lower(agency) LIKE '%promo hot%' OR lower(external_id) LIKE '%promo hot%'", RELEVANCE)
 lists("list_search_id", Filters(search="OPP-12", sort="newest"), "(title ILIKE '%OPP-12%' OR agency ILIKE '%OPP-12%' OR external_id ILIKE '%OPP-12%')", NEWEST)
 lists("list_assigned_standard", Filters(assigned_to=7, urgency="STANDARD"), "assigned_to = 7 AND urgency = 'STANDARD'", NEWEST)
 lists("list_state_setaside", Filters(state="ASIA", set_aside="WOSB", sort="due"), "s.state = 'ASIA' AND set_aside_list LIKE 'WOSB%'", DUE)
@@ -607,15 +608,68 @@ def _(v):
     return v.opportunities.select("id", fn.fnv1a(F.col("external_id")).alias("h"))
 
 
-@query("doc_eligibility", """SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY (part > 0) DESC NULLS LAST, relevance_score DESC NULLS LAST, id) AS rank FROM (SELECT o.id, relevance_score, c.part FROM opportunities o LEFT JOIN (SELECT opportunity_id, max(part) + 1 AS part FROM children WHERE kind = 'attachment' GROUP BY 1) c ON c.opportunity_id = o.id
-    WHERE bid_recommendation = 'BID' AND NOT EXISTS (SELECT 1 FROM children d WHERE d.opportunity_id = o.id AND d.kind = 'version') AND (c.part IS NOT NULL OR o.source_id IN (3, 5)))) WHERE rank <= 800""", O, "children")
+@query("doc_eligibility", """WITH t AS (SELECT * FROM (SELECT *, CASE source_id % 4 WHEN 0 THEN 'nc' WHEN 1 THEN 'pa' WHEN 2 THEN 'sam' ELSE 'tx' END AS slug FROM opportunities WHERE bid_recommendation IN ('BID', 'REVIEW') AND id % 9 > 0 AND id % 13 <> 1) ORDER BY relevance_score DESC NULLS FIRST, id LIMIT 800),
+    k AS (SELECT opportunity_id AS id, max(line % 5 = 0) AS done FROM children WHERE kind = 'attachment' GROUP BY 1)
+    SELECT t.id, done IS NOT NULL AS has_attachments, CAST(row_number() OVER (ORDER BY (done IS NOT NULL) DESC, relevance_score DESC NULLS FIRST, t.id) AS INTEGER) AS rank FROM t LEFT JOIN k USING (id) WHERE NOT coalesce(done, false) AND (done IS NOT NULL OR slug IN ('nc', 'tn', 'ma', 'pa', 'ar'))""", O, "children")
 def _(v):
-    c = v.children
-    has = c.where("kind = 'attachment'").select(F.col("opportunity_id").alias("id")).distinct().withColumn("has", F.lit(True))
-    done = c.where("kind = 'version'").select(F.col("opportunity_id").alias("id"))
-    rows = v.opportunities.where("bid_recommendation = 'BID'").join(done, "id", "left_anti").join(has, "id", "left").where(F.col("has") | F.col("source_id").isin(3, 5))
-    top = rows.select("id", "relevance_score", F.coalesce("has", F.lit(False)).alias("has")).orderBy(F.desc("has"), F.desc_nulls_last("relevance_score"), "id").limit(800)
-    return top.select("id", F.expr("cast(row_number() over (order by has desc, relevance_score desc nulls last, id) as bigint)").alias("rank"))
+    slug = F.element_at(F.array(*map(F.lit, ("nc", "pa", "sam", "tx"))), (F.col("source_id") % 4 + 1).cast("int"))
+    rows = v.opportunities.withColumns({"slug": slug, "detail_url": F.when(F.col("id") % 9 > 0, "https://x.example"), "documents_checked_at": F.when(F.col("id") % 13 == 1, v.as_of)})
+    files = v.children.where("kind = 'attachment'").select("opportunity_id", F.when(F.col("line") % 5 == 0, v.as_of).alias("downloaded_at"))
+    return workflow.document_candidates(rows, files, ("BID", "REVIEW"))
+
+
+@query("first_documents", "SELECT source_id, id, CAST(n AS INTEGER) AS n FROM (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY CASE pursuit_bucket WHEN 'PURSUE' THEN 1 ELSE 2 END, id) AS n FROM opportunities WHERE pursuit_bucket IN ('PURSUE', 'CAPTURE_REVIEW')) WHERE n <= 12", O)
+def _(v):
+    return workflow.first_documents(v.opportunities.select("source_id", "id", F.col("pursuit_bucket").alias("bucket"), F.col("id").alias("position"))).select("source_id", "id", "n")
+
+
+@query("table_writes", """SELECT id, CASE WHEN id % 4 = 0 THEN 'new ' || id ELSE title END AS title, CASE WHEN id % 6 = 1 AND status = 'OPEN' THEN 'AMENDED' ELSE status END AS status FROM opportunities WHERE id % 10 <> 3
+    UNION ALL SELECT -id, 'added', NULL FROM opportunities WHERE id % 8 = 0 AND id > 0""", O)
+def _(v):
+    """Upserts, then updates under a condition, then deletes."""
+    rows = v.opportunities.select("id", "title", "status")
+    new = rows.where("id % 4 = 0").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("title"), "status").unionByName(rows.where("id % 8 = 0 and id > 0").select((-F.col("id")).alias("id"), F.lit("added").alias("title"), F.lit(None).cast("string").alias("status")))
+    rows = tables.upsert(rows, new, ["id"])
+    rows = tables.update(rows, v.opportunities.where("id % 6 = 1").select("id", F.lit("AMENDED").alias("status")), ["id"], F.col("status") == "OPEN")
+    return tables.delete(rows, v.opportunities.where("id % 10 = 3"), ["id"])
+
+
+@query("replaced_children", "SELECT part, source_id, n FROM (SELECT id % 50 AS part, source_id, count(*) AS n FROM opportunities WHERE id % 3 > 0 AND id % 50 >= 20 GROUP BY ALL UNION ALL SELECT id % 50, source_id, count(*) FROM opportunities WHERE id % 3 = 0 AND id % 50 < 20 GROUP BY ALL)", O)
+def _(v):
+    """Children by parent, of some of which a second write takes the place."""
+    rows, path = v.opportunities.select((F.col("id") % 50).alias("part"), "source_id", "id"), new_folder(v.spark, "children")
+    tables.replace_children(rows.where("id % 3 > 0"), path, "part")
+    for_some = rows.where("id % 3 = 0 and part < 20")
+    tables.replace_children(for_some, path, "part")
+    return v.spark.read.parquet(path).groupBy(F.col("part").cast("bigint"), "source_id").agg(F.count("*").alias("n"))
+
+
+@query("draft_texts", """SELECT id, '# Response to ' || title || chr(10) || chr(10) || 'Prepared for ' || agency || ' (' || CASE WHEN id % 2 = 0 THEN 'LLM_ORIGINAL' ELSE 'STYLE_MATCHED' END || ')' || chr(10) || chr(10) || '## Understanding' || chr(10) || '- Scope and outcomes as published' || chr(10) || chr(10) || '## Approach' || chr(10) || '- Plan, deliver, report' AS draft,
+    CASE WHEN pipeline_stage IN ('BACKLOG', 'REVIEWING') THEN 'DRAFTING' ELSE pipeline_stage END AS stage FROM opportunities""", O)
+def _(v):
+    return v.opportunities.select("id", drafting.offline_draft(F.col("title"), F.col("agency"), F.when(F.col("id") % 2 == 0, "LLM_ORIGINAL").otherwise("STYLE_MATCHED")).alias("draft"), drafting.stage_after_draft(F.col("pipeline_stage")).alias("stage"))
+
+
+@query("next_revisions", "SELECT opportunity_id, max(turn) + 1 AS next FROM responses GROUP BY 1", "responses")
+def _(v):
+    return drafting.next_revision(v.responses, "opportunity_id", "turn")
+
+
+@query("scalar_forms", """SELECT id, trim(substr(trim(regexp_replace(lower(title || '!' || agency), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80)) AS slug, 'MANUAL-' || to_base(id, 36) AS manual, posted_date::TIMESTAMP AS posted,
+    CASE id % 4 WHEN 0 THEN 'Cancelled' WHEN 1 THEN 'Intent to Award Posted' WHEN 2 THEN 'Amended' ELSE 'Open' END AS status, CASE id % 3 WHEN 0 THEN '92000,91800' ELSE '' END AS codes, regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM opportunities""", O)
+def _(v):
+    files = F.element_at(F.array(*map(F.lit, ("Notice of cancellation | Amendment 1", "Notice of Award | amendment", "AMENDMENT 2", "Award"))), (F.col("id") % 4 + 1).cast("int"))
+    codes = fn.commodity_codes(F.when(F.col("id") % 3 == 0, "92000 - Data; 91800 - Advice").otherwise("none - 12"))
+    return v.opportunities.select("id", fn.slug_id(F.concat("title", F.lit("!"), "agency")).alias("slug"), fn.base36(F.col("id")).alias("manual"), fn.epoch_millis(F.unix_millis(F.col("posted_date").cast("timestamp")).cast("string")).alias("posted"), fn.status_of_attachments(files).alias("status"), F.array_join(codes, ",").alias("codes"), fn.safe_file_name(F.col("title")).alias("file"))
+
+
+@query("page_documents", r"""SELECT page_id, count(*) AS links, count(*) FILTER (d) AS documents, min(h) AS first FROM (SELECT page_id, h, regexp_matches(h, '(?i)\.(pdf|docx?|xlsx?|pptx?|zip|csv|txt|rtf)(\?|#|$)') AS d FROM
+    (SELECT page_id, regexp_extract(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"[^"]*"')), '(?is)href\s*=\s*"([^"]*)"', 1) AS h FROM pages)) GROUP BY 1""")
+def _(v):
+    """Links of whole pages, read as trees, and which of them lead to documents by their address."""
+    trees = markup.parsed(v.table("pages").select("page_id", "html"), column="html")
+    links = trees.select("page_id", F.explode(F.filter(markup.tagged(F.col("nodes"), "a"), lambda e: e["href"].isNotNull())).alias("e")).select("page_id", F.col("e.href").alias("h"))
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(fn.document_address(F.col("h"))).alias("documents"), F.min("h").alias("first"))
 
 
 # --- daily work, lists and lookups ----------------------------------------------------------------

@@ -82,3 +82,31 @@ def daily(classified: DataFrame, opportunities: DataFrame, sent: DataFrame, as_o
     due = reminders.deadline_reminders(opportunities, sent, as_of).select(F.lit(2).alias("step"), F.col("id").cast("string").alias("key"), F.concat(F.lit("DEADLINE "), F.col("days_out").cast("string")).alias("action"))
     bands = reminders.urgency_refresh(opportunities, as_of, profile).select(F.lit(3).alias("step"), F.col("id").cast("string").alias("key"), F.col("new").alias("action"))
     return crawl.unionByName(due).unionByName(bands)
+
+
+#: The portals whose detail pages documents can be found on.
+DISCOVERABLE_PORTALS = ("nc", "tn", "ma", "pa", "ar")
+
+
+def document_candidates(opportunities: DataFrame, attachments: DataFrame, recommendations: tuple[str, ...] = ("BID",), most: int = 800) -> DataFrame:
+    """(id, has_attachments, rank): whose documents to look for next, those with known attachments first.
+
+    opportunities: with slug (of the source), detail_url and documents_checked_at;
+    attachments: (opportunity_id, downloaded_at).  The ``most`` with the highest
+    relevance are looked at (unscored ones first) that have a detail page and
+    were not looked at before; of these all go that have a downloaded
+    attachment, or have none and are on a portal without findable documents.
+    """
+    order = [F.desc_nulls_first("relevance_score"), F.col("id")]
+    top = opportunities.where(F.col("bid_recommendation").isin(*recommendations) & F.col("detail_url").isNotNull() & F.col("documents_checked_at").isNull()).orderBy(*order).limit(most)
+    known = attachments.groupBy(F.col("opportunity_id").alias("id")).agg(F.max(F.col("downloaded_at").isNotNull()).alias("done"))
+    rows = top.join(known, "id", "left").where(~F.coalesce("done", F.lit(False)) & (F.col("done").isNotNull() | F.col("slug").isin(*DISCOVERABLE_PORTALS)))
+    rows = rows.withColumn("has_attachments", F.col("done").isNotNull())
+    return rows.select("id", "has_attachments", F.row_number().over(Window.orderBy(F.desc("has_attachments"), *order)).alias("rank"))  # ``most`` rows
+
+
+def first_documents(fresh: DataFrame, most: int = 12) -> DataFrame:
+    """Of each source's new and amended rows (source_id, bucket, position, ...) those whose documents a crawl downloads: pursued ones first, then reviews, in crawl order."""
+    turn = F.array_position(F.array(F.lit("PURSUE"), F.lit("CAPTURE_REVIEW")), F.col("bucket"))
+    rows = fresh.where(turn > 0)
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy(turn, "position"))).where(F.col("n") <= most)

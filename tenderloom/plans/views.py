@@ -67,7 +67,7 @@ def _sql(body: str, engine: str) -> str:
 def with_views(query: str, *names: str) -> str:
     """SQL for the second engine: the query with the named domain tables before it."""
     bodies = {"opportunities": _OPPORTUNITIES, "sources": _SOURCES, "runs": _RUNS, "children": _CHILDREN, "responses": _RESPONSES}
-    parts = [f"{n} AS ({_sql(bodies[n], 'duckdb')})" for n in names]
+    parts = [f"{n} AS MATERIALIZED ({_sql(bodies[n], 'duckdb')})" for n in names]
     return f"WITH {', '.join(parts)} {query.strip()}" if not query.strip().upper().startswith("WITH ") else f"WITH {', '.join(parts)}, {query.strip()[5:]}"
 
 
