@@ -21,7 +21,7 @@ from .plans.serving import Filters, default_view
 from .plans.views import AS_OF, Views, with_views
 from .sources import markup, tables
 from .sources.tables import new_folder
-from .streaming.store import Store, apply, committed, create, state
+from .streaming.store import Store, apply, committed, counts, create, state
 from .streaming.store import table as output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,6 +451,12 @@ def _(v):
     return state(v.spark, crawled(v)).select(*cdc.KEY, "status", "first_seen_at", "last_seen_at", "closed_at", "version_no")
 
 
+@query("crawl_counts", PARTIAL + """SELECT 'status' AS dimension, new_status AS value, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY ALL UNION ALL SELECT 'source_id', CAST(source_id AS VARCHAR), count(*) FROM s GROUP BY ALL
+    UNION ALL SELECT 'source_id/status', source_id || '|' || new_status, count(*) FROM s GROUP BY ALL""", O)
+def _(v):
+    return counts(v.spark, crawled(v))
+
+
 @query("crawl_outputs", PARTIAL + """SELECT source_id, external_id, 'versions' AS kind, CAST(CASE change WHEN 'NEW' THEN 1 ELSE id % 3 + 2 END AS VARCHAR) AS value, id % 3 AS batch FROM s WHERE change IN ('NEW', 'AMENDED')
     UNION ALL SELECT source_id, external_id, 'log', concat_ws('>', old_status, new_status), id % 3 FROM s WHERE change IN ('NEW', 'AMENDED') AND old_status IS DISTINCT FROM new_status
     UNION ALL SELECT source_id, external_id, 'attachments', 'attachment=https://x.example/' || id, id % 3 FROM s WHERE change = 'NEW' AND id % 2 = 0

@@ -4,14 +4,16 @@
     bases/through=<n>                         that this base is whole
     begun/batch=<n>                           the time of batch n, written first
     staged/batch=<n>                          its keys, classified against the state before
-    <table>/batch=<n>                         opportunities (changed rows only), versions, log, attachments, notifications
+    <table>/batch=<n>                         opportunities (changed rows only), versions, log, attachments, notifications, counts
     commits/batch=<n>                         its counters, written last
 
 Only committed batches are read.  What is written follows the batch, not the
 state; the state is read by the sources and buckets that the batch touches.  A
 batch that broke off is run again with the time that it began with, against the
 same state, into the same folders; one that is committed changes nothing.  So
-any number of replays leaves the five tables as one clean run does.  ``compact``
+any number of replays leaves the tables as one clean run does.  Counts of the
+state by its dimensions are kept: a batch writes what it takes from the old
+values of its rows and adds to the new ones.  ``compact``
 makes a new base; it may break off anywhere too.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cdc
 
-TABLES = ("opportunities", "versions", "log", "attachments", "notifications")
+TABLES = ("opportunities", "versions", "log", "attachments", "notifications", "counts")
 #: What the outputs read of a snapshot's row; columns that it lacks are null.
 SEEN = {"title": "string", "content_hash": "string", "due_date": "timestamp", "bucket": "string", "urgency": "string", "attachments": "array<struct<filename:string,url:string>>"}
 
@@ -38,6 +40,8 @@ class Store:
     root: str
     buckets: int = 64
     most: int = 32
+    #: What the state is counted by: sets of its columns.
+    dimensions: tuple[tuple[str, ...], ...] = (("status",), ("source_id",), ("source_id", "status"))
 
 
 def _write(rows: DataFrame, path: str, *by: str) -> None:
@@ -54,10 +58,27 @@ def _write_base(rows: DataFrame, store: Store, through: int) -> None:
     _write(rows.sparkSession.createDataFrame([(rows.sparkSession.version,)], "spark string"), f"{store.root}/bases/through={through}")
 
 
+def _counted(rows: DataFrame, store: Store, n: int) -> DataFrame:
+    """(dimension, value, n) of rows, each counting ``n``; values of several columns are joined by a bar, nulls are empty."""
+    sets = [F.struct(F.lit("/".join(d)).alias("dimension"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in d)).alias("value")) for d in store.dimensions]
+    return rows.select(F.explode(F.array(*sets)).alias("d")).select("d.*", F.lit(n).alias("n"))
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("dimension", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def counts(spark: SparkSession, store: Store) -> DataFrame:
+    """Rows of the state by every dimension and value, from the kept counts: no row of the state is read."""
+    done = [r[0] for r in spark.read.parquet(f"{store.root}/commits").select("batch").collect()]
+    return _summed(spark.read.option("basePath", f"{store.root}/counts").parquet(*(f"{store.root}/counts/batch={n}" for n in done)))
+
+
 def create(store: Store, stored: DataFrame) -> None:
     """A store whose state before batch 0 is ``stored``, with keys, ``version_no`` (the last), status, dates and content_hash."""
     rows = stored if "version_no" in stored.columns else stored.withColumn("version_no", F.lit(1))
     _write_base(rows, store, -1)
+    _write(_summed(_counted(rows, store, 1)), f"{store.root}/counts/batch=-1")
     _write(rows.sparkSession.createDataFrame([(0, 0, 0, 0)], "items_found bigint, new_count bigint, changed_count bigint, closed_count bigint"), f"{store.root}/commits/batch=-1")
 
 
@@ -121,12 +142,13 @@ def _unique(rows: DataFrame) -> DataFrame:
     return cdc.first_of_each(rows.withColumn("_p", place), cdc.KEY, "_p").drop("_p", "position")
 
 
-def outputs(classified: DataFrame, at: Column) -> dict[str, DataFrame]:
-    """The five outputs of a batch, by table."""
+def outputs(classified: DataFrame, store: Store, at: Column) -> dict[str, DataFrame]:
+    """The outputs of a batch, by table."""
     last = F.coalesce("stored.version_no", F.lit(0))
     number = F.when(F.col("change").isin("NEW", "AMENDED"), last + 1).otherwise(last)
+    after, before = cdc.next_state(classified, at, number), classified.where("stored is not null").select(*cdc.KEY, "stored.*")
     return {
-        "opportunities": cdc.next_state(classified, at, number), "versions": cdc.version_rows(classified, number, at), "log": cdc.status_log(classified, at), "attachments": cdc.attachments(classified), "notifications": cdc.notifications(classified),
+        "counts": _summed(_counted(after, store, 1).unionByName(_counted(before, store, -1))), "opportunities": after, "versions": cdc.version_rows(classified, number, at), "log": cdc.status_log(classified, at), "attachments": cdc.attachments(classified), "notifications": cdc.notifications(classified),
     }
 
 
@@ -148,7 +170,7 @@ def apply(spark: SparkSession, store: Store, batch: DataFrame, number: int, as_o
         stored = stored.join(snapshot.select(*cdc.KEY), cdc.KEY, "left_semi")
     _write(cdc.classify(stored, snapshot, at, complete).where("change not in ('TERMINAL', 'ABSENT')"), f"{store.root}/staged/batch={number}")
     classified = spark.read.parquet(f"{store.root}/staged/batch={number}")
-    for name, rows in outputs(classified, at).items():
+    for name, rows in outputs(classified, store, at).items():
         _write(rows, f"{store.root}/{name}/batch={number}")
     _write(cdc.counters(classified), f"{store.root}/commits/batch={number}")
     if len(_numbers(spark, store)[1]) >= store.most:

@@ -64,13 +64,17 @@ def test_a_batch_equals_the_whole_join(spark):
         run(spark, s, b + 1)
         mine = store.state(spark, s).select(stored.columns)
         assert sorted(map(str, mine.collect())) == sorted(map(str, stored.collect()))
+        recount = {("status", str(r["status"])): r["n"] for r in mine.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        recount |= {("source_id", str(r["source_id"])): r["n"] for r in mine.groupBy("source_id").agg(F.count("*").alias("n")).collect()}
+        recount |= {("source_id/status", f"{r['source_id']}|{r['status']}"): r["n"] for r in mine.groupBy("source_id", "status").agg(F.count("*").alias("n")).collect()}
+        assert {(r["dimension"], r["value"]): r["n"] for r in store.counts(spark, s).collect()} == recount
         assert {r["version_no"] for r in mine.where(f"external_id = 'new{b}'").collect()} == {1}
         assert tuple(store.committed(spark, s).where(F.col("batch") == b).select("items_found", "new_count", "changed_count", "closed_count").first()) == tuple(cdc.counters(whole).first())
 
 
-@pytest.mark.parametrize("broken", [1, 4, 7])
+@pytest.mark.parametrize("broken", [1, 4, 8])
 def test_broken_batches_end_as_a_clean_run(spark, clean, monkeypatch, broken):
-    """The batch breaks off before each of its writes (times, keys, five tables, commit) and is run again at a later time."""
+    """The batch breaks off before each of its writes (times, keys, six tables, commit) and is run again at a later time."""
     s, real = fresh(spark), store._write
     run(spark, s, 1)
     count = 0
