@@ -5,20 +5,22 @@ one space).  Two kinds of passages are compared with the licence templates by
 the Dice coefficient of their sets of word bigrams:
 
 *  every line of the text;
-*  windows of each template's number of words over the whole text, lines or
-   not, a new one every eighth of that number (every word for templates of
-   fewer than 16 words), and the last one.  A text shorter than a template is
-   one window.
+*  every window of each template's number of words over the whole text, lines
+   or not.  A text shorter than a template is one window.
 
 For sets of a and b bigrams, 2 * min(a, b) / (a + b) bounds the coefficient, so
 a template is only compared with lines within its size bounds, and with windows
-only in texts that share as many of its bigrams as the threshold asks for.
+only in texts that share as many of its bigrams as the threshold asks for.  Of
+such a text the places of shared bigrams are listed, in order; a window reaches
+the threshold only if it holds as many places as that, so the starts that the
+places leave over are compared exactly and no other start can reach it.
 Texts that lack the words without which no template can reach the threshold are
 dropped before their bigrams are made.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -69,8 +71,6 @@ TEMPLATES = {
         DEALINGS IN THE SOFTWARE.""",
 }
 THRESHOLD = 0.8
-#: A window begins every so many of a template's words.
-STEP = 8
 
 
 def normal(text: Column) -> Column:
@@ -144,6 +144,21 @@ def scan_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templ
     return lines.select(id, "line", F.explode(found).alias("x")).select(id, "line", "x.license", "x.dice")
 
 
+def _starts(at: Column, n: Column, least: Column, last: Column) -> Column:
+    """Starts, each once and in order, of the windows of ``n`` words (``n - 1`` pairs) that hold ``least`` of the places ``at``.
+
+    The windows from ``at[k]`` back that still reach ``at[k + least - 1]`` hold
+    them; those that begin at or before ``at[k - 1]`` are told by the place before.
+    """
+
+    def of(k: Column) -> Column:
+        low = F.greatest(F.get(at, k + least - 1) - n + 2, F.coalesce(F.get(at, k - 1) + 1, F.lit(0)), F.lit(0))
+        return F.struct(low.alias("low"), F.least(F.get(at, k), last).alias("high"))
+
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size(at) - least), of), lambda x: x["low"] <= x["high"])
+    return F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"])))
+
+
 def scan_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id, word, license, dice): every window of every text that reaches the threshold with its template; ``word`` counts from 1."""
     own = {name: (len(_words(t)), grams) for name, t in (TEMPLATES if templates is None else templates).items() if (grams := _template(t))}
@@ -154,13 +169,14 @@ def scan_windows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", tem
     told = words.select(id, F.explode(F.array(pairs(F.col("w")))).alias("p"))
 
     def shared(name: str, n: int, grams: list[str]) -> Column:
-        enough = F.size(F.array_intersect("p", _literal(grams))) >= len(grams) * ratio
-        return F.when(enough, F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(max(1, n // STEP)).alias("step"), _literal(grams).alias("grams")))
+        least = max(1, math.ceil(len(grams) * ratio))
+        enough = F.size(F.array_intersect("p", _literal(grams))) >= least
+        places = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get("p", i).isin(grams))
+        return F.when(enough, F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(least).alias("least"), places.alias("at"), _literal(grams).alias("grams")))
 
-    none = F.expr("cast(array() as array<struct<license:string,n:int,step:int,grams:array<string>>>)")
+    none = F.expr("cast(array() as array<struct<license:string,n:int,least:int,at:array<int>,grams:array<string>>>)")
     asked = told.select(id, "p", F.explode(F.filter(F.array(*(shared(name, n, g) for name, (n, g) in own.items())), lambda x: x.isNotNull()) if own else none).alias("x"))
-    last = F.greatest(F.lit(0), F.size("p") + 1 - F.col("x.n"))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("x.step")), F.array(last)))
+    starts = _starts(F.col("x.at"), F.col("x.n"), F.col("x.least"), F.greatest(F.lit(0), F.size("p") + 1 - F.col("x.n")))
     dice = lambda g: 2.0 * F.size(F.array_intersect(g, F.col("x.grams"))) / (F.size(g) + F.size("x.grams"))
     # a window's words never leave their row: only what reaches the threshold becomes rows
     of = lambda s: F.get(F.transform(F.array(F.array_distinct(F.slice("p", s + 1, F.col("x.n") - 1))), dice), F.lit(0))
@@ -188,7 +204,7 @@ def _literal(values: list[str]) -> Column:
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same over ``documents`` in DuckDB's SQL: every line, and every window of texts with any of its bigrams, against every template."""
+    """The same over ``documents`` in DuckDB's SQL: every line, and every window of texts with enough of its bigrams, against every template."""
     rows = ", ".join(f"('{name}', {len(_words(t))}, [{', '.join(repr(g) for g in _template(t))}])" for name, t in (TEMPLATES if templates is None else templates).items() if _template(t))
     clean = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -198,7 +214,7 @@ def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD
         w AS (SELECT doc_id, line, string_split({clean.format('raw')}, ' ') AS w FROM l),
         d AS (SELECT doc_id, string_split({clean.format('text')}, ' ') AS w FROM documents),
         o AS (SELECT d.*, {pairs.format('w')} AS o FROM d WHERE len(w) >= 2),
-        s AS (SELECT doc_id, license, b, n, w, unnest(list_distinct(list_concat(range(0, greatest(0, len(w) - n) + 1, greatest(1, n // {STEP})), [greatest(0, len(w) - n)]))) AS s FROM o, t WHERE list_has_any(o, b)),
+        s AS (SELECT doc_id, license, b, n, w, unnest(range(0, greatest(0, len(w) - n) + 1)) AS s FROM o, t WHERE len(list_intersect(o, b)) * (2 - {threshold}) >= len(b) * {threshold} - 0.000001),
         v AS (SELECT doc_id, license, b, s + 1 AS word, w[s + 1:s + n] AS w FROM s),
         g AS (SELECT doc_id, license, line, NULL AS word, b, {pairs.format('w')} AS g FROM w, t WHERE len(w) >= 2
             UNION ALL SELECT doc_id, license, NULL, word, b, {pairs.format('w')} FROM v WHERE len(w) >= 2),
