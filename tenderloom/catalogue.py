@@ -15,6 +15,7 @@ from .functions import scalars as fn
 from .functions.matching import sql_condition
 from .functions.profile import DEFAULT, Agency, Capability, Profile
 from .operators import cdc, drafting, ordering, relevance, reminders, retrieval, scoring, workflow
+from .operators import lists as vector_lists
 from .operators.numbering import batches
 from .plans import metrics, serving
 from .plans.serving import Filters, default_view
@@ -841,6 +842,14 @@ def _(v):
     return retrieval.top_k(e.where("label = 3"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), key="vec_id", vector="embedding", query_key="query_id", query_vector="q", k=4)
 
 
+@query("topk_lists", ORACLES["topk_similar"].replace("rank <= 6", "rank <= 10"))
+def _(v):
+    """The ten nearest by the index of inverted lists, with the pass that makes it exact."""
+    e = v.table("embeddings")
+    index = vector_lists.build(e, new_folder(v.spark, "lists"), key="vec_id", vector="embedding")
+    return vector_lists.search(index, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), query_key="query_id", query_vector="q", k=10, exact=True)
+
+
 @query("unit_embed", ORACLES["local_embed"].replace("SELECT doc_id, CAST(b AS INTEGER) AS bucket, sum(x) AS weight FROM x GROUP BY 1, 2", ", y AS (SELECT doc_id, CAST(b AS INTEGER) AS bucket, sum(x) AS w FROM x GROUP BY 1, 2) SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM y"))
 def _(v):
     return retrieval.embed(v.table("documents"), "doc_id", "text", unit=True).withColumn("weight", F.round("weight", 9))
