@@ -657,6 +657,24 @@ def _(v):
     return v.opportunities.select("id", drafting.offline_draft(F.col("title"), F.col("agency"), F.when(F.col("id") % 2 == 0, "LLM_ORIGINAL").otherwise("STYLE_MATCHED")).alias("draft"), drafting.stage_after_draft(F.col("pipeline_stage")).alias("stage"))
 
 
+@query("export_runs", """SELECT id, l.line, l.kind, l.run, l.text, l.bold FROM (SELECT id, unnest([
+    {line: 0, kind: 'title', run: 0, text: title || ' — ' || external_id, bold: false}, {line: 1, kind: 'heading1', run: 0, text: 'Response to **' || title || '**', bold: false},
+    {line: 2, kind: 'blank', run: -1, text: '', bold: false}, {line: 3, kind: 'heading3', run: 0, text: 'Scope', bold: false},
+    {line: 4, kind: 'bullet', run: 0, text: 'Supply ', bold: false}, {line: 4, kind: 'bullet', run: 1, text: agency, bold: true}, {line: 4, kind: 'bullet', run: 2, text: ' now ', bold: false},
+    {line: 4, kind: 'bullet', run: 3, text: ' and ', bold: true}, {line: 4, kind: 'bullet', run: 4, text: 'later**', bold: false},
+    {line: 5, kind: 'quote', run: 0, text: ' Quote ', bold: false}, {line: 5, kind: 'quote', run: 1, text: 'a', bold: true}, {line: 6, kind: 'table', run: 0, text: agency || '    ' || id, bold: false},
+    {line: 7, kind: 'paragraph', run: 0, text: 'Plain ' || title, bold: false}, {line: 8, kind: 'paragraph', run: 0, text: '#No heading', bold: false}, {line: 9, kind: 'paragraph', run: 0, text: '', bold: true},
+    {line: 10, kind: 'blank', run: -1, text: '', bold: false}]) AS l FROM opportunities)""", O)
+def _(v):
+    """Drafts as the runs of a document's lines; each line of the SQL is stated by hand.  A blank line is run -1."""
+    text = F.concat(
+        F.lit("# Response to **"), F.col("title"), F.lit("**\n\n  ### Scope \n* Supply **"), F.col("agency"), F.lit("** now ** and **later**\n>  Quote **a**\n| "), F.col("agency"), F.lit(" | "), F.col("id").cast("string"),
+        F.lit(" |\nPlain "), F.col("title"), F.lit("   \n#No heading\n**\n"),
+    )
+    drafts = v.opportunities.select("id", drafting.export_title(F.col("title"), F.col("external_id"), F.lit(None).cast("string")).alias("heading"), text.alias("text"))
+    return drafting.export_lines(drafts, "id", "heading", "text").select("id", "line", "kind", F.posexplode_outer("runs").alias("run", "r")).select("id", "line", "kind", *(F.coalesce(F.col(c), F.lit(none)).alias(name) for c, name, none in (("run", "run", -1), ("r.text", "text", ""), ("r.bold", "bold", False))))
+
+
 @query("next_revisions", "SELECT opportunity_id, max(turn) + 1 AS next FROM responses GROUP BY 1", "responses")
 def _(v):
     return drafting.next_revision(v.responses, "opportunity_id", "turn")

@@ -145,8 +145,15 @@ def test_chunks_and_drafts(spark):
     got = spark.createDataFrame([(1, text), (2, ""), (3, "x")], "id int, t string").select("id", ordering.chunks(F.col("t")).alias("c")).collect()
     flat = " ".join(text.split())
     assert got[0]["c"] == [flat[i : i + 1200] for i in range(0, len(flat), 1050)] and got[1]["c"] == [] and got[2]["c"] == ["x"]
-    lines = drafting.markdown_lines(spark.createDataFrame([(1, "# T\n- b\n> q\n\n|a|\np")], "id int, t string"), "id", "t").orderBy("line").collect()
-    assert [(r["kind"], r["content"]) for r in lines] == [("heading1", "T"), ("bullet", "b"), ("quote", "q"), ("blank", ""), ("table", "|a|"), ("paragraph", "p")]
+    drafts = [(1, "T *x*", "# T **b**\n- b\n> q\n\n|a|\np"), (2, None, None), (3, "", "  **a****b** *c*\r\n*  **\n-x\n> > y **z\n|\n||\n####  n\n###\n### ")]
+    lines = drafting.export_lines(spark.createDataFrame(drafts, "id int, h string, t string"), "id", "h", "t").orderBy("id", "line").collect()
+    assert [(r["id"], r["kind"], [(x["text"], x["bold"]) for x in r["runs"]]) for r in lines] == [
+        (1, "title", [("T *x*", False)]), (1, "heading1", [("T **b**", False)]), (1, "bullet", [("b", False)]), (1, "quote", [("q", False)]), (1, "blank", []), (1, "table", [("a", False)]), (1, "paragraph", [("p", False)]),
+        (2, "title", [("", False)]), (3, "title", [("", False)]), (3, "paragraph", [("a", True), ("b", True), (" *c*", False)]), (3, "bullet", [("", True)]), (3, "paragraph", [("-x", False)]),
+        (3, "quote", [("> y **z", False)]), (3, "paragraph", [("|", False)]), (3, "table", []), (3, "paragraph", [("####  n", False)]), (3, "paragraph", [("###", False)]), (3, "paragraph", [("###", False)]),
+    ]
+    named = spark.createDataFrame([("A b", "R 1/2", "o"), (None, None, "o"), (None, None, "")], "t string, e string, o string")
+    assert [tuple(r) for r in named.select(drafting.export_title(F.col("t"), F.col("e"), F.col("o")), drafting.export_name(F.col("e"))).collect()] == [("A b — R 1/2", "Response_R_1_2.docx"), ("o", None), ("Proposal", None)]
     made = spark.range(1).select(drafting.prompt(F.lit("T"), F.lit(None).cast("string"), F.lit("D"), F.lit(""), F.lit("E"), False).alias("p")).first()["p"]
     assert "EXAMPLES:\nE" in made and "DOCUMENTS" not in made and "AGENCY: unknown" in made
 
