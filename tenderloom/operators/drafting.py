@@ -27,6 +27,18 @@ def stage_after_draft(stage: Column) -> Column:
     return F.when(stage.isin("BACKLOG", "REVIEWING"), "DRAFTING").otherwise(stage)
 
 
+def markdown_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, kind, content): headings, bullets, quotes, table rows, blanks and paragraphs, as written; ``export_lines`` gives a document's."""
+    rows = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    kind = (
+        F.when(F.rlike("raw", F.lit(r"^###\s")), "heading3").when(F.rlike("raw", F.lit(r"^##\s")), "heading2").when(F.rlike("raw", F.lit(r"^#\s")), "heading1")
+        .when(F.rlike("raw", F.lit(r"^\s*[-*]\s")), "bullet").when(F.rlike("raw", F.lit(r"^>")), "quote").when(F.rlike("raw", F.lit(r"^\s*\|")), "table")
+        .when(F.trim("raw") == "", "blank").otherwise("paragraph")
+    )
+    return rows.select(key, "line", kind.alias("kind"), F.trim(F.regexp_replace("raw", r"^\s*(#{1,3}|[-*]|>)\s*", "")).alias("content"))
+
+
+#: White space of a document's lines.
 _SPACE = r"(?U)[\s﻿]"
 
 

@@ -130,11 +130,31 @@ def register(query: Callable) -> None:
         )
         return _whole(portals.mo(_json_pages(_rows(v), "items", record)))
 
-    @query("portal_nc", "SELECT external_id, title, agency, description FROM opportunities", o)
+    @query("portal_nc", stated(external_id="CASE WHEN id % 7 = 0 THEN 'g' || id ELSE external_id END", title="CASE WHEN id % 11 = 0 THEN '(untitled)' ELSE title END", agency="agency", description="description", posted_date=day, due_date="CASE WHEN id % 3 < 2 THEN " + noon + " END", detail_url="'https://evp.nc.gov/solicitations/details/?id=g' || id", status_on_site="CASE WHEN id % 4 > 0 THEN 'Open' END"), o)
     def _(v):
-        part = lambda name, value: F.struct(text(name).alias("Name"), F.lit(None).cast("string").alias("Value"), value.alias("DisplayValue"))
-        record = F.struct(F.col("id").cast("string").alias("Id"), F.array(part("evp_solicitationnbr", F.col(ID)), part("evp_name", F.col(TITLE)), part("owningbusinessunit", F.col("agency")), part("evp_description", F.col("description"))).alias("Attributes"))
-        return _shown(portals.nc(_json_pages(_rows(v), "Records", record)), "title", "agency", "description")
+        """Attributes of which each shows itself in another of three ways, and dates of three kinds."""
+        none, kind = F.lit(None).cast("string"), F.col("id") % 3
+        empty = F.lit(None).cast("variant")
+
+        def part(name, value=empty, display=none, formatted=none):
+            return F.struct(text(name).alias("Name"), value.alias("Value"), display.alias("DisplayValue"), formatted.alias("FormattedValue"))
+
+        def any_way(name, value):
+            return part(name, F.when(kind == 0, value.cast("variant")).otherwise(F.parse_json(text('{"Id": 1}'))), F.when(kind == 1, value), F.when(kind == 2, value))
+
+        def date(name, millis, display):
+            marked = F.concat(text("/Date("), millis.cast("string"), text(")/"))
+            return part(name, F.when(kind == 0, marked.cast("variant")).when(kind == 1, millis.cast("variant")), F.when(kind == 2, display))
+
+        record = F.struct(
+            F.concat(text("g"), F.col("id").cast("string")).alias("Id"),
+            F.array(
+                part("other", display=text("x")), any_way("evp_solicitationnbr", F.when(F.col("id") % 7 > 0, F.col(ID)).otherwise(" ")), any_way("evp_name", F.when(F.col("id") % 11 > 0, F.col(TITLE)).otherwise("")), any_way("owningbusinessunit", F.col("agency")),
+                any_way("evp_description", F.col("description")), date("evp_posteddate", F.unix_millis(F.col("posted_date").cast("timestamp")), us("posted_date")), date("evp_opendate", F.unix_millis("due_date"), none),
+                part("statuscode", F.lit(1).cast("variant"), F.when(F.col("id") % 4 > 0, text("Open"))),
+            ).alias("Attributes"),
+        )
+        return _whole(portals.nc(_json_pages(_rows(v), "Records", record), untitled="(untitled)"))
 
     @query("portal_phx", stated("opportunities WHERE id % 5 < 3", external_id="external_id", title="title", agency="CASE WHEN id % 3 = 0 THEN 'City of Phoenix' ELSE agency END", category="CASE WHEN id % 4 = 0 THEN 'Lights; Poles' ELSE category END", naics_code="CASE WHEN id % 4 = 0 THEN '28500' END", description="CASE WHEN id % 4 = 0 THEN 'New lamps ' || id WHEN id % 4 = 1 THEN 'Later' END", posted_date=day, due_date=noon, q_and_a_deadline="due_date - INTERVAL 1 DAY", detail_url="'https://procurement.opengov.com/portal/phoenix/projects/' || id", status_on_site="CASE id % 5 WHEN 2 THEN 'Coming Soon' ELSE 'open' END", links="CASE WHEN id % 4 = 0 THEN 'a.pdf=https://x.example/a;Plan=https://x.example/b' ELSE '' END"), o)
     def _(v):

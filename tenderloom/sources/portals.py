@@ -105,11 +105,45 @@ def mo(payloads: DataFrame) -> DataFrame:
     return normalized(r, {"external_id": F.coalesce(_blank("r.Negotiation"), F.col("r.AuctionHeaderId").cast("string")), "title": F.col("r.NegotiationTitle"), "agency": F.col("r.ProcurementBUName"), "category": F.col("r.NegotiationType"), "description": fn.trim_description(description), "posted_date": F.coalesce(F.try_to_timestamp("r.PostingDate"), F.try_to_timestamp("r.PublishDate")), "due_date": F.try_to_timestamp("r.CloseDate"), "detail_url": F.lit(MO_LIST), "status_on_site": F.col("r.NegotiationStatus"), "attachments": F.when(F.size(files) > 0, files)})
 
 
-def nc(payloads: DataFrame) -> DataFrame:
-    r = _json(payloads, "Records", "Id:string,EntityName:string,Attributes:array<struct<Name:string,Value:string,DisplayValue:string,FormattedValue:string>>")
-    get = lambda name, part="DisplayValue": F.get(F.filter("r.Attributes", lambda a: a["Name"] == name), F.lit(0))[part]
-    date = lambda name: F.coalesce(fn.ms_date(get(name, "Value")), fn.epoch_millis(get(name, "Value")), fn.us_date(get(name), fn.EASTERN))
-    return normalized(r, {"external_id": F.coalesce(get("evp_solicitationnbr"), "r.Id"), "title": get("evp_name"), "agency": get("owningbusinessunit"), "description": get("evp_description"), "posted_date": date("evp_posteddate"), "due_date": date("evp_opendate"), "status_on_site": get("statuscode")})
+#: The attributes that hold a record's fields.
+NC_ATTRIBUTES = {
+    "external_id": "evp_solicitationnbr", "title": "evp_name", "agency": "owningbusinessunit", "description": "evp_description",
+    "posted_date": "evp_posteddate", "due_date": "evp_opendate", "status_on_site": "statuscode",
+}
+
+
+def nc_layout(value: Column) -> Column:
+    """(configuration, sort) of a grid's first layout: a JSON array, as base64 or plain; null configuration if it is neither.
+
+    Layouts differ in their other fields, so they are kept as VARIANT and asked for these two by path.
+    """
+    readings = [F.try_parse_json(F.try_to_binary(value, F.lit("base64")).cast("string")), F.try_parse_json(value)]
+    layouts = F.coalesce(*(F.when(F.schema_of_variant(r).startswith("ARRAY"), r) for r in readings))
+    first = lambda name: F.nullif(F.try_variant_get(layouts, f"$[0].{name}", "string"), F.lit(""))
+    return F.struct(first("Base64SecureConfiguration").alias("configuration"), F.coalesce(first("SortExpression"), F.lit("evp_posteddate DESC")).alias("sort"))
+
+
+def nc(payloads: DataFrame, names: dict[str, str] | None = None, untitled: str | None = None) -> DataFrame:
+    """Records as lists of named attributes, whose values are texts, numbers or objects; ``names`` says where a field is called otherwise.
+
+    A missing title is ``untitled`` (the portal's own rule has "(untitled)"), or the id without one.
+    An attribute shows its display value, else its formatted value, else a
+    value that is a text.  A date is a text of milliseconds, a number of them,
+    or its display value.
+    """
+    names = NC_ATTRIBUTES | (names or {})
+    r = _json(payloads, "Records", "Id:string,Attributes:array<struct<Name:string,Value:variant,DisplayValue:string,FormattedValue:string>>")
+    named = lambda name: F.get(F.filter("r.Attributes", lambda a: a["Name"] == name), F.lit(0))
+    found = {field: named(name) for field, name in names.items()}
+    kind = lambda a: F.schema_of_variant(a["Value"])
+    told = lambda a: F.when(kind(a) == "STRING", F.try_variant_get(a["Value"], "$", "string"))
+    number = lambda a: F.when(F.rlike(kind(a), F.lit("^(BIGINT|DOUBLE|DECIMAL)")), F.try_variant_get(a["Value"], "$", "double").cast("bigint"))
+    shown = {field: F.coalesce(a["DisplayValue"], a["FormattedValue"], told(a)) for field, a in found.items()}
+    date = lambda a: F.coalesce(fn.ms_date(told(a)), F.timestamp_millis(number(a)), fn.us_date(a["DisplayValue"], fn.EASTERN))
+    return normalized(r, {
+        "external_id": F.coalesce(_blank(shown["external_id"]), "r.Id"), "title": F.coalesce(_blank(shown["title"]), F.lit(untitled)), "agency": shown["agency"], "description": fn.trim_description(shown["description"]),
+        "posted_date": date(found["posted_date"]), "due_date": date(found["due_date"]), "detail_url": F.concat(F.lit("https://evp.nc.gov/solicitations/details/?id="), "r.Id"), "status_on_site": shown["status_on_site"],
+    })
 
 
 def phx(payloads: DataFrame) -> DataFrame:

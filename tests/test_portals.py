@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 from datetime import date, datetime
 
@@ -218,3 +219,36 @@ def test_documents_of_a_page(spark):
 def test_no_pages_and_other_pages(spark):
     for key, dialect in portals.REGISTRY.items():
         assert dialect(pages(spark, "not json", "", None, "<p>other</p>")).count() == 0, key
+
+
+def test_nc(spark):
+    def record(guid, **parts):
+        return {"Id": guid, "Attributes": [{"Name": n, **a} for n, a in parts.items()]}
+
+    records = [
+        record(
+            "g1", evp_solicitationnbr={"Value": "10-26", "DisplayValue": "10-2026"}, evp_name={"Value": "Road  salt"}, owningbusinessunit={"Value": {"Id": "u"}, "DisplayValue": None, "FormattedValue": "DOT"}, evp_description={"Value": "Bulk", "DisplayValue": "Bulk salt"},
+            evp_posteddate={"Value": "/Date(1782864000000)/", "DisplayValue": "1/1/2001"}, evp_opendate={"Value": 1785600000000}, statuscode={"Value": 1, "FormattedValue": "Open"},
+        ),
+        record("g2", evp_solicitationnbr={"Value": 5}, evp_name={"DisplayValue": ""}, evp_posteddate={"Value": "1782864000000", "DisplayValue": "7/2/2026"}, evp_opendate={"Value": {"x": 1}, "DisplayValue": "8/3/2026 2:00 PM"}, statuscode={"Value": 1}),
+        {"Id": "g3", "Attributes": None},
+    ]
+    page, url = json.dumps({"Records": records, "MoreRecords": False}), "https://evp.nc.gov/solicitations/details/?id="
+    want = [
+        {"external_id": "10-2026", "title": "Road salt", "agency": "DOT", "description": "Bulk salt", "posted_date": date(2026, 7, 1), "due_date": datetime(2026, 8, 1, 16), "detail_url": f"{url}g1", "status_on_site": "Open"},
+        {"external_id": "g2", "title": "(untitled)", "posted_date": date(2026, 7, 2), "due_date": datetime(2026, 8, 3, 18), "detail_url": f"{url}g2"},
+        {"external_id": "g3", "title": "(untitled)", "detail_url": f"{url}g3"},
+    ]
+    expect(portals.nc(pages(spark, page, "not json"), untitled="(untitled)"), *want)
+    # another layout's names for the same attributes
+    renamed = {k: v.replace("evp_", "new_") for k, v in portals.NC_ATTRIBUTES.items()}
+    expect(portals.nc(pages(spark, page.replace("evp_", "new_")), renamed, "(untitled)"), *want)
+
+
+def test_nc_layout(spark):
+    layouts = [{"Base64SecureConfiguration": "abc=", "SortExpression": "", "Columns": [1, {"x": None}]}, {"Base64SecureConfiguration": "no"}]
+    plain = json.dumps(layouts)
+    values = [base64.b64encode(plain.encode()).decode(), plain, json.dumps(layouts[0]), "?", None, "[]", '[{"SortExpression": "a ASC"}]']
+    rows = spark.createDataFrame(list(enumerate(values)), "n int, t string").select("n", portals.nc_layout(F.col("t")).alias("x")).orderBy("n").collect()
+    usual = "evp_posteddate DESC"
+    assert [tuple(r["x"]) for r in rows] == [("abc=", usual), ("abc=", usual), (None, usual), (None, usual), (None, usual), (None, usual), (None, "a ASC")]
