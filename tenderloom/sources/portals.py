@@ -84,7 +84,8 @@ def advantage(payloads: DataFrame, key: str = "ak") -> DataFrame:
     grid = "T1SO_SRCH_QRY"
     labels = [F.from_json(F.get_json_object("payload", f"$.page_metadata.datasources.{grid}.columns.{c}.codedValuesList"), "array<map<string,string>>").alias(c) for c in ("SO_CAT_CD", "SO_STA")]
     body = F.from_json(F.get_json_object("payload", f"$.data.ds_data.{grid}.row_data"), f"array<struct<{_text('SO_CAT_CD SO_STA DOC_CD DOC_DSCR DEPT_NM BUYR_NM BUYR_EMAIL_AD DOC_REF DOC_CD_CONCAT SO_CLSNG_DT_TM PUB_DT')}>>")
-    r = payloads.select("page", *labels, F.posexplode(body).alias("position", "r"))
+    # labels are read once a page: beside the explode in one select they would be read from the whole payload for each record
+    r = payloads.select("page", *labels, body.alias("rows")).select("page", "SO_CAT_CD", "SO_STA", F.posexplode("rows").alias("position", "r"))
 
     def label(field: str) -> Column:
         code = F.nullif(F.col(f"r.{field}"), F.lit(""))
