@@ -43,13 +43,17 @@ FIELDS = {
 
 def normalized(records: DataFrame, fields: dict[str, Column], *, last: bool = False) -> DataFrame:
     """records: with page and position.  Blank texts are null; a missing title is the id."""
+    rows = _normal(records, fields, "page", "position")
+    order = [F.desc("page"), F.desc("position")] if last else [F.col("page"), F.col("position")]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("external_id").orderBy(*order))).where("_n = 1").select(*FIELDS)
+
+
+def _normal(records: DataFrame, fields: dict[str, Column], *more: str) -> DataFrame:
     columns = []
     for name, kind in FIELDS.items():
         value = fields.get(name, F.lit(None))
         columns.append((F.nullif(fn.clean(value), F.lit("")) if kind == "string" else value).cast(kind).alias(name))
-    rows = records.select("page", "position", *columns).where("external_id is not null").withColumn("title", F.coalesce("title", "external_id"))
-    order = [F.desc("page"), F.desc("position")] if last else [F.col("page"), F.col("position")]
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("external_id").orderBy(*order))).where("_n = 1").select(*FIELDS)
+    return records.select(*more, *columns).where("external_id is not null").withColumn("title", F.coalesce("title", "external_id"))
 
 
 def _json(payloads: DataFrame, path: str, schema: str) -> DataFrame:
@@ -261,30 +265,28 @@ def la(payloads: DataFrame) -> DataFrame:
     """
     for name in ("department", "url"):
         payloads = payloads if name in payloads.columns else payloads.withColumn(name, F.lit(None).cast("string"))
-    pages = mk.parsed(payloads)
-    table_of = lambda e: F.exists(mk.tagged(F.col("nodes"), "table"), lambda t: mk.has_class(t, "bid") & (t["at"] < e["at"]) & (e["at"] <= t["last"]))
-
-    def row(tr: Column) -> Column:
-        cells = mk.children(tr, "td")
-        cell = lambda i: F.get(cells, F.lit(i))
-        number = _first_with(mk.below(cell(0)), lambda e: e["tag"] == "span")
-        about = F.when(number.isNotNull(), cell(1)).otherwise(F.get(cells, F.greatest(F.size(cells) - 2, F.lit(0))))
-        # the title ends where the first strong or linked part of the cell begins
-        stop = _first_with(mk.children(about, "strong", "a"), lambda e: F.lit(True))
-        head = fn.clean(F.substr(F.col("words"), about["begin"] + 1, F.coalesce(stop["begin"], about["end"]) - about["begin"]))
-        return F.struct(
-            number.isNotNull().alias("own"), F.nullif(mk.text(number), F.lit("")).alias("id"), F.size(cells).alias("cells"), head.alias("title"), mk.text(about).alias("about"),
-            mk.text(cell(2)).alias("issued"), mk.text(cell(3)).alias("opens"), mk.links(about, LA_BASE).alias("links"),
-        )
-
-    rows = F.transform(F.filter(mk.tagged(F.col("nodes"), "tr"), table_of), row)
-    r = _records(pages, F.filter(rows, lambda x: x["cells"] > 0), "department", "url")
+    rows = mk.parts(payloads, ("tr",), lambda e: "bid" if e["tag"] == "table" and "bid" in (e["classes"] or "").split() else None).where(mk.inside("bid"))
+    cell = lambda i: F.get("cells", F.lit(i))
+    rows = rows.withColumn("cells", mk.children(mk.node(F.lit(0)), "td")).where(F.size("cells") > 0)
+    rows = rows.withColumn("number", _first_with(mk.below(cell(0)), lambda e: e["tag"] == "span"))
+    rows = rows.withColumn("about", F.when(F.col("number").isNotNull(), cell(1)).otherwise(F.get("cells", F.greatest(F.size("cells") - 2, F.lit(0)))))
+    about = F.col("about")
+    # the title ends where the first strong or linked part of the cell begins
+    rows = rows.withColumn("stop", _first_with(mk.children(about, "strong", "a"), lambda e: F.lit(True)))
+    head = fn.clean(F.substr(F.col("words"), about["begin"] + 1, F.coalesce(F.col("stop")["begin"], about["end"]) - about["begin"]))
+    made = F.struct(
+        F.col("number").isNotNull().alias("own"), F.nullif(mk.text(F.col("number")), F.lit("")).alias("id"), F.size("cells").alias("cells"), head.alias("title"), mk.text(about).alias("about"),
+        mk.text(cell(2)).alias("issued"), mk.text(cell(3)).alias("opens"), mk.links(about, LA_BASE).alias("links"),
+    )
+    r = rows.select("page", "department", "url", "position", made.alias("r"))
     before = Window.partitionBy("page").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("head", F.last(F.when(F.col("r.own") & (F.col("r.cells") >= 4) & F.col("r.id").isNotNull(), F.col("position")), ignorenulls=True).over(before))
-    extra = r.where(~F.col("r.own")).groupBy("page", "head").agg(F.array_sort(F.collect_list(F.struct("position", "r.links"))).alias("more"))
-    extra = extra.select("page", F.col("head").alias("position"), F.flatten("more.links").alias("more"))
-    heads = r.where(F.col("position") == F.col("head")).join(extra, ["page", "position"], "left")
-    links = mk.once(F.concat("r.links", F.coalesce("more", F.array().cast("array<struct<filename:string,url:string>>"))))
+    r = r.withColumn("head", F.last(F.when(F.col("r.own") & (F.col("r.cells") >= 4) & F.col("r.id").isNotNull(), F.col("position")), ignorenulls=True).over(before)).where("head is not null")
+    # a record and the rows that go on it meet in one aggregation, so pages are read once
+    own = F.when(F.col("position") == F.col("head"), F.struct("department", "url", "r"))
+    more = F.collect_list(F.when(~F.col("r.own"), F.struct("position", "r.links")))
+    heads = r.groupBy("page", F.col("head").alias("_head")).agg(F.first(own, ignorenulls=True).alias("_own"), F.array_sort(more).alias("more"))
+    heads = heads.select("page", F.col("_head").alias("position"), "_own.*", F.flatten("more.links").alias("more"))
+    links = mk.once(F.concat("r.links", "more"))
     original = F.coalesce(_first_with(F.col("r.links"), lambda a: a["filename"] == F.col("r.id")), F.get("r.links", F.lit(0)))["url"]
     return normalized(heads, {
         "external_id": F.col("r.id"), "title": F.col("r.title"), "agency": F.col("department"), "description": fn.trim_description(F.col("r.about")), "posted_date": fn.us_date(F.col("r.issued")),
@@ -304,19 +306,14 @@ def la_departments(payloads: DataFrame) -> DataFrame:
 
 def tn(payloads: DataFrame) -> DataFrame:
     """The first table of each page; pages are in turn of requests for proposals and invitations to bid."""
-    pages = mk.parsed(payloads)
-    table_ = F.get(mk.tagged(F.col("nodes"), "table"), F.lit(0))
-    rows = mk.tagged(mk.below(table_), "tr")
-
-    def row(tr: Column) -> Column:
-        cells = mk.tagged(mk.below(tr), "td")
-        named = F.filter(mk.tagged(mk.below(F.get(cells, F.lit(0))), "a"), lambda a: (F.coalesce(a["href"], F.lit("")) != "") & (mk.text(a) != ""))
-        files = F.transform(named, lambda a: F.struct(mk.text(a).alias("filename"), F.coalesce(fn.absolute(F.lit(TN_BASE), a["href"]), a["href"]).alias("url")))
-        return F.struct(F.size(cells).alias("cells"), files.alias("links"), mk.text(F.get(cells, F.lit(1))).alias("dates"), mk.text(F.get(cells, F.lit(2))).alias("title"))
-
-    made = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), row)
-    r = _records(pages, F.filter(made, lambda x: (x["cells"] >= 3) & (F.size(x["links"]) > 0)))
-    first = F.col("r.links")[0]
+    rows = mk.parts(payloads, ("tr",), lambda e: "table" if e["tag"] == "table" else None)
+    rows = rows.where(F.exists("around", lambda x: (x["mark"] == "table") & (x["nth"] == 0) & (x["place"] > 0)))
+    rows = rows.withColumn("cells", mk.tagged(mk.below(mk.node(F.lit(0))), "td")).where(F.size("cells") >= 3)
+    named = F.filter(mk.tagged(mk.below(F.get("cells", F.lit(0))), "a"), lambda a: (F.coalesce(a["href"], F.lit("")) != "") & (mk.text(a) != ""))
+    files = F.transform(named, lambda a: F.struct(mk.text(a).alias("filename"), F.coalesce(fn.absolute(F.lit(TN_BASE), a["href"]), a["href"]).alias("url")))
+    made = F.struct(files.alias("links"), mk.text(F.get("cells", F.lit(1))).alias("dates"), mk.text(F.get("cells", F.lit(2))).alias("title"))
+    r = rows.select("page", "position", made.alias("r")).where(F.size("r.links") > 0)
+    first = F.get("r.links", F.lit(0))
     number = F.nullif(F.trim(F.regexp_replace(first["filename"], r"(?i)^(RFP|ITB|RFI|Event)[\s\u00a0]*", "")), F.lit(""))
     number = F.coalesce(number, F.nullif(F.regexp_extract(first["url"], r"(?i)(rfp|itb|rfi)-updates/([^/]+)/", 2), F.lit("")))
     date = lambda i: fn.us_date(F.get(F.regexp_extract_all("r.dates", F.lit(r"[0-1]?\d/[0-3]?\d/20\d{2}"), F.lit(0)), F.lit(i)))
@@ -325,15 +322,10 @@ def tn(payloads: DataFrame) -> DataFrame:
 
 def pa(payloads: DataFrame) -> DataFrame:
     """Rows of the result grid that link to a solicitation."""
-    pages = mk.parsed(payloads)
-    grid_ = _first_with(F.col("nodes"), lambda e: e["id"] == "ctl00_MainBody_grdResults")
-
-    def row(tr: Column) -> Column:
-        cells = mk.tagged(mk.below(tr), "td")
-        link = _first_with(mk.tagged(mk.below(tr), "a"), lambda a: F.endswith(a["id"], F.lit("_HyperLink1")))
-        return F.struct(F.transform(cells, mk.text).alias("cells"), mk.text(link).alias("named"), F.when(link.isNotNull(), F.coalesce(link["href"], F.lit(""))).alias("href"))
-
-    r = _records(pages, F.filter(F.transform(mk.tagged(mk.below(grid_), "tr"), row), lambda x: x["href"].isNotNull() & (F.size(x["cells"]) >= 11)))
+    rows = mk.parts(payloads, ("tr",), lambda e: "grid" if e["id"] == "ctl00_MainBody_grdResults" else None).where(mk.inside("grid", 0))
+    rows = rows.withColumn("link", _first_with(mk.tagged(mk.below(mk.node(F.lit(0))), "a"), lambda a: F.endswith(a["id"], F.lit("_HyperLink1")))).where("link is not null")
+    made = F.struct(F.transform(mk.tagged(mk.below(mk.node(F.lit(0))), "td"), mk.text).alias("cells"), mk.text(F.col("link")).alias("named"), F.coalesce(F.col("link")["href"], F.lit("")).alias("href"))
+    r = rows.select("page", "position", made.alias("r")).where(F.size("r.cells") >= 11)
     cell = lambda i: F.nullif(F.get("r.cells", F.lit(i)), F.lit(""))
     sid = F.nullif(F.url_decode(F.regexp_extract("r.href", "(?i)SID=([^&]+)", 1)), F.lit(""))
     page = F.coalesce(F.concat(F.lit("Solicitations.aspx?SID="), F.replace(F.url_encode(sid), F.lit("+"), F.lit("%20"))), F.col("r.href"))
@@ -342,18 +334,17 @@ def pa(payloads: DataFrame) -> DataFrame:
 
 def wy(payloads: DataFrame) -> DataFrame:
     """Rows that a script writes; the description is a block in the title's cell, which the title goes without."""
-    pages = mk.parsed(payloads, mk.scripted)
-    owner = F.nullif(F.regexp_extract(mk.text(F.get(mk.tagged(F.col("nodes"), "title"), F.lit(0))), r"(?i):\s*(.+?)\s+Home Page", 1), F.lit(""))
-
-    def row(tr: Column) -> Column:
-        cells = mk.children(tr, "td")
-        link = _first_with(mk.tagged(mk.below(tr), "a"), lambda a: F.contains(a["href"], F.lit("bidId=")))
-        block = _first_with(mk.tagged(mk.below(tr), "div"), lambda e: mk.has_class(e, "balloonstyle"))
-        first = F.get(cells, F.lit(0))
-        rest = F.concat(F.substr(F.col("words"), first["begin"] + 1, F.coalesce(block["begin"], first["end"]) - first["begin"]), F.coalesce(F.substr(F.col("words"), block["end"] + 1, first["end"] - block["end"]), F.lit("")))
-        return F.struct(link["href"].alias("href"), F.coalesce(F.nullif(mk.text(link), F.lit("")), fn.clean(rest)).alias("title"), mk.text(block).alias("about"), F.transform(cells, mk.text).alias("cells"))
-
-    r = _records(pages.withColumn("owner", F.coalesce(owner, F.lit("State of Wyoming"))), F.transform(mk.tagged(F.col("nodes"), "tr"), row), "owner")
+    rows = mk.parts(payloads, ("tr",), prepare=mk.scripted)
+    owner = F.nullif(F.regexp_extract(F.coalesce(fn.clean(F.col("head")), F.lit("")), r"(?i):\s*(.+?)\s+Home Page", 1), F.lit(""))
+    tr = mk.node(F.lit(0))
+    rows = rows.withColumns({
+        "cells": mk.children(tr, "td"), "link": _first_with(mk.tagged(mk.below(tr), "a"), lambda a: F.contains(a["href"], F.lit("bidId="))),
+        "block": _first_with(mk.tagged(mk.below(tr), "div"), lambda e: mk.has_class(e, "balloonstyle")),
+    })
+    first, block = F.get("cells", F.lit(0)), F.col("block")
+    rest = F.concat(F.substr(F.col("words"), first["begin"] + 1, F.coalesce(block["begin"], first["end"]) - first["begin"]), F.coalesce(F.substr(F.col("words"), block["end"] + 1, first["end"] - block["end"]), F.lit("")))
+    made = F.struct(F.col("link")["href"].alias("href"), F.coalesce(F.nullif(mk.text(F.col("link")), F.lit("")), fn.clean(rest)).alias("title"), mk.text(block).alias("about"), F.transform("cells", mk.text).alias("cells"))
+    r = rows.select("page", "position", F.coalesce(owner, F.lit("State of Wyoming")).alias("owner"), made.alias("r"))
     zone = lambda text: F.when(F.rlike(text, F.lit(r"\bMST\b")), fn.MOUNTAIN_STANDARD).otherwise(fn.MOUNTAIN_DAYLIGHT)
     stamp = lambda text: fn.month_name_date(text, zone(text))
     cell = lambda i: F.get("r.cells", F.lit(i))
@@ -368,87 +359,80 @@ def wy(payloads: DataFrame) -> DataFrame:
     })
 
 
-_MS = "struct<external_id:string,title:string,agency:string,category:string,description:string,due_date:timestamp,detail_url:string,status_on_site:string,attachments:array<struct<filename:string,url:string>>>"
+MS_RFX = r"(?i)RFx\s*#?\s*(\d{6,})\s*[-–—]+\s*(.+)"
 
 
-def _ms(external_id: Column, title: Column, agency: Column, category: Column, description: Column, due: Column, detail: Column, status: Column, files: Column) -> Column:
-    return F.struct(*(c.alias(n) for c, n in zip((external_id, title, agency, category, description, due, detail, status, files), "external_id title agency category description due_date detail_url status_on_site attachments".split(), strict=True))).cast(_MS)
+def _ms(rows: DataFrame, external_id: Column, title: Column, agency: Column, category: Column, description: Column, due: Column, detail: Column, status: Column) -> DataFrame:
+    columns = {"external_id": external_id, "title": title, "agency": agency, "category": category, "description": description, "due_date": due.cast("timestamp"), "detail_url": detail, "status_on_site": status, "attachments": F.col("files")}
+    return rows.select("page", "position", *(c.alias(n) for n, c in columns.items()))
 
 
-def _panels(lists: Column) -> Column:
-    """The headings of the given folding lists that have a body behind them."""
-    heads = F.filter("nodes", lambda e: (e["tag"] == "dt") & F.exists(lists, lambda x: x["at"] == e["parent"]))
-    return F.filter(heads, lambda e: mk.following(e, "dd").isNotNull())
+MS_MARKS = {("dl", "ckeditor-accordion"): "folding", ("table", "tblwdt"): "leases"}
+
+
+def _ms_parts(payloads: DataFrame, shape: int, tag: str) -> DataFrame:
+    """The elements with the tag on pages of one shape, each with the sibling behind it."""
+    mark = lambda e: next((MS_MARKS[e["tag"], c] for c in (e["classes"] or "").split() if (e["tag"], c) in MS_MARKS), None)
+    mine = F.coalesce(F.col("page") % 4, F.lit(3)).isin(*((shape,) if shape < 3 else (3, -1, -2, -3)))
+    return mk.parts(payloads.where(mine), (tag,), mark, beside=True).withColumn("heading", mk.text(mk.node(F.lit(0))))
 
 
 def _first_url(files: Column, page: str) -> Column:
     return F.coalesce(F.get(files, F.lit(0))["url"], F.lit(page))
 
 
-def _ms_hub(folding: Column) -> Column:
+def _ms_hub(payloads: DataFrame) -> DataFrame:
     """Paragraphs "RFx# number - title", each with a list of files behind it, but for the panel of completed ones."""
-    pattern = r"(?i)RFx\s*#?\s*(\d{6,})\s*[-–—]+\s*(.+)"
-
-    def one(panel: Column, p: Column) -> Column:
-        number, title = (F.regexp_extract(mk.text(p), pattern, i) for i in (1, 2))
-        files = mk.links(mk.following(p, "ul", "ol"), MS_HUB)
-        status = fn.status_of_attachments(F.array_join(F.transform(files, lambda a: a["filename"]), " | "))
-        return _ms(F.concat(F.lit("RFx-"), number), F.trim(title), F.lit("Mississippi Department of Finance and Administration"), mk.text(panel), fn.trim_description(title), F.lit(None), _first_url(files, MS_HUB), status, files)
+    panels = F.filter("around", lambda x, i: (x["tag"] == "dd") & (x["before"] == "dt") & (F.get("around", i - 1)["mark"] == "folding") & ~F.rlike(fn.clean(x["label"]), F.lit("(?i)completed")))
+    rows = _ms_parts(payloads, 0, "p").withColumns({"panel": fn.clean(F.get(panels, F.lit(0))["label"]), "files": mk.links(mk.following(mk.node(F.lit(0)), "ul", "ol"), MS_HUB)})
+    rows = rows.where(F.col("panel").isNotNull() & F.rlike("heading", F.lit(MS_RFX)))
+    number, name = (F.regexp_extract("heading", MS_RFX, i) for i in (1, 2))
+    status = fn.status_of_attachments(F.array_join(F.transform("files", lambda a: a["filename"]), " | "))
+    return _ms(rows, F.concat(F.lit("RFx-"), number), F.trim(name), F.lit("Mississippi Department of Finance and Administration"), F.col("panel"), fn.trim_description(name), F.lit(None), _first_url(F.col("files"), MS_HUB), status)
 
-    def panel(dt: Column) -> Column:
-        found = F.filter(mk.tagged(mk.below(mk.following(dt, "dd")), "p"), lambda p: F.rlike(mk.text(p), F.lit(pattern)))
-        return F.transform(found, lambda p: one(dt, p))
 
-    return F.flatten(F.transform(F.filter(_panels(folding), lambda e: ~F.rlike(mk.text(e), F.lit("(?i)completed"))), panel))
+def _ms_panels(payloads: DataFrame, shape: int, page: str) -> DataFrame:
+    """The headings of folding lists that have a body behind them, with its text and links; ``nth`` is the list's number."""
+    rows = _ms_parts(payloads, shape, "dt").withColumns({"list": F.try_element_at("around", F.lit(-1)), "body": mk.following(mk.node(F.lit(0)), "dd")})
+    rows = rows.where("list.mark = 'folding' and body is not null")
+    return rows.withColumns({"prose": mk.text(F.col("body")), "files": mk.links(F.col("body"), page)})
 
 
-def _ms_purchasing(folding: Column) -> Column:
+def _ms_purchasing(payloads: DataFrame) -> DataFrame:
     """The heading is the title; number and deadline are in the prose of the body."""
-    def panel(dt: Column) -> Column:
-        body, title = mk.following(dt, "dd"), mk.text(dt)
-        number = F.nullif(F.regexp_extract(mk.text(body), r"(?i)\bRF[PQXI]\s*#?\s*(\d{6,})", 1), F.lit(""))
-        name = F.coalesce(F.concat(F.lit("RFx-"), number), F.concat(F.lit("MSPURCH-"), fn.slug_id(title)))
-        return _ms(name, title, F.lit("MS DFA Office of Purchasing, Travel and Fleet Management"), F.lit("Purchasing"), fn.trim_description(mk.text(body)), fn.prose_date(mk.text(body)), F.lit(MS_PURCHASING), F.lit("Open"), mk.links(body, MS_PURCHASING))
+    number = F.nullif(F.regexp_extract("prose", r"(?i)\bRF[PQXI]\s*#?\s*(\d{6,})", 1), F.lit(""))
+    name = F.coalesce(F.concat(F.lit("RFx-"), number), F.concat(F.lit("MSPURCH-"), fn.slug_id(F.col("heading"))))
+    return _ms(_ms_panels(payloads, 1, MS_PURCHASING), name, F.col("heading"), F.lit("MS DFA Office of Purchasing, Travel and Fleet Management"), F.lit("Purchasing"), fn.trim_description(F.col("prose")), fn.prose_date(F.col("prose")), F.lit(MS_PURCHASING), F.lit("Open"))
 
-    return F.transform(F.filter(_panels(folding), lambda e: mk.text(e) != ""), panel)
 
-
-def _ms_construction(folding: Column) -> Column:
+def _ms_construction(payloads: DataFrame) -> DataFrame:
     """Of the first list only: items "label: value" are the fields, the last of a label counts."""
-    def panel(dt: Column) -> Column:
-        body, heading = mk.following(dt, "dd"), mk.text(dt)
-
-        def item(li: Column) -> Column:
-            label = F.regexp_replace(mk.text(_first_with(mk.below(li), lambda e: e["tag"] == "span")), ":$", "")
-            return F.struct(F.lower(label).alias("k"), fn.clean(F.regexp_replace(F.substr(mk.text(li), F.length(label) + 2), r"^[:\s]+", "")).alias("v"))
-
-        fields = F.transform(mk.tagged(mk.below(body), "li"), item)
-        get = lambda name: F.nullif(F.try_element_at(F.filter(fields, lambda x: x["k"] == name), F.lit(-1))["v"], F.lit(""))
-        rfx, number = F.coalesce(get("rfx#"), get("rfx")), F.coalesce(get("gs no"), F.nullif(F.regexp_replace(heading, r"(?i)^GS\s*", ""), F.lit("")))
-        title, files = F.coalesce(get("project title"), heading), mk.links(body, MS_CONSTRUCTION)
-        about = _joined(" — ", F.nullif(title, F.lit("")), get("using agency"), F.concat(F.lit("Professional: "), get("professional")))
-        name = F.coalesce(F.concat(F.lit("RFx-"), rfx), F.concat(F.lit("GS-"), number))
-        agency = F.coalesce(get("using agency"), F.lit("MS DFA Bureau of Building, Grounds and Real Property Management"))
-        return _ms(name, title, agency, F.lit("Construction"), fn.trim_description(about), fn.us_date(get("date")), _first_url(files, MS_CONSTRUCTION), F.lit("Open"), files)
 
-    return F.filter(F.transform(_panels(F.slice(folding, 1, 1)), panel), lambda x: x["external_id"].isNotNull())
-
-
-def _ms_leases(tables: Column) -> Column:
-    """Of the first table only: agency, place, deadline."""
-    body = mk.below(F.get(tables, F.lit(0)))
-    heads = mk.tagged(body, "thead")
-    rows = F.filter(mk.tagged(body, "tr"), lambda tr: ~F.exists(heads, lambda h: (h["at"] < tr["at"]) & (tr["at"] <= h["last"])) & (F.size(mk.tagged(mk.below(tr), "td")) >= 3))
-
-    def row(tr: Column) -> Column:
-        cells = mk.tagged(mk.below(tr), "td")
-        cell = lambda i: mk.text(F.get(cells, F.lit(i)))
-        place = F.regexp_replace(cell(1), r"\s*/\s*", ", ")
-        title = F.concat(F.lit("Request for Lease Proposals — "), cell(0), F.when(place != "", F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(""))
-        files = mk.links(F.get(cells, F.lit(1)), MS_LEASE)
-        return _ms(F.concat(F.lit("MSLEASE-"), fn.slug_id(F.concat_ws("-", cell(0), place, cell(2)))), title, cell(0), F.lit("Real Property / Lease"), fn.trim_description(title), fn.us_date(cell(2)), _first_url(files, MS_LEASE), F.lit("Open"), files)
-
-    return F.filter(F.transform(rows, row), lambda x: x["agency"] != "")
+    def item(li: Column) -> Column:
+        label = F.regexp_replace(mk.text(_first_with(mk.below(li), lambda e: e["tag"] == "span")), ":$", "")
+        return F.struct(F.lower(label).alias("k"), fn.clean(F.regexp_replace(F.substr(mk.text(li), F.length(label) + 2), r"^[:\s]+", "")).alias("v"))
+
+    rows = _ms_panels(payloads, 2, MS_CONSTRUCTION).where("list.nth = 0").withColumn("fields", F.transform(mk.tagged(mk.below(F.col("body")), "li"), item))
+    get = lambda name: F.nullif(F.try_element_at(F.filter("fields", lambda x: x["k"] == name), F.lit(-1))["v"], F.lit(""))
+    names = {"f_rfx": F.coalesce(get("rfx#"), get("rfx")), "f_gs": get("gs no"), "f_title": get("project title"), "f_agency": get("using agency"), "f_professional": get("professional"), "f_date": get("date")}
+    rows = rows.withColumns(names)
+    title, number = F.coalesce("f_title", "heading"), F.coalesce("f_gs", F.nullif(F.regexp_replace("heading", r"(?i)^GS\s*", ""), F.lit("")))
+    about = _joined(" — ", F.nullif(title, F.lit("")), F.col("f_agency"), F.concat(F.lit("Professional: "), F.col("f_professional")))
+    name = F.coalesce(F.concat(F.lit("RFx-"), F.col("f_rfx")), F.concat(F.lit("GS-"), number))
+    agency = F.coalesce("f_agency", F.lit("MS DFA Bureau of Building, Grounds and Real Property Management"))
+    return _ms(rows, name, title, agency, F.lit("Construction"), fn.trim_description(about), fn.us_date(F.col("f_date")), _first_url(F.col("files"), MS_CONSTRUCTION), F.lit("Open"))
+
+
+def _ms_leases(payloads: DataFrame) -> DataFrame:
+    """Of the first table only, but for its head: agency, place, deadline."""
+    place = F.array_position(F.transform("around", lambda x: F.coalesce((x["mark"] == "leases") & (x["nth"] == 0), F.lit(False))), True).cast("int")
+    rows = _ms_parts(payloads, 3, "tr").where(mk.inside("leases", 0) & ~F.exists(F.slice("around", place + 1, F.size("around")), lambda x: x["tag"] == "thead"))
+    rows = rows.withColumn("cells", mk.tagged(mk.below(mk.node(F.lit(0))), "td")).where(F.size("cells") >= 3)
+    cell = lambda i: mk.text(F.get("cells", F.lit(i)))
+    rows = rows.withColumns({"agency": cell(0), "place": F.regexp_replace(cell(1), r"\s*/\s*", ", "), "due": cell(2), "files": mk.links(F.get("cells", F.lit(1)), MS_LEASE)}).where("agency <> ''")
+    title = F.concat(F.lit("Request for Lease Proposals — "), "agency", F.when(F.col("place") != "", F.concat(F.lit(" ("), "place", F.lit(")"))).otherwise(""))
+    name = F.concat(F.lit("MSLEASE-"), fn.slug_id(F.concat_ws("-", "agency", "place", "due")))
+    return _ms(rows, name, title, F.col("agency"), F.lit("Real Property / Lease"), fn.trim_description(title), fn.us_date(F.col("due")), _first_url(F.col("files"), MS_LEASE), F.lit("Open"))
 
 
 def ms(payloads: DataFrame) -> DataFrame:
@@ -457,19 +441,18 @@ def ms(payloads: DataFrame) -> DataFrame:
     Of one id the first record stays, with the first due date that any has and
     the files of all, once an address.
     """
-    pages = mk.parsed(payloads)
-    folding = F.filter("nodes", lambda e: (e["tag"] == "dl") & mk.has_class(e, "ckeditor-accordion"))
-    tables = F.filter("nodes", lambda e: (e["tag"] == "table") & mk.has_class(e, "tblwdt"))
-    shape = F.col("page") % 4
-    rows = F.when(shape == 0, _ms_hub(folding)).when(shape == 1, _ms_purchasing(folding)).when(shape == 2, _ms_construction(folding)).otherwise(_ms_leases(tables))
-    r = _records(pages, rows).where("r.external_id is not null and r.title <> ''").select("page", "position", "r.*")
+    r = _ms_hub(payloads).unionByName(_ms_purchasing(payloads)).unionByName(_ms_construction(payloads)).unionByName(_ms_leases(payloads))
+    r = r.where("external_id is not null and title <> ''")
+    # first by id and address, then by id: pages are read once
     place = F.struct("page", "position")
-    first = r.groupBy("external_id").agg(F.min_by(F.struct("page", "position", *(c for c in r.columns if c not in ("page", "position", "due_date", "attachments", "external_id"))), place).alias("f"), F.min_by("due_date", F.when(F.col("due_date").isNotNull(), place)).alias("due_date"))
-    files = r.select("external_id", "page", "position", F.posexplode("attachments").alias("n", "a"))
-    files = files.groupBy("external_id", F.col("a.url").alias("url")).agg(F.min(F.struct("page", "position", "n", "a.filename")).alias("x"))
-    files = files.groupBy("external_id").agg(F.array_sort(F.collect_list(F.struct("x", "url"))).alias("xs")).select("external_id", F.transform("xs", lambda y: F.struct(y["x"]["filename"].alias("filename"), y["url"].alias("url"))).alias("attachments"))
-    merged = first.join(files, "external_id", "left").select("external_id", "f.*", "due_date", "attachments")
-    return normalized(merged, {n: F.col(n) for n in merged.columns if n in FIELDS})
+    rest = [c for c in r.columns if c not in ("page", "position", "due_date", "attachments", "external_id")]
+    links = r.select("external_id", *rest, "page", "position", "due_date", F.posexplode_outer("attachments").alias("n", "a"))
+    due = F.when(F.col("due_date").isNotNull(), F.struct("page", "position", "due_date"))
+    links = links.groupBy("external_id", F.col("a.url").alias("url")).agg(F.min(F.struct("page", "position", "n", "a.filename")).alias("x"), F.min_by(F.struct(*rest), place).alias("f"), F.min(place).alias("p"), F.min(due).alias("due"))
+    merged = links.groupBy("external_id").agg(F.min_by("f", "p").alias("f"), F.min("due").alias("due"), F.array_sort(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("x", "url")))).alias("xs"))
+    files = F.transform("xs", lambda y: F.struct(y["x"]["filename"].alias("filename"), y["url"].alias("url")))
+    merged = merged.select("external_id", "f.*", "due.due_date", F.when(F.size("xs") > 0, files).alias("attachments"))
+    return _normal(merged, {n: F.col(n) for n in merged.columns if n in FIELDS}).select(*FIELDS)
 
 
 def grid(payloads: DataFrame, key: str = "ok") -> DataFrame:

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import json
 
+import duckdb
+from pyspark.sql import functions as F
+
+from tenderloom.functions import scalars as fn
+from tenderloom.sources import markup as mk
 from tenderloom.sources import portals
 
 
@@ -12,3 +17,34 @@ def test_labels_are_read_below_the_explode(spark):
     lines = portals.REGISTRY["ky"](pages)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     explode = next(n for n, line in enumerate(lines) if "Generate" in line)
     assert all(n > explode for n, line in enumerate(lines) if "codedValuesList" in line)
+
+
+def test_ties_of_vector_literals_are_even(spark):
+    values = [n / 2**7 for n in range(-40, 41)] + [n / 2**24 for n in range(0, 2**24, 65537)] + [1e9 + 0.5, -0.0, 123456.78125, float("inf"), float("-inf"), float("nan")]
+    mine = spark.createDataFrame([(values,)], "v array<float>").select(fn.vector_literal(F.col("v"))).first()[0]
+    theirs = duckdb.execute("SELECT '[' || array_to_string(list_transform(?::FLOAT[], lambda x: printf('%.6f', x::DOUBLE)), ',') || ']'", [values]).fetchone()[0]
+    assert mine == theirs
+
+
+def test_parts_of_a_page_are_trees_of_their_own(spark):
+    rows = "".join(f"<tr><td>{n}</td><td><a href='/{n}'>é {n}</a></td></tr>" for n in range(60))
+    pages = spark.createDataFrame([(0, f"<title>A page</title><p>before</p><table class='bid'>{rows}</table>")], "page int, payload string")
+    parts = mk.parts(pages, ("tr",), lambda e: "bid" if e["classes"] == "bid" else None)
+    got = parts.select("position", "head", F.size("nodes").alias("n"), F.length("words").alias("w"), mk.text(mk.node(F.lit(3))).alias("link"), F.col("around")[0]["place"].alias("place"), mk.inside("bid", 0).alias("inside")).collect()
+    assert [tuple(r) for r in got] == [(n, "A page", 4, len(f"{n}é {n}"), f"é {n}", n, True) for n in range(60)]
+
+
+def test_plain_pages_are_read_as_others():
+    class Slow(mk.Tree):
+        def _plain(self, page):
+            return False
+
+    pages = [
+        "<TABLE Class='bid x'><tr><td>a &amp; b<br/>c<td title=\"1 > 0\" hidden>d &lt;e</table>tail &nbsp;", "<p>one<p id='h'>two <b>deep</b></p></div><ul><li>x<li><a href='?a=1&amp;b=2&copy=3'>y</a></ul>", "no tags & none", "",
+        "<a href='x' href='z'>t</a><img src='i'/><dl><dt>h<dd><p>q</p></dl>", "<a href=bare>1 < 2</a>", "<!-- <p> --><p>z</p>", "<script>'<p>'</script><p>w", "<title><b></title><p>v", "<td class='x'\n id = 'q'>s</td >", "<p\u00a0x='1'>r</p>", "a<br",
+    ]
+    for page in pages:
+        for hidden in (frozenset(), frozenset("h")):
+            fast, slow = mk.Tree(page, hidden), Slow(page, hidden)
+            assert fast.elements == slow.elements and "".join(fast.parts) == "".join(slow.parts), page
+    assert sum(mk.Tree(p)._plain(p) for p in pages) >= 5
