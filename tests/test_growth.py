@@ -48,3 +48,10 @@ def test_plain_pages_are_read_as_others():
             fast, slow = mk.Tree(page, hidden), Slow(page, hidden)
             assert fast.elements == slow.elements and "".join(fast.parts) == "".join(slow.parts), page
     assert sum(mk.Tree(p)._plain(p) for p in pages) >= 5
+
+
+def test_cleaned_text_is_as_with_every_run_replaced(spark):
+    runs = ["", " ", "  ", "\t", " \n", "\n ", " ", "   ", " 　", "\x1c", "​", " \t \r\n "]
+    rows = [(f"{a}x{b}y z{c}",) for a in runs for b in runs for c in runs] + [(None,), ("",), ("   ",)]
+    got = spark.createDataFrame(rows, "t string").select(fn.clean(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("b"))
+    assert got.where("not a <=> b").isEmpty()
