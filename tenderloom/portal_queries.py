@@ -278,12 +278,13 @@ def register(query: Callable) -> None:
     def _(v):
         """Pages of two portals and an older crawl's, read by the data source: one portal, up to its first short page."""
         record = F.struct(F.col("id").alias("eventId"), F.when(F.col("id") % 3 > 0, F.concat(ID, text("-RFQ"))).alias("id"), F.col(TITLE).alias("eventName"), F.struct(F.concat(text("https://sd.example/"), F.col("id").cast("string")).alias("description")).alias("status"))
-        pages = _json_pages(_rows(v), "data", record)
         # behind an empty page an earlier crawl has left some
-        end = (pages.agg(F.max("page")).first()[0] or 0) + 1
-        old = pages.select((F.col("page") + end + 1).alias("page"), F.replace("payload", text('"eventName":"'), text('"eventName":"old ')).alias("payload")).unionByName(v.spark.createDataFrame([(end, '{"data":[]}')], pages.schema))
+        end = (_rows(v).agg(F.max("page")).first()[0] or 0) + 1
+        kinds = (text("sd"), F.col("page"), F.col("payload")), (text("sd"), F.col("page") + end + 1, F.replace("payload", text('"eventName":"'), text('"eventName":"old '))), (text("wv"), F.col("page"), F.col("payload"))
+        # the pages are made once and written in all three ways
+        pages = _json_pages(_rows(v), "data", record).select(F.inline(F.array(*(F.struct(k.alias("key"), n.alias("page"), p.alias("payload")) for k, n, p in kinds))))
         folder = new_folder(v.spark, "pages")
-        saved.save(pages.unionByName(old).select(text("sd").alias("key"), "page", "payload").unionByName(pages.select(text("wv").alias("key"), "page", "payload")), folder)
+        saved.save(pages.unionByName(v.spark.createDataFrame([("sd", end, '{"data":[]}')], pages.schema)), folder, per_file=PAGE)
         count = F.size(F.from_json(F.get_json_object("payload", "$.data"), "array<struct<eventId:string>>"))
         found = portals.sd(saved.whole(saved.load(v.spark, folder).where("key = 'sd'"), count, 1))
         return found.select("external_id", "title", F.col("status_on_site").alias("about"))

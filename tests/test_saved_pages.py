@@ -47,3 +47,22 @@ def test_dialects_read_the_source_as_they_read_a_table(spark, folder):
     plain = spark.createDataFrame([r for r in rows if r[0] == "sd" and r[1] < 3], saved.SCHEMA)
     found = sorted(map(str, portals.sd(mine).collect()))
     assert found == sorted(map(str, portals.sd(plain).collect())) and len(found) == 5
+
+
+@pytest.mark.parametrize("condition", ["key = 'sd'", "page = 3", "page in (1, 9)", "page > 3 and page < 9", "page >= 4 and page <= 5", "key = 'sd' and page < 1", "page > 40", "payload like '%é%'"])
+def test_pages_saved_in_runs_are_read_as_pages_of_their_own(spark, condition):
+    rows = [(k, n, f'{k} {n}\n"é"\u2028 \\ ') for k in ("sd", "x") for n in range(10)] + [("x", 10, "")]
+    path = tempfile.mkdtemp(prefix="spark-") + "/pages"
+    saved.save(spark.createDataFrame(rows, saved.SCHEMA), path, per_file=4)
+    df = saved.load(spark, path)
+    assert df.rdd.getNumPartitions() == 6 and sorted(map(tuple, df.collect())) == rows
+    assert sorted(map(tuple, df.where(condition).collect())) == sorted(map(tuple, spark.createDataFrame(rows, saved.SCHEMA).where(condition).collect()))
+
+
+def test_many_files_are_few_partitions(spark, folder, monkeypatch):
+    path, rows = folder
+    monkeypatch.setattr(saved, "SINGLE", 2)
+    reader = saved.SavedPagesReader(path)
+    parts = reader.partitions()
+    assert len(parts) <= 4 and sorted((f.key, f.first) for p in parts for f in p.files) == sorted(r[:2] for r in rows)
+    assert sorted(tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()) == sorted(rows)
