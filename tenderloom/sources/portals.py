@@ -188,14 +188,20 @@ def wv(payloads: DataFrame) -> DataFrame:
 
 
 def text_of(html: Column) -> Column:
-    return fn.clean(fn.html_to_text(html))
+    # without tags and entities only white space is to be made single, which is what cleaning does
+    return F.when(F.rlike(html, F.lit("[<&]")), fn.clean(fn.html_to_text(html))).otherwise(fn.clean(html))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns that are evaluated once a row: filters on them stay above, where those on a projection's columns would evaluate them again below."""
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def table_rows(payloads: DataFrame, payload: Column | None = None) -> DataFrame:
     """(page, position, row, cells, links) of every table row that has cells; cells are HTML."""
     body = F.col("payload") if payload is None else payload
     rows = payloads.select("page", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<tr\b([^>]*>.*?)</tr>"), F.lit(1))).alias("position", "row"))
-    rows = rows.withColumn("cells", F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)))
+    rows = once(rows, cells=F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)))
     return rows.where(F.size("cells") > 0).withColumn("links", _anchors(F.col("row")))
 
 
@@ -228,9 +234,11 @@ LAYOUTS = {
 
 def table(payloads: DataFrame, layout: Layout, agency: Column | None = None) -> DataFrame:
     """A portal of one row a record; a date cell with two dates has the posted and the due one."""
-    # cells become text once, whatever fields are taken from them
-    rows = table_rows(payloads).where(F.size("cells") >= layout.least).withColumn("texts", F.transform("cells", text_of))
-    cell = lambda i: F.try_element_at("texts", F.lit(i + 1 if i >= 0 else i))
+    # the cells that fields are taken from become text once
+    taken = [i for i in dict.fromkeys((layout.external_id, layout.title, layout.agency, layout.posted, layout.due, layout.status)) if i is not None]
+    cells = F.array(*(F.try_element_at("cells", F.lit(i + 1 if i >= 0 else i)) for i in taken))
+    rows = once(table_rows(payloads).where(F.size("cells") >= layout.least), texts=F.transform(cells, text_of))
+    cell = lambda i: F.get("texts", F.lit(taken.index(i)))
     dates = lambda i: fn.find_dates(cell(i))
     due = None if layout.due is None else F.get(dates(layout.due), F.lit(1 if layout.due == layout.posted else 0))
     fields = {"external_id": cell(layout.external_id), "title": cell(layout.title), "attachments": F.filter("links", lambda a: F.coalesce(F.rlike(a["url"], F.lit(fn.DISCOVERABLE)), F.lit(False)))}
@@ -465,11 +473,17 @@ def grid(payloads: DataFrame, key: str = "ok") -> DataFrame:
     return normalized(rows, {"external_id": F.col("id"), "title": F.col("title"), "agency": F.col("agency"), "category": F.col("type"), "posted_date": fn.us_date(F.col("from")), "due_date": fn.us_date(F.col("to")), "detail_url": F.lit(OK_LIST) if key == "ok" else F.lit(None), "status_on_site": F.lit("Posted")})
 
 
+#: The labels of a record's fields.
+MT_LABELS = ("Number", "Type", "Open", "Close")
+
+
 def mt(payloads: DataFrame) -> DataFrame:
     """Rows of label and value pairs; the first value of a label counts."""
-    rows = table_rows(payloads)
     pairs = F.regexp_extract_all("row", F.lit(r"(?is)(<(?:dt|th|label|b|strong)\b[^>]*>[^<]*</(?:dt|th|label|b|strong)>\s*(?:<[^>]*>\s*)*[^<]+)"), F.lit(1))
-    label = lambda name: F.nullif(text_of(F.regexp_replace(F.get(F.filter(pairs, lambda p: F.startswith(F.lower(text_of(p)), F.lit(name.lower()))), F.lit(0)), r"(?is)^.*?</(?:dt|th|label|b|strong)>", "")), F.lit(""))
+    rows = once(table_rows(payloads), pairs=F.transform(pairs, lambda p: F.struct(F.lower(text_of(p)).alias("k"), p.alias("p"))))
+    first = lambda name: F.get(F.filter("pairs", lambda x: F.startswith(x["k"], F.lit(name.lower()))), F.lit(0))["p"]
+    rows = once(rows, labels=F.transform(F.array(*map(first, MT_LABELS)), lambda p: text_of(F.regexp_replace(p, r"(?is)^.*?</(?:dt|th|label|b|strong)>", ""))))
+    label = lambda name: F.nullif(F.get("labels", F.lit(MT_LABELS.index(name))), F.lit(""))
     zone = lambda name: F.when(F.rlike(label(name), F.lit("MST")), fn.MOUNTAIN_STANDARD).otherwise(fn.MOUNTAIN_DAYLIGHT)
     return normalized(rows, {"external_id": label("Number"), "title": F.get("links.filename", F.lit(0)), "agency": F.lit("State of Montana"), "category": label("Type"), "posted_date": fn.us_date(label("Open"), zone("Open")), "due_date": fn.us_date(label("Close"), zone("Close")), "status_on_site": F.lit("Open")})
 

@@ -55,3 +55,28 @@ def test_cleaned_text_is_as_with_every_run_replaced(spark):
     rows = [(f"{a}x{b}y z{c}",) for a in runs for b in runs for c in runs] + [(None,), ("",), ("   ",)]
     got = spark.createDataFrame(rows, "t string").select(fn.clean(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("b"))
     assert got.where("not a <=> b").isEmpty()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_become_text_once(spark):
+    pages = spark.createDataFrame([(0, "<table></table>")], "page int, payload string")
+    for key in ("ma", "ar", "mt"):
+        tags = _plan(portals.REGISTRY[key](pages)).count("<[^>]*>, ,")
+        assert tags <= (3 if key == "mt" else 2), (key, tags)
+
+
+def test_a_date_is_searched_once(spark):
+    rows = spark.createDataFrame([("due 1/31/96, 12:05 a.m. or 2/1/97",), ("13/1/1996",), ("",), (None,)], "t string")
+    dates = rows.select(fn.us_date(F.col("t")).cast("string").alias("d"))
+    assert [r[0] for r in dates.collect()] == ["2096-01-31 05:05:00", None, None, None]
+    assert _plan(rows.select(fn.us_date(F.col("t")).alias("d"))).count(r"(\d{1,2})/(\d{1,2})/") == 2
+
+
+def test_text_without_tags_is_as_with_the_whole_reading(spark):
+    parts = ["", " ", "a", "\n", " \n \n", "\t", "<b>", "</p>", "&amp;", "<", ">", "\u00a0", "&nbsp;"]
+    rows = [(x + "q" + y + z,) for x in parts for y in parts for z in parts] + [(None,)] + [(x + y,) for x in parts for y in parts]
+    got = spark.createDataFrame(rows, "t string").select(portals.text_of(F.col("t")).alias("a"), fn.clean(fn.html_to_text(F.col("t"))).alias("b"))
+    assert got.where("not a <=> b").isEmpty()
