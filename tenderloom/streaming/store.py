@@ -3,6 +3,7 @@
     base/through=<n>/_source=<s>/bucket=<b>   the state after batch n, by source and hash of the key
     bases/through=<n>                         that this base is whole
     begun/batch=<n>                           the time of batch n, written first
+    taken/batch=<n>                           its rows, one a key: all else reads these, so the batch itself is evaluated once
     staged/batch=<n>                          its keys, classified against the state before
     <table>/batch=<n>                         opportunities (changed rows only), versions, log, attachments, notifications, counts
     commits/batch=<n>                         its counters, written last
@@ -78,7 +79,8 @@ def create(store: Store, stored: DataFrame) -> None:
     """A store whose state before batch 0 is ``stored``, with keys, ``version_no`` (the last), status, dates and content_hash."""
     rows = stored if "version_no" in stored.columns else stored.withColumn("version_no", F.lit(1))
     _write_base(rows, store, -1)
-    _write(_summed(_counted(rows, store, 1)), f"{store.root}/counts/batch=-1")
+    base = rows.sparkSession.read.parquet(f"{store.root}/base/through=-1")
+    _write(_summed(_counted(base, store, 1)), f"{store.root}/counts/batch=-1")
     _write(rows.sparkSession.createDataFrame([(0, 0, 0, 0)], "items_found bigint, new_count bigint, changed_count bigint, closed_count bigint"), f"{store.root}/commits/batch=-1")
 
 
@@ -162,9 +164,11 @@ def apply(spark: SparkSession, store: Store, batch: DataFrame, number: int, as_o
         return False
     at = F.lit(_begun(spark, store, number, as_of))
     snapshot = _unique(batch.select("*", *(F.lit(None).cast(k).alias(c) for c, k in SEEN.items() if c not in batch.columns)))
-    near = snapshot.select(F.col("source_id").cast("string").alias("s"), _bucket(store).alias("b")).distinct()
-    sources = [r[0] for r in near.select("s").distinct().collect()]
-    buckets = None if complete else [r[0] for r in near.select("b").distinct().collect()]
+    _write(snapshot, f"{store.root}/taken/batch={number}")
+    snapshot = spark.read.schema(snapshot.schema).parquet(f"{store.root}/taken/batch={number}")
+    near = snapshot.select(F.col("source_id").cast("string").alias("s"), _bucket(store).alias("b")).distinct().collect()
+    sources = sorted({r["s"] for r in near if r["s"] is not None})
+    buckets = None if complete else sorted({r["b"] for r in near})
     stored = state(spark, store, sources, buckets)
     if not complete:
         stored = stored.join(snapshot.select(*cdc.KEY), cdc.KEY, "left_semi")

@@ -144,3 +144,16 @@ def test_streamed_crawl(spark, clean):
         crawl.follow(spark, f"{folder}/in", spark.createDataFrame([], SEEN).schema, s, f"{folder}/check", NOW + timedelta(hours=b), on_batch=numbers.append).awaitTermination(120)
     assert numbers == [0, 1, 2]
     assert everything(spark, s) == clean
+
+
+def test_a_batch_is_evaluated_once(spark):
+    s = fresh(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(batch_rows(0), SEEN)
+    assert store.apply(spark, s, rows.mapInArrow(told, rows.schema), 0, NOW) and seen.value == len(batch_rows(0))
