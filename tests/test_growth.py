@@ -7,6 +7,7 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
+from tenderloom import catalogue
 from tenderloom.functions import scalars as fn
 from tenderloom.sources import markup as mk
 from tenderloom.sources import portals
@@ -80,3 +81,7 @@ def test_text_without_tags_is_as_with_the_whole_reading(spark):
     rows = [(x + "q" + y + z,) for x in parts for y in parts for z in parts] + [(None,)] + [(x + y,) for x in parts for y in parts]
     got = spark.createDataFrame(rows, "t string").select(portals.text_of(F.col("t")).alias("a"), fn.clean(fn.html_to_text(F.col("t"))).alias("b"))
     assert got.where("not a <=> b").isEmpty()
+
+
+def test_first_of_each_needs_no_set_of_all_rows(spark):
+    assert "Aggregate" not in _plan(catalogue.QUERIES["dedupe_first_wins"](spark, "/root/testdata/sf0.001"))
