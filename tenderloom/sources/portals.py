@@ -464,12 +464,32 @@ def ms(payloads: DataFrame) -> DataFrame:
 
 
 def grid(payloads: DataFrame, key: str = "ok") -> DataFrame:
-    """The grids of ``ks`` and ``ok``: spans named FIELD$N are the fields of row N."""
+    """The grids of ``ks`` and ``ok``: spans named FIELD$N are the fields of row N of their page.
+
+    A page's spans are put together in its own row: after sorting those of a
+    row stand side by side, so a task holds a page's spans, not its share of all.
+    """
     named = r"""(?i)\bid\s*=\s*["']([^"']+)\$(\d+)["']"""
-    spans = payloads.select("page", F.explode(F.regexp_extract_all("payload", F.lit(r"""(?is)(<span\b[^>]*\bid\s*=\s*["'][^"']+\$\d+["'][^>]*>.*?</span>)"""), F.lit(1))).alias("s"))
-    parts = spans.select("page", F.regexp_extract("s", named, 1).alias("f"), F.regexp_extract("s", named, 2).cast("int").alias("position"), text_of(F.col("s")).alias("x"))
+    # a span of plain text is read by one pattern; what it does not match stays and begins with "<"
+    plain = r"""(?is)^<span\b[^<>\x01]*?\bid\s*=\s*["']([^"'<>\x01]+)\$(\d+)["'][^<>]*>([^<&]*)</span>$"""
+    found = F.regexp_extract_all("payload", F.lit(r"""(?is)(<span\b[^>]*\bid\s*=\s*["'][^"']+\$\d+["'][^>]*>.*?</span>)"""), F.lit(1))
+    cut = F.transform(found, lambda s: F.struct(s.alias("s"), F.split(F.regexp_replace(s, plain, "$1\u0001$2\u0001$3"), "\u0001", 3).alias("p")))
+
+    def span(y: Column) -> Column:
+        odd, s, part = F.startswith(y["p"][0], F.lit("<")), y["s"], lambda i: F.get(y["p"], F.lit(i))
+        return F.struct(
+            F.when(odd, F.regexp_extract(s, named, 2)).otherwise(part(1)).cast("int").alias("position"), F.when(odd, F.regexp_extract(s, named, 1)).otherwise(part(0)).alias("f"),
+            F.when(odd, text_of(s)).otherwise(fn.clean(part(2))).alias("x"),
+        )
+
+    rows = once(payloads.select("page", "payload"), spans=F.sort_array(F.transform(cut, span))).where(F.size("spans") > 0)
+    at = lambda i: F.get("spans", i)["position"]
+    rows = once(rows.select("page", "spans"), starts=F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))))
+    records = F.transform("starts", lambda b, k: F.slice("spans", b + 1, F.coalesce(F.get("starts", k + 1), F.size("spans")) - b))
+    rows = rows.select("page", F.explode(records).alias("r"))
     names = {"id": "SCP_PUB_AUC_VW_AUC_ID", "title": "SCP_PUB_AUC_VW_AUC_NAME", "agency": "BUS_UNIT_AUC_VW_DESCR", "type": "SCP_PUB_AUC_VW_AUC_TYPE", "from": "SCP_COSP_WK_FL_SCP_STRT_DATE_CHAR", "to": "SCP_COSP_WK_FL_SCP_END_DATE_CHAR"}
-    rows = parts.groupBy("page", "position").agg(*(F.max(F.when(F.col("f") == field, F.col("x"))).alias(n) for n, field in names.items()))
+    value = lambda field: F.array_max(F.transform(F.filter("r", lambda y: y["f"] == field), lambda y: y["x"]))
+    rows = once(rows, position=F.get("r", F.lit(0))["position"], **{n: value(field) for n, field in names.items()}).drop("r")
     return normalized(rows, {"external_id": F.col("id"), "title": F.col("title"), "agency": F.col("agency"), "category": F.col("type"), "posted_date": fn.us_date(F.col("from")), "due_date": fn.us_date(F.col("to")), "detail_url": F.lit(OK_LIST) if key == "ok" else F.lit(None), "status_on_site": F.lit("Posted")})
 
 
@@ -514,24 +534,30 @@ def tx_details(payloads: DataFrame, origin: str) -> DataFrame:
     return d.select("external_id", F.col("external_id").alias("echoed"), text.alias("description"), F.when(value > 0, value).alias("estimated_value"), F.when(F.size(files) > 0, files).alias("attachments"))
 
 
-def _panel_field(name: str, tag: str = "span") -> Column:
-    """The text of the first element whose id begins with ``name``."""
-    return F.nullif(text_of(F.regexp_extract("payload", rf"""(?is)<{tag}\b[^>]*\bid\s*=\s*["']{name}[^"']*["'][^>]*>(.*?)</{tag}>""", 1)), F.lit(""))
+def _panel(payloads: DataFrame, **fields: tuple[str, str]) -> DataFrame:
+    """(external_id, the fields): the text of the first element with the tag whose id begins with the name, null if it has none.
+
+    Elements and texts are made once: the filter on the echoed id would look for them again, below the joins even.
+    """
+    first = lambda name, tag: F.regexp_extract("payload", rf"""(?is)<{tag}\b[^>]*\bid\s*=\s*["']{name}[^"']*["'][^>]*>(.*?)</{tag}>""", 1)
+    rows = once(payloads.select("external_id", "payload"), **{f"_{n}": first(*f) for n, f in fields.items()})
+    rows = once(rows.drop("payload"), **{n: text_of(F.col(f"_{n}")) for n in fields})
+    return rows.select("external_id", *(F.nullif(n, F.lit("")).alias(n) for n in fields))
 
 
 def ks_details(payloads: DataFrame) -> DataFrame:
     """payloads: (external_id, payload), an HTML page each, which names its id."""
-    line, long = _panel_field("KS_AUC_LN_VW_DESCR254_MIXED"), _panel_field("KS_AUCDTL_VW_DESCRLONG", "textarea")
-    text = F.nullif(fn.trim_description(F.concat_ws(" — ", long, line)), F.lit(""))
-    return payloads.select("external_id", _panel_field(r"KS_AUCDTL_VW_AUC_ID\$0").alias("echoed"), text.alias("description"), line.alias("category"), _panel_field(r"KS_AUCDTL_VW_AUC_STATUS\$0").alias("status_on_site"))
+    d = _panel(payloads, echoed=(r"KS_AUCDTL_VW_AUC_ID\$0", "span"), long=("KS_AUCDTL_VW_DESCRLONG", "textarea"), category=("KS_AUC_LN_VW_DESCR254_MIXED", "span"), status_on_site=(r"KS_AUCDTL_VW_AUC_STATUS\$0", "span"))
+    text = F.nullif(fn.trim_description(F.concat_ws(" — ", "long", "category")), F.lit(""))
+    return d.select("external_id", "echoed", text.alias("description"), "category", "status_on_site")
 
 
 def ok_details(payloads: DataFrame) -> DataFrame:
     """payloads: (external_id, payload), partial pages whose markup is in CDATA sections, which name their id."""
     bare = F.regexp_replace("payload", r"(?s)<GENSCRIPT.*?</GENSCRIPT>", "")
-    pages = payloads.select("external_id", F.regexp_replace(bare, r"<!\[CDATA\[|\]\]>", "").alias("payload"))
-    text = F.nullif(fn.trim_description(_panel_field("SCP_P_AUCDTL_VW_DESCRLONG", "textarea")), F.lit(""))
-    return pages.select("external_id", _panel_field(r"SCP_P_AUCDTL_VW_AUC_ID\$").alias("echoed"), text.alias("description"), _panel_field(r"SCP_P_AUCDTL_VW_AUC_STATUS\$").alias("status_on_site"))
+    pages = once(payloads.select("external_id", "payload"), page=F.regexp_replace(bare, r"<!\[CDATA\[|\]\]>", ""))
+    d = _panel(pages.select("external_id", F.col("page").alias("payload")), echoed=(r"SCP_P_AUCDTL_VW_AUC_ID\$", "span"), long=("SCP_P_AUCDTL_VW_DESCRLONG", "textarea"), status_on_site=(r"SCP_P_AUCDTL_VW_AUC_STATUS\$", "span"))
+    return d.select("external_id", "echoed", F.nullif(fn.trim_description(F.col("long")), F.lit("")).alias("description"), "status_on_site")
 
 
 def phx_details(payloads: DataFrame) -> DataFrame:

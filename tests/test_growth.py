@@ -85,3 +85,27 @@ def test_text_without_tags_is_as_with_the_whole_reading(spark):
 
 def test_first_of_each_needs_no_set_of_all_rows(spark):
     assert "Aggregate" not in _plan(catalogue.QUERIES["dedupe_first_wins"](spark, "/root/testdata/sf0.001"))
+
+
+def test_spans_of_a_page_are_put_together_in_its_row(spark):
+    pages = spark.createDataFrame([(0, "")], "page int, payload string")
+    assert "Aggregate" not in _plan(portals.REGISTRY["ok"](pages))
+
+
+def test_spans_are_read_as_by_the_whole_reading(spark):
+    span = lambda f, n, x, more="": f"<SPAN {more} id = \"{f}${n}\" >{x}</span>"
+    ident, title, to = "SCP_PUB_AUC_VW_AUC_ID", "SCP_PUB_AUC_VW_AUC_NAME", "SCP_COSP_WK_FL_SCP_END_DATE_CHAR"
+    first = span(ident, 10, " A \n 1\u00a0") + span(title, 2, "<b>x</b>&amp;&nbsp;y") + span(ident, 2, "B") + span(title, 10, "one \u0001 two \u0001 three", "title='1 < 2'") + span(title, 10, "one")
+    second = span(ident, 0, "C") + span(title, 0, "", "data-id='SCP_PUB_AUC_VW_AUC_TYPE$0'") + span(to, 0, "1/31/1996 12:05 a.m. CDT") + span(title, 1, "no id") + span(ident, 2, "B") + "<span id='a>b$3'>odd</span><span id='X$4'>a > b</span>"
+    pages = spark.createDataFrame([(0, first), (1, second), (2, ""), (3, None), (4, "<span>no</span>")], "page int, payload string")
+    got = portals.REGISTRY["ok"](pages).select("external_id", "title", "category", F.col("due_date").cast("string"))
+    assert sorted(map(tuple, got.collect())) == [("A 1", "one \u0001 two \u0001 three", None, None), ("B", "x& y", None, None), ("C", "C", None, "1996-01-31 05:05:00")]
+
+
+def test_a_panel_is_read_once(spark):
+    pages = spark.createDataFrame([("1", "<PAGE><![CDATA[<span id='SCP_P_AUCDTL_VW_AUC_ID$0'> 1 </span>]]><![CDATA[<textarea id='SCP_P_AUCDTL_VW_DESCRLONG$0'>a &lt; b</textarea>]]></PAGE>"), ("2", "")], "external_id string, payload string")
+    records = spark.createDataFrame([("1", "x", "Posted"), ("2", "y", "Posted")], "external_id string, description string, status_on_site string")
+    found = portals.enriched(records, portals.ok_details(pages))
+    assert sorted(map(tuple, found.collect())) == [("1", "a < b", "Posted"), ("2", "y", "Posted")]
+    for name in ("VW_AUC_ID", "DESCRLONG", "AUC_STATUS"):
+        assert _plan(found).count(name) == 1
