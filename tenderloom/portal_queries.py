@@ -23,14 +23,19 @@ def _rows(v: Views) -> DataFrame:
     return v.opportunities.withColumn("page", F.floor(F.col("id") / PAGE).cast("int"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by page before any are gathered: gathering in the scan's tasks first sorts all of a task's rows there, as many as its split has."""
+    return rows.repartition("page")
+
+
 def _json_pages(rows: DataFrame, path: str, record: Column) -> DataFrame:
     body = F.collect_list(record)
-    return rows.groupBy("page").agg((F.to_json(F.struct(body.alias(path))) if path else F.to_json(body)).alias("payload"))
+    return _dealt(rows).groupBy("page").agg((F.to_json(F.struct(body.alias(path))) if path else F.to_json(body)).alias("payload"))
 
 
 def _html_pages(rows: DataFrame, line: Column) -> DataFrame:
     lines = F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"])
-    return rows.groupBy("page").agg(F.concat(F.lit("<html><table>"), F.array_join(lines, "\n"), F.lit("</table></html>")).alias("payload"))
+    return _dealt(rows).groupBy("page").agg(F.concat(F.lit("<html><table>"), F.array_join(lines, "\n"), F.lit("</table></html>")).alias("payload"))
 
 
 def _cells(*cells: Column) -> Column:
@@ -215,7 +220,7 @@ def register(query: Callable) -> None:
         body, kind = F.array_join(lines, "\n"), F.col("page") % 4
         folded = F.when(kind == 0, F.concat(text("<dt>Current Bids</dt><dd>"), body, text("</dd><dt>Completed</dt><dd><p>RFx# 9999999 - Old</p></dd>"))).otherwise(body)
         page = F.when(kind == 3, F.concat(text('<table class="tblwdt"><thead><tr><td>A</td><td>B</td><td>C</td></tr></thead><tbody>'), body, text("</tbody></table>"))).otherwise(F.concat(text('<dl class="ckeditor-accordion">'), folded, text("</dl>")))
-        return _whole(portals.ms(_rows(v).groupBy("page").agg(page.alias("payload"))))
+        return _whole(portals.ms(_dealt(_rows(v)).groupBy("page").agg(page.alias("payload"))))
 
     la_base = "https://wwwcfprd.doa.louisiana.gov/osp/lapac/"
 

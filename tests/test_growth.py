@@ -109,3 +109,14 @@ def test_a_panel_is_read_once(spark):
     assert sorted(map(tuple, found.collect())) == [("1", "a < b", "Posted"), ("2", "y", "Posted")]
     for name in ("VW_AUC_ID", "DESCRLONG", "AUC_STATUS"):
         assert _plan(found).count(name) == 1
+
+
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_pages_are_gathered_behind_their_exchange(spark):
+    lines = _nodes(catalogue.QUERIES["portal_ks_details"](spark, "/root/testdata/sf0.001"))
+    gathered = [n for n, line in enumerate(lines) if "collect_list" in line]
+    exchange = next(n for n, line in enumerate(lines) if "Exchange hashpartitioning(page" in line)
+    assert gathered and max(gathered) < exchange
