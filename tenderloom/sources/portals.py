@@ -138,16 +138,21 @@ def nc(payloads: DataFrame, names: dict[str, str] | None = None, untitled: str |
     """
     names = NC_ATTRIBUTES | (names or {})
     r = _json(payloads, "Records", "Id:string,Attributes:array<struct<Name:string,Value:variant,DisplayValue:string,FormattedValue:string>>")
-    named = lambda name: F.get(F.filter("r.Attributes", lambda a: a["Name"] == name), F.lit(0))
-    found = {field: named(name) for field, name in names.items()}
+    # each attribute is looked for once, and read once: what a field takes of it would look again
+    named = lambda name: F.get("r.Attributes", F.array_position("r.Attributes.Name", F.lit(name)).cast("int") - 1)
+    r = once(r.select("page", "position", "r"), **{f"a_{field}": named(name) for field, name in names.items()})
+    r = r.select("page", "position", F.col("r.Id").alias("Id"), *(f"a_{field}" for field in names))
     kind = lambda a: F.schema_of_variant(a["Value"])
     told = lambda a: F.when(kind(a) == "STRING", F.try_variant_get(a["Value"], "$", "string"))
     number = lambda a: F.when(F.rlike(kind(a), F.lit("^(BIGINT|DOUBLE|DECIMAL)")), F.try_variant_get(a["Value"], "$", "double").cast("bigint"))
-    shown = {field: F.coalesce(a["DisplayValue"], a["FormattedValue"], told(a)) for field, a in found.items()}
     date = lambda a: F.coalesce(fn.ms_date(told(a)), F.timestamp_millis(number(a)), fn.us_date(a["DisplayValue"], fn.EASTERN))
+    found = {field: F.col(f"a_{field}") for field in names}
+    dates = {field: date(found.pop(field)) for field in ("posted_date", "due_date")}
+    shown = {field: F.coalesce(a["DisplayValue"], a["FormattedValue"], told(a)) for field, a in found.items()}
+    r = once(r, **shown, **dates).select("page", "position", "Id", *shown, *dates)
     return normalized(r, {
-        "external_id": F.coalesce(_blank(shown["external_id"]), "r.Id"), "title": F.coalesce(_blank(shown["title"]), F.lit(untitled)), "agency": shown["agency"], "description": fn.trim_description(shown["description"]),
-        "posted_date": date(found["posted_date"]), "due_date": date(found["due_date"]), "detail_url": F.concat(F.lit("https://evp.nc.gov/solicitations/details/?id="), "r.Id"), "status_on_site": shown["status_on_site"],
+        "external_id": F.coalesce(_blank("external_id"), "Id"), "title": F.coalesce(_blank("title"), F.lit(untitled)), "agency": F.col("agency"), "description": fn.trim_description(F.col("description")),
+        "posted_date": F.col("posted_date"), "due_date": F.col("due_date"), "detail_url": F.concat(F.lit("https://evp.nc.gov/solicitations/details/?id="), "Id"), "status_on_site": F.col("status_on_site"),
     })
 
 

@@ -120,3 +120,13 @@ def test_pages_are_gathered_behind_their_exchange(spark):
     gathered = [n for n, line in enumerate(lines) if "collect_list" in line]
     exchange = next(n for n, line in enumerate(lines) if "Exchange hashpartitioning(page" in line)
     assert gathered and max(gathered) < exchange
+
+
+def test_attributes_are_looked_for_once(spark):
+    attributes = [{"Name": "evp_name", "Value": "first"}, {"Name": "evp_name", "Value": "second"}, {"Name": None, "Value": "x"}, {"Name": "evp_opendate", "Value": 86400000}]
+    pages = spark.createDataFrame([(0, json.dumps({"Records": [{"Id": "g1", "Attributes": attributes}, {"Id": "g2", "Attributes": None}, {"Id": "g3"}, {"Attributes": attributes}]}))], "page int, payload string")
+    found = portals.REGISTRY["nc"](pages)
+    got = found.select("external_id", "title", F.col("due_date").cast("string"))
+    assert sorted(map(tuple, got.collect())) == [("g1", "first", "1970-01-02 00:00:00"), ("g2", "g2", None), ("g3", "g3", None)]
+    plan = _plan(found)
+    assert all(plan.count(name) == 1 for name in portals.NC_ATTRIBUTES.values())
