@@ -9,13 +9,14 @@ out; of equal ids the first by page and position stays (the last for ``ma``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions import texts
 from . import markup as mk
 
 #: Addresses of the portals' pages, and what they call their owners.
@@ -41,18 +42,18 @@ FIELDS = {
 }
 
 
-def normalized(records: DataFrame, fields: dict[str, Column], *, last: bool = False) -> DataFrame:
-    """records: with page and position.  Blank texts are null; a missing title is the id."""
-    rows = _normal(records, fields, "page", "position")
+def normalized(records: DataFrame, fields: dict[str, Column], *, last: bool = False, clean: bool = False) -> DataFrame:
+    """records: with page and position.  Blank texts are null; a missing title is the id.  ``clean``: the texts are clean as they are."""
+    rows = _normal(records, fields, "page", "position", clean=clean)
     order = [F.desc("page"), F.desc("position")] if last else [F.col("page"), F.col("position")]
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("external_id").orderBy(*order))).where("_n = 1").select(*FIELDS)
 
 
-def _normal(records: DataFrame, fields: dict[str, Column], *more: str) -> DataFrame:
+def _normal(records: DataFrame, fields: dict[str, Column], *more: str, clean: bool = False) -> DataFrame:
     columns = []
     for name, kind in FIELDS.items():
         value = fields.get(name, F.lit(None))
-        columns.append((F.nullif(fn.clean(value), F.lit("")) if kind == "string" else value).cast(kind).alias(name))
+        columns.append((F.nullif(value if clean else fn.clean(value), F.lit("")) if kind == "string" else value).cast(kind).alias(name))
     return records.select(*more, *columns).where("external_id is not null").withColumn("title", F.coalesce("title", "external_id"))
 
 
@@ -333,16 +334,26 @@ def tn(payloads: DataFrame) -> DataFrame:
     return normalized(r, {"external_id": number, "title": F.coalesce(_blank("r.title"), first["filename"]), "category": F.when(F.col("page") % 2 == 0, "RFP").otherwise("ITB"), "posted_date": date(0), "due_date": date(1), "detail_url": first["url"], "status_on_site": F.lit("Open"), "attachments": F.slice("r.links", 2, F.size("r.links"))})
 
 
+def _pa_rows(page: str, *_: object) -> Iterator[tuple]:
+    """(position, clean cells, the link's text and address, posted, due) of the rows of the first grid that have eleven cells and the link."""
+    for position, marks, row in mk.table_rows(page, lambda e: "grid" if e["id"] == "ctl00_MainBody_grdResults" else None):
+        if ("grid", 0) in marks:
+            link = next(((a.get("href"), text) for a, text in row.links() if (a.get("id") or "").endswith("_HyperLink1")), None)
+            cells = row.cells() if link is not None else ()
+            if len(cells) >= 11:
+                cells = [texts.clean(c) for c in cells[:11]]
+                yield position, cells, texts.clean(link[1]), link[0] or "", texts.us_date(cells[7], fn.EASTERN), texts.us_date(cells[8], fn.EASTERN)
+
+
 def pa(payloads: DataFrame) -> DataFrame:
-    """Rows of the result grid that link to a solicitation."""
-    rows = mk.parts(payloads, ("tr",), lambda e: "grid" if e["id"] == "ctl00_MainBody_grdResults" else None).where(mk.inside("grid", 0))
-    rows = rows.withColumn("link", _first_with(mk.tagged(mk.below(mk.node(F.lit(0))), "a"), lambda a: F.endswith(a["id"], F.lit("_HyperLink1")))).where("link is not null")
-    made = F.struct(F.transform(mk.tagged(mk.below(mk.node(F.lit(0))), "td"), mk.text).alias("cells"), mk.text(F.col("link")).alias("named"), F.coalesce(F.col("link")["href"], F.lit("")).alias("href"))
-    r = rows.select("page", "position", made.alias("r")).where(F.size("r.cells") >= 11)
-    cell = lambda i: F.nullif(F.get("r.cells", F.lit(i)), F.lit(""))
-    sid = F.nullif(F.url_decode(F.regexp_extract("r.href", "(?i)SID=([^&]+)", 1)), F.lit(""))
-    page = F.coalesce(F.concat(F.lit("Solicitations.aspx?SID="), F.replace(F.url_encode(sid), F.lit("+"), F.lit("%20"))), F.col("r.href"))
-    return normalized(r, {"external_id": F.coalesce(cell(0), sid), "title": F.coalesce(cell(2), "r.named"), "agency": cell(4), "category": cell(1), "description": fn.trim_description(cell(3)), "posted_date": fn.us_date(cell(7), fn.EASTERN), "due_date": fn.us_date(cell(8), fn.EASTERN), "detail_url": fn.absolute(F.lit(PA_BASE), page), "status_on_site": F.coalesce(cell(10), F.lit("Open"))})
+    """Rows of the result grid that link to a solicitation; the reader gives clean texts, so they are not cleaned again."""
+    r = mk.records(payloads, _pa_rows, {"position": "int", "cells": "array<string>", "named": "string", "href": "string", "posted": "bigint", "due": "bigint"})
+    cell = lambda i: F.nullif(F.get("cells", F.lit(i)), F.lit(""))
+    r = once(r, sid=F.nullif(F.url_decode(F.regexp_extract("href", "(?i)SID=([^&]+)", 1)), F.lit("")))
+    r = once(r, number=F.coalesce(cell(0), F.nullif(fn.clean(F.col("sid")), F.lit(""))))
+    # a file of the base's own folder, for which nothing is to be resolved
+    own = F.concat(F.lit(f"{PA_BASE}Solicitations.aspx?SID="), F.replace(F.url_encode("sid"), F.lit("+"), F.lit("%20")))
+    return normalized(r, {"external_id": F.col("number"), "title": F.coalesce(cell(2), "named"), "agency": cell(4), "category": cell(1), "description": F.trim(F.substring(cell(3), 1, 4000)), "posted_date": F.timestamp_micros("posted"), "due_date": F.timestamp_micros("due"), "detail_url": F.when(F.col("sid").isNotNull(), own).otherwise(fn.clean(fn.absolute(F.lit(PA_BASE), F.col("href")))), "status_on_site": F.coalesce(cell(10), F.lit("Open"))}, clean=True)
 
 
 def wy(payloads: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderloom import catalogue
 from tenderloom.functions import scalars as fn
+from tenderloom.functions import texts
 from tenderloom.sources import markup as mk
 from tenderloom.sources import portals
 
@@ -137,3 +138,67 @@ def test_seconds_of_a_date_are_not_written_out(spark):
     dates = rows.select(fn.us_date(F.col("t"), F.lit(-240)).cast("string").alias("d"))
     assert [r[0] for r in dates.collect()] == ["2096-02-01 03:05:59", "1996-02-01 03:06:00", None, "9999-12-31 04:00:00"]
     assert "as double) as decimal" not in _plan(dates)
+
+
+def test_texts_are_as_the_columns_make_them(spark):
+    spaces = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c > 0]
+    rows = [f"a{c} {c}b{c}" for c in spaces] + ["", " ", "  x  y ", "\u00a0x\u00a0", "x"]
+    got = spark.createDataFrame([(r, texts.clean(r)) for r in rows], "t string, b string")
+    assert got.where(~fn.clean(F.col("t")).eqNullSafe(F.col("b"))).isEmpty()
+    days = ["1/31/96", "13/1/1996", "2/29/1996", "2/29/1997", "0/1/1996", "12/31/9999", "1/1/0099", "1/1/0100", "1/1/123", "11/2/33/4/1999", "", "x", "7/1/2026"]
+    times = ["", " 12:05 am", ", 12:05 P.M.", " 7:60", " 24:00", " 23:59:59", " 23:59:60 PM", " 11:05:61", "\u00a08:00", " 3:00PM CDT", " 13:00 pm", " 1:2"]
+    dates = [(a, texts.us_date(a, fn.EASTERN)) for a in (pre + d + t for pre in ("", "due ", "9") for d in days for t in times)]
+    got = spark.createDataFrame(dates, "t string, b bigint").withColumn("a", F.unix_micros(fn.us_date(F.col("t"), fn.EASTERN)))
+    assert got.where("not a <=> b").collect() == [] and sum(b is not None for _, b in dates) > 100
+
+
+PLAIN_ROWS = [
+    "<tr></tr>", "<tr class='a b'> \n<td></td> </tr>", "<tr><td>a &amp; b</td><td x=\"1 > 0\">c &lt;i&gt;</td></tr>", "<tr><td><a href='/x?a=1&amp;b=2' >t <b id=\"q\">u</b>&nbsp;v</a> w<br/>x<br>y</td></tr>",
+    "<tr><td><div class='c d'>one <a href='2' href='3'>two</a></div><span id='h'>hidden</span><a ID='z' HREF>three</a></td><td nowrap>\u00e9</td></tr>", "<tr><td><a><b>x</b>&copy=1</a>&ampx</td><td><i>a</i><i>b</i></td></tr>",
+]
+OTHER_ROWS = [
+    "<tr id='g'><td>a</td></tr>", "<TR><td>a</td></TR>", "<tr><td>a<td>b</tr>", "<tr><td><b>a<i>b</b></i></td></tr>", "<tr><td><table><tr><td>a</td></tr></table></td></tr>", "<tr><th>a</th></tr>", "<tr><td><a href=x>a</a></td></tr>", "<tr><td><p>a</p></td></tr>",
+    "<tr><td><span id='g'><b>a</b></span></td></tr>", "<tr><td><a id='g'><b>a</b></a></td></tr>", "<tr><td>a < b</td></tr>", "<tr><td title='<b>'>a</td></tr>", "<tr>x</tr>", "<tr><td>a</td>", "<tr><td><a href='1'><a href='2'>a</a></a></td></tr>", "<tr><td><a/>b</td></tr>",
+]
+
+
+def _read(row):
+    return row.cells(), [(a.get("id"), a.get("href"), t) for a, t in row.links()]
+
+
+def _all_by_tree(page, mark):
+    tree = mk.Tree(page)
+    words = "".join(tree.parts)
+    return [(n, frozenset((x["mark"], x["nth"]) for x in chain), _read(mk.TreeRow(tree, e["at"], words))) for e, chain, n in mk._walk(tree, words, ("tr",), mark)]
+
+
+def test_plain_rows_are_read_as_by_the_tree():
+    assert all(mk.PLAIN_ROW.fullmatch(r) for r in PLAIN_ROWS) and not any(mk.PLAIN_ROW.fullmatch(r) for r in OTHER_ROWS)
+    mark = lambda e: "grid" if e["id"] == "g" else None
+    pages = [f"<p>x<table id='g'>{a}\n{b}{c} </table>{a}<table id='g'>{c}" for a in PLAIN_ROWS for b in PLAIN_ROWS + OTHER_ROWS for c in PLAIN_ROWS]
+    pages += [f"<table id='g'><tr><td>outer {a}{b}</td></tr></table><table id='g'>{b}</table>" for a in PLAIN_ROWS + OTHER_ROWS for b in PLAIN_ROWS]
+    pages += [f"{a}<table id='g'>{b}</table>{c}" for a in ("", "<!-- ", "<script>", "<p title=\"", "<p title='", "<textarea>", "a < b", "\x01", "<tr><td>open") for b in PLAIN_ROWS for c in ("", " -->", "</script>", "\">", "'>", "</textarea>")]
+    for page in pages:
+        assert [(n, marks, _read(row)) for n, marks, row in mk.table_rows(page, mark)] == _all_by_tree(page, mark), page
+
+
+def test_plain_rows_are_no_elements():
+    class Counted(mk.Tree):
+        made = 0
+
+        def _end(self, depth):
+            super()._end(depth)
+            Counted.made = max(Counted.made, len(self.elements))
+
+    page = f"<table>{'<tr><td>a</td><td><a>b</a></td></tr> ' * 500}</table>"
+    tree, mk.Tree = mk.Tree, Counted
+    try:
+        assert len([r.cells() for _, _, r in mk.table_rows(page)]) == 500 and Counted.made < 5
+    finally:
+        mk.Tree = tree
+
+
+def test_rows_of_a_grid_come_as_texts(spark):
+    pages = spark.createDataFrame([(0, "")], "page int, payload string")
+    for key in ("pa",):
+        assert "nodes" not in _plan(portals.REGISTRY[key](pages)), key
