@@ -9,6 +9,7 @@ out; of equal ids the first by page and position stays (the last for ``ma``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -356,31 +357,78 @@ def pa(payloads: DataFrame) -> DataFrame:
     return normalized(r, {"external_id": F.col("number"), "title": F.coalesce(cell(2), "named"), "agency": cell(4), "category": cell(1), "description": F.trim(F.substring(cell(3), 1, 4000)), "posted_date": F.timestamp_micros("posted"), "due_date": F.timestamp_micros("due"), "detail_url": F.when(F.col("sid").isNotNull(), own).otherwise(fn.clean(fn.absolute(F.lit(PA_BASE), F.col("href")))), "status_on_site": F.coalesce(cell(10), F.lit("Open"))}, clean=True)
 
 
+_WY_OWNER = re.compile(r":\s*(.+?)\s+Home Page", re.A | re.I)
+_WY_ID = re.compile(r"bidId=(\d+)", re.A)
+_WY_KIND = re.compile(r"(.*?)#\s*(.+?)\s+-\s+", re.A)
+_WY_ASKED = re.compile(r"\bquestions?\b.*", re.A | re.I | re.S)
+_WY_DAY = re.compile(r"(.*?)([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})", re.A | re.S)
+_WY_TIME = re.compile(r"\d{1,2}:\d{2}\s*[ap]\.?\s*m", re.A | re.I)
+
+
+_WY_STANDARD = re.compile(r"\bMST\b", re.A)
+_WY_BLOCK = re.compile(r"(?:.*\s)?balloonstyle(?:\s.*)?", re.A | re.S)
+
+
+def _wy_rest(row: mk.TreeRow) -> str:
+    """The text of the first cell without the block that describes the bid."""
+    first = next((e for e in row.below if e["tag"] == "td" and e["parent"] == row.top["at"]), None)
+    block = next((e for e in row.tagged("div") if _WY_BLOCK.fullmatch(e["classes"] or "")), None)
+    if first is None:
+        return ""
+    stop, behind = (first["end"], first["end"]) if block is None else (block["begin"], block["end"])
+    return row.words[first["begin"] : max(stop, first["begin"])] + row.words[behind : max(first["end"], behind)]
+
+
+def _wy_deadline(about: str) -> int | None:
+    """The first day named behind the word question, at the first time that stands between."""
+    asked = _WY_ASKED.search(about)
+    day = asked and _WY_DAY.match(asked[0][:400])
+    if not day:
+        return None
+    time = _WY_TIME.search(day[1])
+    return texts.month_name_date(f"{day[2]} {time[0] if time else ''}", fn.MOUNTAIN_DAYLIGHT)
+
+
+def _wy_rows(page: str, *_: object) -> Iterator[tuple]:
+    """(position, number, address, the same from its root, title, owner, kind, about, posted, due, questions until, and the texts of these three if they are not ASCII)."""
+    head, rows = mk.script_rows(page)
+    owner = _WY_OWNER.search(texts.clean(head or ""))
+    owner = texts.clean(owner[1] if owner else "") or "State of Wyoming"
+    for position, row in enumerate(rows):
+        href, named = next(((a["href"], text) for a, text in row.links() if "bidId=" in (a.get("href") or "")), (None, ""))
+        number = href and _WY_ID.search(href)
+        title = number and (texts.clean(named) or texts.clean(_wy_rest(row.tree())))
+        if not title:
+            continue
+        about = texts.clean(next((text for a, text in row.blocks() if _WY_BLOCK.fullmatch(a.get("class") or "")), ""))
+        posted, due = (*map(texts.clean, row.cells(own=True)[1:3]), "", "")[:2]
+        kind = _WY_KIND.match(title)
+        zone = fn.MOUNTAIN_STANDARD if _WY_STANDARD.search(due) else fn.MOUNTAIN_DAYLIGHT
+        days = (texts.month_name_date(posted, fn.MOUNTAIN_DAYLIGHT) if posted.isascii() else None, texts.month_name_date(due, zone) if due.isascii() else None, _wy_deadline(about) if about.isascii() else None)
+        url = texts.rooted(WY_ORIGIN, href)
+        yield position, number[1], href, url and texts.clean(url), title, owner, texts.clean(kind[1]) if kind else None, about, *days, *(None if t.isascii() else t for t in (posted, due, about))
+
+
 def wy(payloads: DataFrame) -> DataFrame:
-    """Rows that a script writes; the description is a block in the title's cell, which the title goes without."""
-    rows = mk.parts(payloads, ("tr",), prepare=mk.scripted)
-    owner = F.nullif(F.regexp_extract(F.coalesce(fn.clean(F.col("head")), F.lit("")), r"(?i):\s*(.+?)\s+Home Page", 1), F.lit(""))
-    tr = mk.node(F.lit(0))
-    rows = rows.withColumns({
-        "cells": mk.children(tr, "td"), "link": _first_with(mk.tagged(mk.below(tr), "a"), lambda a: F.contains(a["href"], F.lit("bidId="))),
-        "block": _first_with(mk.tagged(mk.below(tr), "div"), lambda e: mk.has_class(e, "balloonstyle")),
-    })
-    first, block = F.get("cells", F.lit(0)), F.col("block")
-    rest = F.concat(F.substr(F.col("words"), first["begin"] + 1, F.coalesce(block["begin"], first["end"]) - first["begin"]), F.coalesce(F.substr(F.col("words"), block["end"] + 1, first["end"] - block["end"]), F.lit("")))
-    made = F.struct(F.col("link")["href"].alias("href"), F.coalesce(F.nullif(mk.text(F.col("link")), F.lit("")), fn.clean(rest)).alias("title"), mk.text(block).alias("about"), F.transform("cells", mk.text).alias("cells"))
-    r = rows.select("page", "position", F.coalesce(owner, F.lit("State of Wyoming")).alias("owner"), made.alias("r"))
+    """Rows that a script writes; the description is a block in the title's cell, which the title goes without.
+
+    The reader gives clean texts and the dates of texts in ASCII; other dates are read here.
+    """
+    kinds = "position:int number:string href:string url:string title:string owner:string kind:string about:string posted:bigint due:bigint asked:bigint posted_text:string due_text:string about_text:string"
+    r = mk.records(payloads, _wy_rows, dict(k.split(":") for k in kinds.split()))
     zone = lambda text: F.when(F.rlike(text, F.lit(r"\bMST\b")), fn.MOUNTAIN_STANDARD).otherwise(fn.MOUNTAIN_DAYLIGHT)
-    stamp = lambda text: fn.month_name_date(text, zone(text))
-    cell = lambda i: F.get("r.cells", F.lit(i))
-    asked = F.substring(F.regexp_extract("r.about", r"(?is)(\bquestions?\b.*)", 1), 1, 400)
+    named = lambda text: fn.month_name_date(F.col(text), zone(F.col(text)) if text == "due_text" else fn.MOUNTAIN_DAYLIGHT)
+    asked = F.substring(F.regexp_extract("about_text", r"(?is)(\bquestions?\b.*)", 1), 1, 400)
     day = F.regexp_extract(asked, r"(?s)^(.*?)([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})", 2)
     ahead = F.regexp_extract(asked, r"(?s)^(.*?)([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})", 1)
     time = F.regexp_extract(ahead, r"(?i)\d{1,2}:\d{2}\s*[ap]\.?\s*m", 0)
-    return normalized(r.where(_blank("r.title").isNotNull()), {
-        "external_id": F.nullif(F.regexp_extract("r.href", r"bidId=(\d+)", 1), F.lit("")), "title": F.col("r.title"), "agency": F.col("owner"), "category": F.regexp_extract("r.title", r"^(.*?)#\s*(.+?)\s+-\s+", 1),
-        "description": fn.trim_description(F.col("r.about")), "posted_date": fn.month_name_date(cell(1), fn.MOUNTAIN_DAYLIGHT), "due_date": stamp(cell(2)), "q_and_a_deadline": F.when(day != "", fn.month_name_date(F.concat_ws(" ", day, time), fn.MOUNTAIN_DAYLIGHT)),
-        "detail_url": fn.absolute(F.lit(WY_ORIGIN), F.col("r.href")), "status_on_site": F.lit("Open"),
-    })
+    deadline = F.when(day != "", fn.month_name_date(F.concat_ws(" ", day, time), fn.MOUNTAIN_DAYLIGHT))
+    told = lambda name, other: F.when(F.col(f"{name}_text").isNull(), F.timestamp_micros(name if name != "about" else "asked")).otherwise(other)
+    return normalized(r, {
+        "external_id": F.col("number"), "title": F.col("title"), "agency": F.col("owner"), "category": F.col("kind"), "description": F.trim(F.substring("about", 1, 4000)),
+        "posted_date": told("posted", named("posted_text")), "due_date": told("due", named("due_text")), "q_and_a_deadline": told("about", deadline),
+        "detail_url": F.coalesce("url", fn.clean(fn.absolute(F.lit(WY_ORIGIN), F.col("href")))), "status_on_site": F.lit("Open"),
+    }, clean=True)
 
 
 MS_RFX = r"(?i)RFx\s*#?\s*(\d{6,})\s*[-–—]+\s*(.+)"

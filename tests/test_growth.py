@@ -200,5 +200,43 @@ def test_plain_rows_are_no_elements():
 
 def test_rows_of_a_grid_come_as_texts(spark):
     pages = spark.createDataFrame([(0, "")], "page int, payload string")
-    for key in ("pa",):
+    for key in ("pa", "wy"):
         assert "nodes" not in _plan(portals.REGISTRY[key](pages)), key
+
+
+def test_named_months_and_addresses_are_as_the_columns_make_them(spark):
+    days = ["Jul 1, 2026", "july 31 2026", "Sept. 3, 1999", "feb 30, 2026", "Feb 29, 0000", "Dec 31, 9999", "xmay 1, 2026", "may_1, 2026", "Mayor 1, 2026", "Jun 1, 20", "", "1 may 1 2026"]
+    dates = [(a, texts.month_name_date(a, -360)) for a in (f"{x}{d}{t}" for x in ("", "on 9:00 p.m. ", "7:60 am ") for d in days for t in ("", " 8:00:00 AM MDT", " 12:05 a.m.", " 12:00 pm", " 13:00 p m", " 24:00 am", " 1:02:60 Am"))]
+    got = spark.createDataFrame(dates, "t string, b bigint").withColumn("a", F.unix_micros(fn.month_name_date(F.col("t"), -360)))
+    assert got.where("not a <=> b").collect() == [] and sum(b is not None for _, b in dates) > 50
+    hrefs = ["/", "/a", "/a/b/", "/a?x=./..#y", "/a#b?c", "//h/a", "/a//b", "/a/../b", "/./a", "a", "", "?a", "#a", "/a b?c d", "/a\n?b", "/a\u00e9", "http://x/y", "mailto:a", "/a:b", "/x?\ny"]
+    origin = "https://h.gov"
+    for base in (origin, f"{origin}/x/y.aspx"):
+        got = spark.createDataFrame([(h, texts.rooted(origin, h)) for h in hrefs], "h string, b string").withColumn("a", fn.absolute(F.lit(base), F.col("h")))
+        assert got.where("b is not null and not a <=> b").collect() == [] and got.where("b is not null").count() == 8
+
+
+def test_script_rows_are_read_as_by_the_tree(spark):
+    read = lambda row: (*_read(row), row.cells(own=True), list(map(_named_class, row.blocks())), portals._wy_rest(row.tree()))
+    _named_class = lambda b: (b[0].get("id"), b[0].get("class"), b[1])
+    mine = ["<td><a href=\\\"/b?bidId=1\\\">t<span id=\\\"d0\\\">no</span></a>' + tooltip + '</td><td>it\\'s &amp; b</td>", "<td>x<div id=\\\"d1\\\">no</div>y<div class=\\\"a balloonstyle\\\">z</div>w</td>", "<td title=\\\"<i id=\\'d0\\'>a</i>\\\">b</td>"]
+    mine += ["<td><div id=\\\"d0\\\"><b>no</b></div>c</td>", "<td><span id=\\\"d0\\\">open</td>", "<td>a</table>", "<!-- ", "-->", "<td><table><tr><td>in</td></tr></table></td>", "<td>a\\n\\\\b\\tc</td>"]
+    script = lambda *rows: "tooltip = '<div class=\\\"balloonstyle\\\">about</div>';" + "".join(f"$(\"tr_{n}\").update('{r}');" for n, r in enumerate(rows)) + 'action("d0", "d1");xaction("d2"); action( "d3" action("d4"'
+    titles = ["", "<title>a: Owner Home Page &amp; b</title>", "<TITLE>c</TITLE>", "<title x='</title>"]
+    for title in titles:
+        for a in mine:
+            for b in mine:
+                page = title + script(a, mine[0], mine[0], b, mine[1])
+                tree = mk.Tree(*mk.scripted(page))
+                words = "".join(tree.parts)
+                head, rows = mk.script_rows(page)
+                assert head == next((words[e["begin"] : e["end"]] for e in tree.elements if e["tag"] == "title"), None)
+                assert [read(r) for r in rows] == [read(mk.TreeRow(tree, e["at"], words)) for e in tree.elements if e["tag"] == "tr"], page
+
+
+def test_dates_in_other_letters_are_read_too(spark):
+    row = lambda n, about, posted, due: f"$(\"tr_{n}\").update('<td><a href=\\\"/b?bidId={n}\\\"></a>Rope {n}<div class=\\\"balloonstyle\\\">{about}</div></td><td>{posted}</td><td>{due}</td>');"
+    page = row(1, "\u00e9 Questions until 3:00 p.m. on July 15, 2026.", "\u00e9 Jul 1, 2026", "\u00e9 Jul 2, 2026 9:00 AM MST") + row(2, "Questions until July 15, 2026 3:00 p.m.", "", "Jul 2, 2026")
+    found = portals.wy(spark.createDataFrame([(0, page)], "page int, payload string"))
+    got = found.select("external_id", "title", F.col("posted_date").cast("string"), F.col("due_date").cast("string"), F.col("q_and_a_deadline").cast("string")).orderBy("external_id")
+    assert list(map(tuple, got.collect())) == [("1", "Rope 1", "2026-07-01", "2026-07-02 16:00:00", "2026-07-15 21:00:00"), ("2", "Rope 2", None, "2026-07-02 06:00:00", "2026-07-15 06:00:00")]
