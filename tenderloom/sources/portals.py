@@ -431,80 +431,105 @@ def wy(payloads: DataFrame) -> DataFrame:
     }, clean=True)
 
 
-MS_RFX = r"(?i)RFx\s*#?\s*(\d{6,})\s*[-–—]+\s*(.+)"
-
-
-def _ms(rows: DataFrame, external_id: Column, title: Column, agency: Column, category: Column, description: Column, due: Column, detail: Column, status: Column) -> DataFrame:
-    columns = {"external_id": external_id, "title": title, "agency": agency, "category": category, "description": description, "due_date": due.cast("timestamp"), "detail_url": detail, "status_on_site": status, "attachments": F.col("files")}
-    return rows.select("page", "position", *(c.alias(n) for n, c in columns.items()))
-
-
+MS_RFX = re.compile(r"RFx\s*#?\s*(\d{6,})\s*[-–—]+\s*(.+)", re.A | re.I)
+_MS_NUMBER = re.compile(r"\bRF[PQXI]\s*#?\s*(\d{6,})", re.A | re.I)
+MS_PAGES = (MS_HUB, MS_PURCHASING, MS_CONSTRUCTION, MS_LEASE)
+MS_ORIGIN = MS_HUB.rpartition("/")[0]
 MS_MARKS = {("dl", "ckeditor-accordion"): "folding", ("table", "tblwdt"): "leases"}
 
 
-def _ms_parts(payloads: DataFrame, shape: int, tag: str) -> DataFrame:
-    """The elements with the tag on pages of one shape, each with the sibling behind it."""
-    mark = lambda e: next((MS_MARKS[e["tag"], c] for c in (e["classes"] or "").split() if (e["tag"], c) in MS_MARKS), None)
-    mine = F.coalesce(F.col("page") % 4, F.lit(3)).isin(*((shape,) if shape < 3 else (3, -1, -2, -3)))
-    return mk.parts(payloads.where(mine), (tag,), mark, beside=True).withColumn("heading", mk.text(mk.node(F.lit(0))))
-
-
-def _first_url(files: Column, page: str) -> Column:
-    return F.coalesce(F.get(files, F.lit(0))["url"], F.lit(page))
+def _ms_mark(e: dict) -> str | None:
+    return next((MS_MARKS[e["tag"], c] for c in (e["classes"] or "").split() if (e["tag"], c) in MS_MARKS), None)
 
 
-def _ms_hub(payloads: DataFrame) -> DataFrame:
+def _ms_hub(page: str) -> Iterator[dict]:
     """Paragraphs "RFx# number - title", each with a list of files behind it, but for the panel of completed ones."""
-    panels = F.filter("around", lambda x, i: (x["tag"] == "dd") & (x["before"] == "dt") & (F.get("around", i - 1)["mark"] == "folding") & ~F.rlike(fn.clean(x["label"]), F.lit("(?i)completed")))
-    rows = _ms_parts(payloads, 0, "p").withColumns({"panel": fn.clean(F.get(panels, F.lit(0))["label"]), "files": mk.links(mk.following(mk.node(F.lit(0)), "ul", "ol"), MS_HUB)})
-    rows = rows.where(F.col("panel").isNotNull() & F.rlike("heading", F.lit(MS_RFX)))
-    number, name = (F.regexp_extract("heading", MS_RFX, i) for i in (1, 2))
-    status = fn.status_of_attachments(F.array_join(F.transform("files", lambda a: a["filename"]), " | "))
-    return _ms(rows, F.concat(F.lit("RFx-"), number), F.trim(name), F.lit("Mississippi Department of Finance and Administration"), F.col("panel"), fn.trim_description(name), F.lit(None), _first_url(F.col("files"), MS_HUB), status)
+    for position, around, p in mk.elements(page, "p", _ms_mark):
+        panels = (texts.clean(x["label"]) for above, x in zip(around, around[1:], strict=False) if x["tag"] == "dd" and x["before"] == "dt" and above["mark"] == "folding")
+        panel = next((label for label in panels if not re.search("completed", label, re.A | re.I)), None)
+        found = panel is not None and MS_RFX.search(texts.clean(p.text()))
+        if found:
+            below = p.following("ul", "ol")
+            yield {"position": position, "number": found[1], "title": found[2].strip(" "), "category": panel, "about": found[2], "links": below.links() if below else ()}
 
 
-def _ms_panels(payloads: DataFrame, shape: int, page: str) -> DataFrame:
-    """The headings of folding lists that have a body behind them, with its text and links; ``nth`` is the list's number."""
-    rows = _ms_parts(payloads, shape, "dt").withColumns({"list": F.try_element_at("around", F.lit(-1)), "body": mk.following(mk.node(F.lit(0)), "dd")})
-    rows = rows.where("list.mark = 'folding' and body is not null")
-    return rows.withColumns({"prose": mk.text(F.col("body")), "files": mk.links(F.col("body"), page)})
+def _ms_panels(page: str) -> Iterator[tuple[int, int, str, mk.TreeRow]]:
+    """(position, number of the list, heading, body) of the headings of folding lists that have a body behind them."""
+    for position, around, dt in mk.elements(page, "dt", _ms_mark):
+        body = dt.following("dd")
+        if around and around[-1]["mark"] == "folding" and body is not None:
+            yield position, around[-1]["nth"], texts.clean(dt.text()), body
 
 
-def _ms_purchasing(payloads: DataFrame) -> DataFrame:
+def _ms_purchasing(page: str) -> Iterator[dict]:
     """The heading is the title; number and deadline are in the prose of the body."""
-    number = F.nullif(F.regexp_extract("prose", r"(?i)\bRF[PQXI]\s*#?\s*(\d{6,})", 1), F.lit(""))
-    name = F.coalesce(F.concat(F.lit("RFx-"), number), F.concat(F.lit("MSPURCH-"), fn.slug_id(F.col("heading"))))
-    return _ms(_ms_panels(payloads, 1, MS_PURCHASING), name, F.col("heading"), F.lit("MS DFA Office of Purchasing, Travel and Fleet Management"), F.lit("Purchasing"), fn.trim_description(F.col("prose")), fn.prose_date(F.col("prose")), F.lit(MS_PURCHASING), F.lit("Open"))
+    for position, _, heading, body in _ms_panels(page):
+        about = texts.clean(body.text())
+        number = _MS_NUMBER.search(about) if about.isascii() else None
+        yield {
+            "position": position, "number": number and number[1], "slug": texts.slug_id(heading) if heading.isascii() else None, "title": heading, "about": about,
+            "due": texts.prose_date(about, fn.CENTRAL) if about.isascii() else None, "prose": None if about.isascii() else about, "links": body.links(),
+        }
 
 
-def _ms_construction(payloads: DataFrame) -> DataFrame:
+def _ms_construction(page: str) -> Iterator[dict]:
     """Of the first list only: items "label: value" are the fields, the last of a label counts."""
-
-    def item(li: Column) -> Column:
-        label = F.regexp_replace(mk.text(_first_with(mk.below(li), lambda e: e["tag"] == "span")), ":$", "")
-        return F.struct(F.lower(label).alias("k"), fn.clean(F.regexp_replace(F.substr(mk.text(li), F.length(label) + 2), r"^[:\s]+", "")).alias("v"))
-
-    rows = _ms_panels(payloads, 2, MS_CONSTRUCTION).where("list.nth = 0").withColumn("fields", F.transform(mk.tagged(mk.below(F.col("body")), "li"), item))
-    get = lambda name: F.nullif(F.try_element_at(F.filter("fields", lambda x: x["k"] == name), F.lit(-1))["v"], F.lit(""))
-    names = {"f_rfx": F.coalesce(get("rfx#"), get("rfx")), "f_gs": get("gs no"), "f_title": get("project title"), "f_agency": get("using agency"), "f_professional": get("professional"), "f_date": get("date")}
-    rows = rows.withColumns(names)
-    title, number = F.coalesce("f_title", "heading"), F.coalesce("f_gs", F.nullif(F.regexp_replace("heading", r"(?i)^GS\s*", ""), F.lit("")))
-    about = _joined(" — ", F.nullif(title, F.lit("")), F.col("f_agency"), F.concat(F.lit("Professional: "), F.col("f_professional")))
-    name = F.coalesce(F.concat(F.lit("RFx-"), F.col("f_rfx")), F.concat(F.lit("GS-"), number))
-    agency = F.coalesce("f_agency", F.lit("MS DFA Bureau of Building, Grounds and Real Property Management"))
-    return _ms(rows, name, title, agency, F.lit("Construction"), fn.trim_description(about), fn.us_date(F.col("f_date")), _first_url(F.col("files"), MS_CONSTRUCTION), F.lit("Open"))
-
-
-def _ms_leases(payloads: DataFrame) -> DataFrame:
+    for position, nth, heading, body in _ms_panels(page):
+        if nth:
+            continue
+        fields = {}
+        for li in body.tagged("li"):
+            span = next((e for e in body.inside(li).below if e["tag"] == "span"), None)
+            label = (texts.clean(body.text(span)) if span else "").removesuffix(":")
+            fields[label.lower()] = texts.clean(texts.clean(body.text(li))[len(label) + 1 :].lstrip(": \t\n\v\f\r"))
+        title = fields.get("project title") or heading
+        agency, professional, due = (fields.get(k) for k in ("using agency", "professional", "date"))
+        yield {
+            "position": position, "number": fields.get("rfx#") or fields.get("rfx") or None, "other": fields.get("gs no") or re.sub(r"^GS\s*", "", heading, flags=re.A | re.I) or None, "title": title, "agency": agency or None,
+            "about": " — ".join(filter(None, (title, agency, professional and f"Professional: {professional}"))), "due": texts.us_date(due or "", fn.CENTRAL), "links": body.links(),
+        }
+
+
+def _ms_leases(page: str) -> Iterator[dict]:
     """Of the first table only, but for its head: agency, place, deadline."""
-    place = F.array_position(F.transform("around", lambda x: F.coalesce((x["mark"] == "leases") & (x["nth"] == 0), F.lit(False))), True).cast("int")
-    rows = _ms_parts(payloads, 3, "tr").where(mk.inside("leases", 0) & ~F.exists(F.slice("around", place + 1, F.size("around")), lambda x: x["tag"] == "thead"))
-    rows = rows.withColumn("cells", mk.tagged(mk.below(mk.node(F.lit(0))), "td")).where(F.size("cells") >= 3)
-    cell = lambda i: mk.text(F.get("cells", F.lit(i)))
-    rows = rows.withColumns({"agency": cell(0), "place": F.regexp_replace(cell(1), r"\s*/\s*", ", "), "due": cell(2), "files": mk.links(F.get("cells", F.lit(1)), MS_LEASE)}).where("agency <> ''")
-    title = F.concat(F.lit("Request for Lease Proposals — "), "agency", F.when(F.col("place") != "", F.concat(F.lit(" ("), "place", F.lit(")"))).otherwise(""))
-    name = F.concat(F.lit("MSLEASE-"), fn.slug_id(F.concat_ws("-", "agency", "place", "due")))
-    return _ms(rows, name, title, F.col("agency"), F.lit("Real Property / Lease"), fn.trim_description(title), fn.us_date(F.col("due")), _first_url(F.col("files"), MS_LEASE), F.lit("Open"))
+    first = ("leases", 0)
+    for position, marks, row in mk.table_rows(page, lambda e: "thead" if e["tag"] == "thead" else _ms_mark(e)):
+        cells = row.cells() if first in marks and all(m != "thead" for m, _ in marks[marks.index(first) :]) else ()
+        agency = texts.clean(cells[0]) if len(cells) >= 3 else ""
+        if agency:
+            place, due = re.sub(r"\s*/\s*", ", ", texts.clean(cells[1]), flags=re.A), texts.clean(cells[2])
+            title = f"Request for Lease Proposals — {agency}" + (f" ({place})" if place else "")
+            whole = f"{agency}-{place}-{due}"
+            yield {"position": position, "title": title, "agency": agency, "about": title, "other": whole, "slug": texts.slug_id(whole) if whole.isascii() else None, "due": texts.us_date(due, fn.CENTRAL), "links": row.links_of(1)}
+
+
+MS_KINDS = {"position": "int", "shape": "int", "number": "string", "other": "string", "slug": "string", "prose": "string", "title": "string", "agency": "string", "category": "string", "about": "string", "due": "bigint", "files": mk.FILES, "links": mk.LINKS}
+
+
+def _ms_rows(payload: str, page: int | None, *_: object) -> Iterator[tuple]:
+    shape = 3 if page is None or page < 0 and page % 4 else page % 4
+    for made in (_ms_hub, _ms_purchasing, _ms_construction, _ms_leases)[shape](payload):
+        files, links = mk.files(made.pop("links"), MS_ORIGIN)
+        made |= {"shape": shape, "files": files, "links": links}
+        yield tuple(made.get(k) for k in MS_KINDS)
+
+
+def _ms_records(payloads: DataFrame) -> DataFrame:
+    """Records with clean texts; ``prose`` is one that is not ASCII, of which number and deadline are read here."""
+    r = mk.records(payloads.select("page", "payload"), _ms_rows, MS_KINDS)
+    of = lambda *values: F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), F.col("shape") + 1)
+    shape = lambda n: F.col("shape") == n
+    r = once(r, attachments=F.when(F.col("files").isNotNull(), F.col("files")).otherwise(mk.named(F.col("links"), of(*MS_PAGES))), rfx=F.coalesce("number", F.nullif(F.regexp_extract("prose", r"(?i)\bRF[PQXI]\s*#?\s*(\d{6,})", 1), F.lit(""))))
+    named = F.coalesce(F.concat(F.lit("RFx-"), "rfx"), F.when(shape(1), F.concat(F.lit("MSPURCH-"), F.coalesce("slug", fn.slug_id(F.col("title"))))).when(shape(2), F.concat(F.lit("GS-"), "other")).when(shape(3), F.concat(F.lit("MSLEASE-"), F.coalesce("slug", fn.slug_id(F.col("other"))))))
+    none, first = F.lit(None).cast("string"), F.get("attachments", F.lit(0))["url"]
+    first = F.when(F.col("files").isNotNull(), first).otherwise(fn.clean(first))
+    agency = F.coalesce("agency", of("Mississippi Department of Finance and Administration", "MS DFA Office of Purchasing, Travel and Fleet Management", "MS DFA Bureau of Building, Grounds and Real Property Management", none))
+    status = F.when(shape(0), fn.status_of_attachments(F.array_join(F.transform("attachments", lambda a: a["filename"]), " | "))).otherwise("Open")
+    columns = {
+        "external_id": named, "title": F.col("title"), "agency": agency, "category": F.coalesce("category", of(none, "Purchasing", "Construction", "Real Property / Lease")), "description": F.trim(F.substring("about", 1, 4000)),
+        "due_date": F.when(F.col("prose").isNotNull(), fn.prose_date(F.col("prose"))).otherwise(F.timestamp_micros("due")), "detail_url": F.when(shape(1), MS_PURCHASING).otherwise(F.coalesce(first, of(*MS_PAGES))), "status_on_site": status,
+    }
+    return once(r, **{f"_{n}": c for n, c in columns.items()}).select("page", "position", *(F.col(f"_{n}").alias(n) for n in columns), "attachments")
 
 
 def ms(payloads: DataFrame) -> DataFrame:
@@ -513,7 +538,7 @@ def ms(payloads: DataFrame) -> DataFrame:
     Of one id the first record stays, with the first due date that any has and
     the files of all, once an address.
     """
-    r = _ms_hub(payloads).unionByName(_ms_purchasing(payloads)).unionByName(_ms_construction(payloads)).unionByName(_ms_leases(payloads))
+    r = _ms_records(payloads)
     r = r.where("external_id is not null and title <> ''")
     # first by id and address, then by id: pages are read once
     place = F.struct("page", "position")
@@ -524,7 +549,7 @@ def ms(payloads: DataFrame) -> DataFrame:
     merged = links.groupBy("external_id").agg(F.min_by("f", "p").alias("f"), F.min("due").alias("due"), F.array_sort(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("x", "url")))).alias("xs"))
     files = F.transform("xs", lambda y: F.struct(y["x"]["filename"].alias("filename"), y["url"].alias("url")))
     merged = merged.select("external_id", "f.*", "due.due_date", F.when(F.size("xs") > 0, files).alias("attachments"))
-    return _normal(merged, {n: F.col(n) for n in merged.columns if n in FIELDS}).select(*FIELDS)
+    return _normal(merged, {n: F.col(n) for n in merged.columns if n in FIELDS}, clean=True).select(*FIELDS)
 
 
 def grid(payloads: DataFrame, key: str = "ok") -> DataFrame:

@@ -169,7 +169,7 @@ def _read(row):
 def _all_by_tree(page, mark):
     tree = mk.Tree(page)
     words = "".join(tree.parts)
-    return [(n, frozenset((x["mark"], x["nth"]) for x in chain), _read(mk.TreeRow(tree, e["at"], words))) for e, chain, n in mk._walk(tree, words, ("tr",), mark)]
+    return [(n, [(x["mark"], x["nth"]) for x in chain if x["mark"] is not None], _read(mk.TreeRow(tree, e["at"], words))) for e, chain, n in mk._walk(tree, words, ("tr",), mark)]
 
 
 def test_plain_rows_are_read_as_by_the_tree():
@@ -200,7 +200,7 @@ def test_plain_rows_are_no_elements():
 
 def test_rows_of_a_grid_come_as_texts(spark):
     pages = spark.createDataFrame([(0, "")], "page int, payload string")
-    for key in ("pa", "wy"):
+    for key in ("pa", "wy", "ms"):
         assert "nodes" not in _plan(portals.REGISTRY[key](pages)), key
 
 
@@ -209,11 +209,11 @@ def test_named_months_and_addresses_are_as_the_columns_make_them(spark):
     dates = [(a, texts.month_name_date(a, -360)) for a in (f"{x}{d}{t}" for x in ("", "on 9:00 p.m. ", "7:60 am ") for d in days for t in ("", " 8:00:00 AM MDT", " 12:05 a.m.", " 12:00 pm", " 13:00 p m", " 24:00 am", " 1:02:60 Am"))]
     got = spark.createDataFrame(dates, "t string, b bigint").withColumn("a", F.unix_micros(fn.month_name_date(F.col("t"), -360)))
     assert got.where("not a <=> b").collect() == [] and sum(b is not None for _, b in dates) > 50
-    hrefs = ["/", "/a", "/a/b/", "/a?x=./..#y", "/a#b?c", "//h/a", "/a//b", "/a/../b", "/./a", "a", "", "?a", "#a", "/a b?c d", "/a\n?b", "/a\u00e9", "http://x/y", "mailto:a", "/a:b", "/x?\ny"]
+    hrefs = ["/", "/a", "/a/b/", "/a?x=./..#y", "/a#b?c", "//h/a", "/a//b", "/a/../b", "/./a", "/..", "/a/.", "/a/..#b", "/a.b/..c/.d?../.", "/a.pdf", "a", "", "?a", "#a", "/a b?c d", "/a\n?b", "/a\u00e9", "http://x/y", "mailto:a", "/a:b", "/x?\ny"]
     origin = "https://h.gov"
     for base in (origin, f"{origin}/x/y.aspx"):
         got = spark.createDataFrame([(h, texts.rooted(origin, h)) for h in hrefs], "h string, b string").withColumn("a", fn.absolute(F.lit(base), F.col("h")))
-        assert got.where("b is not null and not a <=> b").collect() == [] and got.where("b is not null").count() == 8
+        assert got.where("b is not null and not a <=> b").collect() == [] and got.where("b is not null").count() == 10
 
 
 def test_script_rows_are_read_as_by_the_tree(spark):
@@ -240,3 +240,37 @@ def test_dates_in_other_letters_are_read_too(spark):
     found = portals.wy(spark.createDataFrame([(0, page)], "page int, payload string"))
     got = found.select("external_id", "title", F.col("posted_date").cast("string"), F.col("due_date").cast("string"), F.col("q_and_a_deadline").cast("string")).orderBy("external_id")
     assert list(map(tuple, got.collect())) == [("1", "Rope 1", "2026-07-01", "2026-07-02 16:00:00", "2026-07-15 21:00:00"), ("2", "Rope 2", None, "2026-07-02 06:00:00", "2026-07-15 06:00:00")]
+
+
+def test_prose_dates_and_slugs_are_as_the_columns_make_them(spark):
+    days = ["August 27, 2026", "may 1st 2031", "JUNE 31, 2026", "xmay 1, 2026", "May 1, 1999", "May 1, 20261", "Aug 1, 2026", "", "march 2nd,2026 or May 1, 2026"]
+    rows = [f"{a}{d}{b}" for a in ("", "at 2:00 p.m., ", "9 am ", "12 A.M. on ", "24:00 pm ", "1a2 pm ") for d in days for b in ("", ", 7:60 am", "_")] + ["--a  B--", "x" * 100, "a-b c"]
+    got = spark.createDataFrame([(r, texts.prose_date(r, -300), texts.slug_id(r)) for r in rows], "t string, b bigint, s string")
+    assert got.where(~F.unix_micros(fn.prose_date(F.col("t"))).eqNullSafe(F.col("b")) | (fn.slug_id(F.col("t")) != F.col("s"))).collect() == []
+    assert got.where("b is not null").count() > 20
+
+
+def test_files_are_as_links(spark):
+    hrefs = ["/a.pdf", "/b", "/b", "b/c.pdf", "mailto:x", " TEL:1", "", " ", "/x/../y.pdf", "https://h/q%20r.pdf", "/ c", "//h/z"]
+    pages = [f"<p><a href='{x}'>{a}</a><a>no</a><a href='{y}'>{b}</a></p>" for x in hrefs for y in hrefs for a in ("one", "") for b in ("two  x", " ")]
+    base = "https://h.gov/p/q"
+    by_columns = mk.parsed(spark.createDataFrame(list(enumerate(pages)), "n int, payload string")).select("n", mk.links(mk.node(F.lit(0)), base).alias("a"))
+    found = [(n, *mk.files(next(mk.elements(p, "p", lambda e: None))[2].links(), "https://h.gov")) for n, p in enumerate(pages)]
+    mine = spark.createDataFrame(found, f"n int, files {mk.FILES}, links {mk.LINKS}").select("n", F.coalesce("files", mk.named(F.col("links"), F.lit(base))).alias("b"))
+    assert by_columns.join(mine, "n").where("not a <=> b").isEmpty() and sum(f is not None for _, f, _ in found) > 100
+
+
+def test_pages_of_four_shapes_are_read_in_one_pass(spark):
+    pages = spark.createDataFrame([(0, "")], "page int, payload string")
+    assert _plan(portals.ms(pages)).count("MapInArrow") == 1
+
+
+def test_prose_in_other_letters_is_read_too(spark):
+    page = '<dl class="ckeditor-accordion"><dt>\u00e9 Fuel</dt><dd>\u00e9 RFP 3160007003 at 2:00 p.m., August 27, 2026</dd><dt>\u00e9 Paper</dt><dd>RFP 12</dd></dl>'
+    lease = '<table class="tblwdt"><tr><td>Ann\u00e9e</td><td>x</td><td>9/1/2026</td></tr></table>'
+    found = portals.ms(spark.createDataFrame([(1, page), (None, lease), (-5, lease.replace("Ann", "Bnn")), (-4, lease)], "page int, payload string"))
+    got = found.select("external_id", "title", F.col("due_date").cast("string")).orderBy("external_id")
+    assert list(map(tuple, got.collect())) == [
+        ("MSLEASE-ann-e-x-9-1-2026", "Request for Lease Proposals \u2014 Ann\u00e9e (x)", "2026-09-01 05:00:00"), ("MSLEASE-bnn-e-x-9-1-2026", "Request for Lease Proposals \u2014 Bnn\u00e9e (x)", "2026-09-01 05:00:00"),
+        ("MSPURCH-paper", "\u00e9 Paper", None), ("RFx-3160007003", "\u00e9 Fuel", "2026-08-27 19:00:00"),
+    ]
